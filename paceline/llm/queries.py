@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, repetition
+from . import langmask, mixing, quality, repetition, toxicity
 from .shared import scratch_folder
 
 
@@ -26,13 +26,38 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part(key: str, parts: int) -> F.Column:
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))
+
+
+def op3_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_part("doc_id", 3) == 1, F.lit(False))
+    model = langmask.fit(docs.where(~held))
+    return langmask.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), scratch_folder(spark, "mix"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = F.coalesce(_part("doc_id", 4) == 2, F.lit(False))
+    scored = toxicity.weigh(docs, toxicity.learn(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_clauses")
+
+
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = F.coalesce(_part("doc_id", 5) == 0, F.lit(False))
+    scored = quality.score(docs, quality.fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op6_pivotal_mix)}
+    return {f.__name__: f for f in (op1_repetition, op3_langmask, op6_pivotal_mix, op8_toxicity, op9_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
