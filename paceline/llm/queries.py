@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmask, mixing, quality, repetition, toxicity
+from . import htmlregion, langmask, mixing, quality, repetition, toxicity
 from .shared import scratch_folder
 
 
@@ -42,6 +42,11 @@ def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op7_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return htmlregion.extract(pages, htmlregion.learn(pages))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = F.coalesce(_part("doc_id", 4) == 2, F.lit(False))
@@ -57,7 +62,7 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_langmask, op6_pivotal_mix, op8_toxicity, op9_subword_quality)}
+    return {f.__name__: f for f in (op1_repetition, op3_langmask, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
