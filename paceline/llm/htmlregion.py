@@ -189,9 +189,8 @@ def learn(pages: DataFrame, html_column: str = "html", key: str = "page_id", fit
     model = RegionModel()
     for kind in ("tag", "container"):
         own = [(r["name"], r["a"], r["b"]) for r in rows if r["kind"] == kind]
-        all_a, all_b = sum(x[1] for x in own) + 1, sum(x[2] for x in own) + 1
         for name, a, b in own:
-            odds = math.log((a + 1) / all_a) - math.log((b + 1) / all_b)
+            odds = math.log((a + 5) / (b + 5))
             if kind == "tag":  # never above zero: tags only cost, those of content less
                 model.tags[name] = min(-0.05, TAG + 0.3 * odds) if odds > 0 else TAG + 0.4 * max(odds, -3.0)
             else:  # a word in a usual container of content is worth more, elsewhere less than nothing
