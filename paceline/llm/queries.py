@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlregion, langmask, mixing, quality, repetition, toxicity
+from . import bpe_stream, htmlregion, langmask, mixing, quality, repetition, syncmers, toxicity
 from .shared import scratch_folder
 
 
@@ -37,6 +37,21 @@ def op3_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return syncmers.compare_with_next(_table(spark, sf_dir, "documents"), n_blocks)
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), scratch_folder(spark, "mix"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
@@ -62,7 +77,7 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_langmask, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality)}
+    return {f.__name__: f for f in (op1_repetition, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
