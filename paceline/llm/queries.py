@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, htmlregion, langmask, mixing, quality, repetition, syncmers, toxicity
+from . import bpe_stream, htmlregion, jaccard, langmask, mixing, quality, repetition, syncmers, toxicity
 from .shared import scratch_folder
 
 
@@ -76,8 +76,13 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), scratch_folder(spark, "jaccard"), n_buckets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality)}
+    return {f.__name__: f for f in (op1_repetition, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
