@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of a text that are fed at a time.
 SLICE = 1 << 16
@@ -373,6 +374,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
                     arrays, names = [*arrays, pa.array(all_ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

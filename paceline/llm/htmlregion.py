@@ -210,6 +210,6 @@ def extract(pages: DataFrame, model: RegionModel, html_column: str = "html", kee
                 arrays = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in range(len(keep))), *arrays], [*keep, "text", "n_chars"])
 
-    picked = pages.select(*keep, html_column)
+    picked = pages.select(*keep, F.col(html_column).alias("html_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, text string, n_chars long")

@@ -158,6 +158,6 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text", keep:
             arrays = [part.column(k) for k in range(len(keep))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, lang_pred string, score double")

@@ -48,7 +48,7 @@ def with_size(docs: DataFrame, keep: Sequence[str] = ("doc_id", "source"), text:
             sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(sizes)], [*keep, "size"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, size long")
 

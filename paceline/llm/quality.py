@@ -149,6 +149,6 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", keep: tuple[
             got = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(got)], [*keep, "score"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, score double")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import batches as B
 
@@ -100,6 +101,6 @@ def repetition_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
                 arrays += [pa.array(m[x].astype(np.int64)) for x in names] + [pa.array(verdict(m, limits))]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *names, "repetition_ok"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, " + ", ".join(f"{x} long" for x in names) + ", repetition_ok boolean")

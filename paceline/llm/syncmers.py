@@ -140,7 +140,7 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                 got = fingerprints([(x or "").encode() for x in cut.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in range(len(keep))), pa.array([encode(x) for x in got], pa.string())], [*keep, "fingerprint"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, fingerprint string")
 

@@ -245,6 +245,6 @@ def weigh(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
             arrays = [pa.array(weights, pa.float64()), pa.array([x[1] for x in got], pa.int64()), pa.array([m.probability(x) for x in weights], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *arrays], [*keep, "weight", "n_clauses", "score"])
 
-    picked = docs.select(*keep, text)
+    picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{kept}, weight double, n_clauses long, score double")
