@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import queries_entry
+
+_PARTS = [queries_entry]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for part in _PARTS for k, s in part.ORACLES.items()}
