@@ -64,8 +64,8 @@ def comparison_sentence(current: Column, other: Column, tolerance: float = 0.05)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; punctuation other than ' separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s']+", " "), r"\s+"), lambda w: w != "")
+    """Lower-case words of a-z, digits and '; everything else separates."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9'\s]", " "), r"\s+"), lambda w: w != "")
 
 
 def has_all(words: Column, required: Sequence[str]) -> Column:

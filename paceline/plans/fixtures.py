@@ -29,7 +29,9 @@ detections AS (SELECT *, 2 * map_x - 20 AS x1, 2 * map_y - 60 AS y1, 2 * map_x +
 friends AS (SELECT * FROM positions WHERE track_id <> 99),
 spans AS (SELECT run_id, track_id, count(*) AS n_samples, min(frame) AS first_frame, max(frame) AS last_frame FROM friends GROUP BY ALL),
 entrants AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_frame, track_id) AS entry_number FROM spans),
-runs AS (SELECT DISTINCT run_id FROM positions)
+runs AS (SELECT DISTINCT run_id FROM positions),
+gaze AS (SELECT run_id, track_id, frame, (x1 + x2) / 2 AS ox, y1 AS oy, CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx, CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy FROM detections WHERE rk % 17 <> 0),
+keypoints AS (SELECT run_id, track_id, frame, list_transform(range(26), lambda k: {'x': x1 + (k * 7 + rk) % 40, 'y': y1 + (k * 5 + s) % 80, 'score': CAST((k * 3 + rk) % 10 AS DOUBLE) / 10}) AS k, x1, y1, x2, y2, s, rk FROM detections)
 """
 
 
@@ -52,6 +54,19 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, track_id, frame, ox, oy, dx, dy; some of no length, every 17th missing."""
+    return detections(spark, sf_dir).where("rk % 17 <> 0").selectExpr("run_id", "track_id", "frame", "(x1 + x2) / 2 AS ox", "y1 AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
+
+
+def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, track_id, frame, keypoints (26 of x, y, score) and the box."""
+    return detections(spark, sf_dir).selectExpr(
+        "run_id", "track_id", "frame", "x1", "y1", "x2", "y2", "s", "rk",
+        "transform(sequence(0, 25), k -> named_struct('x', x1 + (k * 7 + rk) % 40, 'y', y1 + (k * 5 + s) % 80, 'score', CAST((k * 3 + rk) % 10 AS DOUBLE) / 10)) AS keypoints",
+    )
+
+
 def inroom(rows: DataFrame) -> DataFrame:
     return rows.where("track_id = 99").select("run_id", "track_id").distinct()
 

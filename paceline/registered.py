@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_entry
+from .plans import queries_entry, queries_room
 
-_PARTS = [queries_entry]
+_PARTS = [queries_entry, queries_room]
 
 
 def queries() -> dict:
