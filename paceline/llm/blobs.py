@@ -44,11 +44,12 @@ def deal(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.Reco
 
 
 def by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
-    return rows.repartition(n_buckets, "bucket")
+    """Each bucket in a partition of its own (a hash of the buckets would put several into one)."""
+    return rows.repartitionById(n_buckets, "bucket")
 
 
 def gather(parts: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray] | None:
-    """All entries of a partition (a few buckets) as columns, with `bucket`; None if there are none."""
+    """All entries of a partition (one bucket) as columns, with `bucket`; None if there are none."""
     got = {k: [] for k in kinds}
     buckets = []
     for part in parts:

@@ -13,9 +13,9 @@ token among the first n - ceil(t n) + 1 of each.  Three orders are used.
 
 Equal sets are one class from the start, so copies cost nothing more.  Within the
 posting list of a token no pairs are made between sets already in one component:
-first each list links its members to one hub, and only where a list still spans
-several components are the pairs across components looked at (with a bound on
-the overlap from bitmaps).  No list, bucket or candidate is cut off.
+first each list links its members to its most central set (whose tokens the most
+sets hold), and only where a list still spans several components are the pairs
+across components looked at (with a bound on the overlap from bitmaps).  No list, bucket or candidate is cut off.
 
 Defined cases: null and empty texts have no shingles and no links; a text with
 fewer than five words is one shingle; a null doc_id takes part in links and is
@@ -39,16 +39,16 @@ WIDTH = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 75, 100
 #: Text that a task holds as tokens at a time (bytes).
-FLUSH_BYTES = 24 << 20
-HUB_ROUNDS = 2
-_BITS = 512
+FLUSH_BYTES = 6 << 20
+HUB_ROUNDS = 3
+_BITS = 1024
 
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOKEN = {"low": np.uint32, "high": np.uint8, "cls": np.int64, "n": np.uint32}
 _SHARED = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "df": np.uint32}
-_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64}
+_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32}
 
 
 def least(n: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             raw, off = B.text_bytes(part.column(1))
-            for i, j, data, cuts in B.blocks(raw, off):
+            for i, j, data, cuts in B.blocks(raw, off, 1 << 20):
                 token, ptr = shingles(data, cuts)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(np.diff(ptr).astype(np.int64)), pa.array(classes(token, ptr))], ["doc_id", "n_shingles", "cls"])
 
@@ -126,7 +126,7 @@ def _tokens_out(n_buckets: int):
 
         for part in parts:
             raw, off = B.text_bytes(part.column(0))
-            for _, _, data, cuts in B.blocks(raw, off):
+            for _, _, data, cuts in B.blocks(raw, off, 1 << 20):
                 token, ptr = shingles(data, cuts)
                 cls, n = classes(token, ptr), np.diff(ptr)
                 first = np.zeros(len(cls), bool)
@@ -189,19 +189,20 @@ def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = order[np.repeat(enough, count)]
     cls, n, token, df = (got[k][order] for k in ("cls", "n", "token", "df"))
     order = np.lexsort((token, df, cls))
-    cls, n, token = cls[order], n[order], token[order]
+    cls, n, token, df = cls[order], n[order], token[order], df[order]
     if not len(cls):
         return
     start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     end = np.append(start[1:], len(cls))
+    weight = np.add.reduceat(df.astype(np.float64), start) / n[start]
     for i in range(0, len(start), 2000):
         a, b = start[i : i + 2000], end[i : i + 2000]
         prefix = (b - a) - least(n[a]) + 1
         tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary())], ["cls", "n", "prefix", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(weight[i : i + 2000])], ["cls", "n", "prefix", "tokens", "weight"])
 
 
-_SURVIVOR = "cls long, n int, prefix int, tokens binary"
+_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double"
 
 
 def _bitmap(token: np.ndarray) -> np.ndarray:
@@ -218,10 +219,10 @@ def _postings_out(n_buckets: int, bitmaps: bool):
             for k in range(0, part.num_rows, 4000):
                 cut = part.slice(k, 4000)
                 full = [np.frombuffer(x, np.uint64) for x in cut.column(3).to_pylist()]
-                cls, n, prefix, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
                 token = np.concatenate([t[:q] for t, q in zip(full, prefix, strict=True)]) if full else np.zeros(0, np.uint64)
                 bucket = ((token >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
-                columns = {"token": token, "cls": np.repeat(cls, prefix), "n": np.repeat(n, prefix).astype(np.uint32), "comp": np.repeat(comp, prefix)}
+                columns = {"token": token, "cls": np.repeat(cls, prefix), "n": np.repeat(n, prefix).astype(np.uint32), "comp": np.repeat(comp, prefix), "weight": np.repeat(weight, prefix).astype(np.float32)}
                 if bitmaps:
                     columns["shared"] = np.repeat(np.array([len(t) for t in full], np.uint32), prefix)
                     maps = np.stack([_bitmap(t) for t in full]) if full else np.zeros((0, _BITS // 64), np.uint64)
@@ -254,8 +255,8 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _hub_pairs(seed: int):
-    """Links from the members of each list to one of them, the same one in as many lists as possible."""
+def _hub_pairs(first: bool):
+    """Links from the members of each list to its most central one, or (not `first`) to the most central one outside that one's component."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = blobs.gather(parts, _POSTING)
@@ -264,17 +265,25 @@ def _hub_pairs(seed: int):
         e, start, end = _lists(got)
         if not len(start):
             return
-        rank = B.mix(e["cls"].view(np.uint64) + np.uint64(seed)) >> np.uint64(1)
         where = np.repeat(np.arange(len(start)), end - start)
-        order = np.lexsort((rank, where))
-        hub = np.repeat(order[start], end - start)
-        n, cls, comp = e["n"].astype(np.int64), e["cls"], e["comp"]
+        n, cls, comp, weight = e["n"].astype(np.int64), e["cls"], e["comp"], -e["weight"]
+        hub = np.repeat(np.lexsort((cls, weight, where))[start], end - start)
+        if not first:
+            outside = comp != comp[hub]  # there are some in every list
+            hub = np.repeat(np.lexsort((cls, weight, ~outside, where))[start], end - start)
         good = (comp != comp[hub]) & _sized(n, n[hub])
         yield _pair_batch(cls[good], cls[hub[good]])
 
     return run
 
 
+def _mixed_members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes in lists that span several components."""
+    got = blobs.gather(parts, _POSTING)
+    if got is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_lists(got)[0]["cls"]))], ["cls"])
+
+
 def _cross_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list across components whose sizes and bitmaps allow the similarity."""
     kinds = _POSTING | {"shared": np.uint32} | {f"b{i}": np.uint64 for i in range(_BITS // 64)}
@@ -363,8 +372,11 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
     for k in range(HUB_ROUNDS + 1):
         placed = survivors.withColumn("comp", F.col("cls")) if labels is None else survivors.join(labels, "cls", "left").select(*survivors.columns, F.coalesce("comp", "cls").alias("comp"))
         last = k == HUB_ROUNDS
+        if last:
+            mixed = blobs.by_bucket(placed.mapInArrow(_postings_out(n_buckets, False), blobs.SCHEMA), n_buckets).mapInArrow(_mixed_members, "cls long").distinct()
+            placed = placed.join(mixed, "cls", "left_semi").select(*survivors.columns, "comp")
         postings = blobs.by_bucket(placed.mapInArrow(_postings_out(n_buckets, last), blobs.SCHEMA), n_buckets)
-        pairs = postings.mapInArrow(_cross_pairs if last else _hub_pairs(k), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = postings.mapInArrow(_cross_pairs if last else _hub_pairs(k == 0), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs.write.mode("overwrite").parquet(f"{scratch}/pairs_{k}")
         pairs = spark.read.schema("a long, b long").parquet(f"{scratch}/pairs_{k}")
         one = survivors.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))

@@ -91,7 +91,7 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), scratch_folder(spark, "jaccard"), n_buckets)
 
 
