@@ -25,12 +25,13 @@ REJECT = 0.3
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3."""
     model = toxicity_model(spark, docs, sf_dir)
-    return toxicity.weigh(docs, model, keep=tuple(docs.columns)).where(F.col("score") < REJECT).select(*docs.columns)
+    scored = toxicity.weigh(docs, model, keep=tuple(docs.columns))
+    return scored.where(F.col(scored.columns[-1]) < REJECT).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of smallest doc_id (null ids stay)."""
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = jaccard.near_duplicates(docs, scratch_folder(spark, "jaccard"), n_buckets)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -44,16 +45,16 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, personal data replaced."""
     replaced = surrogates.anonymize(docs, SURROGATE_KEY)
     if "n_chars" in docs.columns:
-        replaced = replaced.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        replaced = replaced.withColumn("n_chars", F.when(F.col(replaced.columns[len(docs.columns)]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return replaced.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (not at all, once, up to three times)."""
-    copies = mixing.mix(docs, scratch_folder(spark, "mix")).groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("copies_"))
-    copies = copies.where("copies_ > 0").withColumnRenamed("doc_id", "id_")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("id_")))
-    return taken.withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    copies = mixing.mix(docs, scratch_folder(spark, "mix")).groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("__copies"))
+    copies = copies.where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
