@@ -64,6 +64,17 @@ def blocks(raw: np.ndarray, off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterat
         i = j
 
 
+def free_names(taken: list[str] | tuple[str, ...], names: list[str]) -> list[str]:
+    """`names`, each with as many _ behind it as it takes to differ from `taken` (without regard to case)."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of `flags` (one per byte, word or line) in each interval of `off`."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -190,9 +190,9 @@ def learn(pages: DataFrame, html_column: str = "html", key: str = "page_id", fit
     for kind in ("tag", "container"):
         own = [(r["name"], r["a"], r["b"]) for r in rows if r["kind"] == kind]
         for name, a, b in own:
-            odds = math.log((a + 5) / (b + 5))
+            odds = math.log((a + 0.5) / (b + 0.5))
             if kind == "tag":  # never above zero: tags only cost, those of content less
-                model.tags[name] = min(-0.05, TAG + 0.3 * odds) if odds > 0 else TAG + 0.4 * max(odds, -3.0)
+                model.tags[name] = min(-0.05, TAG + 0.6 * odds) if odds > 0 else TAG + 0.4 * max(odds, -3.0)
             else:  # a word in a usual container of content is worth more, elsewhere less than nothing
                 model.containers[name] = 0.1 * min(odds, 5.0) if odds > 0 else 0.4 * max(odds, -4.0)
     return model

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
+
 # Titles by gender.
 MALE = "Mr Mister Sir Herr Monsieur Señor Sr Don".split()
 FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Doña".split()
@@ -259,8 +261,12 @@ def _key(secret: str) -> bytes:
 
 
 def anonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
-    """All columns of `docs` with surrogates in the text, and n_entities and kinds (the kinds found, sorted, comma-separated)."""
+    """All columns of `docs` with surrogates in the text, and last n_entities and kinds (the kinds found, sorted, comma-separated).
+
+    The last two have _ behind their name where `docs` has a column of that name.
+    """
     names = docs.columns
+    added = B.free_names(names, ["n_entities", "kinds"])
     at = names.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +281,10 @@ def anonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
                     counts.append(len(pairs))
                     kinds.append(",".join(sorted({e.kind for e, _ in pairs})))
                 arrays = [pa.array(texts, pa.string()) if i == at else cut.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*names, "n_entities", "kinds"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, n_entities long, kinds string")
+    return docs.mapInArrow(run, f"{schema}, `{added[0]}` long, `{added[1]}` string")
 
 
 def entities(docs: DataFrame, secret: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .sampling import bounded_sample
 
 # Function words of English, German, French and Spanish.
@@ -234,7 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def weigh(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns, and weight, n_clauses and score (0 to 1) of each row."""
+    """The `keep` columns, and last weight, n_clauses and score (0 to 1) of each row (with _ behind a name that is taken)."""
+    added = B.free_names(keep, ["weight", "n_clauses", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LEXEMES words and stems at most
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +245,8 @@ def weigh(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
             got = [m.weight(x) for x in _texts(part.column(len(keep)))]
             weights = [x[0] for x in got]
             arrays = [pa.array(weights, pa.float64()), pa.array([x[1] for x in got], pa.int64()), pa.array([m.probability(x) for x in weights], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *arrays], [*keep, "weight", "n_clauses", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *arrays], [*keep, *added])
 
     picked = docs.select(*keep, F.col(text).alias("text_"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{kept}, weight double, n_clauses long, score double")
+    return picked.mapInArrow(run, kept + ", `{}` double, `{}` long, `{}` double".format(*added))
