@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 DEFAULT_FPS = 30.0
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with the value computed once (an expression written twice is computed twice)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def usable_fps(fps: Column) -> Column:
     return F.when(fps > 0, fps).otherwise(F.lit(DEFAULT_FPS))
 

@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
+
 BOX = ("x1", "y1", "x2", "y2")
+#: Frames that a task of a greedy operator handles at a time.
+FRAME_BLOCK = 64
 
 # Body groups of the 26-keypoint layout and how much each counts.
 ANCHORS = {"head_core": (17, 0, 1, 2, 3, 4), "neck": (18,), "shoulder": (5, 6), "hip": (11, 12, 19), "knee": (13, 14), "foot": (15, 16, 20, 21, 22, 23, 24, 25)}
@@ -49,21 +53,27 @@ def frame_pairs(left: DataFrame, right: DataFrame, shift: int = 0) -> DataFrame:
 
 def anchors(keypoints: Column, least_score: float) -> Column:
     """map<group, struct<x,y,confidence,support>> of the body groups with a sure keypoint; neck and shoulder stand in for each other."""
+    groups = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(k) for k in ks]).alias("ks")) for name, ks in ANCHORS.items()])
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+
+    def add(t: Column, p: Column) -> Column:
+        grown = F.struct((t["x"] + p["x"]).alias("x"), (t["y"] + p["y"]).alias("y"), (t["s"] + p["score"]).alias("s"), (t["n"] + 1).alias("n"))
+        return F.when(p["score"] > least_score, grown).otherwise(t)
+
+    totals = F.transform(groups, lambda g: F.struct(g["name"].alias("key"), F.aggregate(F.transform(g["ks"], lambda k: F.get(keypoints, k)), zero, add).alias("t")))
 
-    def group(ks: Sequence[int]) -> Column:
-        good = F.filter(F.array(*[F.get(keypoints, F.lit(k)) for k in ks]), lambda p: p["score"] > least_score)
-        n = F.size(good)
-        mean = lambda c: F.aggregate(good, F.lit(0.0), lambda a, p: a + p[c]) / n
-        return F.when(n > 0, F.struct(mean("x").alias("x"), mean("y").alias("y"), mean("score").alias("confidence"), n.alias("support")))
+    def mean(e: Column) -> Column:
+        t = e["t"]
+        return F.struct(e["key"].alias("key"), F.struct((t["x"] / t["n"]).alias("x"), (t["y"] / t["n"]).alias("y"), (t["s"] / t["n"]).alias("confidence"), t["n"].alias("support")).alias("value"))
 
-    found = {name: group(ks) for name, ks in ANCHORS.items()}
+    found = F.map_from_entries(F.transform(F.filter(totals, lambda e: e["t"]["n"] > 0), mean))
 
-    def stand_in(mine: Column, other: Column) -> Column:
-        return F.coalesce(mine, F.when(other.isNotNull(), F.struct(other["x"].alias("x"), other["y"].alias("y"), other["confidence"].alias("confidence"), F.lit(1).alias("support"))))
+    def stand_in(m: Column, missing: str, other: str) -> Column:
+        o = F.try_element_at(m, F.lit(other))
+        value = F.struct(o["x"].alias("x"), o["y"].alias("y"), o["confidence"].alias("confidence"), F.lit(1).alias("support"))
+        return F.when(F.map_contains_key(m, missing) | ~F.map_contains_key(m, other), m).otherwise(F.map_concat(m, F.create_map(F.lit(missing), value)))
 
-    neck, shoulder = found["neck"], found["shoulder"]
-    found["neck"], found["shoulder"] = stand_in(neck, shoulder), stand_in(shoulder, neck)
-    return F.map_filter(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return S.let(S.let(found, lambda m: stand_in(m, "shoulder", "neck")), lambda m: stand_in(m, "neck", "shoulder"))
 
 
 def pose_scale(box: Sequence[Column]) -> Column:
@@ -160,18 +170,19 @@ def poses_in_boxes(boxes: DataFrame, poses: DataFrame) -> DataFrame:
     pairs = pairs.select("run_id", "frame", "box", "pose", F.hypot(F.col("px") - (F.col("x1") + F.col("x2")) / 2, F.col("py") - (F.col("y1") + F.col("y2")) / 2).alias("d"))
 
     def take(group: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for row in group.sort_values(["box", "d", "pose"]).itertuples(index=False):
-            if row.box not in {o[2] for o in out} and row.pose not in used:
-                used.add(row.pose)
+        boxes_done, used, out = set(), set(), []
+        for row in group.sort_values(["frame", "box", "d", "pose"]).itertuples(index=False):
+            if (row.frame, row.box) not in boxes_done and (row.frame, row.pose) not in used:
+                boxes_done.add((row.frame, row.box))
+                used.add((row.frame, row.pose))
                 out.append((row.run_id, row.frame, row.box, row.pose))
         return pd.DataFrame(out, columns=["run_id", "frame", "box", "pose"])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("run_id", "frame", "box", "pose"))
-    return pairs.groupBy("run_id", "frame").applyInPandas(take, kinds)
+    return pairs.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(take, kinds)
 
 
-def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int = 100, frame_block: int = 64) -> DataFrame:
+def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int = 100) -> DataFrame:
     """Boxes left after non-max suppression in each frame, `top` at most (a top-k report per picture).
 
     Frames are dealt in blocks, so a task handles many small frames at a time.
@@ -195,13 +206,16 @@ def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int =
         return pd.concat(chosen) if chosen else group.iloc[:0]
 
     rows = boxes.where(F.col("confidence") > least_score)
-    return rows.withColumn("block_", F.floor(F.col("frame") / frame_block)).groupBy("run_id", "block_").applyInPandas(lambda g: keep(g.drop(columns=["block_"])), rows.schema)
+    return rows.withColumn("block_", F.floor(F.col("frame") / FRAME_BLOCK)).groupBy("run_id", "block_").applyInPandas(lambda g: keep(g.drop(columns=["block_"])), rows.schema)
 
 
 def suppressed_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None, top: int = 30) -> DataFrame:
     """run_id, frame, pose of the poses left in each frame: a group of poses with many close joints leaves its best."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
+    def keep(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(g) for _, g in block.groupby("frame", sort=False)])
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
         k = np.array([[(p["x"], p["y"]) for p in row] for row in group["keypoints"]], float)
         score, names = group["score"].to_numpy(float), group["pose"].to_numpy()
         joints = k.shape[1] // 2 if least_joints is None else least_joints
@@ -220,7 +234,7 @@ def suppressed_poses(poses: DataFrame, share: float = 0.05, least_joints: int |
         return group.iloc[kept][["run_id", "frame", "pose"]]
 
     kinds = ", ".join(f"{c} {poses.schema[c].dataType.simpleString()}" for c in ("run_id", "frame", "pose"))
-    return poses.groupBy("run_id", "frame").applyInPandas(keep, kinds)
+    return poses.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(keep, kinds)
 
 
 def box_recall(reference: DataFrame, test: DataFrame, least_iou: float = 0.5) -> DataFrame:

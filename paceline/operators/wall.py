@@ -25,17 +25,22 @@ def floor_anchor(keypoints: Column, box: Sequence[Column], least_score: float) -
 
 def arm_length(keypoints: Column, box: Sequence[Column], h: Sequence[float], least_score: float) -> Column:
     """Mean shoulder-to-elbow length in map units, by the map's scale at the floor below; null where it can't be told."""
-    at = floor_anchor(keypoints, box, least_score)
-    p0, px, py = (G.project(at["x"] + dx, at["y"] + dy, h) for dx, dy in ((0.0, 0.0), (PROBE, 0.0), (0.0, PROBE)))
-    kx, ky = F.hypot(px["x"] - p0["x"], px["y"] - p0["y"]) / PROBE, F.hypot(py["x"] - p0["x"], py["y"] - p0["y"]) / PROBE
 
-    def side(shoulder: int, elbow: int) -> Column:
-        a, b = F.get(keypoints, F.lit(shoulder)), F.get(keypoints, F.lit(elbow))
-        length = F.hypot((b["x"] - a["x"]) * kx, (b["y"] - a["y"]) * ky)
-        return F.when((a["score"] >= least_score) & (b["score"] >= least_score) & (kx > 0) & (ky > 0) & (length > 0), length)
+    def scale(at: Column) -> Column:
+        points = F.array(*[G.project(at["x"] + dx, at["y"] + dy, h) for dx, dy in ((0.0, 0.0), (PROBE, 0.0), (0.0, PROBE))])
+        apart = lambda p, k: F.hypot(F.get(p, F.lit(k))["x"] - F.get(p, F.lit(0))["x"], F.get(p, F.lit(k))["y"] - F.get(p, F.lit(0))["y"]) / PROBE
+        return S.let(points, lambda p: F.struct(apart(p, 1).alias("x"), apart(p, 2).alias("y")))
 
-    one, two = side(5, 7), side(6, 8)
-    return F.coalesce((one + two) / 2, one, two)
+    def length(k: Column) -> Column:
+        def side(shoulder: int, elbow: int) -> Column:
+            a, b = F.get(keypoints, F.lit(shoulder)), F.get(keypoints, F.lit(elbow))
+            sure = (a["score"] >= least_score) & (b["score"] >= least_score) & (k["x"] > 0) & (k["y"] > 0)
+            return F.when(sure, F.hypot((b["x"] - a["x"]) * k["x"], (b["y"] - a["y"]) * k["y"]))
+
+        good = lambda v: F.filter(v, lambda x: x > 0)
+        return S.let(good(F.array(side(5, 7), side(6, 8))), lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / F.size(v)))
+
+    return S.let(S.let(floor_anchor(keypoints, box, least_score), scale), length)
 
 
 def robust_lengths(samples: DataFrame, column: str = "length") -> DataFrame:

@@ -63,7 +63,7 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, track_id, frame, keypoints (26 of x, y, score) and the box."""
     return detections(spark, sf_dir).selectExpr(
         "run_id", "track_id", "frame", "x1", "y1", "x2", "y2", "s", "rk",
-        "transform(sequence(0, 25), k -> named_struct('x', x1 + (k * 7 + rk) % 40, 'y', y1 + (k * 5 + s) % 80, 'score', CAST((k * 3 + rk) % 10 AS DOUBLE) / 10)) AS keypoints",
+        "explode(array(transform(sequence(0, 25), k -> named_struct('x', x1 + (k * 7 + rk) % 40, 'y', y1 + (k * 5 + s) % 80, 'score', CAST((k * 3 + rk) % 10 AS DOUBLE) / 10)))) AS keypoints",  # exploded, so that it is computed once
     )
 
 

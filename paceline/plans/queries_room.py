@@ -207,9 +207,9 @@ def A13_teammate_coverage(spark, d):
     return gaze.teammate_coverage(_seen(spark, d)).withColumn("score", r6("score"))
 
 
-@add(Q.query("SELECT run_id, frame, round(sum(s) OVER w / sum(p) OVER w, 6) AS coverage FROM (SELECT run_id, frame, count(*) AS p, count(*) FILTER (seen) AS s FROM seen GROUP BY ALL) WINDOW w AS (PARTITION BY run_id ORDER BY frame)", *_S))
+@add(Q.query("SELECT run_id, frame, round(sum(s) OVER w / sum(p) OVER w, 4) AS coverage FROM (SELECT run_id, frame, count(*) AS p, count(*) FILTER (seen) AS s FROM seen GROUP BY ALL) WINDOW w AS (PARTITION BY run_id ORDER BY frame)", *_S))
 def W8_teammate_curve(spark, d):
-    return gaze.teammate_curve(_seen(spark, d)).withColumn("coverage", r6("coverage"))
+    return gaze.teammate_curve(_seen(spark, d)).withColumn("coverage", F.round("coverage", 4))
 
 
 _ACTIVE = """active AS (SELECT b.* FROM detections b LEFT JOIN cleared c ON c.run_id = b.run_id AND c.inroom_id = b.track_id WHERE b.track_id = 99 AND (c.end_frame IS NULL OR b.frame < c.end_frame)
@@ -571,10 +571,10 @@ def T5_suppressed_poses(spark, d):
     return pairs.suppressed_poses(k)
 
 
-@add(Q.query("SELECT run_id, count(*) AS n_reference, count(*) FILTER (b >= 0.5) AS n_found, round(count(*) FILTER (b >= 0.5) / count(*), 6) AS recall FROM (SELECT r.run_id, r.frame, r.track_id, max(greatest(0.0, least(r.x2, t.x2 + 8) - greatest(r.x1, t.x1 + 8)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)) / (6400 - greatest(0.0, least(r.x2, t.x2 + 8) - greatest(r.x1, t.x1 + 8)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)))) AS b FROM detections r LEFT JOIN (SELECT * FROM detections WHERE rk % 5 <> 0) t ON t.run_id = r.run_id AND t.frame = r.frame GROUP BY ALL) GROUP BY run_id"))
+@add(Q.query("SELECT run_id, count(*) AS n_reference, count(*) FILTER (b >= 0.5) AS n_found, round(count(*) FILTER (b >= 0.5) / count(*), 6) AS recall FROM (SELECT r.run_id, r.frame, r.track_id, max(greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)) / (6400 - greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)))) AS b FROM detections r LEFT JOIN (SELECT * FROM detections WHERE rk % 5 <> 0) t ON t.run_id = r.run_id AND t.frame = r.frame GROUP BY ALL) GROUP BY run_id"))
 def C14_box_recall(spark, d):
     b = X.detections(spark, d)
-    test = b.where("rk % 5 <> 0").withColumn("x1", F.col("x1") + 8).withColumn("x2", F.col("x2") + 8)
+    test = b.where("rk % 5 <> 0").withColumn("x1", F.col("x1") + 9).withColumn("x2", F.col("x2") + 9)
     return pairs.box_recall(b.select(*K, *BOX), test.select(*K, *BOX)).withColumn("recall", r6("recall"))
 
 
