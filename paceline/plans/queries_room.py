@@ -571,7 +571,7 @@ def T5_suppressed_poses(spark, d):
     return pairs.suppressed_poses(k)
 
 
-@add(Q.query("SELECT run_id, count(*) AS n_reference, count(*) FILTER (b >= 0.5) AS n_found, round(count(*) FILTER (b >= 0.5) / count(*), 6) AS recall FROM (SELECT r.run_id, r.frame, r.track_id, max(greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)) / (6400 - greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)))) AS b FROM detections r LEFT JOIN (SELECT * FROM detections WHERE rk % 5 <> 0) t ON t.run_id = r.run_id AND t.frame = r.frame GROUP BY ALL) GROUP BY run_id"))
+@add(Q.query("SELECT run_id, count(*) AS n_reference, count(*) FILTER (b >= 0.5) AS n_found, round(count(*) FILTER (b >= 0.5) / count(*), 6) AS recall FROM (SELECT r.run_id, r.frame, r.track_id, max(CASE WHEN t.run_id IS NOT NULL THEN 1 END * greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)) / (6400 - greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)))) AS b FROM detections r LEFT JOIN (SELECT * FROM detections WHERE rk % 5 <> 0) t ON t.run_id = r.run_id AND t.frame = r.frame GROUP BY ALL) GROUP BY run_id"))
 def C14_box_recall(spark, d):
     b = X.detections(spark, d)
     test = b.where("rk % 5 <> 0").withColumn("x1", F.col("x1") + 9).withColumn("x2", F.col("x2") + 9)
