@@ -245,3 +245,24 @@ def box_recall(reference: DataFrame, test: DataFrame, least_iou: float = 0.5) ->
     rows = reference.select("run_id", "frame", "track_id").join(best, ["run_id", "frame", "track_id"], "left")
     out = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_reference"), F.count_if(F.col("best_") >= least_iou).alias("n_found"))
     return out.withColumn("recall", F.col("n_found") / F.col("n_reference"))
+
+
+def birth_anchor(keypoints: Column, box: Sequence[Column], least_score: float, ankles: Sequence[int] = (15, 16)) -> Column:
+    """Point on the floor where a track begins: the mean of its feet, else ankles, else knees, else the bottom centre of the box.
+
+    Only keypoints of a good score inside the box count; a list of fewer points than a group names has fewer to count.
+    """
+    x1, y1, x2, y2 = box
+
+    def mean(indices: Sequence[int]) -> Column:
+        known = F.filter(F.array(*[F.get(keypoints, F.lit(k)) for k in indices]), lambda p: (p["score"] >= least_score) & p["x"].between(x1, x2) & p["y"].between(y1, y2))
+        total = lambda c: F.aggregate(known, F.lit(0.0), lambda a, p: a + p[c]) / F.size(known)
+        return F.when(F.size(known) > 0, F.struct(total("x").alias("x"), total("y").alias("y")))
+
+    feet = (20, 21, 22, 23, 24, 25)
+    return F.coalesce(mean(feet), mean(ankles), mean((13, 14)), F.struct(((x1 + x2) / 2).alias("x"), y2.alias("y")))
+
+
+def track_details(boxes: DataFrame, keypoints: DataFrame, gaze: DataFrame) -> DataFrame:
+    """Boxes with the keypoints and gaze of the same run, track and frame, null where there are none."""
+    return boxes.join(keypoints, ["run_id", "track_id", "frame"], "left").join(gaze, ["run_id", "track_id", "frame"], "left")

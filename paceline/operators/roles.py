@@ -77,17 +77,18 @@ def entrants(positions: DataFrame, inroom: DataFrame | None = None, team: int =
     return spans.withColumn("entry_number", F.row_number().over(Window.partitionBy("run_id").orderBy("first_frame", "track_id")))
 
 
-def role_evidence(births: DataFrame, entry_frames: int = 3, interior_frames: int = 10) -> DataFrame:
+def role_evidence(births: DataFrame, interior_frames: int = 10) -> DataFrame:
     """Frames of each track in entry, buffer and interior, longest interior streak, and the role they prove.
 
-    `births` has run_id, track_id, frame, location.  A track becomes `entry` at
-    its entry_frames-th frame in an entry or its buffer, or `inroom` once
-    interior_frames interior frames follow each other; the first to hold counts.
+    `births` has run_id, track_id, frame, location.  A track becomes `entry` at its
+    first frame in an entry, or `inroom` once interior_frames interior frames
+    follow each other and none before was in an entry or its buffer; the first to
+    hold counts, and neither leaves role and locked_frame null.
     """
     w = Window.partitionBy("run_id", "track_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    entry = F.col("location").isin("entry", "entry_buffer").cast("int")
+    near = F.col("location").isin("entry", "entry_buffer").cast("int")
     inside = F.col("location") == "interior"
-    rows = births.withColumn("entries_", F.sum(entry).over(w)).withColumn("breaks_", F.sum((~inside).cast("int")).over(w))
+    rows = births.withColumn("near_", F.sum(near).over(w)).withColumn("breaks_", F.sum((~inside).cast("int")).over(w))
     streak = Window.partitionBy("run_id", "track_id", "breaks_").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("streak_", F.sum(inside.cast("int")).over(streak))
     out = rows.groupBy("run_id", "track_id").agg(
@@ -95,10 +96,9 @@ def role_evidence(births: DataFrame, entry_frames: int = 3, interior_frames: int
         F.count_if(F.col("location") == "entry_buffer").alias("n_buffer"),
         F.count_if(inside).alias("n_interior"),
         F.max("streak_").alias("longest_interior"),
-        F.min(F.when(F.col("entries_") >= entry_frames, F.col("frame"))).alias("entry_at"),
-        F.min(F.when(F.col("streak_") >= interior_frames, F.col("frame"))).alias("inroom_at"),
+        F.min(F.when(F.col("location") == "entry", F.col("frame"))).alias("entry_at"),
+        F.min(F.when((F.col("streak_") >= interior_frames) & (F.col("near_") == 0), F.col("frame"))).alias("inroom_at"),
     )
-    never = F.lit(2**31 - 1)
-    entry_at, inroom_at = F.coalesce("entry_at", never), F.coalesce("inroom_at", never)
-    role = F.when((entry_at == never) & (inroom_at == never), F.lit(None)).when(entry_at <= inroom_at, "entry").otherwise("inroom")
-    return out.select("run_id", "track_id", "n_entry", "n_buffer", "n_interior", "longest_interior", role.alias("role"), F.least("entry_at", "inroom_at").alias("locked_frame"))
+    first = F.least("entry_at", "inroom_at")
+    role = F.when(first == F.col("entry_at"), "entry").when(first == F.col("inroom_at"), "inroom")
+    return out.select("run_id", "track_id", "n_entry", "n_buffer", "n_interior", "longest_interior", role.alias("role"), first.alias("locked_frame"))

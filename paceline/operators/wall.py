@@ -108,3 +108,15 @@ def saved_violations(flags: DataFrame) -> DataFrame:
     seconds = F.coalesce("duration_sec", F.col("end_time") - F.col("start_time"), F.lit(0.0))
     window = F.struct(F.least("start_frame", "end_frame").alias("start_frame"), F.greatest("start_frame", "end_frame").alias("end_frame"))
     return rows.groupBy("run_id", "track_id").agg(F.sum(F.greatest(seconds, F.lit(0.0))).alias("seconds"), F.sort_array(F.collect_list(window)).alias("windows"))
+
+
+def map_scales(walls: DataFrame) -> DataFrame:
+    """run_id, wall_id, scale (pixels per unit), run_scale (their mean by pixel length) and ratio of both.
+
+    `walls`: run_id, wall_id, x1, y1, x2, y2, real_length; walls of no length are left out.
+    """
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    w = Window.partitionBy("run_id")
+    rows = walls.withColumn("px_", length).where("px_ > 0 and real_length > 0").withColumn("scale", F.col("px_") / F.col("real_length"))
+    rows = rows.withColumn("run_scale", F.sum(F.col("scale") * F.col("px_")).over(w) / F.sum("px_").over(w))
+    return rows.select("run_id", "wall_id", "scale", "run_scale", (F.col("scale") / F.col("run_scale")).alias("ratio"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_compare, queries_entry, queries_room
+from .plans import queries_compare, queries_entry, queries_room, queries_session
 
-_PARTS = [queries_entry, queries_room, queries_compare]
+_PARTS = [queries_entry, queries_room, queries_session, queries_compare]
 
 
 def queries() -> dict:
