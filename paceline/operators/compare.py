@@ -93,3 +93,75 @@ def clipped(pairs: DataFrame, curve: DataFrame) -> DataFrame:
     rows = pairs.select("pair_id", F.lit("a").alias("side"), F.col("run_a").alias("run_id")).unionByName(pairs.select("pair_id", F.lit("b").alias("side"), F.col("run_b").alias("run_id"))).join(curve, "run_id")
     ends = rows.groupBy("pair_id", "side").agg(F.max("t").alias("e_")).groupBy("pair_id").agg(F.min("e_").alias("end_"))
     return rows.join(ends, "pair_id").where(F.col("t") <= F.col("end_")).select("pair_id", "side", "t", "value")
+
+
+def capture_times(pairs: DataFrame, captured: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """Capture time and score of each pod on both sides, their differences, the trend, and which side lacks a time."""
+    limit = F.coalesce(F.try_element_at(F.array(*[F.lit(float(x)) for x in limits]), F.col("pod_idx") + 1), F.lit(float(limits[-1])))
+    rows = sides(pairs, captured, ["pod_idx"], ["assigned_id", "capture_time_sec"]).withColumn("limit_sec", limit)
+    for end in "ab":
+        time = F.col(f"capture_time_sec_{end}")
+        rows = rows.withColumn(f"score_{end}", F.when(time.isNull(), 0.0).when(time <= F.col("limit_sec"), 1.0).otherwise(S.time_penalty(time - F.col("limit_sec"), F.col("limit_sec"))))
+    a, b = F.col("capture_time_sec_a"), F.col("capture_time_sec_b")
+    lacks = F.when(a.isNull() & b.isNull(), "BOTH").when(a.isNull(), "TRAINEE").when(b.isNull(), "REFERENCE")
+    return rows.withColumns({"time_delta": a - b, "score_delta": F.col("score_a") - F.col("score_b"), "trend": timing(a - b), "lacks": lacks})
+
+
+def capture_time_totals(rows: DataFrame) -> DataFrame:
+    """Per pair: pods, pods timed on both sides, mean differences, and pods left out by the side that lacks a time."""
+    return rows.groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n_pods"), F.count("time_delta").alias("n_timed"), F.avg("time_delta").alias("mean_time_delta"), F.avg("score_delta").alias("mean_score_delta"),
+        *[F.count_if(F.col("lacks") == side).alias(f"n_lacks_{side.lower()}") for side in ("TRAINEE", "REFERENCE", "BOTH")],
+    )
+
+
+def teammate_coverage(pairs: DataFrame, coverage: DataFrame, chosen: DataFrame, fps: float) -> DataFrame:
+    """Coverage of each entrant on both sides, seconds unseen, and the team's own row (entry_number null)."""
+    numbers = chosen.select("run_id", "track_id", "entry_number")
+    rows = coverage.join(numbers, ["run_id", "track_id"], "left").where("entry_number is not null or track_id is null").withColumn("unseen_sec", F.col("unseen") / F.lit(fps))
+    per_number = rows.withColumn("entry_", F.coalesce("entry_number", F.lit(0)))  # 0: the team
+    out = sides(pairs, per_number, ["entry_"], ["score", "unseen_sec"])
+    return out.withColumn("entry_number", F.nullif("entry_", F.lit(0))).withColumn("delta", F.col("score_a") - F.col("score_b")).drop("entry_")
+
+
+def threat_coverage(pairs: DataFrame, finals: DataFrame, per_threat: DataFrame, fps: float) -> DataFrame:
+    """Final coverage (0 without threats) and mean uncovered seconds per threat on both sides, with verdicts.
+
+    `finals`: run_id, score; `per_threat`: run_id, track_id, present, covered.
+    """
+    uncovered = per_threat.where("present > 0").groupBy("run_id").agg(F.avg(F.greatest(F.lit(0.0), (F.col("present") - F.col("covered")) / F.lit(fps))).alias("uncovered_sec"))
+    rows = sides(pairs, finals.join(uncovered, "run_id", "left"), [], ["score", "uncovered_sec"])
+    score, seconds = F.col("score_a") - F.col("score_b"), F.col("uncovered_sec_a") - F.col("uncovered_sec_b")
+    return rows.withColumns({"delta": score, "score_verdict": S.verdict(score, 0.02), "uncovered_delta": seconds, "uncovered_verdict": F.when(seconds.isNull(), "N/A").otherwise(S.verdict(-seconds, 0.10))})
+
+
+def threats(pairs: DataFrame, per_threat: DataFrame) -> DataFrame:
+    """Every in-room id of either side with the frames it was present and covered in, 0 where a side lacks it."""
+    rows = sides(pairs, per_threat.withColumnRenamed("track_id", "inroom_id"), ["inroom_id"], ["present", "covered"])
+    return rows.fillna(0, [f"{c}_{e}" for c in ("present", "covered") for e in "ab"])
+
+
+def floor_coverage(pairs: DataFrame, summary: DataFrame, curve: DataFrame) -> DataFrame:
+    """Final covered share of both sides (the summary's, else the curve's last, else 0) and the verdict."""
+    last = curve.groupBy("run_id").agg(F.max_by("fraction", "frame").alias("last_"))
+    table = last.join(summary.select("run_id", "final_fraction"), "run_id", "full").select("run_id", F.coalesce("final_fraction", "last_", F.lit(0.0)).alias("final"))
+    rows = sides(pairs, table, [], ["final"])
+    delta = F.coalesce("final_a", F.lit(0.0)) - F.coalesce("final_b", F.lit(0.0))
+    return rows.withColumns({"delta": delta, "verdict": S.verdict(delta, 0.02, "HIGHER", "LOWER", "SAME")})
+
+
+def coverage_time(pairs: DataFrame, summary: DataFrame, limit: float) -> DataFrame:
+    """Time to full coverage and score of both sides; a run that never covers the room scores 0."""
+    time = F.col("time_to_full")
+    score = F.when(time.isNull(), 0.0).when(time <= limit, 1.0).otherwise(S.time_penalty(time - limit, F.lit(limit)))
+    rows = sides(pairs, summary.withColumn("score", score), [], ["time_to_full", "score"])
+    a, b = F.col("time_to_full_a"), F.col("time_to_full_b")
+    trend = F.when(a.isNull() & b.isNull(), "NEITHER").when(a.isNull(), "REFERENCE ONLY").when(b.isNull(), "TRAINEE ONLY").otherwise(timing(a - b, 0.05, "SAME"))
+    delta = F.coalesce("score_a", F.lit(0.0)) - F.coalesce("score_b", F.lit(0.0))
+    return rows.withColumns({"time_delta": a - b, "trend": trend, "score_delta": delta, "score_verdict": S.verdict(delta, 0.01)})
+
+
+def holds(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Mean hold of each pod on both sides and the difference; `samples`: run_id, pod_idx, hold."""
+    rows = sides(pairs, samples.groupBy("run_id", "pod_idx").agg(F.avg("hold").alias("score")), ["pod_idx"], ["score"])
+    return rows.withColumn("delta", F.col("score_a") - F.col("score_b"))

@@ -211,3 +211,8 @@ def rebased_curve(curve: DataFrame, start: DataFrame, fps: float) -> DataFrame:
     """run_id, t, fraction: the curve from the team's entry on (`start`: run_id, first_frame), in seconds."""
     rows = curve.join(start, "run_id").where(F.col("frame") >= F.col("first_frame"))
     return rows.select("run_id", ((F.col("frame") - F.col("first_frame")) / F.lit(fps)).alias("t"), "fraction")
+
+
+def per_threat(watched: DataFrame) -> DataFrame:
+    """run_id, track_id, present, covered: frames in which each threat was active, and looked at."""
+    return watched.groupBy("run_id", "track_id").agg(F.count(F.lit(1)).alias("present"), F.count_if("watched").alias("covered"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, entry, wall
+from ..operators import compare, entry, gaze, pods, wall
 from ..streaming import live
 from . import fixtures as X
 from . import queries_entry as E
@@ -118,3 +118,135 @@ def M2_first_entries(spark, d):
 @add("SELECT user_id % 5 AS run_id, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS count FROM events GROUP BY 1, 2")
 def M6_presence(spark, d):
     return live.presence(_events(spark, d), "1 hour")
+
+
+_LIMITS = (2.0, 4.0)
+_T, _L = "capture_time_sec_{e}", "l"
+_POINTS = ", ".join(f"CASE WHEN {_T.format(e=e)} IS NULL THEN 0.0 WHEN {_T.format(e=e)} <= l THEN 1.0 WHEN {_T.format(e=e)} - l >= l THEN 0.0 ELSE exp(-({_T.format(e=e)} - l) / (l - ({_T.format(e=e)} - l))) END AS s{e}" for e in "ab")
+_BY_POD = f"by_pod AS (SELECT *, capture_time_sec_a - capture_time_sec_b AS dt, {_POINTS} FROM (SELECT *, CASE pod_idx WHEN 0 THEN 2.0 ELSE 4.0 END AS l FROM " + both("captures", "pod_idx", ["assigned_id", "capture_time_sec"]) + "))"
+
+
+def _capture_times(spark, d):
+    return compare.capture_times(pairs(spark, d), R._captures(spark, d), _LIMITS)
+
+
+@add(Q.query("SELECT pair_id, pod_idx, round(dt, 6) AS time_delta, round(sa - sb, 6) AS score_delta, CASE WHEN dt IS NULL THEN 'N/A' WHEN dt < 0 THEN 'FASTER' WHEN dt > 0 THEN 'SLOWER' ELSE 'MATCH' END AS trend FROM by_pod", *R._GC, _PAIRS, _BY_POD))
+def C6_capture_times(spark, d):
+    return _capture_times(spark, d).select("pair_id", "pod_idx", r6("time_delta").alias("time_delta"), r6("score_delta").alias("score_delta"), "trend")
+
+
+@add(Q.query("SELECT pair_id, count(*) AS n_pods, count(dt) AS n_timed, round(avg(dt), 6) AS mean_time_delta, round(avg(sa - sb), 6) AS mean_score_delta, count(*) FILTER (capture_time_sec_a IS NULL AND capture_time_sec_b IS NOT NULL) AS n_lacks_trainee, count(*) FILTER (capture_time_sec_a IS NOT NULL AND capture_time_sec_b IS NULL) AS n_lacks_reference, count(*) FILTER (capture_time_sec_a IS NULL AND capture_time_sec_b IS NULL) AS n_lacks_both FROM by_pod GROUP BY pair_id", *R._GC, _PAIRS, _BY_POD))
+def C6_capture_time_totals(spark, d):
+    out = compare.capture_time_totals(_capture_times(spark, d))
+    return out.withColumns({c: r6(c) for c in ("mean_time_delta", "mean_score_delta")})
+
+
+@add(Q.query("SELECT pair_id, pod_idx, assigned_id_a, assigned_id_b FROM " + both("assigned_pods", "pod_idx", ["assigned_id"]), *R._G, _PAIRS, "assigned_pods AS (SELECT run_id, pod_idx, track_id AS assigned_id FROM assigned WHERE pod_idx IS NOT NULL)"))
+def J8_pod_pairs(spark, d):
+    a = pods.assign_by_side(R._vectors(spark, d), ROOM).where("pod_idx is not null").select("run_id", "pod_idx", F.col("track_id").alias("assigned_id"))
+    return compare.sides(pairs(spark, d), a, ["pod_idx"], ["assigned_id"])
+
+
+_COVER = "covers AS (SELECT s.run_id, coalesce(c.entry_number, 0) AS entry_, s.score, s.unseen / 30.0 AS unseen_sec FROM (SELECT run_id, track_id, count(*) FILTER (NOT seen) AS unseen, 1 - count(*) FILTER (NOT seen) / count(*) AS score FROM seen GROUP BY GROUPING SETS ((run_id, track_id), (run_id))) s LEFT JOIN chosen c ON c.run_id = s.run_id AND c.track_id = s.track_id WHERE c.entry_number IS NOT NULL OR s.track_id IS NULL)"
+
+
+@add(Q.query("SELECT pair_id, nullif(entry_, 0) AS entry_number, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, round(score_a - score_b, 6) AS delta, round(unseen_sec_a, 6) AS unseen_sec_a, round(unseen_sec_b, 6) AS unseen_sec_b FROM " + both("covers", "entry_", ["score", "unseen_sec"]), Q.TEAM, *R._S, _COVER, _PAIRS))
+def C8_teammate_coverage(spark, d):
+    out = compare.teammate_coverage(pairs(spark, d), gaze.teammate_coverage(R._seen(spark, d)), team(pos(spark, d)), 30.0)
+    return out.withColumns({c: r6(c) for c in ("score_a", "score_b", "delta", "unseen_sec_a", "unseen_sec_b")})
+
+
+_PER = "per_threat AS (SELECT run_id, track_id AS inroom_id, count(*) AS present, count(*) FILTER (watched) AS covered FROM watched GROUP BY ALL)"
+_FINAL = "finals AS (SELECT r.run_id, coalesce(c / p, 0.0) AS score, u.u FROM runs r LEFT JOIN (SELECT run_id, count(*) AS p, count(*) FILTER (w) AS c FROM (SELECT run_id, frame, bool_or(watched) AS w FROM watched GROUP BY ALL) GROUP BY run_id) x ON x.run_id = r.run_id LEFT JOIN (SELECT run_id, avg((present - covered) / 30.0) AS u FROM per_threat GROUP BY run_id) u ON u.run_id = r.run_id)"
+
+
+@add(Q.query("SELECT pair_id, round(score_a - score_b, 6) AS delta, CASE WHEN score_a - score_b > 0.02 THEN 'BETTER' WHEN score_a - score_b < -0.02 THEN 'WORSE' ELSE 'SIMILAR' END AS score_verdict, round(u_a - u_b, 6) AS uncovered_delta, CASE WHEN u_a - u_b IS NULL THEN 'N/A' WHEN u_b - u_a > 0.1 THEN 'BETTER' WHEN u_b - u_a < -0.1 THEN 'WORSE' ELSE 'SIMILAR' END AS uncovered_verdict FROM " + both("finals", "", ["score", "u"]), *R._W, _PER, _FINAL, _PAIRS))
+def C9_threat_coverage(spark, d):
+    w = R._watched(spark, d)
+    out = compare.threat_coverage(pairs(spark, d), gaze.threat_scores(X.runs(pos(spark, d)), w, 0.0).select("run_id", "score"), gaze.per_threat(w), 30.0)
+    return out.select("pair_id", r6("delta").alias("delta"), "score_verdict", r6("uncovered_delta").alias("uncovered_delta"), "uncovered_verdict")
+
+
+@add(Q.query("SELECT pair_id, inroom_id, coalesce(present_a, 0) AS present_a, coalesce(present_b, 0) AS present_b, coalesce(covered_a, 0) AS covered_a, coalesce(covered_b, 0) AS covered_b FROM " + both("per_threat", "inroom_id", ["present", "covered"]), *R._W, _PER, _PAIRS))
+def J10_threat_pairs(spark, d):
+    return compare.threats(pairs(spark, d), gaze.per_threat(R._watched(spark, d)))
+
+
+def _summary(spark, d):
+    first = R._mapgaze(spark, d).where("dx <> 0 or dy <> 0").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
+    return gaze.coverage_summary(R._curve(spark, d), first, 30.0)
+
+
+@add(Q.query("SELECT pair_id, round(final_fraction_a - final_fraction_b, 6) AS delta, CASE WHEN final_fraction_a - final_fraction_b > 0.02 THEN 'HIGHER' WHEN final_fraction_a - final_fraction_b < -0.02 THEN 'LOWER' ELSE 'SAME' END AS verdict FROM " + both("summary", "", ["final_fraction"]), *R._R, R._SUM, _PAIRS))
+def C10_floor_coverage(spark, d):
+    # every third run has no summary and falls back to its curve
+    out = compare.floor_coverage(pairs(spark, d), _summary(spark, d).where("run_id % 3 <> 0"), R._curve(spark, d))
+    return out.select("pair_id", r6("delta").alias("delta"), "verdict")
+
+
+_TIMED = "timed AS (SELECT run_id, time_to_full AS t, CASE WHEN time_to_full IS NULL OR time_to_full >= 8 THEN 0.0 WHEN time_to_full <= 4 THEN 1.0 ELSE exp(-(time_to_full - 4) / (8 - time_to_full)) END AS score FROM summary)"
+
+
+@add(Q.query("SELECT pair_id, round(t_a - t_b, 6) AS time_delta, CASE WHEN t_a IS NULL AND t_b IS NULL THEN 'NEITHER' WHEN t_a IS NULL THEN 'REFERENCE ONLY' WHEN t_b IS NULL THEN 'TRAINEE ONLY' WHEN abs(t_a - t_b) <= 0.05 THEN 'SAME' WHEN t_a < t_b THEN 'FASTER' ELSE 'SLOWER' END AS trend, round(score_a - score_b, 6) AS score_delta, CASE WHEN score_a - score_b > 0.01 THEN 'BETTER' WHEN score_a - score_b < -0.01 THEN 'WORSE' ELSE 'SIMILAR' END AS score_verdict FROM " + both("timed", "", ["t", "score"]), *R._R, R._SUM, _TIMED, _PAIRS))
+def C11_coverage_time(spark, d):
+    out = compare.coverage_time(pairs(spark, d), _summary(spark, d), 4.0)
+    return out.select("pair_id", r6("time_delta").alias("time_delta"), "trend", r6("score_delta").alias("score_delta"), "score_verdict")
+
+
+@add(Q.query("SELECT pair_id, pod_idx, round(h_a, 6) AS score_a, round(h_b, 6) AS score_b, round(h_a - h_b, 6) AS delta FROM " + both("held", "pod_idx", ["h"]), *R._G, R._SAMPLES, R._HOLD.replace("track_id, frame, exp", "track_id, pod_idx, frame, exp"), "held AS (SELECT run_id, pod_idx, avg(h) AS h FROM holding GROUP BY ALL)", _PAIRS))
+def C12_hold_area(spark, d):
+    out = compare.holds(pairs(spark, d), R._hold(spark, d))
+    return out.withColumns({c: r6(c) for c in ("score_a", "score_b", "delta")})
+
+
+@add(Q.query("SELECT pair_id, metric, score_a, score_b FROM " + both("scores", "metric", ["score"]), *E._SCORES, _PAIRS))
+def J11_score_pairs(spark, d):
+    return compare.sides(pairs(spark, d), E.R10_metrics(spark, d), ["metric"], ["score"])
+
+
+@add("SELECT run_id, track_id, frame FROM (SELECT user_id % 5 AS run_id, user_id AS track_id, CAST(event_id AS INT) AS frame, min(CASE WHEN value > 400 THEN event_id END) OVER (PARTITION BY user_id % 5) AS f FROM events) WHERE f IS NULL OR frame <= f + 200")
+def M3_until_stop(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 5 AS run_id", "user_id AS track_id", "CAST(event_id AS INT) AS frame", "value > 400 AS is_entry")
+    return live.until_stop(e, 200).select("run_id", "track_id", "frame")
+
+
+_BIRTHS = "SELECT user_id % 5 AS run_id, CAST(event_id AS INT) AS frame, CASE event_id % 4 WHEN 0 THEN 'entry' WHEN 1 THEN 'entry_buffer' WHEN 2 THEN 'interior' ELSE 'outside' END AS location, CAST(user_id % 10 AS DOUBLE) / 10 AS confidence FROM events"
+
+
+@add(f"SELECT run_id, frame, location FROM (SELECT *, min(CASE WHEN location = 'entry' AND confidence >= 0.5 THEN frame END) OVER (PARTITION BY run_id) AS f FROM ({_BIRTHS})) WHERE location = 'interior' OR (location IN ('entry', 'entry_buffer') AND confidence >= 0.5 AND (f IS NULL OR frame < f + 300))")
+def M5_accepted_births(spark, d):
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("births_events")
+    return live.accepted_births(spark.sql(_BIRTHS.replace("FROM events", "FROM births_events")), 300, 0.5).select("run_id", "frame", "location")
+
+
+# ---- all metrics -----------------------------------------------------------
+
+_PARTS = [
+    ("entrance_hesitation", "SELECT run_id, score FROM scores WHERE metric = 'entrance_hesitation'"), ("total_entry_time", "SELECT run_id, score FROM scores WHERE metric = 'total_entry_time'"), ("entrance_vectors", "SELECT run_id, score FROM scores WHERE metric = 'entrance_vectors'"),
+    ("move_along_wall", "SELECT run_id, coalesce(s, 0.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(avg(n_safe / n_seen), 2) AS s FROM adherence GROUP BY run_id) USING (run_id)"),
+    ("threat_clearance", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(end_frame) / count(*), 2) AS s FROM cleared GROUP BY run_id) USING (run_id)"),
+    ("teammate_coverage", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(*) FILTER (seen) / count(*), 2) AS s FROM seen GROUP BY run_id) USING (run_id)"),
+    ("room_coverage", "SELECT r.run_id, coalesce(final_fraction, 0.0) AS score FROM runs r LEFT JOIN summary USING (run_id)"),
+    ("room_coverage_time", "SELECT r.run_id, round_even(coalesce(t.score, 0.0), 2) AS score FROM runs r LEFT JOIN timed t USING (run_id)"),
+    ("capture_pods", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(capture_frame) / count(*), 2) AS s FROM captures GROUP BY run_id) USING (run_id)"),
+    ("hold_area", "SELECT run_id, CASE WHEN n >= 4 THEN round(s, 2) ELSE 0.0 END AS score FROM runs LEFT JOIN (SELECT run_id, avg(m) AS s, count(*) AS n FROM (SELECT run_id, track_id, avg(h) AS m FROM holding GROUP BY ALL) GROUP BY run_id) USING (run_id)"),
+]
+_UNION = " UNION ALL ".join(f"SELECT run_id, '{name}' AS metric, score FROM ({body})" for name, body in _PARTS)
+
+
+@add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._C, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))
+def R10_all_metrics(spark, d):
+    p = pos(spark, d)
+    runs = X.runs(p)
+    seen = gaze.teammate_coverage(R._seen(spark, d)).where("track_id is null").select("run_id", F.bround("score", 2).alias("score"))
+    summary = _summary(spark, d)
+    whole = lambda rows, empty: runs.join(rows, "run_id", "left").select("run_id", F.coalesce("score", F.lit(empty)).alias("score"))
+    tables = {
+        "move_along_wall": wall.wall_scores(runs, wall.adherence(R._banded(spark, d), 30.0)), "threat_clearance": gaze.clearance_scores(runs, R._cleared(spark, d)), "teammate_coverage": whole(seen, 1.0),
+        "room_coverage": whole(summary.select("run_id", F.col("final_fraction").alias("score")), 0.0), "room_coverage_time": whole(summary.select("run_id", F.bround(gaze.coverage_time_score(F.col("time_to_full"), F.lit(4.0)), 2).alias("score")), 0.0),
+        "capture_pods": pods.capture_scores(runs, R._captures(spark, d)), "hold_area": pods.hold_scores(runs, R._hold(spark, d), 4),
+    }
+    out = E.R10_metrics(spark, d)
+    for name, table in tables.items():
+        out = out.unionByName(table.select("run_id", F.lit(name).alias("metric"), "score"))
+    return out

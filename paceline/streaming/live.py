@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,3 +59,48 @@ def area_streaks(rows: DataFrame, idle: str = "1 minute") -> DataFrame:
         yield pd.DataFrame(out, columns=["run_id", "track_id", "frame", "streak"])
 
     return rows.groupBy("run_id", "track_id").applyInPandasWithState(step, "run_id long, track_id long, frame int, streak int", "last int, streak int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _by_run(rows: DataFrame, first: Column, keep: Callable[[pd.DataFrame, int], pd.Series], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows of each run that pass a test against the run's first frame where `first` holds (-1: none yet).
+
+    A batch takes that frame by a join; a stream keeps it in the state of the run,
+    which takes the rows of a micro-batch by frame.
+    """
+    marked = rows.withColumn("first_", F.coalesce(first, F.lit(False)))
+    if not rows.isStreaming:
+        starts = marked.where("first_").groupBy("run_id").agg(F.min("frame").alias("start_"))
+        return rows.join(starts, "run_id", "left").where(join(F.col("frame"), F.coalesce("start_", F.lit(-1)))).select(*rows.columns)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start = state.get[0] if state.exists else -1
+        table = pd.concat(parts)
+        seen = table.loc[table["first_"], "frame"]
+        if start < 0 and len(seen):
+            start = int(seen.min())
+        if start >= 0:
+            state.update((start,))
+        yield table.loc[keep(table, start), rows.columns]
+
+    return marked.groupBy("run_id").applyInPandasWithState(step, rows.schema, "start int", "append", GroupStateTimeout.NoTimeout)
+
+
+def until_stop(rows: DataFrame, frames: int) -> DataFrame:
+    """Rows of each run up to `frames` frames after its first entry; all of them while nobody has entered."""
+    return _by_run(
+        rows, F.col("is_entry"), lambda t, start: (t["frame"] <= start + frames) | (start < 0),
+        lambda frame, start: (start < 0) | (frame <= start + frames),
+    )
+
+
+def accepted_births(births: DataFrame, frames: int, least_score: float) -> DataFrame:
+    """Births (run_id, frame, location, confidence) that may begin a track.
+
+    Interior ones always may; those in an entry or its buffer need the score and
+    must come before `frames` frames have passed since the first one in an entry.
+    """
+    good = births.where((F.col("location") == "interior") | (F.col("location").isin("entry", "entry_buffer") & (F.col("confidence") >= least_score)))
+    return _by_run(
+        good, F.col("location") == "entry", lambda t, start: (t["location"] == "interior") | (start < 0) | (t["frame"] < start + frames),
+        lambda frame, start: (F.col("location") == "interior") | (start < 0) | (frame < start + frames),
+    )
