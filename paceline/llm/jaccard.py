@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
     the input (the number of shuffle partitions).
     """
     spark = docs.sparkSession
-    sets(docs, text, key).write.mode("overwrite").parquet(f"{scratch}/sets")
+    sets(docs, text, key).withColumn("part", (F.monotonically_increasing_id() % n_buckets).cast("int")).write.mode("overwrite").parquet(f"{scratch}/sets")
     dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets), blobs.SCHEMA)
     shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets), blobs.SCHEMA)
     blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors, _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
@@ -387,8 +387,22 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         tried, edges = tried.union(pairs), edges.union(links)
         labels = components(edges, f"{scratch}/components_{k}")
 
-    rows = spark.read.parquet(f"{scratch}/sets")
-    # a text without shingles is a class of its own
-    placed = rows.join(labels, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "cls")).alias("comp"))
-    lowest = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(lowest, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return smallest_ids(spark.read.parquet(f"{scratch}/sets"), labels, n_buckets)
+
+
+def smallest_ids(rows: DataFrame, labels: DataFrame, shares: int) -> DataFrame:
+    """doc_id, n_shingles, component_id from the classes of `rows` (with `part`, any fixed spread) and their components.
+
+    A class or a component may hold a third of all rows, so neither is a join key
+    by itself: copies of a class fold by (class, part), the classes of a component
+    by (component, share), and ids come back the same two ways.  A text without
+    shingles is a class of its own.
+    """
+    heads = rows.where("n_shingles > 0").groupBy("cls", "part").agg(F.min("doc_id").alias("low"))
+    heads = heads.join(labels, "cls", "left").select("cls", "part", "low", F.coalesce("comp", "cls").alias("comp"), F.pmod(F.xxhash64("cls", "part"), F.lit(shares)).alias("share"))
+    folded = heads.groupBy("comp", "share").agg(F.min("low").alias("low"))
+    lowest = folded.groupBy("comp").agg(F.min("low").alias("component_id"))
+    named = folded.join(lowest, "comp").select("comp", "share", "component_id")
+    by_class = heads.join(named, ["comp", "share"]).select("cls", "part", "component_id")
+    placed = rows.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls"))).join(by_class, ["cls", "part"], "left")
+    return placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
