@@ -71,6 +71,7 @@ def _by_run(rows: DataFrame, first: Column, keep: Callable[[pd.DataFrame, int],
     if not rows.isStreaming:
         starts = marked.where("first_").groupBy("run_id").agg(F.min("frame").alias("start_"))
         return rows.join(starts, "run_id", "left").where(join(F.col("frame"), F.coalesce("start_", F.lit(-1)))).select(*rows.columns)
+    names = rows.columns
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start = state.get[0] if state.exists else -1
@@ -80,7 +81,7 @@ def _by_run(rows: DataFrame, first: Column, keep: Callable[[pd.DataFrame, int],
             start = int(seen.min())
         if start >= 0:
             state.update((start,))
-        yield table.loc[keep(table, start), rows.columns]
+        yield table.loc[keep(table, start), names]
 
     return marked.groupBy("run_id").applyInPandasWithState(step, rows.schema, "start int", "append", GroupStateTimeout.NoTimeout)
 

@@ -65,3 +65,13 @@ def test_stream_equals_batch(spark, tmp_path):
     query = live.first_entries(live.detections(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("first").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(90)
     assert spark.table("first").collect() == live.first_entries(table).collect()
+    query = live.until_stop(live.detections(spark, str(tmp_path / "in")), 2).writeStream.format("memory").queryName("stopped").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    kept = sorted(r.frame for r in spark.table("stopped").collect())
+    assert kept == sorted(r.frame for r in live.until_stop(table, 2).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_accepted_births(spark):
+    rows = [(1, 3, "entry_buffer", 0.9), (1, 5, "entry", 0.9), (1, 5, "entry", 0.1), (1, 7, "entry", 0.9), (1, 8, "entry", 0.9), (1, 9, "interior", 0.0), (1, 6, "outside", 0.9), (2, 50, "entry_buffer", 0.6)]
+    births = spark.createDataFrame(rows, "run_id long, frame int, location string, confidence double")
+    assert sorted((r.run_id, r.frame) for r in live.accepted_births(births, 3, 0.5).collect()) == [(1, 3), (1, 5), (1, 7), (1, 9), (2, 50)]
