@@ -39,20 +39,23 @@ FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Doña".sp
 NEUTRAL = "Dr Prof Professor".split()
 
 _NAME = r"[^\W\d_]+(?:[-'][^\W\d_]+)?"
+# What every address and every account number has in it.
+_DOTTED, _IBAN_HEAD = re.compile(r"\d\.\d{1,3}\.\d"), re.compile(r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 _PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*(?P<v>\"[^\"\s]{4,}\"|'[^'\s]{4,}'|[A-Za-z0-9+/_.=-]{6,})"), lambda t: "=" in t or ":" in t),
     ("key", re.compile(r"\b(?P<p>AKIA|ASIA|ghp_|gho_|sk-|xoxb-|AIza)(?P<v>[A-Za-z0-9_-]{16,})"), lambda t: any(x in t for x in ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "AIza"))),
     ("email", re.compile(r"(?P<v>[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), lambda t: "@" in t),
-    ("ip", re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"), lambda t: "." in t),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?P<v>(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"), lambda t: True),
+    ("ip", re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"), lambda t: "." in t and bool(_DOTTED.search(t))),
+    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?P<v>(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"), lambda t: bool(_IBAN_HEAD.search(t))),
     ("mac", re.compile(r"\b(?P<v>(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})\b"), lambda t: ":" in t or "-" in t),
     ("ssn", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"), lambda t: "-" in t),
     ("card", re.compile(r"(?<![\w.+-])(?P<v>\d(?:[ -]?\d){12,18})(?![\w-]|\.\d)"), lambda t: True),
     ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)"), lambda t: "+" in t or "-" in t or "." in t),
 ]
+# Social security and card numbers always have so many digits close together; the other kinds need not.
 _DIGITS = re.compile(r"\d(?:\D{0,3}\d){6}")
 _PERSON = re.compile(rf"\b(?P<title>{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? (?P<v>{_NAME}(?: {_NAME})?)")
-_NEED_DIGITS = frozenset("ip iban ssn card phone".split())
+_NEED_DIGITS = frozenset("ssn card".split())
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = ["0123456789", _LOWER, _UPPER, "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)]))]

@@ -72,6 +72,12 @@ def test_surrogates(spark):
     assert surrogates.collisions(surrogates.entities(table(spark, texts), "key")).count() == 0
 
 
+@pytest.mark.parametrize("text, kind", [("ask 8.8.8.8 first", "ip"), ("host 10.0.0.1", "ip"), ("5.3.22.1", "ip"), ("ring +45 12 34 now", "phone"), ("pay MT84MALT01100ABCDEFGHIJKLMNOPQR", "iban")])
+def test_entities_with_few_digits_are_replaced(text, kind):
+    new, pairs = surrogates.replace(text, surrogates.Surrogates(b"key"))
+    assert [e.kind for e, _ in pairs] == [kind] and pairs[0][0].value not in new
+
+
 def test_permutation_is_one_to_one_without_fixed_points():
     p = surrogates.Permutation(b"k")
     for n in (2, 3, 10, 100):
