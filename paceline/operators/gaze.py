@@ -7,8 +7,10 @@ long run spreads over many tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,9 +190,77 @@ def room_cells(boundary: Sequence[tuple[float, float]], step: float) -> int:
     return n
 
 
+def cell_grid(boundary: Sequence[tuple[float, float]], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of the cell centres that are in the room."""
+    xs, ys = [p[0] for p in boundary], [p[1] for p in boundary]
+    i, k = np.meshgrid(np.arange(math.ceil((max(xs) - min(xs)) / step)), np.arange(math.ceil((max(ys) - min(ys)) / step)), indexing="ij")
+    x, y = min(xs) + (i.ravel() + 0.5) * step, min(ys) + (k.ravel() + 0.5) * step
+    inside = np.zeros(len(x), bool)
+    for ax, ay, bx, by in G.edges(boundary):
+        inside ^= ((by > y) != (ay > y)) & (x < (ax - bx) * (y - by) / ((ay - by) or 1e-12) + bx)
+    return x[inside], y[inside]
+
+
+def newly_seen(gaze: DataFrame, boundary: Sequence[tuple[float, float]], half_angle: float, step: float, slice_frames: int = 512) -> DataFrame:
+    """run_id, frame, n_: the cells of the room that a run sees first in that frame (frames with none left out).
+
+    The counts of `seen_cells`, for fine grids.  Slices of `slice_frames` frames go
+    through the cells that they have not seen yet and give those that are new;
+    a second pass over a run's slices drops what an earlier one has seen.  A task
+    holds one run's cells at a time.
+    """
+    xs, ys = [p[0] for p in boundary], [p[1] for p in boundary]
+    length = 1.5 * math.hypot(max(xs) - min(xs), max(ys) - min(ys))
+    rows = with_cone(gaze.where((F.col("dx") != 0) | (F.col("dy") != 0)), half_angle, length)
+    rows = rows.select(*FRAME, F.floor(F.col("frame") / slice_frames).alias("slice_"), *_T)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gx, gy = cell_grid(boundary, step)
+        at, x, y, left = None, gx, gy, np.zeros(0, np.int32)
+        for part in parts:
+            runs, frames, slices = (part.column(k).to_pylist() for k in range(3))
+            corners = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in part.columns[3:]], 1)
+            out: list[tuple] = []
+            for run, frame, piece, t in zip(runs, frames, slices, corners, strict=True):
+                if at != (run, piece):
+                    at, x, y, left = (run, piece), gx, gy, np.arange(len(gx), dtype=np.int32)
+                if not len(left):
+                    continue
+                turns = [(t[2 * j] - t[2 * k]) * (y - t[2 * k + 1]) - (t[2 * j + 1] - t[2 * k + 1]) * (x - t[2 * k]) for k, j in ((0, 1), (1, 2), (2, 0))]
+                low, high = np.minimum(np.minimum(turns[0], turns[1]), turns[2]), np.maximum(np.maximum(turns[0], turns[1]), turns[2])
+                hit = (low >= 0) | (high <= 0)
+                if hit.any():
+                    out.append((run, frame, left[hit].tobytes()))
+                    x, y, left = x[~hit], y[~hit], left[~hit]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [part.schema.field(0).type, part.schema.field(1).type, pa.binary()], strict=True)], [*FRAME, "cells_"])
+
+    def folded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_cells, at, seen = len(cell_grid(boundary, step)[0]), None, np.zeros(0, bool)
+        for part in parts:
+            counts = []
+            for run, cells in zip(part.column(0).to_pylist(), part.column(2), strict=True):
+                if at != (run,):
+                    at, seen = (run,), np.zeros(n_cells, bool)
+                cells = np.frombuffer(cells.as_py(), np.int32)
+                counts.append(int((~seen[cells]).sum()))
+                seen[cells] = True
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], [*FRAME, "n_"])
+
+    types = f"run_id {kinds['run_id']}, frame {kinds['frame']}"
+    pieces = rows.repartition("run_id", "slice_").sortWithinPartitions("run_id", "slice_", "frame").mapInArrow(found, f"{types}, cells_ binary")
+    counted = pieces.repartition("run_id").sortWithinPartitions("run_id", "frame").mapInArrow(folded, f"{types}, n_ long")
+    return counted.groupBy(*FRAME).agg(F.sum("n_").alias("n_")).where("n_ > 0")
+
+
 def coverage_curve(frames: DataFrame, cells: DataFrame, n_cells: int) -> DataFrame:
     """run_id, frame, fraction (to two places) for every frame of `frames` (run_id, frame)."""
-    new = cells.groupBy("run_id", F.col("first_frame").alias("frame")).agg(F.count(F.lit(1)).alias("n_"))
+    return counted_curve(frames, cells.groupBy("run_id", F.col("first_frame").alias("frame")).agg(F.count(F.lit(1)).alias("n_")), n_cells)
+
+
+def counted_curve(frames: DataFrame, new: DataFrame, n_cells: int) -> DataFrame:
+    """As `coverage_curve`, from run_id, frame, n_ (`newly_seen`)."""
     w = Window.partitionBy("run_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     rows = frames.select("run_id", "frame").distinct().join(new, [*FRAME], "left")
     return rows.select(*FRAME, F.round(F.coalesce(F.sum("n_").over(w), F.lit(0)) / F.lit(n_cells), 2).alias("fraction"))

@@ -184,6 +184,12 @@ def C10_floor_coverage(spark, d):
     return out.select("pair_id", r6("delta").alias("delta"), "verdict")
 
 
+@add(None)
+def C10_floor_coverage_whole(spark, d):
+    out = compare.floor_coverage(pairs(spark, d), R._whole_summary(spark, d).where("run_id % 3 <> 0"), R._whole_curve(spark, d))
+    return out.select("pair_id", r6("delta").alias("delta"), "verdict")
+
+
 _TIMED = "timed AS (SELECT run_id, time_to_full AS t, CASE WHEN time_to_full IS NULL OR time_to_full >= 8 THEN 0.0 WHEN time_to_full <= 4 THEN 1.0 ELSE exp(-(time_to_full - 4) / (8 - time_to_full)) END AS score FROM summary)"
 
 
@@ -193,6 +199,12 @@ def C11_coverage_time(spark, d):
     return out.select("pair_id", r6("time_delta").alias("time_delta"), "trend", r6("score_delta").alias("score_delta"), "score_verdict")
 
 
+@add(None)
+def C11_coverage_time_whole(spark, d):
+    out = compare.coverage_time(pairs(spark, d), R._whole_summary(spark, d), 4.0)
+    return out.select("pair_id", r6("time_delta").alias("time_delta"), "trend", r6("score_delta").alias("score_delta"), "score_verdict")
+
+
 @add(Q.query("SELECT pair_id, pod_idx, round(h_a, 6) AS score_a, round(h_b, 6) AS score_b, round(h_a - h_b, 6) AS delta FROM " + both("held", "pod_idx", ["h"]), *R._G, R._SAMPLES, R._HOLD.replace("track_id, frame, exp", "track_id, pod_idx, frame, exp"), "held AS (SELECT run_id, pod_idx, avg(h) AS h FROM holding GROUP BY ALL)", _PAIRS))
 def C12_hold_area(spark, d):
     out = compare.holds(pairs(spark, d), R._hold(spark, d))
@@ -234,12 +246,10 @@ _PARTS = [
 _UNION = " UNION ALL ".join(f"SELECT run_id, '{name}' AS metric, score FROM ({body})" for name, body in _PARTS)
 
 
-@add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._C, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))
-def R10_all_metrics(spark, d):
+def _all_metrics(spark, d, summary):
     p = pos(spark, d)
     runs = X.runs(p)
     seen = gaze.teammate_coverage(R._seen(spark, d)).where("track_id is null").select("run_id", F.bround("score", 2).alias("score"))
-    summary = _summary(spark, d)
     whole = lambda rows, empty: runs.join(rows, "run_id", "left").select("run_id", F.coalesce("score", F.lit(empty)).alias("score"))
     tables = {
         "move_along_wall": wall.wall_scores(runs, wall.adherence(R._banded(spark, d), 30.0)), "threat_clearance": gaze.clearance_scores(runs, R._cleared(spark, d)), "teammate_coverage": whole(seen, 1.0),
@@ -250,3 +260,13 @@ def R10_all_metrics(spark, d):
     for name, table in tables.items():
         out = out.unionByName(table.select("run_id", F.lit(name).alias("metric"), "score"))
     return out
+
+
+@add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._C, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))
+def R10_all_metrics(spark, d):
+    return _all_metrics(spark, d, _summary(spark, d))
+
+
+@add(None)
+def R10_all_metrics_whole(spark, d):
+    return _all_metrics(spark, d, R._whole_summary(spark, d))

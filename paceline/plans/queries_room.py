@@ -265,6 +265,41 @@ def _curve(spark, d):
     return gaze.coverage_curve(pos(spark, d), cells, gaze.room_cells(ROOM.boundary, STEP))
 
 
+# Every gaze ray and every map pixel; the queries above hold one ray in 17 and one pixel in 400, as their SQL does.
+PIXEL = 1.0
+
+
+def _every_mapgaze(spark, d):
+    p = pos(spark, d).where("track_id <> 99")
+    return p.selectExpr("run_id", "track_id", "frame", "map_x AS ox", "map_y AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
+
+
+def _whole_curve(spark, d):
+    new = gaze.newly_seen(_every_mapgaze(spark, d), ROOM.boundary, 15.0, PIXEL)
+    return gaze.counted_curve(pos(spark, d), new, len(gaze.cell_grid(ROOM.boundary, PIXEL)[0]))
+
+
+def _whole_summary(spark, d):
+    first = _every_mapgaze(spark, d).where("dx <> 0 or dy <> 0").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
+    return gaze.coverage_summary(_whole_curve(spark, d), first, 30.0)
+
+
+@add(None)
+def A19_room_coverage_whole(spark, d):
+    return _whole_curve(spark, d)
+
+
+@add(None)
+def A20_coverage_time_whole(spark, d):
+    return _whole_summary(spark, d).withColumn("score", r6(gaze.coverage_time_score(F.col("time_to_full"), F.lit(4.0))))
+
+
+@add(None)
+def W11_rebased_curve_whole(spark, d):
+    start = pos(spark, d).where("track_id <> 99").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
+    return gaze.rebased_curve(_whole_curve(spark, d), start, 30.0).withColumn("t", r6("t"))
+
+
 @add(Q.query("SELECT * FROM curve", *_R))
 def A19_room_coverage(spark, d):
     return _curve(spark, d)

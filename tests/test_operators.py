@@ -115,3 +115,22 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = entry.entry_vectors(p, chosen, ROOM).orderBy("track_id").collect()
     b = entry.entry_vectors(p.repartition(7), chosen, ROOM).orderBy("track_id").collect()
     assert [(r.track_id, r.side, round(r.dx, 6)) for r in a] == [(r.track_id, r.side, round(r.dx, 6)) for r in b]
+
+
+def test_every_ray_and_pixel_counts_towards_coverage(spark):
+    rng = __import__("random").Random(6)
+    rays = [(run, 1, f, rng.uniform(0, 20), rng.uniform(0, 12), float(rng.randint(-2, 2)), float(rng.randint(-2, 2))) for run in (1, 2) for f in range(40)]
+    looks = spark.createDataFrame(rays, "run_id int, track_id int, frame int, ox double, oy double, dx double, dy double")
+    room = [(0.0, 0.0), (20.0, 0.0), (20.0, 8.0), (12.0, 12.0), (0.0, 12.0)]
+    want = {}
+    for r in gaze.seen_cells(looks, room, 15.0, 1.0).collect():
+        want[r.run_id, r.first_frame] = want.get((r.run_id, r.first_frame), 0) + 1
+    for frames_in_slice in (3, 512):
+        assert {(r.run_id, r.frame): r.n_ for r in gaze.newly_seen(looks, room, 15.0, 1.0, frames_in_slice).collect()} == want
+    assert len(gaze.cell_grid(room, 1.0)[0]) == gaze.room_cells(room, 1.0)
+
+    from paceline.plans import queries_room as R
+
+    d = "/root/testdata/sf0.001"
+    assert R._every_mapgaze(spark, d).count() == R.pos(spark, d).where("track_id <> 99").count() > 16 * R._mapgaze(spark, d).count() > 0
+    assert R.PIXEL == 1.0
