@@ -5,7 +5,8 @@ its first or its last.  That depends on the k-mer alone, so an edit changes the
 anchors near it and no others.  A fingerprint is the `SIZE` anchors of smallest
 hash with their places (a repeated anchor counts as often as it occurs, each time
 with a hash of its own); likeness compares two fingerprints anchor by anchor,
-counting only those on the commonest shift between the texts.
+counting those whose places keep their order in both texts, so text put in or left
+out between anchors costs only the anchors near it.
 
 Defined cases: null counts as empty text; a text too short for a k-mer has one
 anchor, the hash of the whole text; an empty text has none; two empty texts have
@@ -16,7 +17,7 @@ extra columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +116,7 @@ def encode(fingerprint: tuple[Anchors | None, Anchors | None]) -> str:
 
 
 def likeness(a: tuple[Anchors | None, Anchors | None], b: tuple[Anchors | None, Anchors | None]) -> float:
-    """0 to 1: an estimate of the share of the texts' anchors that match in place."""
+    """0 to 1: an estimate of the share of the texts' anchors that match in order of place (longest increasing run)."""
     kind = 0 if a[0] is not None and b[0] is not None else 1
     if a[kind] is None or b[kind] is None:
         return 0.0  # one is more than four times as long
@@ -123,10 +124,12 @@ def likeness(a: tuple[Anchors | None, Anchors | None], b: tuple[Anchors | None,
     if not first or not second:
         return float(not first and not second)
     union = sorted({**first, **second})[:SIZE]
-    shifts = [second[h] - first[h] for h in union if h in first and h in second]
-    if not shifts:
-        return 0.0
-    j = Counter(shifts).most_common(1)[0][1] / len(union)
+    common = sorted((first[h], second[h]) for h in union if h in first and h in second)
+    ends: list[int] = []  # the smallest last place of an increasing run of each length
+    for _, place in common:
+        k = bisect_left(ends, place)
+        ends[k : k + 1] = [place]
+    j = len(ends) / len(union)
     return 2 * j / (1 + j)
 
 

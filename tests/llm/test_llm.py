@@ -170,6 +170,16 @@ def test_fingerprints(spark):
     assert [r.near_next for r in syncmers.compare_with_next(table(spark, ["alone here"]), 4).collect()] == [1.0]
 
 
+def test_likeness_bears_edits_that_change_the_length():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    halves = " ".join(words[:150]), " ".join(words[150:])
+    text, longer, turned = " ".join(halves), "{} some more {}".format(*halves), "{1} {0}".format(*halves)
+    a, b, c = syncmers.fingerprints([x.encode() for x in (text, longer, turned)])
+    assert syncmers.likeness(a, a) == 1.0 and syncmers.likeness(a, b) > 0.9
+    assert 0.3 < syncmers.likeness(a, c) < 0.9
+
+
 def test_mixing_targets_and_rounding(spark):
     rng = random.Random(2)
     sizes = [rng.randint(0, 40) for _ in range(400)]
