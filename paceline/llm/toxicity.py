@@ -5,7 +5,7 @@ negation, reported speech, or other.  Small transducers for negation, reported
 speech, target and threat are composed into one machine, which reads the classes
 of a clause and gives each insult or threat a weight for the way it is used: a
 negated or reported one counts less, one aimed at somebody counts more, and a
-threat without a target does not count.  A text's score is a logistic function
+threat without a target before or behind it does not count.  A text's score is a logistic function
 of the weights of all its matched clauses.
 
 Insult words and stems, with their weights, and the logistic function are
@@ -44,7 +44,7 @@ REPORTS = "said says saying wrote writes quoted quotes called calls claimed clai
 THREATS = "kill hurt destroy shoot stab beat burn murder töten umbringen schlagen verletzen erschießen tuer frapper détruire brûler matar golpear destruir quemar disparar".split()
 INSULTS = "idiot moron stupid scum loser worthless pathetic".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, AIMED = range(7)  # AIMED: a threat with a target behind it
 #: Labelled rows of each class to learn from, at most.
 FIT_ROWS = 8_000
 #: Lexemes kept, at most: those of the highest weight times frequency.
@@ -76,7 +76,7 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     while todo:
         pair = todo.pop()
         here = numbers[pair]
-        for symbol in range(6):
+        for symbol in range(7):
             a, middle, w = first.step(pair[0], symbol)
             b, end, v = second.step(pair[1], middle)
             if (a, b) not in numbers:
@@ -88,17 +88,23 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 # Up to two words after a negation an insult or threat counts a quarter.
 _negated = Transducer(
-    {(s, NEGATION): (2, OTHER, 0.0) for s in range(3)} | {(s, x): (s - 1, x, math.log(0.25)) for s in (1, 2) for x in (INSULT, THREAT)},
+    {(s, NEGATION): (2, OTHER, 0.0) for s in range(3)} | {(s, x): (s - 1, x, math.log(0.25)) for s in (1, 2) for x in (INSULT, THREAT, AIMED)},
     other={2: 1, 1: 0},
 )
 # From a verb of saying to the end of the clause an insult or threat counts half.
-_reported = Transducer({(s, REPORT): (1, OTHER, 0.0) for s in (0, 1)} | {(1, x): (1, x, math.log(0.5)) for x in (INSULT, THREAT)})
-# Up to four words after a target an insult counts half as much again; a threat needs the target.
+_reported = Transducer({(s, REPORT): (1, OTHER, 0.0) for s in (0, 1)} | {(1, x): (1, x, math.log(0.5)) for x in (INSULT, THREAT, AIMED)})
+# Up to four words after a target an insult counts half as much again; a threat needs the target, before or behind it.
 _targeted = Transducer(
     {(s, TARGET): (4, TARGET, 0.0) for s in range(5)}
     | {(s, INSULT): (s - 1, INSULT, math.log(1.5)) for s in range(1, 5)}
     | {(s, THREAT): (s - 1, INSULT, 0.0) for s in range(1, 5)}
-    | {(0, THREAT): (0, OTHER, 0.0)},
+    | {(0, THREAT): (0, OTHER, 0.0)}
+    | {(s, AIMED): (max(s - 1, 0), INSULT, 0.0) for s in range(5)},
+    other={4: 3, 3: 2, 2: 1, 1: 0},
+)
+# Reads the clause from its end: a threat up to four words before a target is aimed.
+_followed = Transducer(
+    {(s, TARGET): (4, TARGET, 0.0) for s in range(5)} | {(s, THREAT): (s - 1, AIMED, 0.0) for s in range(1, 5)},
     other={4: 3, 3: 2, 2: 1, 1: 0},
 )
 GRAMMAR = compose(compose(_negated, _reported), _targeted)
@@ -141,11 +147,15 @@ class ToxicityModel:
 
     def clause(self, text: str) -> float:
         """Weight of the matches of a lower-case clause."""
+        words = _WORD.findall(text)
+        weights = [self.lexeme(word) for word in words]
+        symbols = [INSULT if weight else self._classes.get(word, OTHER) for word, weight in zip(words, weights, strict=True)]
+        if THREAT in symbols:
+            state = 0
+            for k in range(len(symbols) - 1, -1, -1):
+                state, symbols[k], _ = _followed.step(state, symbols[k])
         total, state = 0.0, 0
-        for m in _WORD.finditer(text):
-            word = m.group()
-            weight = self.lexeme(word)
-            symbol = INSULT if weight else self._classes.get(word, OTHER)
+        for symbol, weight in zip(symbols, weights, strict=True):
             state, out, log_weight = GRAMMAR.arcs[state, symbol]
             if out == INSULT:
                 total += (weight or 1.0) * math.exp(log_weight)

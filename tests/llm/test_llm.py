@@ -250,6 +250,15 @@ def test_toxicity(spark):
     assert toxicity.weigh(docs, bare).count() == 402
 
 
+def test_a_threat_counts_with_its_target_behind_it():
+    model = toxicity.ToxicityModel({}, {})
+    for text in ("i will kill you", "we will destroy them", "ich werde dich töten", "kill one two three you"):
+        assert model.clause(text) == 1.0
+    assert model.clause("i will kill time") == model.clause("kill one two three four you") == 0
+    assert 0 < model.clause("i will not kill you") < model.clause("he said i will kill you") < 1
+    assert model.weight("good day. i will kill you! bye") == (1.0, 1)
+
+
 def test_quality(spark):
     docs, labels, _, good = labelled(spark)
     model = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
