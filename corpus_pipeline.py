@@ -50,10 +50,15 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (not at all, once, up to three times)."""
-    copies = mixing.mix(docs, scratch_folder(spark, "mix")).groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("__copies"))
-    copies = copies.where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
+    """Each document as often as the mix takes it (not at all, once, up to three times); rows with equal or null ids are taken one by one."""
+    folder = scratch_folder(spark, "mix")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    same = rows.withColumn("__same", F.xxhash64("doc_id", "source", "text"))
+    mixing.with_size(same, keep=("__row", "__same", "source")).write.mode("overwrite").parquet(f"{folder}/row_sizes")
+    mixing.with_row_keys(spark.read.parquet(f"{folder}/row_sizes"), "__row", "__same").write.mode("overwrite").parquet(f"{folder}/sizes")
+    copies = mixing.mix_sizes(spark.read.parquet(f"{folder}/sizes"), folder, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
+    taken = rows.join(copies, "__row")
     return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

@@ -119,6 +119,8 @@ def pivot(size: np.ndarray, left: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def _level(level: int, seed: int):
+    """Pairs one group; every column is passed on."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["doc_id"].fillna(-1).to_numpy().astype(np.int64)
         order = np.lexsort((ids, -rows["size"].to_numpy()))  # long texts first, so that a short one is left over
@@ -143,9 +145,37 @@ def mix(
     `docs` has doc_id, source and text.  Small tables (no text) are written under
     `scratch`, a folder that all executors share.
     """
-    spark = docs.sparkSession
     with_size(docs).write.mode("overwrite").parquet(f"{scratch}/sizes")
-    sizes = spark.read.parquet(f"{scratch}/sizes")
+    return mix_sizes(docs.sparkSession.read.parquet(f"{scratch}/sizes"), scratch, weights, most, seed, bucket_rows, fan_in)
+
+
+def with_row_keys(sizes: DataFrame, row: str, same: str) -> DataFrame:
+    """`sizes` with doc_id, a key of its own for each row.
+
+    `row` is a number from `monotonically_increasing_id`, `same` a hash of the row's
+    content.  Rows of equal content get keys from that hash and their turn, so the
+    keys of a table, and with them its mix, don't depend on how its rows lie.
+    """
+    rows = sizes.withColumn("part_", F.shiftright(row, 33))
+    before = Window.partitionBy(same).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the table
+    parts = rows.groupBy(same, "part_").agg(F.count(F.lit(1)).alias("n_")).select(same, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    turn = F.row_number().over(Window.partitionBy(same, "part_").orderBy(row)) + F.col("before_")
+    return rows.join(parts, [same, "part_"]).withColumn("doc_id", F.xxhash64(same, turn)).drop("part_", "before_")
+
+
+def mix_sizes(
+    sizes: DataFrame,
+    scratch: str,
+    weights: Sequence[float] = (5, 2, 1),
+    most: float = MOST_COPIES,
+    seed: int = 7,
+    bucket_rows: int = BUCKET_ROWS,
+    fan_in: int = FAN_IN,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """`mix` of doc_id, source and size; the `keep` columns (long) of each row are passed on."""
+    spark = sizes.sparkSession
+    columns = _COLUMNS + "".join(f", {c} long" for c in keep)
     targets(sizes, weights, most).write.mode("overwrite").parquet(f"{scratch}/targets")
     per_source = spark.read.parquet(f"{scratch}/targets")
     largest = per_source.agg(F.max("n_rows")).first()[0] or 0
@@ -155,7 +185,7 @@ def mix(
     own_nodes = F.ceil(F.col("n_rows") / F.lit(bucket_rows))
     rows = (
         sizes.join(per_source, sizes["source"].eqNullSafe(per_source["source"]))
-        .select("doc_id", sizes["source"], "size", "source_size", "target", "n_rows", due.alias("due"))
+        .select("doc_id", sizes["source"], "size", "source_size", "target", "n_rows", due.alias("due"), *keep)
         .withColumn("left", F.when(F.col("size") > 0, F.col("due") - F.floor("due")).otherwise(F.lit(0.0)))
         .withColumn("level", F.lit(0))
         .withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), own_nodes))
@@ -164,8 +194,8 @@ def mix(
     done, level = [], 0
     while True:
         at = f"{scratch}/level_{level}"
-        rows.groupBy("source", "node").applyInPandas(_level(level, seed), _COLUMNS).write.mode("overwrite").parquet(at)
-        paired = spark.read.schema(_COLUMNS).parquet(at)
+        rows.groupBy("source", "node").applyInPandas(_level(level, seed), columns).write.mode("overwrite").parquet(at)
+        paired = spark.read.schema(columns).parquet(at)
         whole = (F.col("left") == 0) | (F.col("left") == 1)
         done.append(paired.where(whole))
         rows = paired.where(~whole)
@@ -179,4 +209,4 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.floor("due") + F.col("left").cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *keep)

@@ -326,3 +326,17 @@ def test_pipeline_rows(spark, tmp_path):
         assert step.columns == docs.columns
     assert all("x.org" not in (r.text or "") for r in step.select("text").collect())
     assert math.isfinite(total)
+
+
+def test_rows_without_an_id_of_their_own_are_mixed_one_by_one(spark):
+    import corpus_pipeline as pipeline
+
+    n = 80
+    sources = ["abc"[k % 3] for k in range(3 * n)]
+    docs = table(spark, ["two words" if k % 2 else f"word{k} more" for k in range(3 * n)], sources=sources)
+    rows = docs.withColumn("doc_id", F.expr("CASE WHEN doc_id % 4 < 2 THEN NULL WHEN doc_id % 4 = 2 THEN 7 ELSE doc_id END"))
+    taken = [sorted((r.source, r.doc_id is None, r.doc_id or 0, r.text) for r in pipeline.mixed(spark, x, "").collect()) for x in (rows, rows.repartition(3, "text").orderBy(F.desc("text")))]
+    assert taken[0] == taken[1]
+    for source, share in (("a", 15 / 8), ("b", 6 / 8), ("c", 3 / 8)):
+        assert sum(r[0] == source for r in taken[0]) == pytest.approx(n * share, abs=1)
+        assert sum(r[0] == source and r[1] for r in taken[0]) == pytest.approx(n / 2 * share, rel=0.5)
