@@ -120,6 +120,34 @@ def gallery_distance(gallery: DataFrame, queries: DataFrame, keys: Sequence[str]
     return pairs.groupBy(track, query).agg(F.min(cosine_distance(F.col("g_"), F.col("q_"))).alias("distance"))
 
 
+def nearest_in_gallery(gallery: DataFrame, queries: DataFrame, track: str, query: str, block: int = 2048) -> DataFrame:
+    """track, query, distance: the smallest cosine distance of each query to a track's whole gallery.
+
+    Both have `query` (an id) and embedding.  Blocks of about `block` rows, dealt by
+    hash of the id, meet each other once, and each pair of blocks gives one row per
+    track and query, so no track or query is one task.  Null embeddings meet nothing.
+    """
+    sides, n_blocks = [x.where("embedding is not null") for x in (gallery, queries)], []
+    for x in sides:
+        n_blocks.append(max(1, -(-x.count() // block)))
+    g, q = (x.withColumn(a, F.pmod(F.xxhash64(query), F.lit(n)).cast("int")) for x, a, n in zip(sides, ("g_", "q_"), n_blocks, strict=True))
+    g = g.select(track, "embedding", "g_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks[1] - 1))).alias("q_"))
+    q = q.select(query, "embedding", "q_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks[0] - 1))).alias("g_"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({track: a[track][:0], query: b[query][:0], "distance": np.zeros(0)})
+        x, y = (np.stack(v["embedding"].to_list()).astype(float) for v in (a, b))
+        norms = np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = pd.DataFrame(np.maximum(0.0, 1 - x @ y.T / norms)).groupby(a[track].to_numpy(), dropna=False).min()
+        return pd.DataFrame({track: np.repeat(distance.index.to_numpy(), len(b)), query: np.tile(b[query].to_numpy(), len(distance)), "distance": distance.to_numpy().ravel()})
+
+    kinds = f"`{track}` {gallery.schema[track].dataType.simpleString()}, `{query}` {queries.schema[query].dataType.simpleString()}, distance double"
+    pairs = g.groupBy("g_", "q_").cogroup(q.groupBy("g_", "q_")).applyInPandas(nearest, kinds)
+    return pairs.groupBy(track, query).agg(F.min("distance").alias("distance"))
+
+
 def fused_cost(distance: Column, iou: Column) -> Column:
     """Appearance similarity times the mean of 1 and the overlap, as a cost."""
     return 1 - (1 - distance) * (1 + iou) / 2

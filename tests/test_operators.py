@@ -134,3 +134,22 @@ def test_every_ray_and_pixel_counts_towards_coverage(spark):
     d = "/root/testdata/sf0.001"
     assert R._every_mapgaze(spark, d).count() == R.pos(spark, d).where("track_id <> 99").count() > 16 * R._mapgaze(spark, d).count() > 0
     assert R.PIXEL == 1.0
+
+
+def test_nearest_of_the_whole_gallery(spark):
+    import numpy as np
+    from paceline.operators import pairs
+    from paceline.plans import queries_room as R
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    want = {}
+    for q in (r for r in rows if r.vec_id % 10 == 0):
+        y = np.array(q.embedding, float)
+        for g in (r for r in rows if r.vec_id % 10):
+            x = np.array(g.embedding, float)
+            want[g.label, q.vec_id] = min(want.get((g.label, q.vec_id), 9.0), max(0.0, 1 - x @ y / np.sqrt((x @ x) * (y @ y))))
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    blocks = pairs.nearest_in_gallery(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "label", "vec_id", 40)
+    for got in (R.J16_gallery_distance_whole(spark, d), blocks):
+        assert {(r.label, r.vec_id): r.distance for r in got.collect()} == pytest.approx(want, abs=1e-5)
