@@ -14,16 +14,19 @@ more frequent in marked texts, and in many different contexts there, so the
 ordinary words of a text that was copied many times don't count as insults.
 
 Defined cases: null and empty texts match nothing and get the score of zero
-weight; equal texts get equal scores; labels that occur twice count twice; with
-no labels the fixed words alone decide; extra columns are not read; an empty
-table gives an empty table.  Whole texts are read; a clause ends at . ! ? ; or a
-line break.
+weight; equal texts get equal scores, repeated rows too; labels that occur twice
+count twice; with no labels the fixed words alone decide; a null doc_id is scored
+and never a label's; a score of exactly 0.3 counts as toxic; extra columns are not
+read, added ones give way to kept ones of their name; an empty table gives an
+empty table.  Whole texts are read, in time in proportion to their length; a
+clause ends at . ! ? ; or a line break.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,8 +50,6 @@ INSULTS = "idiot moron stupid scum loser worthless pathetic".split()
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, AIMED = range(7)  # AIMED: a threat with a target behind it
 #: Labelled rows of each class to learn from, at most.
 FIT_ROWS = 8_000
-#: Lexemes kept, at most: those of the highest weight times frequency.
-MOST_LEXEMES = 20_000
 MIN_MARKED, MIN_CONTEXTS, MIN_LOG_ODDS = 6, 5, 3.2
 STEM_LENGTHS = (4, 5, 6)
 MIN_STEM_MARKED, MIN_STEM_WORDS = 12, 5
@@ -164,13 +165,14 @@ class ToxicityModel:
     def weight(self, lower: str) -> tuple[float, int]:
         """Weight of all matched clauses of a lower-case text, and their number."""
         total, n, done = 0.0, 0, -1
+        ends = None  # places of all clause ends, once a clause is looked at
         for end, size in self.matcher().iter(lower):
             start = end - size + 1
             if start < done or (start and lower[start - 1].isalnum()):
                 continue
-            begin = max(lower.rfind(x, 0, start) for x in ".!?;\n") + 1
-            stop = _CLAUSE_END.search(lower, end)
-            done = stop.start() if stop else len(lower)
+            if ends is None:
+                ends = [-1, *(m.start() for m in _CLAUSE_END.finditer(lower)), len(lower)]
+            begin, done = ends[bisect_left(ends, start) - 1] + 1, ends[bisect_left(ends, end)]
             got = self.clause(lower[begin:done])
             total, n = total + got, n + (got > 0)
         return total, n
@@ -204,7 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label_"))
     chosen = [bounded_sample(marked.where(F.col("label_") == one), key, fit_rows) for one in (0, 1)]
     rows = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), key)  # bounded by fit_rows
-    n_by = {r[0]: r[1] for r in chosen[0].unionByName(chosen[1]).groupBy("label_").count().collect()}
+    rows = bounded_sample(rows, (key, text, "label_"), 2 * fit_rows)  # ids may be repeated
+    n_by = {r[0]: r[1] for r in rows.groupBy("label_").count().collect()}
     n_marked, n_clean = n_by.get(1, 0), n_by.get(0, 0)
 
     counted = rows.select(text, "label_").mapInArrow(_count, "word string, context string, marked long, clean long")
@@ -214,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     odds = F.log((F.col("marked") + 0.5) / F.lit(n_marked + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
     wide = F.col("contexts") >= F.greatest(F.lit(MIN_CONTEXTS), F.col("marked") / 4)
     strong = by_word.where("marked > 0").withColumn("odds", odds)
-    words = strong.where((F.col("marked") >= MIN_MARKED) & wide & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc(F.col("odds") * F.col("marked")), "word").limit(MOST_LEXEMES)
+    words = strong.where((F.col("marked") >= MIN_MARKED) & wide & (F.col("odds") >= MIN_LOG_ODDS))
     stems = (
         by_word.withColumn("stem", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])))
         .where("stem is not null")
@@ -223,9 +226,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         .where((F.col("top") <= F.col("marked") / 2) & (F.col("marked") >= MIN_STEM_MARKED) & (F.col("n_words") >= MIN_STEM_WORDS) & (F.col("contexts") >= F.col("marked") / 2))
         .withColumn("odds", odds)
         .where(F.col("odds") >= MIN_LOG_ODDS + 0.3)
-        .orderBy(F.desc(F.col("odds") * F.col("marked")), "stem")
-        .limit(MOST_LEXEMES)
     )
+    # some of the words of a sample of bounded size
     known = {r["word"]: min(r["odds"], 6.0) / 4 for r in words.select("word", "odds").collect()}
     roots = {r["stem"]: min(r["odds"], 6.0) / 4 for r in stems.select("stem", "odds").collect()}
     for word in INSULTS:
@@ -247,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 def weigh(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns, and last weight, n_clauses and score (0 to 1) of each row (with _ behind a name that is taken)."""
     added = B.free_names(keep, ["weight", "n_clauses", "score"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LEXEMES words and stems at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words and stems of a sample of bounded size
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
