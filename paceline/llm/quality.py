@@ -1,15 +1,16 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
 A text is the average of learned vectors of its hashed words, word pairs and
-character n-grams (bytes); a softmax over the average gives the class.  A pair
-of equal words has one vector of its own, whatever the word.  Training runs on
-a bounded sample of labelled rows.  Since the output is linear in the average,
+character n-grams (bytes); a softmax over the average gives the class.  Training
+runs on a bounded sample of labelled rows.  Since the output is linear in the average,
 scoring needs one number per vector, and reads whole texts in one pass.
 
 Defined cases: null and empty texts have no features and get the score of the
-bias; equal texts get equal scores; with one class in the labels that class is
-predicted; without labels the score is 0.5; labels that occur twice for a row
-count twice; extra columns are not read; an empty table gives an empty table.
+bias; equal texts get equal scores, repeated rows too; with one class in the
+labels that class is predicted; without labels the score is 0.5; labels that occur
+twice for a row count twice; a null doc_id is scored and never a label's; a score
+of exactly 0.3 counts as good; extra columns are not read; an empty table gives an
+empty table.  Whole texts are read, however long: a document is a block of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ FIT_ROWS = 2_500
 EPOCHS = 6
 RATE = 0.5
 _SPACE = np.uint64((1 << BUCKETS_LOG2) - 1)
-_SAME = 0  # the bucket of a pair of equal words
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -45,7 +45,6 @@ def features(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     first, second = word[inner], word[inner + 1]
     pair = (B.mix(first * np.uint64(3) + second + np.uint64(17)) & _SPACE).astype(np.int64)
-    pair[first == second] = _SAME
     yield pair, np.searchsorted(inner, wptr)
     wide = raw.astype(np.uint64)
     for n in CHAR_GRAMS:
@@ -82,21 +81,21 @@ class SubwordModel:
 
 
 def bags(rows: DataFrame, text: str, label: str) -> DataFrame:
-    """label, buckets and weights (binary uint16 and float16; the weights sum to about 1) of each row."""
+    """label, buckets and counts (binary: uint16, and uint16 or uint32 where one is too large) of each row."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             raw, off = B.text_bytes(part.column(0))
             for i, j, data, cuts in B.blocks(raw, off):
                 kinds = list(features(data, cuts))
-                where, weight = [], []
+                where, counts = [], []
                 for d in range(j - i):
                     seen, n = np.unique(np.concatenate([f[p[d] : p[d + 1]] for f, p in kinds]), return_counts=True)
                     where.append(seen.astype(np.uint16).tobytes())
-                    weight.append((n / max(1, n.sum())).astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(1).slice(i, j - i), pa.array(where, pa.binary()), pa.array(weight, pa.binary())], ["label", "buckets", "weights"])
+                    counts.append(n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(1).slice(i, j - i), pa.array(where, pa.binary()), pa.array(counts, pa.binary())], ["label", "buckets", "counts"])
 
-    return rows.select(text, F.col(label).cast("int").alias("label")).mapInArrow(run, "label int, buckets binary, weights binary")
+    return rows.select(text, F.col(label).cast("int").alias("label")).mapInArrow(run, "label int, buckets binary, counts binary")
 
 
 def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> SubwordModel:
@@ -133,9 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label_"))
     chosen = [bounded_sample(marked.where(F.col("label_") == one), key, fit_rows) for one in (0, 1)]
     rows = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), key)  # bounded by fit_rows
-    got = bags(rows, text, "label_").toPandas()
-    got = got.sort_values(["label", "buckets", "weights"], kind="stable")
-    return train([(int(a), np.frombuffer(b, np.uint16), np.frombuffer(c, np.float16).astype(np.float32)) for a, b, c in got.itertuples(index=False)])
+    rows = bounded_sample(rows, (key, text, "label_"), 2 * fit_rows)  # ids may be repeated
+    got = bags(rows, text, "label_").toPandas()  # 2 * fit_rows rows at most, of 65,536 buckets at most
+    got = got.sort_values(["label", "buckets", "counts"], kind="stable")
+    return train([(int(a), *_bag(b, c)) for a, b, c in got.itertuples(index=False)])
+
+
+def _bag(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights that sum to 1."""
+    where = np.frombuffer(buckets, np.uint16)
+    n = np.frombuffer(counts, np.uint16 if len(counts) == len(buckets) else np.uint32).astype(np.float32)
+    return where, n / max(1.0, float(n.sum()))
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
