@@ -43,9 +43,9 @@ def deal(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(ranked[cuts].astype(np.int32)), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
-def by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
+def by_bucket(rows: DataFrame, n_buckets: int, bucket: str = "bucket") -> DataFrame:
     """Each bucket in a partition of its own (a hash of the buckets would put several into one)."""
-    return rows.repartitionById(n_buckets, "bucket")
+    return rows.repartitionById(n_buckets, bucket)
 
 
 def gather(parts: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray] | None:
