@@ -13,9 +13,11 @@ Draws come from a hash of (seed, row key, level), and groups are sorted before
 they are paired, so reruns and retried tasks give the same mix.
 
 Defined cases: a null source is a source of its own and sorts last; null or
-empty text has size 0 and takes 0 words; rows with equal keys are separate rows
-that are due separately; a table whose texts have no words takes nothing; extra
-columns are not read; an empty table gives an empty table.
+empty text has size 0 and takes 0 words; rows with equal or null ids, and repeated
+rows, are rows that are due separately, with keys and so buckets of their own;
+rows of equal size are paired in order of their keys; a table whose texts have no
+words takes nothing; a very long text is one row, paired first; extra columns are
+not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,33 +55,37 @@ def with_size(docs: DataFrame, keep: Sequence[str] = ("doc_id", "source"), text:
     return picked.mapInArrow(run, f"{kept}, size long")
 
 
-def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = MOST_COPIES) -> DataFrame:
+def targets(sizes: DataFrame, scratch: str, weights: Sequence[float] = (5, 2, 1), most: float = MOST_COPIES) -> DataFrame:
     """source, source_size, n_rows, target: one row per source.
 
     The sources, by code point with null last, weigh `weights` in turn.  The
     shares are of all sizes; a target stops at `most` times its source's size
     and the excess is shared again by weight, which is the level L at which
-    sum(min(most * size, L * weight)) is the total.  Sources sorted by the level
-    at which they fill give L from running sums.  The windows run over the table
-    of sources, one row per source.
+    sum(min(most * size, L * weight)) is the total.  L only grows from round to
+    round, each of which is two sums over the table of sources; their order comes
+    from ranges of it, so there may be any number of them.
     """
+    spark = sizes.sparkSession
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    place = (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place.cast("int") + 1)
-    most_words = F.col("source_size") * F.lit(float(most))
-    filled = by_source.withColumn("w", w).withColumn("fills_at", most_words / F.col("w"))
-    before = Window.orderBy("fills_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = (
-        filled.withColumn("all_size", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("cap_before", F.coalesce(F.sum(most_words).over(before), F.lit(0.0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("w_all", F.sum("w").over(everything))
-        .withColumn("level", (F.col("all_size") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
-        # the level holds from the first source on that it does not fill
-        .withColumn("at", F.min(F.when(F.col("fills_at") >= F.col("level"), F.struct("fills_at", "level"))).over(everything)["level"])
-    )
-    return filled.select("source", "source_size", "n_rows", F.least(F.coalesce("at", F.lit(float("inf"))) * F.col("w"), most_words).alias("target"))
+    ranged = by_source.withColumn("last_", F.col("source").isNull()).repartitionByRange("last_", "source").withColumn("range_", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("range_").orderBy("last_", "source"))
+    ranged.withColumn("place_", place).write.mode("overwrite").parquet(f"{scratch}/sources")
+    ranked = spark.read.parquet(f"{scratch}/sources")
+    before, begins = 0, []
+    for r in ranked.groupBy("range_").count().orderBy("range_").collect():  # one row for each range
+        begins.append((r["range_"], before))
+        before += r["count"]
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(begins, "range_ int, before_ long")), "range_")
+    turn = ((F.col("before_") + F.col("place_") - 1) % len(weights)).cast("int")
+    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1)).withColumn("most_", F.col("source_size") * F.lit(float(most)))
+    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, grows = -1.0, True
+    while grows:
+        full = F.col("most_") <= F.col("w") * F.lit(level)
+        full_words, free = ranked.agg(F.sum(F.when(full, F.col("most_"))), F.sum(F.when(~full, F.col("w")))).first()
+        new = (total - (full_words or 0.0)) / free if free else float("inf")
+        grows, level = new > level, max(level, new)
+    return ranked.select("source", "source_size", "n_rows", F.least(F.lit(level) * F.col("w"), F.col("most_")).alias("target"))
 
 
 def _draws(seed: int, level: int, keys: np.ndarray) -> np.ndarray:
@@ -145,8 +151,13 @@ def mix(
     `docs` has doc_id, source and text.  Small tables (no text) are written under
     `scratch`, a folder that all executors share.
     """
-    with_size(docs).write.mode("overwrite").parquet(f"{scratch}/sizes")
-    return mix_sizes(docs.sparkSession.read.parquet(f"{scratch}/sizes"), scratch, weights, most, seed, bucket_rows, fan_in)
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), "source", "text").withColumn("row", F.monotonically_increasing_id())
+    with_size(rows, ("own", "source", "row")).write.mode("overwrite").parquet(f"{scratch}/row_sizes")
+    sized = spark.read.parquet(f"{scratch}/row_sizes").withColumn("same", F.xxhash64("own", "source", "size"))
+    with_row_keys(sized, "row", "same").drop("row", "same").write.mode("overwrite").parquet(f"{scratch}/sizes")
+    mixed = mix_sizes(spark.read.parquet(f"{scratch}/sizes"), scratch, weights, most, seed, bucket_rows, fan_in, ("own",))
+    return mixed.drop("doc_id").withColumnRenamed("own", "doc_id")
 
 
 def with_row_keys(sizes: DataFrame, row: str, same: str) -> DataFrame:
@@ -176,7 +187,7 @@ def mix_sizes(
     """`mix` of doc_id, source and size; the `keep` columns (long) of each row are passed on."""
     spark = sizes.sparkSession
     columns = _COLUMNS + "".join(f", {c} long" for c in keep)
-    targets(sizes, weights, most).write.mode("overwrite").parquet(f"{scratch}/targets")
+    targets(sizes, scratch, weights, most).write.mode("overwrite").parquet(f"{scratch}/targets")
     per_source = spark.read.parquet(f"{scratch}/targets")
     largest = per_source.agg(F.max("n_rows")).first()[0] or 0
 
