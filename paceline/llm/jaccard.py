@@ -7,20 +7,31 @@ token among the first n - ceil(t n) + 1 of each.  Three orders are used.
 * Rarity (tokens by the number of sets that hold them).  A set all of whose
   prefix tokens occur nowhere else has no partner: it must have ceil(t n) tokens
   that some other set holds too.  Sets that have are few; only they go on, with
-  their shared tokens, and their prefix makes candidate pairs.
-* Ascending and descending hash.  A candidate pair must also share a token of
-  these prefixes; the three filters are intersected, then the overlap is counted.
+  their shared tokens, and their prefix makes posting lists.
+* Ascending and descending hash.  Each set's prefixes under these orders travel
+  with its postings as two bit signatures.  Two sets of a list are a candidate only
+  if their signatures have a bit in common under both orders as well, so the three
+  filters are intersected where a candidate arises; only the tokens of candidates
+  are fetched, and the overlap counted.
 
 Equal sets are one class from the start, so copies cost nothing more.  Within the
 posting list of a token no pairs are made between sets already in one component:
 first each list links its members to its most central set (whose tokens the most
 sets hold), and only where a list still spans several components are the pairs
-across components looked at (with a bound on the overlap from bitmaps).  No list, bucket or candidate is cut off.
+across components looked at (with a bound on the overlap from bitmaps).  No list,
+bucket or candidate is cut off.
+
+Tokens that some part of the input holds often are counted first.  A token of
+HOT_SHARE of all sets or more is hot: its entries are spread by set, not by token,
+and its number comes from that count, so no task gathers it.  A hub of many
+candidates and a component of many sets are joined in shares (`salted_join`).
 
 Defined cases: null and empty texts have no shingles and no links; a text with
 fewer than five words is one shingle; a null doc_id takes part in links and is
-never a component id; equal ids are separate rows; extra columns are not read;
-an empty table gives an empty table.
+never a component id, unless all of a component are null; equal ids and repeated
+rows are separate rows; a similarity of exactly t links; extra columns are not
+read; an empty table gives an empty table; a very long text is a block of its own,
+read whole.
 """
 
 from __future__ import annotations
@@ -40,15 +51,29 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Text that a task holds as tokens at a time (bytes).
 FLUSH_BYTES = 6 << 20
+#: Tokens of a bucket, about; there are at least as many buckets as asked for.
+BUCKET_TOKENS = 4 << 20
+#: Sets among those of a flush that make a token a candidate for a hot one, and the share of all sets that makes it one.
+HOT_LOCAL, HOT_SHARE = 16, 1 / 500
 HUB_ROUNDS = 3
 _BITS = 1024
+#: Words of 64 bits in the signature of a prefix.
+_WORDS = 4
 
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TOKEN = {"low": np.uint32, "high": np.uint8, "cls": np.int64, "n": np.uint32}
+# Bits of the size of a set that say where a token stands, beside the size itself.
+_ASCENDING, _DESCENDING, _HOT, _SIZE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32(1 << 29), np.uint32((1 << 29) - 1)
+_TOKEN = {"low": np.uint32, "high": np.uint16, "cls": np.int64, "n": np.uint32}
 _SHARED = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "df": np.uint32}
-_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32}
+_SIGNED = {f"{order}{k}": np.uint64 for order in "ad" for k in range(_WORDS)}
+_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32} | _SIGNED
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """Tokens of a set of n among which, under any order, a similar set has one too."""
+    return n.astype(np.int64) - least(n) + 1
 
 
 def least(n: np.ndarray) -> np.ndarray:
@@ -95,62 +120,107 @@ def classes(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return B.mix(total.view(np.uint64) + np.diff(ptr).astype(np.uint64)).view(np.int64)
 
 
-def sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and cls (a hash of the set) of each row."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            raw, off = B.text_bytes(part.column(1))
-            for i, j, data, cuts in B.blocks(raw, off, 1 << 20):
-                token, ptr = shingles(data, cuts)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(np.diff(ptr).astype(np.int64)), pa.array(classes(token, ptr))], ["doc_id", "n_shingles", "cls"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, cls long")
-
-
-def _tokens_out(n_buckets: int):
-    """Every token of every class of a task, dealt to token buckets."""
+def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, cls, size, place in the set) of the classes that are new to the task, some megabytes of text at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size, seen = 0, np.zeros(0, np.int64)
+    for part in parts:
+        raw, off = B.text_bytes(part.column(column))
+        for _, _, data, cuts in B.blocks(raw, off, 1 << 20):
+            token, ptr = shingles(data, cuts)
+            cls, n = classes(token, ptr), np.diff(ptr)
+            first = np.zeros(len(cls), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            first &= ~np.isin(cls, seen) & (n > 0)  # a copy in the same flush adds nothing
+            seen = np.concatenate([seen, cls[first]])
+            chosen = np.repeat(first, n)
+            place = np.arange(len(token)) - np.repeat(ptr[:-1], n)
+            held.append((token[chosen], np.repeat(cls[first], n[first]), np.repeat(n[first], n[first]), place[chosen]))
+            size += len(data)
+            if size >= FLUSH_BYTES:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size, seen = [], 0, np.zeros(0, np.int64)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, row (null without one), n_shingles and cls (a hash of the set) of each row.
+
+    Rows with n_shingles -1 are tokens (`cls`) that many sets (`row`) of some part of the input hold.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        names = ["doc_id", "row", "n_shingles", "cls"]
+        held: list[np.ndarray] = []
         size, seen = 0, np.zeros(0, np.int64)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, seen
-            if held:
-                token, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                bucket = ((token >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
-                low, high = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((token >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
-                yield from blobs.deal(bucket, {"low": low, "high": high, "cls": cls, "n": n})
-            held, size, seen = [], 0, np.zeros(0, np.int64)
+        def often() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            token, n = token[n >= HOT_LOCAL].view(np.int64), n[n >= HOT_LOCAL].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.full(len(n), -1, np.int64)), pa.array(token)], names)
 
         for part in parts:
-            raw, off = B.text_bytes(part.column(0))
-            for _, _, data, cuts in B.blocks(raw, off, 1 << 20):
+            raw, off = B.text_bytes(part.column(1))
+            for i, j, data, cuts in B.blocks(raw, off, 1 << 20):
                 token, ptr = shingles(data, cuts)
                 cls, n = classes(token, ptr), np.diff(ptr)
+                own = [part.column(k).slice(i, j - i) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(cls)], names)
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
-                first &= ~np.isin(cls, seen) & (n > 0)  # a copy in the same task adds nothing
+                first &= ~np.isin(cls, seen)
                 seen = np.concatenate([seen, cls[first]])
-                chosen = np.repeat(first, n)
-                held.append((token[chosen], np.repeat(cls[first], n[first]), np.repeat(n[first], n[first]).astype(np.uint32)))
+                held.append(token[np.repeat(first, n)])
                 size += len(data)
                 if size >= FLUSH_BYTES:
-                    yield from flush()
-        yield from flush()
+                    yield often()
+                    held, size, seen = [], 0, np.zeros(0, np.int64)
+        if held:
+            yield often()
+
+    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
+    return picked.mapInArrow(run, "doc_id long, row long, n_shingles long, cls long")
+
+
+def _name(token: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each token, and the number that stands for it: its lower 48 bits and its bucket."""
+    bucket = (token >> np.uint64(40)) % np.uint64(n_buckets)
+    return bucket.astype(np.int32), (bucket << np.uint64(48)) | (token & np.uint64((1 << 48) - 1))
+
+
+def _tokens_out(n_buckets: int, hot: np.ndarray):
+    """Every token of every class of a task, dealt to token buckets; entries of hot ones to buckets by class."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, cls, n, place in _flushes(parts, 0):
+            p = prefix_length(n)
+            size = n.astype(np.uint32) | np.where(place < p, _ASCENDING, np.uint32(0)) | np.where(place >= n - p, _DESCENDING, np.uint32(0))
+            bucket, name = _name(token, n_buckets)
+            low, high = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((name >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                is_hot = hot[at] == token
+                low[is_hot] = at[is_hot]
+                bucket[is_hot] = (B.mix(cls[is_hot].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+                size |= np.where(is_hot, _HOT, np.uint32(0))
+            yield from blobs.deal(bucket, {"low": low, "high": high, "cls": cls, "n": size})
 
     return run
 
 
-def _share(n_buckets: int):
+def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
     """Tokens that two or more classes hold, with their number, dealt to class buckets."""
+    _, hot_names = _name(hot, n_buckets)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = blobs.gather(parts, _TOKEN)
         if got is None:
             return
-        token = (got["bucket"].astype(np.uint64) << np.uint64(40)) | (got["high"].astype(np.uint64) << np.uint64(32)) | got["low"]
+        is_hot = (got["n"] & _HOT) > 0
+        often = {k: c[is_hot] for k, c in got.items()}
+        got = {k: c[~is_hot] for k, c in got.items()}
+        token = (got["bucket"].astype(np.uint64) << np.uint64(48)) | (got["high"].astype(np.uint64) << np.uint64(32)) | got["low"]
         order = np.argsort(token)
         ranked = token[order]
         same = ranked[1:] == ranked[:-1]
@@ -168,6 +238,9 @@ def _share(n_buckets: int):
         df = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token)))).astype(np.uint32)
         shared = df > 1
         token, cls, n, df = token[shared], cls[shared], n[shared], df[shared]
+        if len(often["low"]):
+            token, cls, n = np.concatenate([token, hot_names[often["low"]]]), np.concatenate([cls, often["cls"]]), np.concatenate([n, often["n"]])
+            df = np.concatenate([df, hot_sets[often["low"]]])
         order = np.argsort(cls, kind="stable")
         token, cls, n, df = token[order], cls[order], n[order], df[order]
         bucket = (B.mix(cls.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
@@ -176,33 +249,45 @@ def _share(n_buckets: int):
     return run
 
 
+def signatures(token: np.ndarray, inside: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each set (tokens from `start` on) the bits of its tokens that are `inside`, _WORDS words each."""
+    bit = B.mix(token ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * _WORDS)
+    one = np.where(inside, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+    return np.stack([np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), start) for k in range(_WORDS)], 1)
+
+
 def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, and the prefix length."""
+    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the signatures."""
     got = blobs.gather(parts, _SHARED)
     if got is None:
         return
-    order = np.argsort(got["cls"], kind="stable")
-    cls, n = got["cls"][order], got["n"][order]
+    order = np.lexsort((got["token"], got["df"], got["cls"]))
+    cls, token = got["cls"][order], got["token"][order]
+    new = np.ones(len(cls), bool)  # copies in several tasks repeat the entries of hot tokens
+    new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
+    order = order[new]
+    cls, n = got["cls"][order], got["n"][order] & _SIZE
     start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     count = np.diff(np.append(start, len(cls)))
     enough = count >= least(n[start])
     order = order[np.repeat(enough, count)]
-    cls, n, token, df = (got[k][order] for k in ("cls", "n", "token", "df"))
-    order = np.lexsort((token, df, cls))
-    cls, n, token, df = cls[order], n[order], token[order], df[order]
+    cls, flags, token, df = (got[k][order] for k in ("cls", "n", "token", "df"))
     if not len(cls):
         return
+    n = flags & _SIZE
     start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     end = np.append(start[1:], len(cls))
     weight = np.add.reduceat(df.astype(np.float64), start) / n[start]
+    signed = np.concatenate([signatures(token, (flags & x) > 0, start) for x in (_ASCENDING, _DESCENDING)], 1)
     for i in range(0, len(start), 2000):
         a, b = start[i : i + 2000], end[i : i + 2000]
         prefix = (b - a) - least(n[a]) + 1
         tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(weight[i : i + 2000])], ["cls", "n", "prefix", "tokens", "weight"])
+        columns = [pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(weight[i : i + 2000])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed[i : i + 2000]], pa.binary())], ["cls", "n", "prefix", "tokens", "weight", "signed"])
 
 
-_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double"
+_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double, signed binary"
 
 
 def _bitmap(token: np.ndarray) -> np.ndarray:
@@ -219,10 +304,12 @@ def _postings_out(n_buckets: int, bitmaps: bool):
             for k in range(0, part.num_rows, 4000):
                 cut = part.slice(k, 4000)
                 full = [np.frombuffer(x, np.uint64) for x in cut.column(3).to_pylist()]
-                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 6))
+                signed = np.stack([np.frombuffer(x, np.uint64) for x in cut.column(5).to_pylist()])
                 token = np.concatenate([t[:q] for t, q in zip(full, prefix, strict=True)]) if full else np.zeros(0, np.uint64)
-                bucket = ((token >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
+                bucket = (B.mix(token) % np.uint64(n_buckets)).astype(np.int32)
                 columns = {"token": token, "cls": np.repeat(cls, prefix), "n": np.repeat(n, prefix).astype(np.uint32), "comp": np.repeat(comp, prefix), "weight": np.repeat(weight, prefix).astype(np.float32)}
+                columns |= {name: np.repeat(signed[:, i], prefix) for i, name in enumerate(_SIGNED)}
                 if bitmaps:
                     columns["shared"] = np.repeat(np.array([len(t) for t in full], np.uint32), prefix)
                     maps = np.stack([_bitmap(t) for t in full]) if full else np.zeros((0, _BITS // 64), np.uint64)
@@ -245,13 +332,25 @@ def _lists(got: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarra
     return {k: c[order] for k, c in got.items()}, end - count, end
 
 
+def in_all_orders(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether entries x and y of a posting list, which share a prefix token by rarity, can share one under both hash orders too."""
+    out = np.ones(np.broadcast(x, y).shape, bool)
+    for order in "ad":
+        common = np.zeros(out.shape, bool)
+        for k in range(_WORDS):
+            common |= (e[f"{order}{k}"][x] & e[f"{order}{k}"][y]) != 0
+        out &= common
+    return out
+
+
 def _sized(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether two sets are close enough in size."""
     return similar(np.minimum(n_a, n_b), n_a, n_b)
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    """Pairs (member, hub) without repeats; which of the two is called a stays."""
+    pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -271,7 +370,8 @@ def _hub_pairs(first: bool):
         if not first:
             outside = comp != comp[hub]  # there are some in every list
             hub = np.repeat(np.lexsort((cls, weight, ~outside, where))[start], end - start)
-        good = (comp != comp[hub]) & _sized(n, n[hub])
+        good = np.flatnonzero((comp != comp[hub]) & _sized(n, n[hub]))
+        good = good[in_all_orders(e, good, hub[good])]
         yield _pair_batch(cls[good], cls[hub[good]])
 
     return run
@@ -302,7 +402,7 @@ def _cross_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, q = p + i, q + i
             apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
             most = np.minimum((shared[p] + shared[q] - apart) // 2, np.minimum(shared[p], shared[q]))
-            good = similar(most, n[p], n[q])
+            good = similar(most, n[p], n[q]) & in_all_orders(e, p, q)
             found_a.append(cls[p[good]])
             found_b.append(cls[q[good]])
             n_found += int(good.sum())
@@ -314,22 +414,26 @@ def _cross_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, n and tokens of both) that pass the hash orders and the exact test."""
+    """The pairs (a, b, n and tokens of both) that are similar."""
     for part in parts:
-        a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
         n_a, n_b = part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64)
-        good = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(part.column(4), part.column(5), strict=True)):
-            s, t = (np.sort(np.frombuffer(z.as_buffer(), np.uint64)) for z in (x, y))
-            # prefixes of the whole sets; tokens that no other set holds are left out of s and t
-            p, q = n_a[k] - least(n_a[k : k + 1])[0] + 1, n_b[k] - least(n_b[k : k + 1])[0] + 1
-            if not len(np.intersect1d(s[:p], t[:q], True)) or not len(np.intersect1d(s[-p:], t[-q:], True)):
-                continue
-            good[k] = similar(len(np.intersect1d(s, t, True)), n_a[k], n_b[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-
-def components(edges: DataFrame, scratch: str) -> DataFrame:
+        inter = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True)) for x, y in zip(part.column(4), part.column(5), strict=True)]
+        good = pa.array(np.flatnonzero(similar(np.array(inter, np.int64), n_a, n_b)))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(good), part.column(1).take(good)], ["a", "b"])
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, shares: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table` (one row per key) where a key may hold a large part of `rows`.
+
+    Rows of a key are dealt to `shares` by the column `by`; the table's row is brought
+    to the shares that occur, so neither side has a key of more rows than a share.
+    """
+    dealt = rows.withColumn("share_", F.pmod(F.xxhash64(by), F.lit(shares)))
+    brought = dealt.select(key, "share_").distinct().join(table, key)
+    return dealt.join(brought, [key, "share_"], how).drop("share_")
+
+
+def components(edges: DataFrame, scratch: str, shares: int) -> DataFrame:
     """cls, comp: the smallest cls reachable from each end of `edges` (a, b).
 
     In each round every component's root takes the smallest root next to it and
@@ -346,32 +450,45 @@ def components(edges: DataFrame, scratch: str) -> DataFrame:
         if edges.isEmpty():
             return labels
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("root"), F.least("a", "low").alias("to"))
-        labels = labels.join(low, labels["comp"] == low["root"], "left").select("cls", F.coalesce("to", "comp").alias("comp"))
-        one, two = low.select(F.col("root").alias("a"), F.col("to").alias("to_a")), low.select(F.col("root").alias("b"), F.col("to").alias("to_b"))
-        edges = edges.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to"))
+        labels = salted_join(labels, low.select(F.col("a").alias("comp"), "to"), "comp", "cls", shares, "left").select("cls", F.coalesce("to", "comp").alias("comp"))
+        edges = salted_join(edges, low.select("a", F.col("to").alias("to_a")), "a", "b", shares)
+        edges = salted_join(edges, low.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b", "a", shares)
+        edges = edges.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         k += 1
 
 
-def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row.
+def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row; with `row` (a column of unique longs) also row and leads.
 
-    `scratch` is a folder that all executors share; a row of it holds a class's
-    shared tokens, so it is smaller than the texts.  `n_buckets` should grow with
-    the input (the number of shuffle partitions).
+    One row of each component leads: that of the smallest key, null last, then of the
+    smallest row.  `scratch` is a folder that all executors share; a row of it holds a
+    class's shared tokens, so it is smaller than the texts.  `n_buckets` is the least
+    number of buckets; large inputs have more.
     """
     spark = docs.sparkSession
-    sets(docs, text, key).withColumn("part", (F.monotonically_increasing_id() % n_buckets).cast("int")).write.mode("overwrite").parquet(f"{scratch}/sets")
-    dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets), blobs.SCHEMA)
-    shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets), blobs.SCHEMA)
+    sets(docs, text, key, row).withColumn("part", (F.monotonically_increasing_id() % n_buckets).cast("int")).write.mode("overwrite").parquet(f"{scratch}/sets")
+    rows = spark.read.parquet(f"{scratch}/sets")
+    total, n_sets = rows.where("n_shingles > 0").agg(F.sum("n_shingles"), F.count(F.lit(1))).first()
+    n_buckets = max(n_buckets, -(-(total or 0) // BUCKET_TOKENS))
+    # a token counts once per set and part, so no more than total / (HOT_SHARE * n_sets) are hot
+    often = rows.where("n_shingles = -1").groupBy("cls").agg(F.sum("row").alias("n")).where(F.col("n") >= HOT_SHARE * n_sets).toPandas()
+    hot, hot_sets = often["cls"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64).clip(2, 2**32 - 1).astype(np.uint32)
+    hot, hot_sets = hot[np.argsort(hot)], hot_sets[np.argsort(hot)]
+    rows = rows.where("n_shingles >= 0")
+
+    dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets, hot), blobs.SCHEMA)
+    shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets, hot, hot_sets), blobs.SCHEMA)
     blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors, _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
     survivors = spark.read.schema(_SURVIVOR).parquet(f"{scratch}/survivors")
 
-    none = spark.createDataFrame([], "a long, b long")
-    edges, tried, labels = none, none, None
-    for k in range(HUB_ROUNDS + 1):
-        placed = survivors.withColumn("comp", F.col("cls")) if labels is None else survivors.join(labels, "cls", "left").select(*survivors.columns, F.coalesce("comp", "cls").alias("comp"))
-        last = k == HUB_ROUNDS
+    labels = survivors.select("cls", F.col("cls").alias("comp"))
+    tried = spark.createDataFrame([], "a long, b long")
+    rounds = [*range(HUB_ROUNDS), "cross"]
+    while rounds:
+        k = rounds.pop(0)
+        last = k == "cross"
+        placed = survivors.join(labels, "cls")
         if last:
             mixed = blobs.by_bucket(placed.mapInArrow(_postings_out(n_buckets, False), blobs.SCHEMA), n_buckets).mapInArrow(_mixed_members, "cls long").distinct()
             placed = placed.join(mixed, "cls", "left_semi").select(*survivors.columns, "comp")
@@ -381,28 +498,39 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         pairs = spark.read.schema("a long, b long").parquet(f"{scratch}/pairs_{k}")
         one = survivors.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
         two = survivors.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-        checked = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(_verify, "a long, b long")
-        checked.write.mode("overwrite").parquet(f"{scratch}/links_{k}")
+        both = salted_join(pairs.join(one, "a"), two, "b", "a", n_buckets).select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+        both.mapInArrow(_verify, "a long, b long").write.mode("overwrite").parquet(f"{scratch}/links_{k}")
         links = spark.read.schema("a long, b long").parquet(f"{scratch}/links_{k}")
-        tried, edges = tried.union(pairs), edges.union(links)
-        labels = components(edges, f"{scratch}/components_{k}")
+        if links.isEmpty():  # nothing joins, so further hub rounds would try the same
+            rounds = rounds[-1:]
+            continue
+        tried = tried.union(pairs)
+        # the links join components of the rounds before
+        ends = links.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("comp_a")), "a")
+        ends = salted_join(ends, labels.select(F.col("cls").alias("b"), F.col("comp").alias("comp_b")), "b", "a", n_buckets)
+        ends = ends.where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+        moved = components(ends, f"{scratch}/components_{k}", n_buckets).select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
+        salted_join(labels, moved, "comp", "cls", n_buckets, "left").select("cls", F.coalesce("to", "comp").alias("comp")).write.mode("overwrite").parquet(f"{scratch}/classes_{k}")
+        labels = spark.read.parquet(f"{scratch}/classes_{k}")
 
-    return smallest_ids(spark.read.parquet(f"{scratch}/sets"), labels, n_buckets)
+    return smallest_ids(rows, labels, n_buckets, row is not None)
 
 
-def smallest_ids(rows: DataFrame, labels: DataFrame, shares: int) -> DataFrame:
-    """doc_id, n_shingles, component_id from the classes of `rows` (with `part`, any fixed spread) and their components.
+def smallest_ids(rows: DataFrame, labels: DataFrame, shares: int, with_rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (and row, leads) from the classes of `rows` (with `part`, any fixed spread) and their components.
 
     A class or a component may hold a third of all rows, so neither is a join key
     by itself: copies of a class fold by (class, part), the classes of a component
     by (component, share), and ids come back the same two ways.  A text without
     shingles is a class of its own.
     """
-    heads = rows.where("n_shingles > 0").groupBy("cls", "part").agg(F.min("doc_id").alias("low"))
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    heads = rows.where("n_shingles > 0").groupBy("cls", "part").agg(least_row.alias("low"))
     heads = heads.join(labels, "cls", "left").select("cls", "part", "low", F.coalesce("comp", "cls").alias("comp"), F.pmod(F.xxhash64("cls", "part"), F.lit(shares)).alias("share"))
     folded = heads.groupBy("comp", "share").agg(F.min("low").alias("low"))
-    lowest = folded.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = folded.join(lowest, "comp").select("comp", "share", "component_id")
-    by_class = heads.join(named, ["comp", "share"]).select("cls", "part", "component_id")
+    lowest = folded.groupBy("comp").agg(F.min("low").alias("first"))
+    named = folded.join(lowest, "comp").select("comp", "share", "first")
+    by_class = heads.join(named, ["comp", "share"]).select("cls", "part", "first")
     placed = rows.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls"))).join(by_class, ["cls", "part"], "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = placed.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "row", F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("leads"))
+    return out if with_rows else out.drop("row", "leads")
