@@ -18,8 +18,9 @@ other signs.  Ids and decoded text equal that library's.
 
 Defined cases: null and empty texts have no tokens and decode to empty text;
 special tokens' strings in a text are those tokens, as in the library; equal
-texts get equal ids; extra columns are not read; an empty table gives an empty
-table.
+texts get equal ids, repeated rows too, whatever their doc_id; equal ranks don't
+occur, of equal places the leftmost merges first; very long texts and words take
+constant memory; extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,6 +50,15 @@ CACHE_BYTES = 64
 # White space and word patterns of the tokenizer file's kind.
 _WHITE = r"\t\n\x0B\f\r \x85\xA0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_UNUSED = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
 _RUNS = (regex.compile(r"\p{L}*+"), regex.compile(rf"[^{_WHITE}\p{{L}}\p{{N}}]*+"))
 _LETTER = regex.compile(r"\p{L}")
 
@@ -77,6 +87,8 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (_NORMALIZER, _PRE_TOKENIZER) or model["type"] != "BPE" or any(model.get(x) for x in _UNUSED):
+            raise ValueError(f"{path}: another normalization, split or kind of BPE than this encoder's")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}

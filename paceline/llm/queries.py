@@ -57,8 +57,7 @@ def op4_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n_blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return syncmers.compare_with_next(_table(spark, sf_dir, "documents"), n_blocks)
+    return syncmers.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

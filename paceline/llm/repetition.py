@@ -6,9 +6,10 @@ shorter windows, so each n only looks at the places where n-1 found something.
 The work is one pass over the rows without a shuffle.
 
 Defined cases: null or empty text has no words and fails the base rule; a text
-with fewer than n words has no n-gram; equal rows give equal results; columns
-other than the text and the kept ones are not read; an empty table gives an
-empty table.  Words and windows are compared by 64-bit hashes.
+with fewer than n words has no n-gram; equal rows, ids repeated or null, give
+equal results; a share that equals its limit passes; columns other than the text
+and the kept ones are not read; an empty table gives an empty table; a very long
+text is a block of its own, read whole.  Words and windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
