@@ -5,9 +5,12 @@ kept and returns a DataFrame; `run` writes it as Parquet to the shared folder an
 reads it again for the next stage.  All but the last return the columns of
 `documents`.
 
-Defined cases: nulls, empty texts, repeated rows and empty tables are handled as
-the operators' docstrings say; documents that the first stage gives no score of
-0.3 or more stay.
+Rows are told apart by a number of their own inside a stage, not by doc_id, so rows
+with equal or null ids stay separate rows.
+
+Defined cases: nulls, empty and very long texts, repeated rows, ties and empty
+tables are handled as the operators' docstrings say; a document that the first
+stage gives a score of exactly 0.3 goes; columns of any name are passed on.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm import bpe_stream, jaccard, mixing, surrogates, toxicity
+from paceline.llm.batches import free_names
 from paceline.llm.queries import SURROGATE_KEY, tokenizer_path, toxicity_model
 from paceline.llm.shared import scratch_folder
 
@@ -30,15 +34,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest doc_id (null ids stay)."""
+    """One row of each near-duplicate group, that of smallest doc_id (null last; of equal ids any); rows without a word stay."""
+    folder = scratch_folder(spark, "jaccard")
+    row = free_names(docs.columns, ["row"])[0]
+    docs.withColumn(row, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = jaccard.near_duplicates(docs, scratch_folder(spark, "jaccard"), n_buckets)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id and its text are near duplicates of each other as well
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+    found = jaccard.near_duplicates(rows, folder, n_buckets, row=row)
+    dropped = found.where("NOT leads").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +56,15 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (not at all, once, up to three times); rows with equal or null ids are taken one by one."""
     folder = scratch_folder(spark, "mix")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
+    row, same, copies, turn = free_names(docs.columns, ["row", "same", "copies", "turn"])
+    docs.withColumn(row, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    same = rows.withColumn("__same", F.xxhash64("doc_id", "source", "text"))
-    mixing.with_size(same, keep=("__row", "__same", "source")).write.mode("overwrite").parquet(f"{folder}/row_sizes")
-    mixing.with_row_keys(spark.read.parquet(f"{folder}/row_sizes"), "__row", "__same").write.mode("overwrite").parquet(f"{folder}/sizes")
-    copies = mixing.mix_sizes(spark.read.parquet(f"{folder}/sizes"), folder, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
-    taken = rows.join(copies, "__row")
-    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    sized = mixing.with_size(rows.withColumn(same, F.xxhash64("doc_id", "source", "text")), keep=(row, same, "source"))
+    sized.write.mode("overwrite").parquet(f"{folder}/row_sizes")
+    mixing.with_row_keys(spark.read.parquet(f"{folder}/row_sizes"), row, same).write.mode("overwrite").parquet(f"{folder}/sizes")
+    due = mixing.mix_sizes(spark.read.parquet(f"{folder}/sizes"), folder, keep=(row,)).where("copies > 0")
+    taken = rows.join(due.select(row, F.col("copies").cast("int").alias(copies)), row)
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
