@@ -8,11 +8,11 @@ token among the first n - ceil(t n) + 1 of each.  Three orders are used.
   prefix tokens occur nowhere else has no partner: it must have ceil(t n) tokens
   that some other set holds too.  Sets that have are few; only they go on, with
   their shared tokens, and their prefix makes posting lists.
-* Ascending and descending hash.  Each set's prefixes under these orders travel
-  with its postings as two bit signatures.  Two sets of a list are a candidate only
-  if their signatures have a bit in common under both orders as well, so the three
-  filters are intersected where a candidate arises; only the tokens of candidates
-  are fetched, and the overlap counted.
+* Ascending and descending hash.  Each set keeps its prefixes under these orders as
+  32-bit hashes.  A pair of a posting list stays a candidate only if the prefixes of
+  the two share a token under both orders as well; for that a quarter of the tokens
+  of each is read.  The whole sets are fetched only for pairs that pass all three
+  filters, and their overlap counted.
 
 Equal sets are one class from the start, so copies cost nothing more.  Within the
 posting list of a token no pairs are made between sets already in one component:
@@ -53,12 +53,14 @@ NUM, DEN = 75, 100
 FLUSH_BYTES = 6 << 20
 #: Tokens of a bucket, about; there are at least as many buckets as asked for.
 BUCKET_TOKENS = 4 << 20
+#: Prefix tokens whose posting lists make a bucket, about.
+LIST_TOKENS = 1 << 20
 #: Sets among those of a flush that make a token a candidate for a hot one, and the share of all sets that makes it one.
 HOT_LOCAL, HOT_SHARE = 16, 1 / 500
 HUB_ROUNDS = 3
 _BITS = 1024
-#: Words of 64 bits in the signature of a prefix.
-_WORDS = 4
+#: Candidates of one hub that are joined in one share.
+HUB_PAIRS = 256
 
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,8 +69,7 @@ _LOWER[65:91] += 32
 _ASCENDING, _DESCENDING, _HOT, _SIZE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32(1 << 29), np.uint32((1 << 29) - 1)
 _TOKEN = {"low": np.uint32, "high": np.uint16, "cls": np.int64, "n": np.uint32}
 _SHARED = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "df": np.uint32}
-_SIGNED = {f"{order}{k}": np.uint64 for order in "ad" for k in range(_WORDS)}
-_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32} | _SIGNED
+_POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32}
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -249,15 +250,8 @@ def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
     return run
 
 
-def signatures(token: np.ndarray, inside: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each set (tokens from `start` on) the bits of its tokens that are `inside`, _WORDS words each."""
-    bit = B.mix(token ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * _WORDS)
-    one = np.where(inside, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-    return np.stack([np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), start) for k in range(_WORDS)], 1)
-
-
 def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the signatures."""
+    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the prefixes by hash."""
     got = blobs.gather(parts, _SHARED)
     if got is None:
         return
@@ -278,16 +272,18 @@ def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     end = np.append(start[1:], len(cls))
     weight = np.add.reduceat(df.astype(np.float64), start) / n[start]
-    signed = np.concatenate([signatures(token, (flags & x) > 0, start) for x in (_ASCENDING, _DESCENDING)], 1)
+    short = (B.mix(token) >> np.uint64(32)).astype(np.uint32)
+    ahead = [(flags & x) > 0 for x in (_ASCENDING, _DESCENDING)]
     for i in range(0, len(start), 2000):
         a, b = start[i : i + 2000], end[i : i + 2000]
         prefix = (b - a) - least(n[a]) + 1
         tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
         columns = [pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(weight[i : i + 2000])]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in signed[i : i + 2000]], pa.binary())], ["cls", "n", "prefix", "tokens", "weight", "signed"])
+        both = [pa.array([np.sort(short[x:y][inside[x:y]]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary()) for inside in ahead]
+        yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "prefix", "tokens", "weight", "ascending", "descending"])
 
 
-_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double, signed binary"
+_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double, ascending binary, descending binary"
 
 
 def _bitmap(token: np.ndarray) -> np.ndarray:
@@ -304,12 +300,10 @@ def _postings_out(n_buckets: int, bitmaps: bool):
             for k in range(0, part.num_rows, 4000):
                 cut = part.slice(k, 4000)
                 full = [np.frombuffer(x, np.uint64) for x in cut.column(3).to_pylist()]
-                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 6))
-                signed = np.stack([np.frombuffer(x, np.uint64) for x in cut.column(5).to_pylist()])
+                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
                 token = np.concatenate([t[:q] for t, q in zip(full, prefix, strict=True)]) if full else np.zeros(0, np.uint64)
                 bucket = (B.mix(token) % np.uint64(n_buckets)).astype(np.int32)
                 columns = {"token": token, "cls": np.repeat(cls, prefix), "n": np.repeat(n, prefix).astype(np.uint32), "comp": np.repeat(comp, prefix), "weight": np.repeat(weight, prefix).astype(np.float32)}
-                columns |= {name: np.repeat(signed[:, i], prefix) for i, name in enumerate(_SIGNED)}
                 if bitmaps:
                     columns["shared"] = np.repeat(np.array([len(t) for t in full], np.uint32), prefix)
                     maps = np.stack([_bitmap(t) for t in full]) if full else np.zeros((0, _BITS // 64), np.uint64)
@@ -332,17 +326,6 @@ def _lists(got: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarra
     return {k: c[order] for k, c in got.items()}, end - count, end
 
 
-def in_all_orders(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether entries x and y of a posting list, which share a prefix token by rarity, can share one under both hash orders too."""
-    out = np.ones(np.broadcast(x, y).shape, bool)
-    for order in "ad":
-        common = np.zeros(out.shape, bool)
-        for k in range(_WORDS):
-            common |= (e[f"{order}{k}"][x] & e[f"{order}{k}"][y]) != 0
-        out &= common
-    return out
-
-
 def _sized(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether two sets are close enough in size."""
     return similar(np.minimum(n_a, n_b), n_a, n_b)
@@ -370,8 +353,7 @@ def _hub_pairs(first: bool):
         if not first:
             outside = comp != comp[hub]  # there are some in every list
             hub = np.repeat(np.lexsort((cls, weight, ~outside, where))[start], end - start)
-        good = np.flatnonzero((comp != comp[hub]) & _sized(n, n[hub]))
-        good = good[in_all_orders(e, good, hub[good])]
+        good = (comp != comp[hub]) & _sized(n, n[hub])
         yield _pair_batch(cls[good], cls[hub[good]])
 
     return run
@@ -402,7 +384,7 @@ def _cross_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, q = p + i, q + i
             apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
             most = np.minimum((shared[p] + shared[q] - apart) // 2, np.minimum(shared[p], shared[q]))
-            good = similar(most, n[p], n[q]) & in_all_orders(e, p, q)
+            good = similar(most, n[p], n[q])
             found_a.append(cls[p[good]])
             found_b.append(cls[q[good]])
             n_found += int(good.sum())
@@ -413,13 +395,39 @@ def _cross_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(np.concatenate(found_a), np.concatenate(found_b))
 
 
+def _common(a: pa.Array, b: pa.Array, kind: type) -> np.ndarray:
+    """Numbers that two packed lists without repeats share, pair by pair."""
+    return np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind))) for x, y in zip(a, b, strict=True)], np.int64)
+
+
+def _in_all_orders(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, share_, prefixes of both) that share a prefix token under both hash orders too."""
+    for part in parts:
+        good = np.ones(part.num_rows, bool)
+        for k in (3, 4):
+            good[good] = _common(part.column(k).filter(pa.array(good)), part.column(k + 2).filter(pa.array(good)), np.uint32) > 0
+        yield part.select(["a", "b", "share_"]).filter(pa.array(good))
+
+
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, n and tokens of both) that are similar."""
+    """The pairs (a, b, share_, n and tokens of both) that are similar."""
     for part in parts:
-        n_a, n_b = part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64)
-        inter = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True)) for x, y in zip(part.column(4), part.column(5), strict=True)]
-        good = pa.array(np.flatnonzero(similar(np.array(inter, np.int64), n_a, n_b)))
-        yield pa.RecordBatch.from_arrays([part.column(0).take(good), part.column(1).take(good)], ["a", "b"])
+        n_a, n_b = part.column(3).to_numpy().astype(np.int64), part.column(5).to_numpy().astype(np.int64)
+        good = similar(_common(part.column(4), part.column(6), np.uint64), n_a, n_b)
+        yield part.select(["a", "b"]).filter(pa.array(good))
+
+
+def in_shares(pairs: DataFrame, shares: int) -> DataFrame:
+    """`pairs` with share_: the pairs of a hub b in parts of about HUB_PAIRS."""
+    dealt = salted_join(pairs, pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n_")), "b", "a", shares)
+    return dealt.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n_") / HUB_PAIRS)).alias("share_"))
+
+
+def with_columns_of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """`pairs` (a, b, share_) with `columns` of the classes a and b; those of a hub come once to each of its shares."""
+    one, two = (table.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    brought = pairs.select("b", "share_").distinct().join(two, "b")
+    return pairs.join(one, "a").join(brought, ["b", "share_"]).select("a", "b", "share_", *[f"{c}_{x}" for x in "ab" for c in columns])
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, shares: int, how: str = "inner") -> DataFrame:
@@ -461,6 +469,9 @@ def components(edges: DataFrame, scratch: str, shares: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; with `row` (a column of unique longs) also row and leads.
 
+    Under `scratch` stay pairs_K, candidates_K and links_K of each round: the pairs that
+    share a prefix token by rarity, those that do under all orders, and the similar ones.
+
     One row of each component leads: that of the smallest key, null last, then of the
     smallest row.  `scratch` is a folder that all executors share; a row of it holds a
     class's shared tokens, so it is smaller than the texts.  `n_buckets` is the least
@@ -482,25 +493,29 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
     blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors, _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
     survivors = spark.read.schema(_SURVIVOR).parquet(f"{scratch}/survivors")
 
+    n_lists = max(n_buckets // 4, -(-(survivors.agg(F.sum("prefix")).first()[0] or 0) // LIST_TOKENS))
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{scratch}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{scratch}/{name}")
+
     labels = survivors.select("cls", F.col("cls").alias("comp"))
     tried = spark.createDataFrame([], "a long, b long")
     rounds = [*range(HUB_ROUNDS), "cross"]
     while rounds:
         k = rounds.pop(0)
         last = k == "cross"
-        placed = survivors.join(labels, "cls")
+        placed = survivors.withColumn("comp", F.col("cls")) if k == 0 else survivors.join(labels, "cls")
+        placed = placed.select("cls", "n", "prefix", "tokens", "weight", "comp")
         if last:
-            mixed = blobs.by_bucket(placed.mapInArrow(_postings_out(n_buckets, False), blobs.SCHEMA), n_buckets).mapInArrow(_mixed_members, "cls long").distinct()
-            placed = placed.join(mixed, "cls", "left_semi").select(*survivors.columns, "comp")
-        postings = blobs.by_bucket(placed.mapInArrow(_postings_out(n_buckets, last), blobs.SCHEMA), n_buckets)
+            mixed = blobs.by_bucket(placed.mapInArrow(_postings_out(n_lists, False), blobs.SCHEMA), n_lists).mapInArrow(_mixed_members, "cls long").distinct()
+            placed = placed.join(mixed, "cls", "left_semi")
+        postings = blobs.by_bucket(placed.mapInArrow(_postings_out(n_lists, last), blobs.SCHEMA), n_lists)
         pairs = postings.mapInArrow(_cross_pairs if last else _hub_pairs(k == 0), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs.write.mode("overwrite").parquet(f"{scratch}/pairs_{k}")
-        pairs = spark.read.schema("a long, b long").parquet(f"{scratch}/pairs_{k}")
-        one = survivors.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-        two = survivors.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-        both = salted_join(pairs.join(one, "a"), two, "b", "a", n_buckets).select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
-        both.mapInArrow(_verify, "a long, b long").write.mode("overwrite").parquet(f"{scratch}/links_{k}")
-        links = spark.read.schema("a long, b long").parquet(f"{scratch}/links_{k}")
+        pairs = kept(pairs, f"pairs_{k}")
+        candidates = with_columns_of_both(in_shares(pairs, n_buckets), survivors, ["ascending", "descending"])
+        candidates = kept(candidates.mapInArrow(_in_all_orders, "a long, b long, share_ long"), f"candidates_{k}")
+        links = kept(with_columns_of_both(candidates, survivors, ["n", "tokens"]).mapInArrow(_verify, "a long, b long"), f"links_{k}")
         if links.isEmpty():  # nothing joins, so further hub rounds would try the same
             rounds = rounds[-1:]
             continue
@@ -510,8 +525,7 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         ends = salted_join(ends, labels.select(F.col("cls").alias("b"), F.col("comp").alias("comp_b")), "b", "a", n_buckets)
         ends = ends.where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
         moved = components(ends, f"{scratch}/components_{k}", n_buckets).select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
-        salted_join(labels, moved, "comp", "cls", n_buckets, "left").select("cls", F.coalesce("to", "comp").alias("comp")).write.mode("overwrite").parquet(f"{scratch}/classes_{k}")
-        labels = spark.read.parquet(f"{scratch}/classes_{k}")
+        labels = kept(salted_join(labels, moved, "comp", "cls", n_buckets, "left").select("cls", F.coalesce("to", "comp").alias("comp")), f"classes_{k}")
 
     return smallest_ids(rows, labels, n_buckets, row is not None)
 
