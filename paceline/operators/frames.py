@@ -116,21 +116,17 @@ def dense(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return frames.join(rows, [*KEY, "frame"], "left")
 
 
-def smoothed(rows: DataFrame, low: float = 0.1, high: float = 0.3, threshold: float = 5.0, gap: int = 5) -> DataFrame:
+def smoothed(rows: DataFrame, low: float = 0.1, high: float = 0.3, threshold: float = 5.0) -> DataFrame:
     """Adaptive exponential smoothing of each track's positions.
 
-    The weight of a new position falls from `high` to `low` as the step grows;
-    after more than `gap` missing frames smoothing starts again.  Each position
-    needs the smoothed one before, so a track is one group.
+    The weight of a new position falls from `high` to `low` as the step grows.
+    Each position needs the smoothed one before, so a track is one group.
     """
 
     def run(track: pd.DataFrame) -> pd.DataFrame:
         track = track.sort_values("frame")
         out = track[["map_x", "map_y"]].to_numpy(float).copy()
-        frame = track["frame"].to_numpy()
         for k in range(1, len(out)):
-            if frame[k] - frame[k - 1] > gap:
-                continue
             step = float(np.hypot(*(out[k] - out[k - 1])))
             f = min(high, max(low, 1 - step / threshold))
             out[k] = f * out[k] + (1 - f) * out[k - 1]
@@ -140,12 +136,13 @@ def smoothed(rows: DataFrame, low: float = 0.1, high: float = 0.3, threshold: fl
     return rows.groupBy(*KEY).applyInPandas(run, rows.schema)
 
 
-def gaussian_smoothed(rows: DataFrame, tau: float = 10.0, block: int = 400, overlap: int = 60) -> DataFrame:
+def gaussian_smoothed(rows: DataFrame, tau: float = 10.0) -> DataFrame:
     """Positions of each track smoothed by a Gaussian process (RBF kernel, unit noise).
 
-    The length scale follows from the size of the track: tau * ln(tau^3 / n),
-    within 1/tau and tau^2.  Long tracks are solved in blocks that overlap, so a
-    solve has `block` + 2 * `overlap` rows at most.
+    The length scale follows from the size n of the track: tau * ln(tau^3 / n),
+    within 1/tau and tau^2.  A track is solved whole.  The kernel falls to nothing a
+    few length scales away, so the equations are a band; from tau^3 rows on they are
+    one by one.
     """
 
     def run(track: pd.DataFrame) -> pd.DataFrame:
@@ -153,15 +150,40 @@ def gaussian_smoothed(rows: DataFrame, tau: float = 10.0, block: int = 400, over
         t, v = track["frame"].to_numpy(float), track[["map_x", "map_y"]].to_numpy(float)
         n = len(t)
         scale = float(np.clip(tau * np.log(tau**3 / n), 1 / tau, tau**2))
-        out = np.empty_like(v)
-        for a in range(0, n, block):
-            b = min(n, a + block)
-            i, j = max(0, a - overlap), min(n, b + overlap)
-            mean = v[i:j].mean(0)
-            kernel = np.exp(-((t[i:j, None] - t[None, i:j]) ** 2) / (2 * scale**2))
-            solved = kernel[a - i : b - i] @ np.linalg.solve(kernel + np.eye(j - i), v[i:j] - mean) + mean
-            out[a:b] = solved
+        mean = v.mean(0)
+        out = _solved(t, v - mean, scale) + mean
         return track.assign(map_x=out[:, 0], map_y=out[:, 1])
 
     rows = rows.select(*KEY, "frame", "map_x", "map_y")
     return rows.groupBy(*KEY).applyInPandas(run, rows.schema)
+
+
+def _solved(t: np.ndarray, v: np.ndarray, scale: float, block: int = 256) -> np.ndarray:
+    """K (K + I)^-1 v for the kernel K of ascending times.
+
+    Blocks of rows are as long as the kernel reaches (1e-17 of its height), so each
+    meets only its neighbours and the system is solved block by block, exactly.
+    """
+    reach = 8.9 * scale
+    cuts = [0]
+    while cuts[-1] < len(t):
+        a = cuts[-1]
+        cuts.append(max(min(len(t), a + block), int(np.searchsorted(t, t[a] + reach, "right"))))
+    parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    kernel = lambda a, b: np.exp(-((t[a, None] - t[None, b]) ** 2) / (2 * scale**2))
+    pivots, rest = [], []
+    for k, p in enumerate(parts):  # block elimination
+        own, right = kernel(p, p) + np.eye(p.stop - p.start), v[p].copy()
+        if k:
+            side = kernel(p, parts[k - 1])
+            own -= side @ np.linalg.solve(pivots[-1], side.T)
+            right -= side @ np.linalg.solve(pivots[-1], rest[-1])
+        pivots.append(own)
+        rest.append(right)
+    x = np.empty_like(v)
+    for k in range(len(parts) - 1, -1, -1):
+        right = rest[k]
+        if k + 1 < len(parts):
+            right = right - kernel(parts[k], parts[k + 1]) @ x[parts[k + 1]]
+        x[parts[k]] = np.linalg.solve(pivots[k], right)
+    return v - x  # K (K + I)^-1 = I - (K + I)^-1

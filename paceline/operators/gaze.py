@@ -176,6 +176,12 @@ def seen_cells(gaze: DataFrame, boundary: Sequence[tuple[float, float]], half_an
     return rows.where(inside & G.point_in_polygon(x, y, boundary)).groupBy("run_id", "cx", "cy").agg(F.min("frame").alias("first_frame"))
 
 
+def on_map(rows: DataFrame, h: Column | Sequence[float]) -> DataFrame:
+    """Gaze rows in map space: origin and the point one step ahead go through the homography; rows of no direction are left out."""
+    rows = rows.where((F.col("dx") != 0) | (F.col("dy") != 0)).withColumn("o_", G.project(F.col("ox"), F.col("oy"), h)).withColumn("a_", G.project(F.col("ox") + F.col("dx"), F.col("oy") + F.col("dy"), h))
+    return rows.select("run_id", "track_id", "frame", F.col("o_.x").alias("ox"), F.col("o_.y").alias("oy"), (F.col("a_.x") - F.col("o_.x")).alias("dx"), (F.col("a_.y") - F.col("o_.y")).alias("dy"))
+
+
 def room_cells(boundary: Sequence[tuple[float, float]], step: float) -> int:
     """Cells whose centre is in the room."""
     xs, ys = [p[0] for p in boundary], [p[1] for p in boundary]

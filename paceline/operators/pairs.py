@@ -237,32 +237,47 @@ def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int =
     return rows.withColumn("block_", F.floor(F.col("frame") / FRAME_BLOCK)).groupBy("run_id", "block_").applyInPandas(lambda g: keep(g.drop(columns=["block_"])), rows.schema)
 
 
+def close_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None) -> DataFrame:
+    """`poses` with `close`: the poses of the frame of which more joints than the least lie near this one's.
+
+    Near is within `share` of the diagonal of this pose's extent; the least is half of
+    the joints unless given.  A pose is close to itself.
+    """
+    span = lambda c: F.array_max(F.transform("keypoints", lambda p: p[c])) - F.array_min(F.transform("keypoints", lambda p: p[c]))
+    own = poses.withColumn("reach_", F.hypot(span("x"), span("y")) * share)
+    others = poses.select("run_id", "frame", F.col("pose").alias("other_"), F.col("score").alias("score_"), F.col("keypoints").alias("k_"))
+    near = F.zip_with("keypoints", "k_", lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < F.col("reach_"))
+    least = F.size("keypoints").cast("double") / 2 if least_joints is None else F.lit(float(least_joints))
+    pairs = own.join(others, ["run_id", "frame"]).where(F.size(F.filter(near, lambda x: x)) > F.floor(least))
+    lists = pairs.groupBy("run_id", "frame", "pose").agg(F.collect_list(F.struct((-F.col("score_")).alias("rank"), F.col("other_").alias("pose"))).alias("close"))
+    return poses.join(lists, ["run_id", "frame", "pose"], "left")
+
+
 def suppressed_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None, top: int = 30) -> DataFrame:
-    """run_id, frame, pose of the poses left in each frame: a group of poses with many close joints leaves its best."""
-
-    def keep(block: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(g) for _, g in block.groupby("frame", sort=False)])
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        k = np.array([[(p["x"], p["y"]) for p in row] for row in group["keypoints"]], float)
-        score, names = group["score"].to_numpy(float), group["pose"].to_numpy()
-        joints = k.shape[1] // 2 if least_joints is None else least_joints
-        extent = np.sqrt(((k.max(1) - k.min(1)) ** 2).sum(1)) * share
-        near = (np.sqrt(((k[:, None] - k[None]) ** 2).sum(3)) < extent[:, None, None]).sum(2) > joints
-        gone, kept = set(), []
-        for i in np.lexsort((names, -score)):
-            if i in gone:
-                continue
-            close = np.flatnonzero(near[i])
-            best = i if not len(close) else close[np.lexsort((names[close], -score[close]))[0]]
-            if best not in gone:
-                kept.append(best)
-                gone |= {*close.tolist(), int(best), int(i)}
-        kept = sorted(kept, key=lambda i: (-score[i], names[i]))[:top]
-        return group.iloc[kept][["run_id", "frame", "pose"]]
+    """run_id, frame, pose of the poses left in each frame: of poses that lie close together the best is left (`top` of a frame at most).
+
+    The pairs are counted in columns; only the choice, which hangs on those before it, goes frame by frame.
+    """
+    rows = close_poses(poses, share, least_joints).select("run_id", "frame", "pose", (-F.col("score")).alias("rank"), "close")
+
+    def choose(block: pd.DataFrame) -> pd.DataFrame:
+        left = []
+        for (run, frame), group in block.sort_values(["rank", "pose"]).groupby(["run_id", "frame"], sort=False):
+            settled, leaders = set(), []
+            for r in group.itertuples(index=False):
+                if r.pose in settled:
+                    continue
+                around = [(x["rank"], x["pose"]) for x in r.close] if r.close is not None and len(r.close) else [(r.rank, r.pose)]
+                leader = min(around)
+                if leader[1] not in settled:
+                    leaders.append(leader)
+                settled.update(x for _, x in around)
+                settled.update((r.pose, leader[1]))
+            left += [(run, frame, pose) for _, pose in sorted(leaders)[:top]]
+        return pd.DataFrame(left, columns=["run_id", "frame", "pose"])
 
     kinds = ", ".join(f"{c} {poses.schema[c].dataType.simpleString()}" for c in ("run_id", "frame", "pose"))
-    return poses.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(keep, kinds)
+    return rows.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(choose, kinds)
 
 
 def box_recall(reference: DataFrame, test: DataFrame, least_iou: float = 0.5) -> DataFrame:

@@ -46,25 +46,21 @@ def timeline(chosen: DataFrame, gaps: DataFrame, vectors: DataFrame, total: Data
     return out.unionByName(_items(total, F.lit("total_entry_duration"), "total_time_of_entry", "duration", F.lit("Total Entry"), "start_frame", "end_frame", fps))
 
 
-def linked(flags: DataFrame, transitions: DataFrame) -> DataFrame:
+def linked(flags: DataFrame) -> DataFrame:
     """Flags with their metric_id and linked_item_id: the item that each was raised against.
 
-    Ids of pair, vector and wall flags end in the number of their item; a flag on
-    two entries of the same side is linked to the later one (by `transitions`).
+    Ids of pair and wall flags end in the number of their item; a flag on a vector goes
+    to that of its entry number, which a flag on two entries of one side does not have.
     """
-    number = F.regexp_extract("flag_id", r"_(\d+)$", 1)
-    later = transitions.select("run_id", F.lit("vector_direction_violation").alias("type"), F.col("transition_number").cast("string").alias("no_"), F.col("to_entry").cast("string").alias("later_"))
-    rows = flags.withColumn("no_", number).join(later, ["run_id", "type", "no_"], "left")
     kind = F.col("type")
     item = (
-        F.when(kind == "pair_time_violation", F.concat(F.lit("entrance_pair_"), "no_"))
-        .when(kind == "vector_unknown", F.concat(F.lit("entrance_vector_"), "no_"))
-        .when(kind == "vector_direction_violation", F.concat(F.lit("entrance_vector_"), "later_"))
+        F.when(kind == "pair_time_violation", F.concat(F.lit("entrance_pair_"), F.regexp_extract("flag_id", r"_(\d+)$", 1)))
+        .when(kind.isin("vector_unknown", "vector_direction_violation"), F.concat(F.lit("entrance_vector_"), F.col("entry_number").cast("string")))
         .when(kind == "total_entry_time_violation", F.lit("total_entry_duration"))
         .when(kind.isin("wall_too_close", "wall_too_far"), F.regexp_replace("flag_id", "^wall_too_(close|far)_", "wall_excursion_"))
     )
     metric = F.coalesce(*[F.when(kind == t, F.lit(m)) for t, m in FLAG_METRIC.items()])
-    return rows.select(*flags.columns, metric.alias("metric_id"), item.alias("linked_item_id"))
+    return flags.select("*", metric.alias("metric_id"), item.alias("linked_item_id"))
 
 
 def with_flag_ids(items: DataFrame, flags: DataFrame) -> DataFrame:

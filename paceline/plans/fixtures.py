@@ -22,9 +22,9 @@ ROOM = Room(
 #: The same views in SQL (one WITH list without the keyword).
 SQL = """
 base_ AS (SELECT l_suppkey AS s, l_linenumber AS ln, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rk FROM lineitem),
-positions AS (SELECT s // 5 AS run_id, CASE WHEN s % 5 = 0 THEN 99 ELSE s % 5 END AS track_id, rk + (s * s * 17 + s * 53) % 240 AS frame,
+positions AS MATERIALIZED (SELECT s // 5 AS run_id, CASE WHEN s % 5 = 0 THEN 99 ELSE s % 5 END AS track_id, rk + (s * s * 17 + s * 53) % 240 AS frame,
   CAST(22 + abs((rk * 3 + s * 97) % 856 - 428) AS DOUBLE) AS map_x, CAST(abs((rk * 2 + s * 61) % 632 - 316) AS DOUBLE) AS map_y, rk, s FROM base_ WHERE ln <> 7),
-detections AS (SELECT *, 2 * map_x - 20 AS x1, 2 * map_y - 60 AS y1, 2 * map_x + 20 AS x2, 2 * map_y + 20 AS y2, CAST((rk * 7 + s * 13) % 100 AS DOUBLE) / 100 AS confidence,
+detections AS MATERIALIZED (SELECT *, 2 * map_x - 20 AS x1, 2 * map_y - 60 AS y1, 2 * map_x + 20 AS x2, 2 * map_y + 20 AS y2, CAST((rk * 7 + s * 13) % 100 AS DOUBLE) / 100 AS confidence,
   CASE WHEN track_id = 99 THEN 'inroom' WHEN s % 3 = 0 THEN NULL ELSE 'entry' END AS identity_role, track_id = 99 AS is_inroom, (track_id <> 99 AND rk >= 4) AS is_entry FROM positions),
 friends AS (SELECT * FROM positions WHERE track_id <> 99),
 spans AS (SELECT run_id, track_id, count(*) AS n_samples, min(frame) AS first_frame, max(frame) AS last_frame FROM friends GROUP BY ALL),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..operators import compare, entry, gaze, pods, wall
 from ..streaming import live
 from . import fixtures as X
+from . import metrics as M
 from . import queries_entry as E
 from . import queries_room as R
 from . import sqltext as Q
@@ -172,21 +175,16 @@ def J10_threat_pairs(spark, d):
     return compare.threats(pairs(spark, d), gaze.per_threat(R._watched(spark, d)))
 
 
-def _summary(spark, d):
-    first = R._mapgaze(spark, d).where("dx <> 0 or dy <> 0").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
-    return gaze.coverage_summary(R._curve(spark, d), first, 30.0)
-
-
 @add(Q.query("SELECT pair_id, round(final_fraction_a - final_fraction_b, 6) AS delta, CASE WHEN final_fraction_a - final_fraction_b > 0.02 THEN 'HIGHER' WHEN final_fraction_a - final_fraction_b < -0.02 THEN 'LOWER' ELSE 'SAME' END AS verdict FROM " + both("summary", "", ["final_fraction"]), *R._R, R._SUM, _PAIRS))
 def C10_floor_coverage(spark, d):
     # every third run has no summary and falls back to its curve
-    out = compare.floor_coverage(pairs(spark, d), _summary(spark, d).where("run_id % 3 <> 0"), R._curve(spark, d))
+    out = compare.floor_coverage(pairs(spark, d), R._summary(spark, d).where("run_id % 3 <> 0"), R._curve(spark, d))
     return out.select("pair_id", r6("delta").alias("delta"), "verdict")
 
 
 @add(None)
 def C10_floor_coverage_whole(spark, d):
-    out = compare.floor_coverage(pairs(spark, d), R._whole_summary(spark, d).where("run_id % 3 <> 0"), R._whole_curve(spark, d))
+    out = compare.floor_coverage(pairs(spark, d), R._wholeR._summary(spark, d).where("run_id % 3 <> 0"), R._whole_curve(spark, d))
     return out.select("pair_id", r6("delta").alias("delta"), "verdict")
 
 
@@ -195,7 +193,7 @@ _TIMED = "timed AS (SELECT run_id, time_to_full AS t, CASE WHEN time_to_full IS
 
 @add(Q.query("SELECT pair_id, round(t_a - t_b, 6) AS time_delta, CASE WHEN t_a IS NULL AND t_b IS NULL THEN 'NEITHER' WHEN t_a IS NULL THEN 'REFERENCE ONLY' WHEN t_b IS NULL THEN 'TRAINEE ONLY' WHEN abs(t_a - t_b) <= 0.05 THEN 'SAME' WHEN t_a < t_b THEN 'FASTER' ELSE 'SLOWER' END AS trend, round(score_a - score_b, 6) AS score_delta, CASE WHEN score_a - score_b > 0.01 THEN 'BETTER' WHEN score_a - score_b < -0.01 THEN 'WORSE' ELSE 'SIMILAR' END AS score_verdict FROM " + both("timed", "", ["t", "score"]), *R._R, R._SUM, _TIMED, _PAIRS))
 def C11_coverage_time(spark, d):
-    out = compare.coverage_time(pairs(spark, d), _summary(spark, d), 4.0)
+    out = compare.coverage_time(pairs(spark, d), R._summary(spark, d), 4.0)
     return out.select("pair_id", r6("time_delta").alias("time_delta"), "trend", r6("score_delta").alias("score_delta"), "score_verdict")
 
 
@@ -205,7 +203,7 @@ def C11_coverage_time_whole(spark, d):
     return out.select("pair_id", r6("time_delta").alias("time_delta"), "trend", r6("score_delta").alias("score_delta"), "score_verdict")
 
 
-@add(Q.query("SELECT pair_id, pod_idx, round(h_a, 6) AS score_a, round(h_b, 6) AS score_b, round(h_a - h_b, 6) AS delta FROM " + both("held", "pod_idx", ["h"]), *R._G, R._SAMPLES, R._HOLD.replace("track_id, frame, exp", "track_id, pod_idx, frame, exp"), "held AS (SELECT run_id, pod_idx, avg(h) AS h FROM holding GROUP BY ALL)", _PAIRS))
+@add(Q.query("SELECT pair_id, pod_idx, round(h_a, 6) AS score_a, round(h_b, 6) AS score_b, round(h_a - h_b, 6) AS delta FROM " + both("held", "pod_idx", ["h"]), Q.TEAM, R._HOLD.replace("p.track_id, frame, exp", "p.track_id, pod_idx, frame, exp"), "held AS (SELECT run_id, pod_idx, avg(h) AS h FROM holding GROUP BY ALL)", _PAIRS))
 def C12_hold_area(spark, d):
     out = compare.holds(pairs(spark, d), R._hold(spark, d))
     return out.withColumns({c: r6(c) for c in ("score_a", "score_b", "delta")})
@@ -238,6 +236,8 @@ _PARTS = [
     ("move_along_wall", "SELECT run_id, coalesce(s, 0.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(avg(n_safe / n_seen), 2) AS s FROM adherence GROUP BY run_id) USING (run_id)"),
     ("threat_clearance", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(end_frame) / count(*), 2) AS s FROM cleared GROUP BY run_id) USING (run_id)"),
     ("teammate_coverage", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(*) FILTER (seen) / count(*), 2) AS s FROM seen GROUP BY run_id) USING (run_id)"),
+    ("threat_coverage", "SELECT run_id, round_even(coalesce(c / p, 1.0), 2) AS score FROM runs LEFT JOIN (SELECT run_id, count(*) AS p, count(*) FILTER (w) AS c FROM (SELECT run_id, frame, bool_or(watched) AS w FROM watched GROUP BY ALL) GROUP BY run_id) USING (run_id)"),
+    ("capture_pod_time", f"SELECT run_id, coalesce(s, 0.0) AS score FROM runs LEFT JOIN (SELECT run_id, round(avg(p), 2) AS s FROM (SELECT run_id, assigned_id, round(avg(CASE WHEN {R._T} IS NULL THEN 0.0 WHEN {R._T} <= l THEN 1.0 WHEN {R._T} - l >= l THEN 0.0 ELSE exp(-({R._T} - l) / (l - ({R._T} - l))) END), 2) AS p FROM (SELECT *, CASE pod_idx WHEN 0 THEN 2.0 ELSE 4.0 END AS l FROM captures) GROUP BY ALL) GROUP BY run_id) USING (run_id)"),
     ("room_coverage", "SELECT r.run_id, coalesce(final_fraction, 0.0) AS score FROM runs r LEFT JOIN summary USING (run_id)"),
     ("room_coverage_time", "SELECT r.run_id, round_even(coalesce(t.score, 0.0), 2) AS score FROM runs r LEFT JOIN timed t USING (run_id)"),
     ("capture_pods", "SELECT run_id, coalesce(s, 1.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(count(capture_frame) / count(*), 2) AS s FROM captures GROUP BY run_id) USING (run_id)"),
@@ -246,27 +246,17 @@ _PARTS = [
 _UNION = " UNION ALL ".join(f"SELECT run_id, '{name}' AS metric, score FROM ({body})" for name, body in _PARTS)
 
 
-def _all_metrics(spark, d, summary):
-    p = pos(spark, d)
-    runs = X.runs(p)
-    seen = gaze.teammate_coverage(R._seen(spark, d)).where("track_id is null").select("run_id", F.bround("score", 2).alias("score"))
-    whole = lambda rows, empty: runs.join(rows, "run_id", "left").select("run_id", F.coalesce("score", F.lit(empty)).alias("score"))
-    tables = {
-        "move_along_wall": wall.wall_scores(runs, wall.adherence(R._banded(spark, d), 30.0)), "threat_clearance": gaze.clearance_scores(runs, R._cleared(spark, d)), "teammate_coverage": whole(seen, 1.0),
-        "room_coverage": whole(summary.select("run_id", F.col("final_fraction").alias("score")), 0.0), "room_coverage_time": whole(summary.select("run_id", F.bround(gaze.coverage_time_score(F.col("time_to_full"), F.lit(4.0)), 2).alias("score")), 0.0),
-        "capture_pods": pods.capture_scores(runs, R._captures(spark, d)), "hold_area": pods.hold_scores(runs, R._hold(spark, d), 4),
-    }
-    out = E.R10_metrics(spark, d)
-    for name, table in tables.items():
-        out = out.unionByName(table.select("run_id", F.lit(name).alias("metric"), "score"))
-    return out
-
-
-@add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._C, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))
+def _all_metrics(spark, d, step):
+    room = dataclasses.replace(ROOM, visual_angle=R.ANGLE, pod_limits=_LIMITS, floor_step=step)
+    tables = E.tables(spark, d) | {"boxes": X.detections(spark, d), "gaze": X.gaze(spark, d), "keypoints": X.keypoints(spark, d), "lengths": R._resolved(spark, d), "map_gaze": R._mapgaze(spark, d)}
+    return M.REGISTRY.run(tables, room)
+
+
+@add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._W, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))
 def R10_all_metrics(spark, d):
-    return _all_metrics(spark, d, _summary(spark, d))
+    return _all_metrics(spark, d, R.STEP)
 
 
 @add(None)
 def R10_all_metrics_whole(spark, d):
-    return _all_metrics(spark, d, R._whole_summary(spark, d))
+    return _all_metrics(spark, d, R.PIXEL)

@@ -245,7 +245,9 @@ def W9_threat_curve(spark, d):
 
 STEP = 20.0
 _LEN = 1.5 * math.hypot(428, 316)
-_MAPGAZE = "mapgaze AS (SELECT run_id, track_id, frame, map_x AS ox, map_y AS oy, CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx, CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy FROM friends WHERE rk % 17 = 5 AND ((rk + s) % 5 <> 2 OR (rk * 3 + s) % 5 <> 2))"
+_ON_MAP = [(E._px.format(x=x, y=y), E._py.format(x=x, y=y)) for x, y in (("ox", "oy"), ("(ox + dx)", "(oy + dy)"))]
+# Gaze goes to the map by its origin and the point one step ahead.
+_MAPGAZE = f"mapgaze AS (SELECT run_id, track_id, frame, {_ON_MAP[0][0]} AS ox, {_ON_MAP[0][1]} AS oy, {_ON_MAP[1][0]} - {_ON_MAP[0][0]} AS dx, {_ON_MAP[1][1]} - {_ON_MAP[0][1]} AS dy FROM gaze WHERE track_id <> 99 AND (dx <> 0 OR dy <> 0))"
 _turn = "(t{j}x - t{k}x) * (y - t{k}y) - (t{j}y - t{k}y) * (x - t{k}x)"
 _turns = [_turn.format(k=k, j=(k + 1) % 3) for k in range(3)]
 _CELLS = f"""grid AS (SELECT i AS cx, j AS cy, 22 + (i + 0.5) * {STEP!r} AS x, (j + 0.5) * {STEP!r} AS y FROM range(22) a(i), range(16) b(j)),
@@ -256,32 +258,29 @@ _R = (_MAPGAZE, _cones(15.0, _LEN, "mapgaze", "mapcones"), _CELLS)
 
 
 def _mapgaze(spark, d):
-    p = pos(spark, d).where("track_id <> 99 and rk % 17 = 5")
-    return p.selectExpr("run_id", "track_id", "frame", "map_x AS ox", "map_y AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
+    return gaze.on_map(X.gaze(spark, d).where("track_id <> 99"), H)
 
 
-def _curve(spark, d):
-    cells = gaze.seen_cells(_mapgaze(spark, d), ROOM.boundary, 15.0, STEP)
-    return gaze.coverage_curve(pos(spark, d), cells, gaze.room_cells(ROOM.boundary, STEP))
+def _curve(spark, d, step=STEP):
+    new = gaze.newly_seen(_mapgaze(spark, d), ROOM.boundary, 15.0, step)
+    return gaze.counted_curve(pos(spark, d), new, len(gaze.cell_grid(ROOM.boundary, step)[0]))
 
 
-# Every gaze ray and every map pixel; the queries above hold one ray in 17 and one pixel in 400, as their SQL does.
-PIXEL = 1.0
+def _summary(spark, d, step=STEP):
+    first = _mapgaze(spark, d).groupBy("run_id").agg(F.min("frame").alias("first_frame"))
+    return gaze.coverage_summary(_curve(spark, d, step), first, 30.0)
 
 
-def _every_mapgaze(spark, d):
-    p = pos(spark, d).where("track_id <> 99")
-    return p.selectExpr("run_id", "track_id", "frame", "map_x AS ox", "map_y AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
+# The queries with SQL have cells of 20 pixels; those named whole have every pixel, for which SQL is too slow.
+PIXEL = 1.0
 
 
 def _whole_curve(spark, d):
-    new = gaze.newly_seen(_every_mapgaze(spark, d), ROOM.boundary, 15.0, PIXEL)
-    return gaze.counted_curve(pos(spark, d), new, len(gaze.cell_grid(ROOM.boundary, PIXEL)[0]))
+    return _curve(spark, d, PIXEL)
 
 
 def _whole_summary(spark, d):
-    first = _every_mapgaze(spark, d).where("dx <> 0 or dy <> 0").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
-    return gaze.coverage_summary(_whole_curve(spark, d), first, 30.0)
+    return _summary(spark, d, PIXEL)
 
 
 @add(None)
@@ -310,9 +309,7 @@ _SUM = "summary AS (SELECT c.run_id, round((min(CASE WHEN fraction >= 1 THEN fra
 
 @add(Q.query("SELECT run_id, time_to_full, final_fraction, first_frame, CASE WHEN time_to_full IS NULL OR time_to_full >= 8 THEN 0.0 WHEN time_to_full <= 4 THEN 1.0 ELSE round(exp(-(time_to_full - 4) / (8 - time_to_full)), 6) END AS score FROM summary", *_R, _SUM))
 def A20_coverage_time(spark, d):
-    first = _mapgaze(spark, d).where("dx <> 0 or dy <> 0").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
-    s = gaze.coverage_summary(_curve(spark, d), first, 30.0)
-    return s.withColumn("score", r6(gaze.coverage_time_score(F.col("time_to_full"), F.lit(4.0))))
+    return _summary(spark, d).withColumn("score", r6(gaze.coverage_time_score(F.col("time_to_full"), F.lit(4.0))))
 
 
 @add(Q.query("SELECT run_id, round((frame - f) / 30.0, 6) AS t, fraction FROM curve JOIN (SELECT run_id, min(frame) AS f FROM friends GROUP BY run_id) USING (run_id) WHERE frame >= f", *_R))
@@ -367,19 +364,25 @@ def A10_robust_length(spark, d):
 _RESOLVED = "some_ AS (SELECT * FROM robust WHERE run_id % 3 <> 0 AND track_id % 2 = 1), resolved AS (SELECT c.run_id, c.track_id, coalesce(s.length, median(s.length) OVER (PARTITION BY c.run_id), 25.0) AS length, CASE WHEN s.length IS NOT NULL THEN 'track_keypoints' WHEN median(s.length) OVER (PARTITION BY c.run_id) IS NOT NULL THEN 'team_median' ELSE 'fallback_constant' END AS source FROM chosen c LEFT JOIN some_ s USING (run_id, track_id))"
 
 
+def _resolved(spark, d):
+    # some tracks have no length of their own, some runs no track that has one, so that every source occurs
+    some = wall.robust_lengths(_lengths_frame(spark, d)).where("run_id % 3 <> 0 and track_id % 2 = 1")
+    return wall.resolved_lengths(team(pos(spark, d)), some)
+
+
 @add(Q.query("SELECT run_id, track_id, round(length, 5) AS length, source FROM resolved", Q.TEAM, _ARM, _ROBUST, _RESOLVED))
 def A11_length_fallback(spark, d):
-    some = wall.robust_lengths(_lengths_frame(spark, d)).where("run_id % 3 <> 0 and track_id % 2 = 1")
-    return wall.resolved_lengths(team(pos(spark, d)), some).withColumn("length", F.round("length", 5))
+    return _resolved(spark, d).withColumn("length", F.round("length", 5))
 
 
-_WALL = f"banded AS (SELECT p.run_id, p.track_id, frame, CASE WHEN {Q.distance('map_x', 'map_y', ROOM.boundary)} > 25 THEN 'too_far' ELSE 'safe' END AS label FROM positions p JOIN chosen USING (run_id, track_id))"
+# The band of each track is as wide as its resolved arm length; the near bound is 0 lengths, so nothing is too close.
+_BANDED = f"banded AS (SELECT p.run_id, p.track_id, frame, CASE WHEN {Q.distance('map_x', 'map_y', ROOM.boundary)} > length THEN 'too_far' ELSE 'safe' END AS label FROM positions p JOIN resolved USING (run_id, track_id))"
+_WALL = ",\n".join([_ARM, _ROBUST, _RESOLVED, _BANDED])
 _ADHERE = "adherence AS (SELECT run_id, track_id, count(*) AS n_seen, count(*) FILTER (label = 'safe') AS n_safe, count(*) FILTER (label = 'too_far') AS n_too_far FROM banded GROUP BY ALL)"
 
 
 def _banded(spark, d):
-    lengths = team(pos(spark, d)).select("run_id", "track_id", F.lit(25.0).alias("length"))
-    return wall.banded(pos(spark, d), lengths, ROOM.boundary)
+    return wall.banded(pos(spark, d), _resolved(spark, d), ROOM.boundary)
 
 
 @add(Q.query("SELECT run_id, coalesce(s, 0.0) AS score FROM runs LEFT JOIN (SELECT run_id, round_even(avg(n_safe / n_seen), 2) AS s FROM adherence GROUP BY run_id) USING (run_id)", Q.TEAM, _WALL, _ADHERE))
@@ -428,7 +431,17 @@ def G2_assign_by_group(spark, d):
     return pods.assign_by_group(_vectors(spark, d), dataclasses.replace(ROOM, pod_groups=("A", "B", "A", "B")))
 
 
-@add(None)
+# The doorway is the first entrant's first position; pods right of it (+1) and left of it take turns.
+_DOORWAY = """early_ AS (SELECT p.run_id, map_x, map_y, row_number() OVER (PARTITION BY p.run_id ORDER BY frame) AS k FROM positions p JOIN chosen USING (run_id, track_id) WHERE entry_number = 1),
+way_ AS (SELECT run_id, min_by(map_x, k) AS wx, min_by(map_y, k) AS wy, max_by(map_x, k) AS lx, count(*) AS n FROM early_ WHERE k <= 30 GROUP BY run_id),
+way AS (SELECT *, CASE WHEN n < 2 THEN CASE WHEN wx >= 209.25 THEN 1 ELSE -1 END WHEN lx >= wx THEN 1 ELSE -1 END AS st FROM way_),
+spots_ AS (SELECT * FROM (VALUES (0, 75.0, 263.0), (1, 75.0, 53.0), (2, 290.0, 263.0), (3, 397.0, 263.0)) v(pod, px, py)),
+sided_ AS (SELECT run_id, st, pod, CASE WHEN px > wx THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY run_id, px > wx ORDER BY abs(py - wy) DESC, pod) AS r FROM way, spots_),
+turns_of_ AS (SELECT run_id, pod, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN side = st THEN 2 * r - 1 ELSE 2 * r END) AS entry_number FROM sided_),
+doorway AS (SELECT c.run_id, c.track_id, c.entry_number, t.pod AS pod_idx FROM chosen c LEFT JOIN turns_of_ t ON t.run_id = c.run_id AND t.entry_number = c.entry_number)"""
+
+
+@add(Q.query("SELECT * FROM doorway", Q.TEAM, _DOORWAY))
 def G3_assign_by_doorway(spark, d):
     p = pos(spark, d)
     return pods.assign_by_doorway(p, team(p), ROOM.pods)
@@ -493,20 +506,19 @@ def A17_capture_time_score(spark, d):
     return pods.capture_time_scores(X.runs(pos(spark, d)), _captures(spark, d), (2.0, 4.0))
 
 
-_px, _py = (f"[{', '.join(str(float(c[k])) for c in ROOM.pods)}][pod_idx + 1]" for k in (0, 1))
-_HOLD = f"holding AS (SELECT run_id, track_id, frame, exp(-(power(map_x - {_px}, 2) + power(map_y - {_py}, 2)) / 5000.0) AS h FROM samples WHERE pod_idx IS NOT NULL)"
+_HOLD = _DOORWAY + ",\nholding AS (SELECT p.run_id, p.track_id, frame, exp(-(power(map_x - px, 2) + power(map_y - py, 2)) / 5000.0) AS h FROM positions p JOIN doorway USING (run_id, track_id) JOIN spots_ ON pod = pod_idx)"
 
 
 def _hold(spark, d):
-    return pods.hold_samples(pos(spark, d), pods.assign_by_side(_vectors(spark, d), ROOM), ROOM.pods)
+    return pods.hold_samples(pos(spark, d), G3_assign_by_doorway(spark, d), ROOM.pods)
 
 
-@add(Q.query("SELECT run_id, CASE WHEN n >= 4 THEN round(s, 2) ELSE 0.0 END AS score FROM runs LEFT JOIN (SELECT run_id, avg(m) AS s, count(*) AS n FROM (SELECT run_id, track_id, avg(h) AS m FROM holding GROUP BY ALL) GROUP BY run_id) USING (run_id)", *_G, _SAMPLES, _HOLD))
+@add(Q.query("SELECT run_id, CASE WHEN n >= 4 THEN round(s, 2) ELSE 0.0 END AS score FROM runs LEFT JOIN (SELECT run_id, avg(m) AS s, count(*) AS n FROM (SELECT run_id, track_id, avg(h) AS m FROM holding GROUP BY ALL) GROUP BY run_id) USING (run_id)", Q.TEAM, _HOLD))
 def A18_hold_score(spark, d):
     return pods.hold_scores(X.runs(pos(spark, d)), _hold(spark, d), 4)
 
 
-@add(Q.query("SELECT run_id, frame, round(avg(m) OVER (PARTITION BY run_id ORDER BY frame), 6) AS hold_so_far FROM (SELECT run_id, frame, avg(h) AS m FROM holding GROUP BY ALL)", *_G, _SAMPLES, _HOLD))
+@add(Q.query("SELECT run_id, frame, round(avg(m) OVER (PARTITION BY run_id ORDER BY frame), 6) AS hold_so_far FROM (SELECT run_id, frame, avg(h) AS m FROM holding GROUP BY ALL)", Q.TEAM, _HOLD))
 def W10_hold_curve(spark, d):
     return pods.hold_curve(_hold(spark, d)).withColumn("hold_so_far", r6("hold_so_far"))
 
@@ -539,19 +551,20 @@ def J15_pose_affinity(spark, d):
     return rows.select("run_id", F.col("frame_a").alias("frame"), "track_id_a", "track_id_b", r6(s).alias("similarity"), r6(r).alias("reliability"))
 
 
-_EMB = "emb AS (SELECT vec_id, label, embedding, vec_id % 7 AS part FROM embeddings)"
+# Every tenth vector is the gallery's own, the query set those with an id that 100 divides, against all other rows.
+_LENGTH = "sqrt(list_sum(list_transform(embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))"
 
 
-@add("WITH g AS (SELECT label, embedding, vec_id % 7 AS part FROM embeddings WHERE vec_id % 10 <> 0), q AS (SELECT vec_id, embedding, vec_id % 7 AS part FROM embeddings WHERE vec_id % 10 = 0) SELECT label, vec_id, round(min(greatest(0.0, 1 - list_sum(list_transform(list_zip(g.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform(g.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))) * list_sum(list_transform(q.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))))), 5) AS distance FROM g JOIN q USING (part) GROUP BY ALL")
+@add(f"WITH e AS (SELECT vec_id, label, embedding, {_LENGTH} AS n FROM embeddings), g AS (SELECT * FROM e WHERE vec_id % 100 <> 0), q AS (SELECT * FROM e WHERE vec_id % 100 = 0) SELECT g.label, q.vec_id, round(min(greatest(0.0, 1 - list_sum(list_transform(list_zip(g.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (g.n * q.n))), 5) AS distance FROM g, q GROUP BY ALL")
 def J16_gallery_distance(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("part", F.expr("vec_id % 7"))
-    out = pairs.gallery_distance(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), ["part"], "label", "vec_id")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    out = pairs.nearest_in_gallery(e.where("vec_id % 100 <> 0"), e.where("vec_id % 100 = 0"), "label", "vec_id")
     return out.withColumn("distance", F.round("distance", 5))
 
 
 @add(None)
 def J16_gallery_distance_whole(spark, d):
-    # the query above meets a seventh of the gallery, as its SQL does
+    # five times the queries against all other rows, for which SQL is slow on large tables
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     out = pairs.nearest_in_gallery(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "label", "vec_id")
     return out.withColumn("distance", F.round("distance", 5))

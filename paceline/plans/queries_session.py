@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import entry, pairs, roles, session, wall
+from ..operators import doors, entry, pairs, roles, session, wall
 from . import fixtures as X
 from . import queries_entry as E
 from . import queries_room as R
@@ -28,14 +28,13 @@ def add(sql: str | None):
 
 
 def parts(spark, d) -> dict:
-    """The tables that a session is made of; those of a few rows per run are computed once and kept."""
+    """The tables that a session is made of."""
     p = pos(spark, d)
     t = team(p)
-    t = t.persist()
-    v = entry.entry_vectors(p, t, ROOM).persist()
+    v = entry.entry_vectors(p, t, ROOM)
     turns, gaps, total = entry.vector_transitions(v), entry.pair_gaps(t, ROOM), entry.total_entry(t, ROOM)
     rows = R._banded(spark, d)
-    return {"positions": p, "chosen": t, "vectors": v, "turns": turns, "gaps": gaps, "total": total, "adherence": wall.adherence(rows, 30.0).persist(), "excursions": wall.excursions(rows, 30.0).persist()}
+    return {"positions": p, "chosen": t, "vectors": v, "turns": turns, "gaps": gaps, "total": total, "adherence": wall.adherence(rows, 30.0), "excursions": wall.excursions(rows, 30.0)}
 
 
 def _items(x):
@@ -45,7 +44,7 @@ def _items(x):
 def _flags(x):
     walls = x["excursions"].select("run_id", "flag_id", "type", F.lit("warning").alias("severity"), F.col("start_frame").alias("frame"), "end_frame", F.lit(None).cast("int").alias("entry_number"), "track_id", F.lit("").alias("message"), F.col("start_time").alias("time_sec"))
     rows = entry.entry_flags(x["vectors"], x["turns"], x["gaps"], x["total"], x["chosen"], ROOM)
-    return session.linked(rows.unionByName(walls), x["turns"])
+    return session.linked(rows.unionByName(walls))
 
 
 _S = "(CASE WHEN sign > 0 THEN 'A (+1)' WHEN sign < 0 THEN 'B (-1)' ELSE 'UNKNOWN' END)"
@@ -57,7 +56,7 @@ UNION ALL SELECT run_id, 'wall_excursion_' || track_id || '_' || n, 'move_along_
 UNION ALL SELECT run_id, 'total_entry_duration', 'total_time_of_entry', 'duration', 'Total Entry', start_frame, end_frame FROM total)"""
 _LINKS = """links AS (
 SELECT run_id, 'entrance_vector_unknown_' || entry_number AS flag_id, 'entrance_vectors' AS metric_id, 'entrance_vector_' || entry_number AS linked_item_id FROM vectors WHERE sign = 0
-UNION ALL SELECT run_id, 'entrance_vector_direction_violation_' || transition_number, 'entrance_vectors', 'entrance_vector_' || to_entry FROM turns WHERE NOT alternates
+UNION ALL SELECT run_id, 'entrance_vector_direction_violation_' || transition_number, 'entrance_vectors', NULL FROM turns WHERE NOT alternates
 UNION ALL SELECT run_id, 'entrance_pair_time_violation_' || pair_number, 'entrance_hesitation', 'entrance_pair_' || pair_number FROM gap_scores WHERE violation
 UNION ALL SELECT run_id, 'entrance_total_entry_time_violation', 'total_time_of_entry', 'total_entry_duration' FROM total WHERE violation
 UNION ALL SELECT run_id, 'wall_' || label || '_' || track_id || '_' || n, 'move_along_wall', 'wall_excursion_' || track_id || '_' || n FROM excursions WHERE label <> 'safe' AND n_frames >= 15)"""
@@ -220,13 +219,19 @@ def A27_map_scale(spark, d):
     return wall.map_scales(w).select("run_id", "wall_id", r6("scale").alias("scale"), r6("run_scale").alias("run_scale"), r6("ratio").alias("ratio"))
 
 
-def _door_sql() -> str:
-    rows = ", ".join(f"({k}, '{x.kind}', {x.centre[0]!r}, {x.centre[1]!r}, {x.p_a[0]!r}, {x.p_a[1]!r}, {x.n_in[0]!r}, {x.n_in[1]!r})" for k, x in enumerate(ROOM.axes()))
-    return f"SELECT run_id, door_index, door_type, round(cx, 6) AS cx, round(cy, 6) AS cy, pa_x + 0.0 AS pa_x, pa_y + 0.0 AS pa_y, n_x + 0.0 AS n_x, n_y + 0.0 AS n_y FROM runs, (VALUES {rows}) v(door_index, door_type, cx, cy, pa_x, pa_y, n_x, n_y)"
+# A room around each run's positions: a door on its left wall and one at its upper right corner.
+_AXES = """room_ AS (SELECT run_id, min(map_x) AS x0, min(map_y) AS y0, max(map_x) AS x1, max(map_y) AS y1 FROM positions GROUP BY run_id),
+axes AS (SELECT run_id, 0 AS door_index, 'STRAIGHT' AS door_type, x0 + 20.0 AS cx, y0 + 155.0 AS cy, 0.0 AS ax, 1.0 AS ay, 0.0 AS bx, -1.0 AS by_, 1.0 AS nx, 0.0 AS ny FROM room_
+UNION ALL SELECT run_id, 1, 'CORNER', x1 - 25.0, y0 + 15.0, 0.0, 1.0, -1.0, 0.0, 0.0, 1.0 FROM room_)"""
 
 
-@add(Q.query(_door_sql()))
+@add(Q.query("SELECT * FROM axes", _AXES))
 def P23_door_axes(spark, d):
-    fields = lambda k, x: F.struct(F.lit(k).alias("door_index"), F.lit(x.kind).alias("door_type"), *[F.lit(float(v) + 0.0).alias(n) for n, v in (("cx", round(x.centre[0], 6)), ("cy", round(x.centre[1], 6)), ("pa_x", x.p_a[0]), ("pa_y", x.p_a[1]), ("n_x", x.n_in[0]), ("n_y", x.n_in[1]))])
-    rows = X.runs(pos(spark, d)).select("run_id", F.explode(F.array(*[fields(k, x) for k, x in enumerate(ROOM.axes())])).alias("v"))
-    return rows.select("run_id", "v.*")
+    p = pos(spark, d).groupBy("run_id").agg(F.min("map_x").alias("x0"), F.min("map_y").alias("y0"), F.max("map_x").alias("x1"), F.max("map_y").alias("y1"))
+    box = lambda a, b, c, e: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((a, b), (c, b), (c, e), (a, e))])
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    rooms = p.select("run_id", box(x0, y0, x1, y1).alias("boundary"))
+    holes = F.array(box(x0, y0 + 120, x0 + 40, y0 + 190), box(x1 - 50, y0, x1, y0 + 30))
+    found = doors.door_axes(p.select("run_id", F.posexplode(holes).alias("door_index", "polygon")), rooms)
+    parts = {"cx": "centre.x", "cy": "centre.y", "ax": "way_a.x", "ay": "way_a.y", "bx": "way_b.x", "by_": "way_b.y", "nx": "inward.x", "ny": "inward.y"}
+    return found.select("run_id", "door_index", "door_type", *[(F.round(c, 6) + 0.0).alias(n) for n, c in parts.items()])

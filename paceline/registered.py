@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_compare, queries_entry, queries_room, queries_session
+from .plans import queries_compare, queries_entry, queries_room, queries_session, queries_sources
 
-_PARTS = [queries_entry, queries_room, queries_session, queries_compare]
+_PARTS = [queries_entry, queries_room, queries_session, queries_compare, queries_sources]
 
 
 def queries() -> dict:

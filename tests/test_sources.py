@@ -30,6 +30,13 @@ def test_csv_caches(spark, tmp_path):
     assert caches.read_gaze(spark, str(run / "*_GazeCache.txt")).count() == 1
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    put(tmp_path / "a", "v_PositionCache.txt", "frame,id,mapX,mapY\n1,2,3,4\n")
+    put(tmp_path / "b", "v_PositionCache.txt", "mapY,MapX,track_id,frame\n4,3,2,1\n5,6\n\n")
+    got = caches.read_positions(spark, str(tmp_path / "*/*_PositionCache.txt")).orderBy("run_id").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 2, 3.0, 4.0), ("b", 1, 2, 3.0, 4.0)]
+
+
 def test_coverage_and_polygons(spark, tmp_path):
     put(tmp_path / "r", "v_RoomCoverageCache.txt", "frame,coverage_fraction\n1,0.5\n2,1.5\n\nfirst_non_enemy_frame,1\ntime_to_full_seconds,2.5\nfinal_fraction,1.0\n")
     curve, summary = caches.read_coverage(spark, str(tmp_path / "r/*.txt"))
