@@ -23,8 +23,7 @@ bucket or candidate is cut off.
 
 Tokens that some part of the input holds often are counted first.  A token of
 HOT_SHARE of all sets or more is hot: its entries are spread by set, not by token,
-and its number comes from that count, so no task gathers it.  A hub of many
-candidates and a component of many sets are joined in shares (`salted_join`).
+and its number comes from that count, so no task gathers it.
 
 Defined cases: null and empty texts have no shingles and no links; a text with
 fewer than five words is one shingle; a null doc_id takes part in links and is
@@ -59,8 +58,6 @@ LIST_TOKENS = 1 << 20
 HOT_LOCAL, HOT_SHARE = 16, 1 / 500
 HUB_ROUNDS = 3
 _BITS = 1024
-#: Candidates of one hub that are joined in one share.
-HUB_PAIRS = 256
 
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -401,47 +398,33 @@ def _common(a: pa.Array, b: pa.Array, kind: type) -> np.ndarray:
 
 
 def _in_all_orders(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, share_, prefixes of both) that share a prefix token under both hash orders too."""
+    """The pairs (a, b, prefixes of both) that share a prefix token under both hash orders too."""
     for part in parts:
         good = np.ones(part.num_rows, bool)
-        for k in (3, 4):
+        for k in (2, 3):
             good[good] = _common(part.column(k).filter(pa.array(good)), part.column(k + 2).filter(pa.array(good)), np.uint32) > 0
-        yield part.select(["a", "b", "share_"]).filter(pa.array(good))
+        yield part.select(["a", "b"]).filter(pa.array(good))
 
 
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, share_, n and tokens of both) that are similar."""
+    """The pairs (a, b, n and tokens of both) that are similar."""
     for part in parts:
-        n_a, n_b = part.column(3).to_numpy().astype(np.int64), part.column(5).to_numpy().astype(np.int64)
-        good = similar(_common(part.column(4), part.column(6), np.uint64), n_a, n_b)
+        n_a, n_b = part.column(2).to_numpy().astype(np.int64), part.column(4).to_numpy().astype(np.int64)
+        good = similar(_common(part.column(3), part.column(5), np.uint64), n_a, n_b)
         yield part.select(["a", "b"]).filter(pa.array(good))
 
 
-def in_shares(pairs: DataFrame, shares: int) -> DataFrame:
-    """`pairs` with share_: the pairs of a hub b in parts of about HUB_PAIRS."""
-    dealt = salted_join(pairs, pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n_")), "b", "a", shares)
-    return dealt.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n_") / HUB_PAIRS)).alias("share_"))
-
-
 def with_columns_of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """`pairs` (a, b, share_) with `columns` of the classes a and b; those of a hub come once to each of its shares."""
-    one, two = (table.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
-    brought = pairs.select("b", "share_").distinct().join(two, "b")
-    return pairs.join(one, "a").join(brought, ["b", "share_"]).select("a", "b", "share_", *[f"{c}_{x}" for x in "ab" for c in columns])
+    """`pairs` (a, b) with `columns` of the classes a (a member) and b (its hub).
 
-
-def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, shares: int, how: str = "inner") -> DataFrame:
-    """`rows` joined with `table` (one row per key) where a key may hold a large part of `rows`.
-
-    Rows of a key are dealt to `shares` by the column `by`; the table's row is brought
-    to the shares that occur, so neither side has a key of more rows than a share.
+    The members' come first, so those of a hub of many members are read once and not
+    sent with each of them; such a hub is a skewed key that adaptive execution splits.
     """
-    dealt = rows.withColumn("share_", F.pmod(F.xxhash64(by), F.lit(shares)))
-    brought = dealt.select(key, "share_").distinct().join(table, key)
-    return dealt.join(brought, [key, "share_"], how).drop("share_")
+    one, two = (table.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
 
 
-def components(edges: DataFrame, scratch: str, shares: int) -> DataFrame:
+def components(edges: DataFrame, scratch: str) -> DataFrame:
     """cls, comp: the smallest cls reachable from each end of `edges` (a, b).
 
     In each round every component's root takes the smallest root next to it and
@@ -458,11 +441,10 @@ def components(edges: DataFrame, scratch: str, shares: int) -> DataFrame:
         if edges.isEmpty():
             return labels
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to"))
-        labels = salted_join(labels, low.select(F.col("a").alias("comp"), "to"), "comp", "cls", shares, "left").select("cls", F.coalesce("to", "comp").alias("comp"))
-        edges = salted_join(edges, low.select("a", F.col("to").alias("to_a")), "a", "b", shares)
-        edges = salted_join(edges, low.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b", "a", shares)
-        edges = edges.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("root"), F.least("a", "low").alias("to"))
+        labels = labels.join(low, labels["comp"] == low["root"], "left").select("cls", F.coalesce("to", "comp").alias("comp"))
+        one, two = low.select(F.col("root").alias("a"), F.col("to").alias("to_a")), low.select(F.col("root").alias("b"), F.col("to").alias("to_b"))
+        edges = edges.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         k += 1
 
 
@@ -513,19 +495,20 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         postings = blobs.by_bucket(placed.mapInArrow(_postings_out(n_lists, last), blobs.SCHEMA), n_lists)
         pairs = postings.mapInArrow(_cross_pairs if last else _hub_pairs(k == 0), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = kept(pairs, f"pairs_{k}")
-        candidates = with_columns_of_both(in_shares(pairs, n_buckets), survivors, ["ascending", "descending"])
-        candidates = kept(candidates.mapInArrow(_in_all_orders, "a long, b long, share_ long"), f"candidates_{k}")
-        links = kept(with_columns_of_both(candidates, survivors, ["n", "tokens"]).mapInArrow(_verify, "a long, b long"), f"links_{k}")
+        candidates = with_columns_of_both(pairs, survivors, ["ascending", "descending"])
+        candidates = kept(candidates.mapInArrow(_in_all_orders, "a long, b long"), f"candidates_{k}")
+        # tokens grow with the input, so they are never broadcast
+        links = kept(with_columns_of_both(candidates, survivors.hint("merge"), ["n", "tokens"]).mapInArrow(_verify, "a long, b long"), f"links_{k}")
         if links.isEmpty():  # nothing joins, so further hub rounds would try the same
             rounds = rounds[-1:]
             continue
         tried = tried.union(pairs)
-        # the links join components of the rounds before
-        ends = links.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("comp_a")), "a")
-        ends = salted_join(ends, labels.select(F.col("cls").alias("b"), F.col("comp").alias("comp_b")), "b", "a", n_buckets)
-        ends = ends.where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
-        moved = components(ends, f"{scratch}/components_{k}", n_buckets).select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
-        labels = kept(salted_join(labels, moved, "comp", "cls", n_buckets, "left").select("cls", F.coalesce("to", "comp").alias("comp")), f"classes_{k}")
+        ends = links
+        if k != 0:  # the links join components of the rounds before
+            one, two = (labels.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+            ends = links.join(one, "a").join(two, "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+        moved = components(ends, f"{scratch}/components_{k}").select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
+        labels = kept(labels.join(moved, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), f"classes_{k}")
 
     return smallest_ids(rows, labels, n_buckets, row is not None)
 
