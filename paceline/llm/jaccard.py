@@ -275,12 +275,14 @@ def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = start[i : i + 2000], end[i : i + 2000]
         prefix = (b - a) - least(n[a]) + 1
         tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        columns = [pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(tokens, pa.binary()), pa.array(weight[i : i + 2000])]
+        heads = [token[x : x + q].tobytes() for x, q in zip(a, prefix, strict=True)]
+        maps = [_bitmap(token[x:y]).tobytes() for x, y in zip(a, b, strict=True)]
+        columns = [pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(weight[i : i + 2000]), pa.array(maps, pa.binary()), pa.array(tokens, pa.binary())]
         both = [pa.array([np.sort(short[x:y][inside[x:y]]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary()) for inside in ahead]
-        yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "prefix", "tokens", "weight", "ascending", "descending"])
+        yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "shared", "head", "weight", "bits", "tokens", "ascending", "descending"])
 
 
-_SURVIVOR = "cls long, n int, prefix int, tokens binary, weight double, ascending binary, descending binary"
+_SURVIVOR = "cls long, n int, shared int, head binary, weight double, bits binary, tokens binary, ascending binary, descending binary"
 
 
 def _bitmap(token: np.ndarray) -> np.ndarray:
@@ -296,15 +298,15 @@ def _postings_out(n_buckets: int, bitmaps: bool):
         for part in parts:
             for k in range(0, part.num_rows, 4000):
                 cut = part.slice(k, 4000)
-                full = [np.frombuffer(x, np.uint64) for x in cut.column(3).to_pylist()]
-                cls, n, prefix, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
-                token = np.concatenate([t[:q] for t, q in zip(full, prefix, strict=True)]) if full else np.zeros(0, np.uint64)
+                heads = [np.frombuffer(x, np.uint64) for x in cut.column(3).to_pylist()]
+                cls, n, shared, weight, comp = (cut.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+                prefix = np.array([len(t) for t in heads], np.int64)
+                token = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 bucket = (B.mix(token) % np.uint64(n_buckets)).astype(np.int32)
                 columns = {"token": token, "cls": np.repeat(cls, prefix), "n": np.repeat(n, prefix).astype(np.uint32), "comp": np.repeat(comp, prefix), "weight": np.repeat(weight, prefix).astype(np.float32)}
                 if bitmaps:
-                    columns["shared"] = np.repeat(np.array([len(t) for t in full], np.uint32), prefix)
-                    maps = np.stack([_bitmap(t) for t in full]) if full else np.zeros((0, _BITS // 64), np.uint64)
-                    columns |= {f"b{i}": np.repeat(maps[:, i], prefix) for i in range(maps.shape[1])}
+                    maps = np.frombuffer(b"".join(cut.column(6).to_pylist()), np.uint64).reshape(-1, _BITS // 64)
+                    columns |= {"shared": np.repeat(shared.astype(np.uint32), prefix)} | {f"b{i}": np.repeat(maps[:, i], prefix) for i in range(maps.shape[1])}
                 yield from blobs.deal(bucket, columns)
 
     return run
@@ -475,7 +477,7 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
     blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors, _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
     survivors = spark.read.schema(_SURVIVOR).parquet(f"{scratch}/survivors")
 
-    n_lists = max(n_buckets // 4, -(-(survivors.agg(F.sum("prefix")).first()[0] or 0) // LIST_TOKENS))
+    n_lists = max(n_buckets // 4, -(-(survivors.agg(F.sum(F.octet_length("head"))).first()[0] or 0) // 8 // LIST_TOKENS))
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{scratch}/{name}")
@@ -488,7 +490,7 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         k = rounds.pop(0)
         last = k == "cross"
         placed = survivors.withColumn("comp", F.col("cls")) if k == 0 else survivors.join(labels, "cls")
-        placed = placed.select("cls", "n", "prefix", "tokens", "weight", "comp")
+        placed = placed.select("cls", "n", "shared", "head", "weight", "comp", *(["bits"] if last else []))
         if last:
             mixed = blobs.by_bucket(placed.mapInArrow(_postings_out(n_lists, False), blobs.SCHEMA), n_lists).mapInArrow(_mixed_members, "cls long").distinct()
             placed = placed.join(mixed, "cls", "left_semi")
