@@ -49,15 +49,15 @@ def by_bucket(rows: DataFrame, n_buckets: int, bucket: str = "bucket") -> DataFr
 
 
 def gather(parts: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray] | None:
-    """All entries of a partition (one bucket) as columns, with `bucket`; None if there are none."""
+    """All entries of a partition, which is one bucket, as columns, and the number of the `bucket`; None if there are none."""
     got = {k: [] for k in kinds}
-    buckets = []
+    own = None
     for part in parts:
         for bucket, payload in zip(part.column(0).to_pylist(), part.column(1), strict=True):
             columns = unpack(payload.as_buffer().to_pybytes(), kinds)
             for k, c in columns.items():
                 got[k].append(c)
-            buckets.append(np.full(len(c), bucket, np.int32))
-    if not buckets:
+            own = bucket
+    if own is None:
         return None
-    return {k: np.concatenate(c) for k, c in got.items()} | {"bucket": np.concatenate(buckets)}
+    return {k: np.concatenate(got.pop(k)) for k in kinds} | {"bucket": own}

@@ -49,9 +49,9 @@ WIDTH = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 75, 100
 #: Text that a task holds as tokens at a time (bytes).
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 4 << 20
 #: Tokens of a bucket, about; there are at least as many buckets as asked for.
-BUCKET_TOKENS = 4 << 20
+BUCKET_TOKENS = 1 << 19
 #: Prefix tokens whose posting lists make a bucket, about.
 LIST_TOKENS = 1 << 20
 #: Sets among those of a flush that make a token a candidate for a hot one, and the share of all sets that makes it one.
@@ -118,8 +118,8 @@ def classes(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return B.mix(total.view(np.uint64) + np.diff(ptr).astype(np.uint64)).view(np.int64)
 
 
-def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(token, cls, size, place in the set) of the classes that are new to the task, some megabytes of text at a time."""
+def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, cls, size with the prefixes that the token is in) of the classes that are new to a flush, some megabytes of text at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     size, seen = 0, np.zeros(0, np.int64)
     for part in parts:
@@ -131,13 +131,18 @@ def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.
             first[np.unique(cls, return_index=True)[1]] = True
             first &= ~np.isin(cls, seen) & (n > 0)  # a copy in the same flush adds nothing
             seen = np.concatenate([seen, cls[first]])
+            place, p = np.arange(len(token)) - np.repeat(ptr[:-1], n), prefix_length(n)
+            flagged = np.repeat(n.astype(np.uint32), n)
+            flagged |= np.where(place < np.repeat(p, n), _ASCENDING, np.uint32(0))
+            flagged |= np.where(place >= np.repeat(n - p, n), _DESCENDING, np.uint32(0))
             chosen = np.repeat(first, n)
-            place = np.arange(len(token)) - np.repeat(ptr[:-1], n)
-            held.append((token[chosen], np.repeat(cls[first], n[first]), np.repeat(n[first], n[first]), place[chosen]))
+            held.append((token[chosen], np.repeat(cls[first], n[first]), flagged[chosen]))
             size += len(data)
             if size >= FLUSH_BYTES:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, size, seen = [], 0, np.zeros(0, np.int64)
+                yield out
+                del out
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
@@ -191,9 +196,7 @@ def _tokens_out(n_buckets: int, hot: np.ndarray):
     """Every token of every class of a task, dealt to token buckets; entries of hot ones to buckets by class."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, n, place in _flushes(parts, 0):
-            p = prefix_length(n)
-            size = n.astype(np.uint32) | np.where(place < p, _ASCENDING, np.uint32(0)) | np.where(place >= n - p, _DESCENDING, np.uint32(0))
+        for token, cls, size in _flushes(parts, 0):
             bucket, name = _name(token, n_buckets)
             low, high = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((name >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
             if len(hot):
@@ -215,18 +218,23 @@ def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
         got = blobs.gather(parts, _TOKEN)
         if got is None:
             return
-        is_hot = (got["n"] & _HOT) > 0
-        often = {k: c[is_hot] for k, c in got.items()}
-        got = {k: c[~is_hot] for k, c in got.items()}
-        token = (got["bucket"].astype(np.uint64) << np.uint64(48)) | (got["high"].astype(np.uint64) << np.uint64(32)) | got["low"]
+        bucket = np.uint64(got.pop("bucket")) << np.uint64(48)
+        is_hot, often = (got["n"] & _HOT) > 0, {"low": ()}
+        if is_hot.any():
+            often = {k: c[is_hot] for k, c in got.items()}
+            got = {k: c[~is_hot] for k, c in got.items()}
+        token = got["high"].astype(np.uint64)
+        token <<= np.uint64(32)
+        token |= got["low"]
+        token |= bucket
         order = np.argsort(token)
-        ranked = token[order]
-        same = ranked[1:] == ranked[:-1]
+        same = np.diff(token[order]) == 0
         several = np.zeros(len(order), bool)
         several[1:] = same
         several[:-1] |= same
         order = order[several]
         token, cls, n = token[order], got["cls"][order], got["n"][order]
+        del got, same, several, order
         order = np.lexsort((cls, token))
         token, cls, n = token[order], cls[order], n[order]
         new = np.ones(len(token), bool)
@@ -322,7 +330,7 @@ def _lists(got: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarra
     order = order[np.repeat(several, count)]
     count = count[several]
     end = np.cumsum(count)
-    return {k: c[order] for k, c in got.items()}, end - count, end
+    return {k: c[order] for k, c in got.items() if k != "bucket"}, end - count, end
 
 
 def _sized(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
