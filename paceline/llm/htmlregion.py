@@ -14,7 +14,8 @@ the weights of the class words around it are negative.  Usual words for what is
 no content (`ad`, `comments`, `cookie` ...) begin with counts against them, which
 those of the pages can outweigh; they count only where they are a whole class, id
 or role, on containers, and not on html, body, or what holds the marked element.
-Where they leave no content at all, the page is scored without them.
+Where they leave no content at all, the page is scored by the counts of the pages
+alone.  What is left out of a marked element does not part the text around it.
 
 The weights are counted on Spark over a bounded sample of pages, so there are no
 more of them than the sample has tags and class words; the extraction is one pass
@@ -163,6 +164,7 @@ class RegionModel:
     tags: dict[str, float] = field(default_factory=dict)
     places: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
+    seen_words: dict[str, float] = field(default_factory=dict)  # those of USUAL by the counts of the pages alone
 
     def around(self, elements: list[Element], usual: bool = True) -> list[float]:
         """For each element the least weight of class words around a text in it, or, where none is negative, the nearest."""
@@ -174,7 +176,7 @@ class RegionModel:
         return out
 
     def word(self, word: str, usual: bool) -> float:
-        got = self.words.get(word)
+        got = self.words.get(word) if usual else self.seen_words.get(word, self.words.get(word))
         if got is None:
             return _place_weight(*USUAL_PRIOR) if usual and word in USUAL else 0.0
         return got
@@ -198,14 +200,20 @@ class RegionModel:
             scores = []
             for tag, text, number in got.pieces:
                 e = got.elements[number]
-                if tag:
+                if e.marked and (e.never or around[number] < 0):
+                    scores.append(0.0)  # left out anyway, so it does not part what is around it
+                elif tag:
                     scores.append(TAG if e.never else self.tags.get(tag, INLINE_TAG if e.name in INLINE else TAG))
                 else:
                     each = -WORD if e.never else WORD + self.places.get(got.elements[e.block].name, 0.0) + around[number]
                     scores.append(len(text.split()) * each)
-            first, last = self.region(scores)
-            if last:
-                break
+            text = self._text(got, around, *self.region(scores))
+            if text:
+                return text
+        return ""
+
+    @staticmethod
+    def _text(got: Page, around: list[float], first: int, last: int) -> str:
         out, block = [], []
 
         def flush():
@@ -283,7 +291,10 @@ def learn(pages: DataFrame, html_column: str = "html", key: str = "page_id", fit
         if r["kind"] == "tag":
             model.tags[r["name"]] = _tag_weight(r["a"] + 0.5, r["b"] + 0.5)
         else:
-            a, b = USUAL_PRIOR if r["kind"] == "word" and r["name"] in USUAL else PRIOR
+            usual = r["kind"] == "word" and r["name"] in USUAL
+            a, b = USUAL_PRIOR if usual else PRIOR
+            if usual:
+                model.seen_words[r["name"]] = _place_weight(r["a"] + PRIOR[0], r["b"] + PRIOR[1])
             (model.places if r["kind"] == "place" else model.words)[r["name"]] = _place_weight(r["a"] + a, r["b"] + b)
     return model
 

@@ -340,3 +340,121 @@ def test_rows_without_an_id_of_their_own_are_mixed_one_by_one(spark):
     for source, share in (("a", 15 / 8), ("b", 6 / 8), ("c", 3 / 8)):
         assert sum(r[0] == source for r in taken[0]) == pytest.approx(n * share, abs=1)
         assert sum(r[0] == source and r[1] for r in taken[0]) == pytest.approx(n / 2 * share, rel=0.5)
+
+
+def test_surrogates_of_every_script_and_of_later_mentions():
+    own = surrogates.Surrogates(b"key")
+    for text, gone in [
+        ("Mr. John Smith met Smith and John", ("John", "Smith")), ('password: "日本語パス"', ("日本語パス",)), ("Mr. 王伟 kam", ("王伟",)), ("Dr. Ёлкин, Mrs. Ñuñez", ("Ёлкин", "Ñuñez")),
+        ("GB82 WEST 1234 5698 7654 32", ("1234 5698",)), ("2001:db8::1 is up", ("2001:db8::1",)), ("jörg.müller@exämple.org", ("jörg", "exämple")), ('password: "!!!!!"', ("!!!!!",)),
+    ]:
+        new, pairs = surrogates.replace(text, own)
+        assert pairs and not any(x in new for x in gone), new
+    for text in ("Don Quixote rode", "secret: everyone knows", "2019 2020 2021 2022", "at 12:30:45", ":: and ::1"):
+        assert surrogates.replace(text, own) == (text, [])
+    new, _ = surrogates.replace("Mr. Brown saw a brown fox. Brown", own)
+    assert new.endswith("a brown fox. Brown")  # also an ordinary word of the text
+    account = surrogates.replace("GB82 WEST 1234 5698 7654 32", own)[0].replace(" ", "")
+    assert int(account[2:4]) == surrogates._iban_check("GB", account[4:])
+    first = {surrogates.replace(f"{t} Anna Smith", own)[0].split(" ")[1] for t in ("Mrs.", "Dr.", "Ms.")}
+    assert len(first) == 1
+
+
+def test_entities_are_found_in_linear_time():
+    import time
+
+    own = surrogates.Surrogates(b"key")
+    for text in ("a" * 10**6, "a" * 10**6 + "@x.org", "x@" + "a." * 500_000, "1" * 10**6, "+1" * 500_000, "::" * 500_000, "AB12" * 250_000, "Mr. " + "A" * 10**6):
+        began = time.time()
+        surrogates.replace(text, own)
+        assert time.time() - began < 15, text[:10]  # quadratic ones take hours
+
+
+def test_no_two_values_share_a_surrogate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = surrogates.entities(docs, "key")
+    assert found.count() > 0 and surrogates.collisions(found).count() == 0
+    assert found.where("lower(value) = lower(surrogate)").count() == 0
+    names = spark.createDataFrame([(k, f"Mr. {chr(65 + k % 26)}{chr(97 + k // 26 % 26)}n {chr(65 + k // 676 % 26)}om") for k in range(3000)], "doc_id long, text string")
+    assert surrogates.collisions(surrogates.entities(names, "key")).count() == 0
+
+
+def test_class_words_exclude_no_article(spark):
+    body, frame = "<p>One two three four five six seven</p><p>eight nine ten eleven twelve</p>", "<nav><a>Home</a></nav>{}<footer>f</footer>"
+    text = "One two three four five six seven\neight nine ten eleven twelve"
+    pages = {
+        1: ("<body class='page has-sidebar'>" + frame.format(f"<article>{body}</article>") + "</body>", text), 2: (frame.format(f"<article class='post share'>{body}</article>"), text),
+        3: (frame.format(f"<article>{body}<p class='related-work'>Related work is text</p></article>"), text + "\nRelated work is text"), 4: (f"<div class='sidebar'><article>{body}</article></div>", text),
+        5: (frame.format("<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> be given now</p></article>"), "Let x = 1 be given now"), 6: (frame.format("<article><p title=\"5\" tall\">One two three</p><p>say \"hi\" to</p></article>"), 'One two three\nsay "hi" to'),
+        7: (f"<div class='share'>{body}</div>", text), 8: (f"<div class='ad'><p>buy buy</p></div><article>{body}<div class='ad'><p>buy now please</p></div><p>last words</p></article>", text + "\nlast words"),
+    }
+    table = spark.createDataFrame([(k, "u", p) for k, (p, _) in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmlregion.extract(table, htmlregion.learn(table)).collect()}
+    assert got == {k: t for k, (_, t) in pages.items()}
+
+
+def test_region_is_the_best_part():
+    rng = random.Random(2)
+    for _ in range(200):
+        scores = [rng.choice([-2.0, -0.5, 0.5, 1.0, 3.0]) for _ in range(rng.randint(0, 12))]
+        a, b = htmlregion.RegionModel().region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0.0)
+        assert sum(scores[a:b]) == pytest.approx(max(0.0, best))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000, "<p>" * 100_000, "<div class='x'>a " * 100_000, "<b><p>" * 50_000, '<a x="' * 100_000, "<div><article>" * 50_000])
+def test_unclosed_tags_take_linear_time(page):
+    import time
+
+    began = time.time()
+    htmlregion.RegionModel().extract(page)
+    assert time.time() - began < 20
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    rows = [(k, " ".join(rng.choice(w) for _ in range(30)), lang) for lang, w in words.items() for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langmask.identify(docs, langmask.fit(docs.where("doc_id > 0")), keep=("lang",)).collect()
+    assert len({r.lang for r in got}) == 70 and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+
+
+def test_samples_bound_rows_of_one_key(spark):
+    from paceline.llm.sampling import bounded_sample
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN id END AS key", "CAST(1 AS INT) AS label")
+    for most in (10, 500):
+        assert 0 < bounded_sample(rows, "key", most).count() <= most
+    assert bounded_sample(rows, "key", 5000).count() == 5000
+
+
+def test_equal_and_null_ids_are_rows_of_their_own(spark):
+    texts = ["one two three four five six"] * 4 + [f"word{k} some more text here now" for k in range(30)]
+    docs = spark.createDataFrame([(None if k % 2 else 7, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = syncmers.compare_with_next(docs, 5).collect()
+    assert len(rows) == len(texts) and sum(r.near_next == 1.0 for r in rows) == 2
+    mixed = mixing.mix(docs, scratch_folder(spark, "t"), bucket_rows=4, fan_in=2).collect()
+    assert len(mixed) == len(texts) and all(r.copies == 1 for r in mixed)
+
+
+def test_dedup_stage_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline as pipeline
+
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, c), (7, c + " more"), (None, b), (None, "x"), (None, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.text) for r in pipeline.without_near_duplicates(spark, docs, "").collect())
+    assert [x for x in got if x[0] != 7] == [(0, ""), (0, "x"), (3, a), (5, b)]
+    assert len([x for x in got if x[0] == 7]) == 1
+
+
+def test_candidates_pass_three_orders(spark):
+    rng = random.Random(5)
+    line = " ".join(f"c{k}" for k in range(24))
+    texts = [line + " " + " ".join(f"u{k}_{j}" for j in range(8)) for k in range(20)]
+    base = [f"w{k}" for k in range(60)]
+    texts += [" ".join(w if j != k else f"x{k}" for j, w in enumerate(base)) for k in rng.sample(range(60), 10)]
+    folder = scratch_folder(spark, "t")
+    jaccard.near_duplicates(table(spark, texts), folder, 4).count()
+    count = lambda name: sum(spark.read.parquet(f"{folder}/{name}_{k}").count() for k in (0, "cross"))
+    assert count("pairs") >= count("candidates") >= count("links") > 0
