@@ -1,8 +1,10 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
 A text is the average of learned vectors of its hashed words, word pairs and
-character n-grams (bytes); a softmax over the average gives the class.  Training
-runs on a bounded sample of labelled rows.  Since the output is linear in the average,
+character n-grams (bytes); a softmax over the average gives the class.  A word
+that is written twice in a row is hashed as a pair without the word: any word can
+stutter, and no sample holds them all.  Training runs on a bounded sample of
+labelled rows.  Since the output is linear in the average,
 scoring needs one number per vector, and reads whole texts in one pass.
 
 Defined cases: null and empty texts have no features and get the score of the
@@ -34,6 +36,7 @@ FIT_ROWS = 2_500
 EPOCHS = 6
 RATE = 0.5
 _SPACE = np.uint64((1 << BUCKETS_LOG2) - 1)
+_SAME = 0  # the bucket of a pair of equal words
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -45,6 +48,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     first, second = word[inner], word[inner + 1]
     pair = (B.mix(first * np.uint64(3) + second + np.uint64(17)) & _SPACE).astype(np.int64)
+    pair[first == second] = _SAME
     yield pair, np.searchsorted(inner, wptr)
     wide = raw.astype(np.uint64)
     for n in CHAR_GRAMS:
