@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +63,12 @@ _BITS = 1024
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# Bits of the size of a set that say where a token stands, beside the size itself.
-_ASCENDING, _DESCENDING, _HOT, _SIZE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32(1 << 29), np.uint32((1 << 29) - 1)
-_TOKEN = {"low": np.uint32, "high": np.uint16, "cls": np.int64, "n": np.uint32}
-_SHARED = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "df": np.uint32}
+# Every token of every class is shuffled as these 13 bytes; what is known of a class as a whole goes once, apart.
+_TOKEN = {"low": np.uint32, "high": np.uint8, "cls": np.int64}
+_SHARED = {"token": np.uint64, "cls": np.int64, "df": np.uint32}
+_CLASS = {"cls": np.int64, "n": np.uint32, "ahead": np.uint64, "behind": np.uint64}
+#: The bit of `high` that marks the number of a hot token.
+_HOT = np.uint8(1 << 7)
 _POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32}
 
 
@@ -118,8 +121,8 @@ def classes(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return B.mix(total.view(np.uint64) + np.diff(ptr).astype(np.uint64)).view(np.int64)
 
 
-def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(token, cls, size with the prefixes that the token is in) of the classes that are new to a flush, some megabytes of text at a time."""
+def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token, cls) of the classes that are new to a flush, some megabytes of text at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     size, seen = 0, np.zeros(0, np.int64)
     for part in parts:
@@ -131,12 +134,7 @@ def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.
             first[np.unique(cls, return_index=True)[1]] = True
             first &= ~np.isin(cls, seen) & (n > 0)  # a copy in the same flush adds nothing
             seen = np.concatenate([seen, cls[first]])
-            place, p = np.arange(len(token)) - np.repeat(ptr[:-1], n), prefix_length(n)
-            flagged = np.repeat(n.astype(np.uint32), n)
-            flagged |= np.where(place < np.repeat(p, n), _ASCENDING, np.uint32(0))
-            flagged |= np.where(place >= np.repeat(n - p, n), _DESCENDING, np.uint32(0))
-            chosen = np.repeat(first, n)
-            held.append((token[chosen], np.repeat(cls[first], n[first]), flagged[chosen]))
+            held.append((token[np.repeat(first, n)], np.repeat(cls[first], n[first])))
             size += len(data)
             if size >= FLUSH_BYTES:
                 out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -148,20 +146,21 @@ def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.
 
 
 def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
-    """doc_id, row (null without one), n_shingles and cls (a hash of the set) of each row.
+    """doc_id, row (null without one), n_shingles, cls (a hash of the set), ahead and behind of each row.
 
-    Rows with n_shingles -1 are tokens (`cls`) that many sets (`row`) of some part of the input hold.
+    ahead is the last token of the prefix under ascending hash, behind that of the
+    prefix under descending hash (0 without shingles).  Rows with n_shingles -1 are tokens (`cls`) that many sets (`row`) of some part of the input hold.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n_shingles", "cls"]
+        names = ["doc_id", "row", "n_shingles", "cls", "ahead", "behind"]
         held: list[np.ndarray] = []
         size, seen = 0, np.zeros(0, np.int64)
 
         def often() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             token, n = token[n >= HOT_LOCAL].view(np.int64), n[n >= HOT_LOCAL].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.full(len(n), -1, np.int64)), pa.array(token)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.full(len(n), -1, np.int64)), pa.array(token), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
 
         for part in parts:
             raw, off = B.text_bytes(part.column(1))
@@ -169,7 +168,11 @@ def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | No
                 token, ptr = shingles(data, cuts)
                 cls, n = classes(token, ptr), np.diff(ptr)
                 own = [part.column(k).slice(i, j - i) for k in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(cls)], names)
+                ends = np.zeros((2, len(n)), np.int64)
+                some, p = n > 0, prefix_length(n)
+                ends[0, some] = token[(ptr[:-1] + p - 1)[some]].view(np.int64)
+                ends[1, some] = token[(ptr[1:] - p)[some]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(cls), pa.array(ends[0]), pa.array(ends[1])], names)
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
                 first &= ~np.isin(cls, seen)
@@ -183,29 +186,37 @@ def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | No
             yield often()
 
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
-    return picked.mapInArrow(run, "doc_id long, row long, n_shingles long, cls long")
+    return picked.mapInArrow(run, "doc_id long, row long, n_shingles long, cls long, ahead long, behind long")
 
 
 def _name(token: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each token, and the number that stands for it: its lower 48 bits and its bucket."""
-    bucket = (token >> np.uint64(40)) % np.uint64(n_buckets)
-    return bucket.astype(np.int32), (bucket << np.uint64(48)) | (token & np.uint64((1 << 48) - 1))
+    """The bucket of each token, and the number that stands for it: its bucket and 39 bits of its place in there.
+
+    Buckets are ranges of the hash, so the numbers are in the order of the tokens.
+    As buckets grow in number with the tokens, two tokens of a bucket have one number
+    with the same small chance at every size.
+    """
+    count = np.uint64(n_buckets)
+    bucket = ((token >> np.uint64(40)) * count) >> np.uint64(24)
+    start = ((bucket << np.uint64(24)) + count - np.uint64(1)) // count << np.uint64(40)
+    place = (token - start) >> np.uint64(((1 << 24) // n_buckets + 1).bit_length() + 1)
+    return bucket.astype(np.int32), (bucket << np.uint64(40)) | place
 
 
 def _tokens_out(n_buckets: int, hot: np.ndarray):
     """Every token of every class of a task, dealt to token buckets; entries of hot ones to buckets by class."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, size in _flushes(parts, 0):
+        for token, cls in _flushes(parts, 0):
             bucket, name = _name(token, n_buckets)
-            low, high = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((name >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+            low, high = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((name >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                 is_hot = hot[at] == token
                 low[is_hot] = at[is_hot]
                 bucket[is_hot] = (B.mix(cls[is_hot].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-                size |= np.where(is_hot, _HOT, np.uint32(0))
-            yield from blobs.deal(bucket, {"low": low, "high": high, "cls": cls, "n": size})
+                high[is_hot] = _HOT
+            yield from blobs.deal(bucket, {"low": low, "high": high, "cls": cls})
 
     return run
 
@@ -218,8 +229,8 @@ def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
         got = blobs.gather(parts, _TOKEN)
         if got is None:
             return
-        bucket = np.uint64(got.pop("bucket")) << np.uint64(48)
-        is_hot, often = (got["n"] & _HOT) > 0, {"low": ()}
+        bucket = np.uint64(got.pop("bucket")) << np.uint64(40)
+        is_hot, often = got["high"] == _HOT, {"low": ()}
         if is_hot.any():
             often = {k: c[is_hot] for k, c in got.items()}
             got = {k: c[~is_hot] for k, c in got.items()}
@@ -233,61 +244,95 @@ def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
         several[1:] = same
         several[:-1] |= same
         order = order[several]
-        token, cls, n = token[order], got["cls"][order], got["n"][order]
+        token, cls = token[order], got["cls"][order]
         del got, same, several, order
         order = np.lexsort((cls, token))
-        token, cls, n = token[order], cls[order], n[order]
+        token, cls = token[order], cls[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n = token[new], cls[new], n[new]
+        token, cls = token[new], cls[new]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         df = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token)))).astype(np.uint32)
         shared = df > 1
-        token, cls, n, df = token[shared], cls[shared], n[shared], df[shared]
+        token, cls, df = token[shared], cls[shared], df[shared]
         if len(often["low"]):
-            token, cls, n = np.concatenate([token, hot_names[often["low"]]]), np.concatenate([cls, often["cls"]]), np.concatenate([n, often["n"]])
+            token, cls = np.concatenate([token, hot_names[often["low"]]]), np.concatenate([cls, often["cls"]])
             df = np.concatenate([df, hot_sets[often["low"]]])
         order = np.argsort(cls, kind="stable")
-        token, cls, n, df = token[order], cls[order], n[order], df[order]
-        bucket = (B.mix(cls.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-        yield from blobs.deal(bucket, {"token": token, "cls": cls, "n": n, "df": df})
+        token, cls, df = token[order], cls[order], df[order]
+        yield from blobs.deal(_of_class(cls, n_buckets), {"token": token, "cls": cls, "df": df})
 
     return run
 
 
-def _survivors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the prefixes by hash."""
-    got = blobs.gather(parts, _SHARED)
-    if got is None:
-        return
-    order = np.lexsort((got["token"], got["df"], got["cls"]))
-    cls, token = got["cls"][order], got["token"][order]
-    new = np.ones(len(cls), bool)  # copies in several tasks repeat the entries of hot tokens
-    new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
-    order = order[new]
-    cls, n = got["cls"][order], got["n"][order] & _SIZE
-    start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-    count = np.diff(np.append(start, len(cls)))
-    enough = count >= least(n[start])
-    order = order[np.repeat(enough, count)]
-    cls, flags, token, df = (got[k][order] for k in ("cls", "n", "token", "df"))
-    if not len(cls):
-        return
-    n = flags & _SIZE
-    start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-    end = np.append(start[1:], len(cls))
-    weight = np.add.reduceat(df.astype(np.float64), start) / n[start]
-    short = (B.mix(token) >> np.uint64(32)).astype(np.uint32)
-    ahead = [(flags & x) > 0 for x in (_ASCENDING, _DESCENDING)]
-    for i in range(0, len(start), 2000):
-        a, b = start[i : i + 2000], end[i : i + 2000]
-        prefix = (b - a) - least(n[a]) + 1
-        tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        heads = [token[x : x + q].tobytes() for x, q in zip(a, prefix, strict=True)]
-        maps = [_bitmap(token[x:y]).tobytes() for x, y in zip(a, b, strict=True)]
-        columns = [pa.array(cls[a]), pa.array(n[a].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(weight[i : i + 2000]), pa.array(maps, pa.binary()), pa.array(tokens, pa.binary())]
-        both = [pa.array([np.sort(short[x:y][inside[x:y]]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary()) for inside in ahead]
-        yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "shared", "head", "weight", "bits", "tokens", "ascending", "descending"])
+def _of_class(cls: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (B.mix(cls.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _classes_out(n_buckets: int):
+    """cls, n, ahead and behind of each class, dealt to class buckets."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = {name: part.column(k).to_numpy().astype(kind) for k, (name, kind) in enumerate(_CLASS.items())}
+            yield from blobs.deal(_of_class(columns["cls"], n_buckets), columns)
+
+    return run
+
+
+def _survivors(n_buckets: int):
+    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the prefixes by hash.
+
+    Takes rows (bucket, payload, about) with either entries of shared tokens or `_CLASS` entries.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about: list[bytes] = []
+
+        def entries() -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                about.extend(part.column(2).drop_null().to_pylist())
+                yield part.filter(pc.is_valid(part.column(1))).select([0, 1])
+
+        got = blobs.gather(entries(), _SHARED)
+        if got is None:
+            return
+        known = [blobs.unpack(x, _CLASS) for x in about]
+        known = {k: np.concatenate([x[k] for x in known]) for k in _CLASS}
+        by_class = np.argsort(known["cls"])
+        known = {k: c[by_class] for k, c in known.items()}
+        order = np.lexsort((got["token"], got["df"], got["cls"]))
+        cls, token = got["cls"][order], got["token"][order]
+        new = np.ones(len(cls), bool)  # copies in several tasks repeat the entries of hot tokens
+        new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
+        order = order[new]
+        cls = got["cls"][order]
+        start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        count = np.diff(np.append(start, len(cls)))
+        enough = count >= least(known["n"][np.searchsorted(known["cls"], cls[start])])
+        order = order[np.repeat(enough, count)]
+        cls, token, df = (got[k][order] for k in ("cls", "token", "df"))
+        if not len(cls):
+            return
+        start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        end = np.append(start[1:], len(cls))
+        at = np.searchsorted(known["cls"], cls[start])
+        n = known["n"][at]
+        weight = np.add.reduceat(df.astype(np.float64), start) / n
+        short = (B.mix(token) >> np.uint64(32)).astype(np.uint32)
+        last, least_one = (np.repeat(_name(known[k][at], n_buckets)[1], end - start) for k in ("ahead", "behind"))
+        ahead = [token <= last, token >= least_one]
+        for i in range(0, len(start), 2000):
+            a, b = start[i : i + 2000], end[i : i + 2000]
+            prefix = (b - a) - least(n[i : i + 2000]) + 1
+            tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+            heads = [token[x : x + q].tobytes() for x, q in zip(a, prefix, strict=True)]
+            maps = [_bitmap(token[x:y]).tobytes() for x, y in zip(a, b, strict=True)]
+            columns = [pa.array(cls[a]), pa.array(n[i : i + 2000].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(weight[i : i + 2000]), pa.array(maps, pa.binary()), pa.array(tokens, pa.binary())]
+            both = [pa.array([np.sort(short[x:y][inside[x:y]]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary()) for inside in ahead]
+            yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "shared", "head", "weight", "bits", "tokens", "ascending", "descending"])
+
+    return run
 
 
 _SURVIVOR = "cls long, n int, shared int, head binary, weight double, bits binary, tokens binary, ascending binary, descending binary"
@@ -482,7 +527,11 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
 
     dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets, hot), blobs.SCHEMA)
     shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets, hot, hot_sets), blobs.SCHEMA)
-    blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors, _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
+    # a class's rows are equal in these, and fold before the shuffle
+    about = rows.where("n_shingles > 0").groupBy("cls").agg(*[F.max(c).alias(c) for c in ("n_shingles", "ahead", "behind")])
+    about = about.mapInArrow(_classes_out(n_buckets), blobs.SCHEMA)
+    both = shared.withColumn("about", F.lit(None).cast("binary")).union(about.select("bucket", F.lit(None).cast("binary"), "payload"))
+    blobs.by_bucket(both, n_buckets).mapInArrow(_survivors(n_buckets), _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
     survivors = spark.read.schema(_SURVIVOR).parquet(f"{scratch}/survivors")
 
     n_lists = max(n_buckets // 4, -(-(survivors.agg(F.sum(F.octet_length("head"))).first()[0] or 0) // 8 // LIST_TOKENS))

@@ -458,3 +458,12 @@ def test_candidates_pass_three_orders(spark):
     jaccard.near_duplicates(table(spark, texts), folder, 4).count()
     count = lambda name: sum(spark.read.parquet(f"{folder}/{name}_{k}").count() for k in (0, "cross"))
     assert count("pairs") >= count("candidates") >= count("links") > 0
+
+
+def test_token_names_keep_order_and_fit():
+    token = np.sort(np.concatenate([np.random.default_rng(1).integers(0, 2**64, 20000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    for n_buckets in (1, 3, 24, 14001, (1 << 24) - 1):
+        bucket, name = jaccard._name(token, n_buckets)
+        assert 0 <= bucket.min() and bucket.max() < n_buckets
+        assert (name[1:] >= name[:-1]).all() and len(np.unique(name)) == len(token)
+        assert (name >> np.uint64(40) == bucket.astype(np.uint64)).all() and not (name & np.uint64(1 << 39)).any()
