@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, htmlregion, jaccard, langmask, mixing, quality, repetition, surrogates, syncmers, toxicity
+from . import bpe_stream, htmlregion, jaccard, langmask, mixing, quality, repetition, surrogates, syncmers, token_counts, toxicity
 from .shared import scratch_folder
 
 
@@ -94,8 +94,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), scratch_folder(spark, "jaccard"), n_buckets)
 
 
+#: A document of more tokens is over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), scratch_folder(spark, "tokens"), n_buckets)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_surrogates, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_repetition, op2_surrogates, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality, op10_jaccard_join, op11_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
