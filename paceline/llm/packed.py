@@ -26,7 +26,8 @@ def squeeze(*arrays: np.ndarray) -> bytes:
         low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
         kind = 3 if low < 0 else next(i for i, t in enumerate(_KINDS) if high <= np.iinfo(t).max)
         heads[k] = kind, len(a)
-        parts.append(np.ascontiguousarray(a, _KINDS[kind]).tobytes())
+        flat = np.ascontiguousarray(a, _KINDS[kind])
+        parts.append(flat.view(np.uint8).reshape(len(flat), -1).T.tobytes() if len(flat) else b"")  # bytes of one place together
     raw = bytes([len(arrays)]) + heads.tobytes() + b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -37,8 +38,10 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     heads = np.frombuffer(raw, _HEAD, raw[0], 1)
     at, out = 1 + heads.nbytes, []
     for kind, n in heads:
-        out.append(np.frombuffer(raw, _KINDS[kind], n, at).astype(np.int64))
-        at += int(n) * np.dtype(_KINDS[kind]).itemsize
+        width = np.dtype(_KINDS[kind]).itemsize
+        flat = np.frombuffer(raw, np.uint8, int(n) * width, at).reshape(width, int(n))
+        out.append(np.ascontiguousarray(flat.T).view(_KINDS[kind]).ravel().astype(np.int64) if n else np.zeros(0, np.int64))
+        at += int(n) * width
     return out
 
 
