@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, collocations, htmlregion, jaccard, langmask, mixing, quality, repetition, surrogates, syncmers, token_counts, toxicity
+from . import bpe_stream, collocations, htmlregion, jaccard, langmask, mixing, quality, repetition, surrogates, syncmers, token_counts, toxicity, whitening
 from .shared import scratch_folder
 
 
@@ -104,13 +104,17 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), scratch_folder(spark, "whitening"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return collocations.collocations(_table(spark, sf_dir, "documents"), scratch_folder(spark, "phrases"), n_buckets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_surrogates, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality, op10_jaccard_join, op11_token_counts, op13_collocations)}
+    return {f.__name__: f for f in (op1_repetition, op2_surrogates, op3_langmask, op4_bpe_stream, op5_syncmers, op6_pivotal_mix, op7_html_region, op8_toxicity, op9_subword_quality, op10_jaccard_join, op11_token_counts, op12_whitening, op13_collocations)}
 
 
 #: Every phrase of 1 to 3 words is counted, its weakest cut scored and the phrases of a longer one dropped.
