@@ -38,7 +38,7 @@ from .batches import Hasher, blocks, mix, text_bytes
 from .packed import block_numbers, bucket_order, in_bucket_order, joined, squeeze, string_array, string_bytes, unsqueeze
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 #: Parts in which the best phrases of a language are looked for before they meet.
 TOP_PARTS = 32
 
@@ -47,13 +47,15 @@ _GROUP, _ANSWER, _TOTAL = 0, 1, 2
 
 _CUT = np.zeros(256, bool)
 _CUT[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _GAP = _CUT.copy()
 _GAP[[0x20, 0x09]] = True
 
 
 def occurrences(raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words of UTF-8 texts in lower case, their texts, and their places."""
-    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    raw = _LOWER[raw]
     ink = ~_GAP[raw]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
@@ -64,7 +66,7 @@ def occurrences(raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray,
     last[borders - 1] = ink[borders - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(off, start, "right") - 1
-    piece = np.cumsum(_CUT[raw])[start] if len(start) else start
+    piece = np.cumsum(_CUT[raw], dtype=np.int32)[start] if len(start) else start
     step = np.ones(len(start), np.int64)
     step[1:] += (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
     return string_array(raw[ink], np.concatenate([[0], np.cumsum(end - start)])), doc, np.cumsum(step)
