@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected entities (mail addresses, phone and card numbers, IP and MAC addresses,
-bank and social security numbers, keys, assigned secrets, names after a title)
+bank and social security numbers, keys, assigned secrets, names after one or more
+titles, with their initials and particles)
 are replaced by values of the same format: digits stay digits, letters stay
 letters of their case and script, separators stay, check digits of cards and
 bank accounts stay as right or wrong as they were, an address stays public or
@@ -52,8 +53,12 @@ MALE = "Mr Mister Sir Herr Monsieur Señor Sr".split()
 FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Doña".split()
 NEUTRAL = "Dr Prof Professor".split()
 
-_NAME = r"[^\W\d_]++(?:[-'’][^\W\d_]++)?"
+# Small words that belong to a last name.
+PARTICLES = "van von de der den del della di da du la le el al bin ibn ten ter zu zur dos das".split()
+
+_NAME = r"[^\W\d_]++(?:[-'’](?!s\b)[^\W\d_]++)?"  # without the 's of "Smith's"
 # What every address and every account number has in it.
+_LOCAL_HEAD = re.compile(r"\b0[0-9]{2,4} [0-9]{3}")
 _DOTTED, _IBAN_HEAD = re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]"), re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
 _ASSIGNED = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 _PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
@@ -66,18 +71,20 @@ _PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("mac", re.compile(r"\b(?P<v>(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2})\b"), lambda t: ":" in t or "-" in t),
     ("ssn", re.compile(r"(?<![\w-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"), lambda t: "-" in t),
     ("card", re.compile(r"(?<![\w.+-])(?P<v>[0-9](?:[ -]?[0-9]){12,18})(?![\w-]|\.[0-9])"), lambda t: True),
-    ("phone", re.compile(r"(?<![\w+])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w|\.[0-9])"), lambda t: "+" in t or "-" in t or "." in t),
+    ("phone", re.compile(r"(?<![\w+])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4})(?!\w|\.[0-9])"), lambda t: "+" in t or "-" in t or "." in t or bool(_LOCAL_HEAD.search(t))),
 ]
 # Social security and card numbers always have so many digits close together; the other kinds need not.
 _DIGITS = re.compile(r"[0-9](?:[^0-9]{0,3}[0-9]){6}")
 _NEED_DIGITS = frozenset("ssn card".split())
-_PERSON = re.compile(rf"\b(?P<title>{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.? (?P<v>{_NAME}(?: {_NAME})?)")
+_TITLES = {t: g for g, titles in (("m", MALE), ("f", FEMALE), ("", NEUTRAL)) for x in titles for t in (x, x.upper())}
+_LAST = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME}"
+_PERSON = re.compile(rf"\b(?P<title>{'|'.join(_TITLES)})\b\.? (?P<v>{_LAST}(?: [^\W\d_]\.){{0,3}}(?: {_LAST})?)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DOMAIN_END = re.compile(r"[^\W\d_]{2,}")
 
 _DIGIT, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _ASCII = {"digit": _DIGIT, "lower": _LOWER, "upper": _UPPER, "hex": _HEX}
-_HEXLIKE = re.compile(r"(?=.*[0-9])[0-9a-f:-]{12,}", re.DOTALL)
+_HEXLIKE = re.compile(r"[0-9a-f:-]{12,}")
 _ROUNDS = 8
 #: Characters of a value that are permuted as one number, and that are permuted at all (the rest are shifted).
 CHUNK, PERMUTED = 64, 1024
@@ -122,6 +129,14 @@ class Entity:
     gender: str = ""
 
 
+def _number_kind(value: str) -> str:
+    """hex for 12 or more hexadecimal signs with a digit and a letter among them, digits for as many digits, else nothing."""
+    if not _HEXLIKE.fullmatch(value):
+        return ""
+    digit, letter = any(c in _DIGIT for c in value), any(c in _LOWER for c in value)
+    return "hex" if digit and letter else "digits" if digit else ""
+
+
 class Permutation:
     """Keyed permutations of the whole numbers below any n, without fixed points for n > 1."""
 
@@ -193,31 +208,38 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.permute = Permutation(key)
 
-    def _shape(self, kind: str, value: str, hexadecimal: bool = False) -> str:
-        """A value of the same classes of characters.
+    def _shape(self, kind: str, value: str) -> str:
+        """A value of the same classes of characters; a hexadecimal one is permuted among those.
 
         A long one goes in pieces, each permuted as those before it say; behind
         PERMUTED characters each is shifted in its class by a stream that hangs on
         those.  Either way different values stay different.
         """
+        own = _number_kind(value)
         if len(value) <= CHUNK:
-            return self._piece(kind, value, hexadecimal)
+            return self._piece(kind, value, own == "hex", own)
         out, before = [], hashlib.sha256(kind.encode())
         for k in range(0, min(len(value), PERMUTED), CHUNK):
             piece = value[k : min(k + CHUNK, PERMUTED)]
-            out.append(self._piece(f"{kind}|{k}|{len(value)}|{before.hexdigest()}", piece, hexadecimal))
+            out.append(self._piece(f"{kind}|{k}|{len(value)}|{before.hexdigest()}", piece, own == "hex"))
             before.update(piece.encode())
         tail = value[PERMUTED:]
         stream = hashlib.shake_256(self.permute.key + before.digest()).digest(2 * len(tail))
         for k, c in enumerate(tail):
-            name = "hex" if hexadecimal and c in _HEX else _class_of(c)
+            name = "hex" if own == "hex" and c in _HEX else _class_of(c)
             if name:
                 alphabet = _alphabet(name)
                 c = alphabet[(alphabet.index(c) + stream[2 * k] + 256 * stream[2 * k + 1]) % len(alphabet)]
             out.append(c)
         return "".join(out)
 
-    def _piece(self, kind: str, value: str, hexadecimal: bool = False) -> str:
+    def _piece(self, kind: str, value: str, hexadecimal: bool = False, own: str | None = None) -> str:
+        """`own`: the kind of number that the result must be as well (None: any).
+
+        A hexadecimal value is permuted in the hexadecimal alphabet and most of its
+        permutations have a digit and a letter too, and most permutations of another
+        value are not hexadecimal, so few steps are taken.
+        """
         classes = ["hex" if hexadecimal and c in _HEX else _class_of(c) for c in value]
         if not any(classes):  # signs only: any others of their blocks
             if not value or kind.count("|") > 1:
@@ -230,7 +252,6 @@ class Surrogates:
         for c, a in zip(value, alphabets, strict=True):
             if a:
                 x, n = x * len(a) + a.index(c), n * len(a)
-        hexlike = bool(_HEXLIKE.fullmatch(value))
         while True:
             x = self.permute(x, n, tweak)
             out, rest = [], x
@@ -240,8 +261,8 @@ class Surrogates:
                     c = a[k]
                 out.append(c)
             new = "".join(reversed(out))
-            # a hexadecimal value becomes one, another value never does; signs stay without white space
-            if bool(_HEXLIKE.fullmatch(new)) == hexlike and not any(c.isspace() or "\ud800" <= c <= "\udfff" for c in new):
+            # signs stay without white space
+            if (own is None or _number_kind(new) == own) and not any(c.isspace() or "\ud800" <= c <= "\udfff" for c in new):
                 return new
 
     def _spelled(self, lower: str, gender: str) -> str:
@@ -262,6 +283,8 @@ class Surrogates:
         return out + ends[k]
 
     def _name(self, part: str, gender: str) -> str:
+        if part in PARTICLES:
+            return part
         lower = part.lower()
         known = set(_LOWER + _alphabet(_class("ö")) + _alphabet(_class("ő")))
         out = self._spelled(lower, gender) if len(lower) <= CHUNK and set(lower) <= known else self._shape("name", lower)
@@ -311,8 +334,12 @@ class Surrogates:
                 keep = re.match(r"\+([0-9]{1,3})[ .(-]", v)
                 head = keep.group(1) if keep else ""
                 new = head + self._shape(e.kind + head, digits[len(head) :])
+        elif e.kind == "mac":
+            digits = v.lower().replace(":", "").replace("-", "")
+            new = f"{self.permute(int(digits, 16), 2**48, b'mac'):012x}"
+            new = new.upper() if v.upper() == v and v.lower() != v else new
         else:
-            return self._shape(e.kind, v, bool(_HEXLIKE.fullmatch(v)))
+            return self._shape(e.kind, v)
         it = iter(new)
         return "".join(next(it) if c.isalnum() else c for c in v)
 
@@ -367,21 +394,27 @@ def _found(kind: str, m: re.Match, text: str) -> Entity | None:
 
 def _people(text: str) -> list[Entity]:
     """Names after a title, and the same words elsewhere in the text."""
-    found, gender_of = [], {}
-    for m in _PERSON.finditer(text):
-        parts = m.group("v").split(" ")
-        if parts[0][0].islower():
+    found, gender_of, at = [], {}, 0
+    while m := _PERSON.search(text, at):
+        at = m.start("v")  # a title may stand right behind a title, or behind a small word
+        own, parts = [], m.group("v").split(" ")
+        for k, part in enumerate(parts):
+            if part in _TITLES or (part[0].islower() and not (part in PARTICLES and any(not p[0].islower() for p in parts[k:]))):
+                break
+            own.append(part)
+        while own and own[-1] in PARTICLES:
+            own.pop()
+        if not own:
             continue
-        own = parts[:1] if len(parts) < 2 or parts[1][0].islower() else parts
-        title = m.group("title")
-        gender = "m" if title in MALE else "f" if title in FEMALE else ""
+        at += len(" ".join(own))
+        gender = _TITLES[m.group("title")]
         found.append((m.start("v"), own, gender))
-        if len(own) > 1 and gender:
+        if len(own) > 1 and gender and own[0] not in PARTICLES:
             gender_of.setdefault(own[0], gender)
     if not found:
         return []
-    firsts = {own[0] for _, own, _ in found if len(own) > 1}
-    lasts = {own[-1] for _, own, _ in found}
+    firsts = {own[0] for _, own, _ in found if len(own) > 1 and own[0] not in PARTICLES}
+    lasts = {own[-1] for _, own, _ in found if own[-1][-1] != "."}
     out = []
     for at, own, _ in found:
         # a first name has a gender wherever it stands; a lone name after a title is a last name unless known as a first one only
