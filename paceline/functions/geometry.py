@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scores import let
+
 Polygon = Sequence[tuple[float, float]] | Column
 #: A cone reaches this far from its apex.
 CONE_LENGTH = 10000.0
@@ -83,6 +85,44 @@ def nearest_on_boundary(x: Column, y: Column, poly: Sequence[tuple[float, float]
     return F.struct(best["x"].alias("x"), best["y"].alias("y"))
 
 
+def _lengths(poly: Sequence[tuple[float, float]]) -> list[float]:
+    return [math.hypot(bx - ax, by - ay) for ax, ay, bx, by in edges(poly)]
+
+
+def outline_length(poly: Sequence[tuple[float, float]]) -> float:
+    return sum(_lengths(poly))
+
+
+def centroid(poly: Sequence[tuple[float, float]]) -> tuple[float, float]:
+    """Centre of a polygon's area."""
+    parts = [(ax * by - bx * ay, ax + bx, ay + by) for ax, ay, bx, by in edges(poly)]
+    area = 3 * sum(c for c, _, _ in parts)
+    return sum(c * x for c, x, _ in parts) / area, sum(c * y for c, _, y in parts) / area
+
+
+def along_boundary(x: Column, y: Column, poly: Sequence[tuple[float, float]]) -> Column:
+    """struct<x,y,s>: the nearest point of an outline (of equally near edges the first) and its distance from the first corner along the outline."""
+    found, before = [], 0.0
+    for k, (e, n) in enumerate(zip(edges(poly), _lengths(poly), strict=True)):
+        cx, cy = _closest(x, y, *(_lit(v) for v in e))
+        s = F.lit(before) + F.sqrt((cx - _lit(e[0])) * (cx - _lit(e[0])) + (cy - _lit(e[1])) * (cy - _lit(e[1])))
+        found.append(F.struct(((x - cx) * (x - cx) + (y - cy) * (y - cy)).alias("d"), F.lit(k).alias("k"), cx.alias("x"), cy.alias("y"), s.alias("s")))
+        before += n
+    best = F.array_min(F.array(*found))
+    return F.struct(best["x"].alias("x"), best["y"].alias("y"), best["s"].alias("s"))
+
+
+def on_outline(x: float, y: float, poly: Sequence[tuple[float, float]]) -> tuple[float, float, float]:
+    """`along_boundary` of one known point."""
+    found, before = [], 0.0
+    for k, ((ax, ay, bx, by), n) in enumerate(zip(edges(poly), _lengths(poly), strict=True)):
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (n * n))) if n else 0.0
+        cx, cy = ax + t * (bx - ax), ay + t * (by - ay)
+        found.append(((x - cx) ** 2 + (y - cy) ** 2, k, cx, cy, before + t * n))
+        before += n
+    return min(found)[2:]
+
+
 def snap_into(x: Column, y: Column, boundary: Sequence[tuple[float, float]], entries: Sequence[Sequence[tuple[float, float]]] = ()) -> Column:
     """The point itself inside the boundary or an entry polygon, else the nearest point of the boundary."""
     inside = point_in_polygon(x, y, boundary)
@@ -201,6 +241,65 @@ def wall_polygon(corners: Column, fraction: float = 0.2) -> Column:
     return F.array(*[F.struct(a.cast("int").alias("x"), b.cast("int").alias("y")) for a, b in moved])
 
 
+def _points() -> Column:
+    return F.array().cast("array<struct<x:double,y:double>>")
+
+
+def polygon_area(poly: Column) -> Column:
+    """Signed area (counter-clockwise is positive) of a polygon column; 0 for fewer than three points."""
+    return let(poly, lambda p: F.aggregate(edge_array(p), F.lit(0.0), lambda a, e: a + (e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2)
+
+
+def clipped(poly: Column, window: Column) -> Column:
+    """The part of a convex polygon inside a convex one that is counter-clockwise, as a fold over the window's edges."""
+
+    def cut(points: Column, e: Column) -> Column:
+        side = lambda x, y: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+        def kept(q: Column) -> Column:
+            s, t = side(q["ax"], q["ay"]), side(q["bx"], q["by"])
+            share = s / (s - t)
+            here = F.struct(q["ax"].alias("x"), q["ay"].alias("y"))
+            there = F.struct((q["ax"] + share * (q["bx"] - q["ax"])).alias("x"), (q["ay"] + share * (q["by"] - q["ay"])).alias("y"))
+            return F.concat(F.when(s >= 0, F.array(here)).otherwise(_points()), F.when((s >= 0) != (t >= 0), F.array(there)).otherwise(_points()))
+
+        return F.flatten(F.transform(edge_array(points), kept))
+
+    return F.aggregate(edge_array(window), poly, cut)
+
+
+def circle(x: Column, y: Column, radius: float, sides: int = 64) -> Column:
+    """A regular polygon of `sides` points on a circle."""
+    turns = F.array(*[F.struct(F.lit(radius * math.cos(2 * math.pi * k / sides)).alias("x"), F.lit(radius * math.sin(2 * math.pi * k / sides)).alias("y")) for k in range(sides)])
+    return F.transform(turns, lambda p: F.struct((x + p["x"]).alias("x"), (y + p["y"]).alias("y")))
+
+
+def circle_share(quad: Column, x: Column, y: Column, radius: float, sides: int = 64) -> Column:
+    """Share of a circle (as a polygon of `sides`) that a convex quadrilateral column covers."""
+    low, high = (lambda c: F.array_min(F.transform(quad, lambda p: p[c]))), (lambda c: F.array_max(F.transform(quad, lambda p: p[c])))
+    apart = (low("x") > x + radius) | (high("x") < x - radius) | (low("y") > y + radius) | (high("y") < y - radius)
+    window = F.when(polygon_area(quad) >= 0, quad).otherwise(F.reverse(quad))
+    whole = sides * radius * radius * math.sin(2 * math.pi / sides) / 2
+    return F.when(apart, 0.0).otherwise(let(window, lambda w: polygon_area(clipped(circle(x, y, radius, sides), w)) / whole))
+
+
+def strictly_inside(x: Column, y: Column, quad: Column) -> Column:
+    """Whether a point is inside a convex polygon column, its outline left out."""
+    turns = F.transform(edge_array(quad), lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]))
+    return F.forall(turns, lambda t: t > 0) | F.forall(turns, lambda t: t < 0)
+
+
+def column_centroid(poly: Column) -> Column:
+    """struct<x,y>: centre of the area of a polygon column."""
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(a: Column, e: Column) -> Column:
+        c = e["ax"] * e["by"] - e["bx"] * e["ay"]
+        return F.struct((a["c"] + c).alias("c"), (a["x"] + c * (e["ax"] + e["bx"])).alias("x"), (a["y"] + c * (e["ay"] + e["by"])).alias("y"))
+
+    return F.aggregate(edge_array(poly), zero, add, lambda a: F.struct((a["x"] / (3 * a["c"])).alias("x"), (a["y"] / (3 * a["c"])).alias("y")))
+
+
 def place_from_walls(cx: Column, cy: Column, ua: Sequence[Column], ub: Sequence[Column], from_a: Column, from_b: Column, scale: Column, least_degrees: float = 5.0) -> Column:
     """struct<x,y>: the point at given distances from two walls that meet in a corner.
 

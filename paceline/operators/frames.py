@@ -116,24 +116,34 @@ def dense(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return frames.join(rows, [*KEY, "frame"], "left")
 
 
+#: Frames of a track that `smoothed` handles at a time.
+PART = 256
+
+
 def smoothed(rows: DataFrame, low: float = 0.1, high: float = 0.3, threshold: float = 5.0) -> DataFrame:
     """Adaptive exponential smoothing of each track's positions.
 
     The weight of a new position falls from `high` to `low` as the step grows.
-    Each position needs the smoothed one before, so a track is one group.
+    Each position needs the smoothed one before, so a track is a fold over its
+    positions; it goes in parts of PART frames, so that the growing result is copied
+    once a part.
     """
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("frame")
-        out = track[["map_x", "map_y"]].to_numpy(float).copy()
-        for k in range(1, len(out)):
-            step = float(np.hypot(*(out[k] - out[k - 1])))
-            f = min(high, max(low, 1 - step / threshold))
-            out[k] = f * out[k] + (1 - f) * out[k - 1]
-        return track.assign(map_x=out[:, 0], map_y=out[:, 1])
-
-    rows = rows.select(*KEY, "frame", "map_x", "map_y")
-    return rows.groupBy(*KEY).applyInPandas(run, rows.schema)
+    point = F.struct("frame", F.col("map_x").cast("double").alias("x"), F.col("map_y").cast("double").alias("y"))
+    parts = rows.groupBy(*KEY, F.floor(F.col("frame") / PART).alias("part_")).agg(F.sort_array(F.collect_list(point)).alias("points_"))
+    tracks = parts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("part_", "points_"))).alias("parts_"))
+    done = "array<struct<frame:int,x:double,y:double>>"
+
+    def step(out: Column, p: Column, before: Column) -> Column:
+        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.try_element_at(before, F.lit(-1)), p)
+        weight = F.least(F.lit(high), F.greatest(F.lit(low), 1 - F.hypot(p["x"] - last["x"], p["y"] - last["y"]) / threshold))
+        mixed = lambda c: weight * p[c] + (1 - weight) * last[c]
+        return F.concat(out, F.array(F.struct(p["frame"].cast("int").alias("frame"), mixed("x").alias("x"), mixed("y").alias("y"))))
+
+    def part(out: Column, q: Column) -> Column:
+        return F.concat(out, F.aggregate(q["points_"], F.array().cast(done), lambda own, p: step(own, p, out)))
+
+    smooth = F.aggregate("parts_", F.array().cast(done), part)
+    return tracks.select(*KEY, F.explode(smooth).alias("p_")).select(*KEY, "p_.frame", F.col("p_.x").alias("map_x"), F.col("p_.y").alias("map_y"))
 
 
 def gaussian_smoothed(rows: DataFrame, tau: float = 10.0) -> DataFrame:

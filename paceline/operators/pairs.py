@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 
 BOX = ("x1", "y1", "x2", "y2")
-#: Frames that a task of a greedy operator handles at a time.
-FRAME_BLOCK = 64
 
 # Body groups of the 26-keypoint layout and how much each counts.
 ANCHORS = {"head_core": (17, 0, 1, 2, 3, 4), "neck": (18,), "shoulder": (5, 6), "hip": (11, 12, 19), "knee": (13, 14), "foot": (15, 16, 20, 21, 22, 23, 24, 25)}
@@ -188,7 +186,7 @@ def poses_in_boxes(boxes: DataFrame, poses: DataFrame) -> DataFrame:
     """run_id, frame, box, pose: boxes in order take the nearest pose (by centroid) that lies wholly inside and is still free.
 
     `boxes`: run_id, frame, box (number), x1..y2; `poses`: run_id, frame, pose, keypoints.
-    Candidates come from a join within the frame; taking turns needs a frame's few pairs together.
+    Candidates come from a join within the frame; taking turns is a fold over a frame's few pairs.
     """
     good = F.filter("keypoints", lambda p: p["score"] > 0)
     n = F.size(good)
@@ -197,44 +195,32 @@ def poses_in_boxes(boxes: DataFrame, poses: DataFrame) -> DataFrame:
     pairs = boxes.join(flat, ["run_id", "frame"]).where(F.forall("k_", lambda p: (p["x"] > F.col("x1")) & (p["x"] < F.col("x2")) & (p["y"] > F.col("y1")) & (p["y"] < F.col("y2"))))
     pairs = pairs.select("run_id", "frame", "box", "pose", F.hypot(F.col("px") - (F.col("x1") + F.col("x2")) / 2, F.col("py") - (F.col("y1") + F.col("y2")) / 2).alias("d"))
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        boxes_done, used, out = set(), set(), []
-        for row in group.sort_values(["frame", "box", "d", "pose"]).itertuples(index=False):
-            if (row.frame, row.box) not in boxes_done and (row.frame, row.pose) not in used:
-                boxes_done.add((row.frame, row.box))
-                used.add((row.frame, row.pose))
-                out.append((row.run_id, row.frame, row.box, row.pose))
-        return pd.DataFrame(out, columns=["run_id", "frame", "box", "pose"])
+    by_frame = pairs.groupBy("run_id", "frame").agg(F.sort_array(F.collect_list(F.struct("box", "d", "pose"))).alias("pairs"))
+    none = F.array().cast(f"array<struct<box:{pairs.schema['box'].dataType.simpleString()},pose:{pairs.schema['pose'].dataType.simpleString()}>>")
 
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("run_id", "frame", "box", "pose"))
-    return pairs.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(take, kinds)
+    def take(taken: Column, p: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["box"] == p["box"]) | (t["pose"] == p["pose"]))
+        return F.when(free, F.concat(taken, F.array(F.struct(p["box"].alias("box"), p["pose"].alias("pose"))))).otherwise(taken)
+
+    return by_frame.select("run_id", "frame", F.explode(F.aggregate("pairs", none, take)).alias("t")).select("run_id", "frame", "t.box", "t.pose")
 
 
 def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int = 100) -> DataFrame:
     """Boxes left after non-max suppression in each frame, `top` at most (a top-k report per picture).
 
-    Frames are dealt in blocks, so a task handles many small frames at a time.
+    A fold over a frame's boxes, best first (then by track): one is left unless it overlaps one that was.
     """
+    row = F.struct(*boxes.columns)
+    by_frame = boxes.where(F.col("confidence") > least_score).groupBy("run_id", "frame").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "track_id", row.alias("row")))).alias("items"))
+
+    def overlaps(a: Column, b: Column) -> Column:
+        inter = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) * F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+        area = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
+        return inter / F.greatest(area(a) + area(b) - inter, F.lit(1e-12)) > most_iou
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = []
-        for _, one in group.groupby("frame", sort=False):
-            one = one.sort_values(["confidence", "track_id"], ascending=[False, True])
-            b = one[list(BOX)].to_numpy(float)
-            area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-            alive, taken = np.ones(len(b), bool), []
-            for i in range(len(b)):
-                if not alive[i]:
-                    continue
-                taken.append(i)
-                w = np.maximum(0, np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0]))
-                h = np.maximum(0, np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1]))
-                alive &= ~(w * h / np.maximum(area[i] + area - w * h, 1e-12) > most_iou)
-            chosen.append(one.iloc[taken[:top]])
-        return pd.concat(chosen) if chosen else group.iloc[:0]
-
-    rows = boxes.where(F.col("confidence") > least_score)
-    return rows.withColumn("block_", F.floor(F.col("frame") / FRAME_BLOCK)).groupBy("run_id", "block_").applyInPandas(lambda g: keep(g.drop(columns=["block_"])), rows.schema)
+    keep = lambda kept, b: F.when(F.exists(kept, lambda a: overlaps(a["row"], b["row"])), kept).otherwise(F.concat(kept, F.array(b)))
+    left = F.aggregate("items", F.slice("items", 1, 0), keep)
+    return by_frame.select(F.explode(F.slice(left, 1, top)).alias("b")).select("b.row.*")
 
 
 def close_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None) -> DataFrame:
@@ -256,28 +242,38 @@ def close_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None
 def suppressed_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None, top: int = 30) -> DataFrame:
     """run_id, frame, pose of the poses left in each frame: of poses that lie close together the best is left (`top` of a frame at most).
 
-    The pairs are counted in columns; only the choice, which hangs on those before it, goes frame by frame.
+    A fold over a frame's poses, best first: one that isn't settled yet gives way to the
+    best of those close to it; if that is free it is left, and all of them are settled.
+    """
+    item = F.struct((-F.col("score")).alias("rank"), "pose", "close")
+    by_frame = close_poses(poses, share, least_joints).groupBy("run_id", "frame").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    kind = poses.schema["pose"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("settled"), F.array().cast(f"array<struct<rank:double,pose:{kind}>>").alias("leaders"))
+
+    def choose(state: Column, p: Column) -> Column:
+        own = F.array(F.struct(p["rank"].alias("rank"), p["pose"].alias("pose")))
+        around = F.when(F.size(p["close"]) > 0, p["close"]).otherwise(own)
+        leader = F.array_min(around)
+        free = ~F.array_contains(state["settled"], p["pose"]) & ~F.array_contains(state["settled"], leader["pose"])
+        grown = F.struct(F.concat(state["settled"], F.transform(around, lambda x: x["pose"])).alias("settled"), F.concat(state["leaders"], F.array(leader)).alias("leaders"))
+        return F.when(free, grown).otherwise(state)
+
+    leaders = F.sort_array(F.aggregate("items", start, choose, lambda s: s["leaders"]))
+    return by_frame.select("run_id", "frame", F.explode(F.slice(leaders, 1, top)).alias("l")).select("run_id", "frame", "l.pose")
+
+
+def keypoint_errors(reference: DataFrame, test: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """run_id, n_poses, n_points, mean_error: mean absolute difference of the coordinates of the same pose's keypoints on both sides.
+
+    Both: run_id, frame, track_id, keypoints (array of struct<x,y,score>).  A point
+    counts where its score is above `least_score` on both sides.
     """
-    rows = close_poses(poses, share, least_joints).select("run_id", "frame", "pose", (-F.col("score")).alias("rank"), "close")
-
-    def choose(block: pd.DataFrame) -> pd.DataFrame:
-        left = []
-        for (run, frame), group in block.sort_values(["rank", "pose"]).groupby(["run_id", "frame"], sort=False):
-            settled, leaders = set(), []
-            for r in group.itertuples(index=False):
-                if r.pose in settled:
-                    continue
-                around = [(x["rank"], x["pose"]) for x in r.close] if r.close is not None and len(r.close) else [(r.rank, r.pose)]
-                leader = min(around)
-                if leader[1] not in settled:
-                    leaders.append(leader)
-                settled.update(x for _, x in around)
-                settled.update((r.pose, leader[1]))
-            left += [(run, frame, pose) for _, pose in sorted(leaders)[:top]]
-        return pd.DataFrame(left, columns=["run_id", "frame", "pose"])
-
-    kinds = ", ".join(f"{c} {poses.schema[c].dataType.simpleString()}" for c in ("run_id", "frame", "pose"))
-    return rows.groupBy("run_id", F.floor(F.col("frame") / FRAME_BLOCK)).applyInPandas(choose, kinds)
+    pairs = reference.select("run_id", "frame", "track_id", F.col("keypoints").alias("a_")).join(test.select("run_id", "frame", "track_id", F.col("keypoints").alias("b_")), ["run_id", "frame", "track_id"])
+    seen = F.filter(F.arrays_zip("a_", "b_"), lambda p: (p["a_"]["score"] > least_score) & (p["b_"]["score"] > least_score))
+    error = F.aggregate(seen, F.lit(0.0), lambda s, p: s + F.abs(p["a_"]["x"] - p["b_"]["x"]) + F.abs(p["a_"]["y"] - p["b_"]["y"]))
+    rows = pairs.select("run_id", error.alias("e_"), F.size(seen).alias("n_"))
+    out = rows.groupBy("run_id").agg(F.count_if(F.col("n_") > 0).alias("n_poses"), F.sum("n_").cast("long").alias("n_points"), F.sum("e_").alias("e_"))
+    return out.select("run_id", "n_poses", "n_points", (F.col("e_") / F.nullif(2 * F.col("n_points"), F.lit(0))).alias("mean_error"))
 
 
 def box_recall(reference: DataFrame, test: DataFrame, least_iou: float = 0.5) -> DataFrame:

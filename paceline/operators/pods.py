@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import scores as S
 from ..plans.rooms import Room
 from . import frames
@@ -48,7 +48,10 @@ def assign_by_side(vectors: DataFrame, room: Room) -> DataFrame:
     """run_id, track_id, entry_number, pod_idx: pods alternate between the door's sides, from the first entrant's side on, deepest first.
 
     `vectors`: the entrants with door_index and sign.  Entrants beyond the pods get null.
+    Without doors the room's outline decides (`assign_by_outline`).
     """
+    if not room.axes():
+        return assign_by_outline(vectors, room)
     table = vectors.sparkSession.createDataFrame(_orders(room), "door_index int, start_ int, entry_number int, pod_idx int")
     first = vectors.where("entry_number = 1").select("run_id", "door_index", F.when(F.col("sign") == 0, 1).otherwise(F.col("sign")).alias("start_"))
     rows = vectors.select("run_id", "track_id", "entry_number").join(first, "run_id")
@@ -59,9 +62,15 @@ def assign_by_group(vectors: DataFrame, room: Room) -> DataFrame:
     """As `assign_by_side`, with the pods' own groups A and B as the two sides.
 
     The group whose pods lie best in the first entrant's direction starts; where
-    one group is empty the pods go by depth alone.
+    one group is empty the pods go by depth alone.  Depth is the distance from the
+    door's centre, without doors from the point of the outline nearest to the first
+    entrant.  Groups that don't name A or B for every pod count for nothing.
     """
     groups = {g: [k for k, x in enumerate(room.pod_groups) if x.strip().upper() == g] for g in "AB"}
+    if sum(map(len, groups.values())) != len(room.pods):
+        return assign_by_side(vectors, room)
+    if not room.axes():
+        return _groups_without_doors(vectors, room, groups)
     doors, rows = room.axes(), []
     for d, door in enumerate(doors):
         deep = {g: _by_depth(room, ks, door.centre) for g, ks in groups.items()}
@@ -89,6 +98,61 @@ def assign_by_group(vectors: DataFrame, room: Room) -> DataFrame:
     return rows.join(table, ["door_index", "start_", "entry_number"], "left").select("run_id", "track_id", "entry_number", "pod_idx")
 
 
+def _turns(each: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pods of two sides in turns: `each` has run_id, pod_, side_ and start_ (1 or -1) and r_ (place on its side).
+
+    A pod of the starting side comes after as many of the other as have had their turn,
+    and the other way round, so a side that has run out is passed over.
+    """
+    mine, theirs = (F.count_if(c).over(Window.partitionBy("run_id")) for c in (F.col("side_") == F.col("start_"), F.col("side_") != F.col("start_")))
+    place = F.when(F.col("side_") == F.col("start_"), F.col("r_") + F.least(F.col("r_") - 1, theirs)).otherwise(F.col("r_") + F.least(F.col("r_"), mine))
+    table = each.select("run_id", place.cast("int").alias("entry_number"), F.col("pod_").alias("pod_idx"))
+    return vectors.select("run_id", "track_id", "entry_number").join(table, ["run_id", "entry_number"], "left").select("run_id", "track_id", "entry_number", "pod_idx")
+
+
+def _first_on_outline(vectors: DataFrame, room: Room) -> DataFrame:
+    """run_id, start_x, start_y, dx, dy of the first entrant and door_ (x, y, s): the outline's point nearest to where it began, and how far along the outline that is."""
+    first = vectors.where("entry_number = 1").select("run_id", "start_x", "start_y", "dx", "dy")
+    return first.withColumn("door_", G.along_boundary(F.col("start_x"), F.col("start_y"), room.boundary))
+
+
+def assign_by_outline(vectors: DataFrame, room: Room) -> DataFrame:
+    """As `assign_by_side` for a room without doors.
+
+    The doorway is the outline's point nearest to the first entrant's start.  The line
+    from there to the room's centroid parts the pods (each by its nearest point of the
+    outline) into two sides; those come first that lie furthest from the doorway along
+    the outline, on the side that the first entrant turns to.  Without a direction that
+    is the second side.
+    """
+    length, middle = G.outline_length(room.boundary), G.centroid(room.boundary)
+    spots = [(k, *G.on_outline(x, y, room.boundary)) for k, (x, y) in enumerate(room.pods)]
+    first = _first_on_outline(vectors, room)
+    turn = (middle[0] - F.col("start_x")) * F.col("dy") - (middle[1] - F.col("start_y")) * F.col("dx")
+    first = first.withColumn("start_", F.when(turn >= 0, 1).otherwise(-1))
+    items = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("s")) for k, x, y, s in spots])
+    each = first.withColumn("p_", F.explode(items))
+    cross = (middle[0] - F.col("door_.x")) * (F.col("p_.y") - F.col("door_.y")) - (middle[1] - F.col("door_.y")) * (F.col("p_.x") - F.col("door_.x"))
+    each = each.withColumn("side_", F.when(cross >= 0, 1).otherwise(-1))
+    way = F.when(F.col("side_") == -1, F.col("p_.s") - F.col("door_.s")).otherwise(F.col("door_.s") - F.col("p_.s"))
+    deep = Window.partitionBy("run_id", "side_").orderBy(F.desc(F.round(F.pmod(way, F.lit(length)), 9)), "p_.k")
+    return _turns(each.withColumn("r_", F.row_number().over(deep)).withColumn("pod_", F.col("p_.k")), vectors)
+
+
+def _groups_without_doors(vectors: DataFrame, room: Room, groups: dict[str, list[int]]) -> DataFrame:
+    first = _first_on_outline(vectors, room)
+    items = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(1 if k in groups["A"] else -1).alias("side")) for k, (x, y) in enumerate(room.pods)])
+    each = first.withColumn("p_", F.explode(items)).withColumn("side_", F.col("p_.side"))
+    ux, uy = F.col("p_.x") - F.col("door_.x"), F.col("p_.y") - F.col("door_.y")
+    far, n = F.hypot(ux, uy), F.hypot("dx", "dy")
+    along = F.when(far > 1e-6, (ux * F.col("dx") + uy * F.col("dy")) / (far * n))
+    best = {g: F.coalesce(F.max(F.when(F.col("side_") == v, along)).over(Window.partitionBy("run_id")), F.lit(-1e9)) for g, v in (("A", 1), ("B", -1))}
+    starts = F.when((n > 1e-9) & (best["A"] < best["B"]), -1).otherwise(1)
+    each = each.withColumn("far_", far).withColumn("start_", starts)
+    deep = Window.partitionBy("run_id", "side_").orderBy(F.desc("far_"), "p_.k")
+    return _turns(each.withColumn("r_", F.row_number().over(deep)).withColumn("pod_", F.col("p_.k")), vectors)
+
+
 def assign_by_doorway(positions: DataFrame, chosen: DataFrame, pods: Sequence[tuple[float, float]], samples: int = 30) -> DataFrame:
     """run_id, track_id, entry_number, pod_idx by the first entrant's first samples.
 
@@ -106,20 +170,38 @@ def assign_by_doorway(positions: DataFrame, chosen: DataFrame, pods: Sequence[tu
     side = F.when(F.col("p_.x") > F.col("door_x"), 1).otherwise(-1)
     deep = Window.partitionBy("run_id", "side_").orderBy(F.desc(F.abs(F.col("p_.y") - F.col("door_y"))), "p_.k")
     each = each.withColumn("side_", side).withColumn("r_", F.row_number().over(deep))
-    mine, theirs = (F.count_if(c).over(Window.partitionBy("run_id")) for c in (F.col("side_") == F.col("start_"), F.col("side_") != F.col("start_")))
-    # a pod of the starting side comes after as many of the other as have had their turn, and the other way round
-    place = F.when(F.col("side_") == F.col("start_"), F.col("r_") + F.least(F.col("r_") - 1, theirs)).otherwise(F.col("r_") + F.least(F.col("r_"), mine))
-    table = each.select("run_id", place.cast("int").alias("entry_number"), F.col("p_.k").alias("pod_idx"))
-    return chosen.select("run_id", "track_id", "entry_number").join(table, ["run_id", "entry_number"], "left").select("run_id", "track_id", "entry_number", "pod_idx")
+    return _turns(each.withColumn("pod_", F.col("p_.k")), chosen)
+
+
+#: A work circle moves towards the room's centre in steps of this share of its radius, so many times at most.
+STEP_SHARE, MOST_STEPS = 0.05, 100
+
+
+def work_areas(rooms: DataFrame, pods: DataFrame, radius: float) -> DataFrame:
+    """run_id, pod_idx, x, y: centres of the pods' work circles, moved into the bounds of their room and from there by steps towards its centre until they fit.
+
+    `rooms`: run_id, boundary (array of struct<x,y>); `pods`: run_id, pod_idx, x, y.
+    """
+    side = lambda pick, c: pick(F.transform("boundary", lambda p: p[c]))
+    rows = pods.select("run_id", "pod_idx", "x", "y").join(rooms.select("run_id", "boundary"), "run_id").withColumn("middle", G.column_centroid(F.col("boundary")))
+    into = lambda v, c: F.least(F.greatest(v, side(F.array_min, c) + radius), side(F.array_max, c) - radius)
+    start = F.struct(into(F.col("x"), "x").alias("x"), into(F.col("y"), "y").alias("y"))
+
+    def step(c: Column, _: Column) -> Column:
+        fits = G.point_in_polygon(c["x"], c["y"], F.col("boundary")) & (G.boundary_distance(c["x"], c["y"], F.col("boundary")) >= radius - 1e-9)
+        dx, dy = F.col("middle.x") - c["x"], F.col("middle.y") - c["y"]
+        n = F.hypot(dx, dy)
+        moved = F.struct((c["x"] + dx / n * radius * STEP_SHARE).alias("x"), (c["y"] + dy / n * radius * STEP_SHARE).alias("y"))
+        return F.when(fits | (n <= 0), c).otherwise(moved)
+
+    centre = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), start, step)
+    return rows.withColumn("c_", centre).select("run_id", "pod_idx", F.col("c_.x").alias("x"), F.col("c_.y").alias("y"))
 
 
 def work_centres(room: Room, radius: float) -> list[tuple[float, float]]:
-    """Centres of the pods' work circles, moved into the room: into its bounds, then by small steps to its centre."""
+    """`work_areas` of one known room."""
     poly = np.array(room.boundary, float)
-    low, high = poly.min(0), poly.max(0)
-    x, y = poly[:, 0], poly[:, 1]
-    cross = x * np.roll(y, -1) - np.roll(x, -1) * y
-    middle = np.array([((x + np.roll(x, -1)) * cross).sum(), ((y + np.roll(y, -1)) * cross).sum()]) / (3 * cross.sum())
+    low, high, middle = poly.min(0), poly.max(0), np.array(G.centroid(room.boundary))
 
     def fits(c: np.ndarray) -> bool:
         inside, nearest = False, math.inf
@@ -134,11 +216,11 @@ def work_centres(room: Room, radius: float) -> list[tuple[float, float]]:
     out = []
     for p in room.pods:
         c = np.minimum(np.maximum(np.array(p, float), low + radius), high - radius)
-        for _ in range(100):
+        for _ in range(MOST_STEPS):
             step = middle - c
             if fits(c) or not np.hypot(*step):
                 break
-            c = c + step / np.hypot(*step) * radius * 0.05
+            c = c + step / np.hypot(*step) * radius * STEP_SHARE
         out.append((float(c[0]), float(c[1])))
     return out
 
@@ -149,81 +231,53 @@ def in_circle(x: Column, y: Column, pod: Column, centres: Sequence[tuple[float,
     return F.coalesce((x - cx) * (x - cx) + (y - cy) * (y - cy) < radius * radius, F.lit(False))
 
 
-def overlap_share(quad: np.ndarray, centre: tuple[float, float], radius: float, sides: int = 64) -> float:
-    """Share of a circle (a regular polygon of `sides`) that a convex quadrilateral covers."""
-    angle = np.arange(sides) * 2 * np.pi / sides
-    clip = np.stack([centre[0] + radius * np.cos(angle), centre[1] + radius * np.sin(angle)], 1)
-
-    def area(p: np.ndarray) -> float:
-        return 0.5 * float((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum())
-
-    shape = quad if area(quad) >= 0 else quad[::-1]
-    poly = clip
-    for a, b in zip(shape, np.roll(shape, -1, 0), strict=True):
-        side = (b[0] - a[0]) * (poly[:, 1] - a[1]) - (b[1] - a[1]) * (poly[:, 0] - a[0])
-        out = []
-        for k in range(len(poly)):
-            j = (k + 1) % len(poly)
-            if side[k] >= 0:
-                out.append(poly[k])
-            if (side[k] >= 0) != (side[j] >= 0):
-                t = side[k] / (side[k] - side[j])
-                out.append(poly[k] + t * (poly[j] - poly[k]))
-        poly = np.array(out)
-        if len(poly) < 3:
-            return 0.0
-    return area(poly) / area(clip)
+def moved_areas(blockers: DataFrame, room: Room, radius: float, threshold: float = 0.1) -> DataFrame:
+    """run_id, frame, pod_idx, dy, quads of the pods whose work circle is blocked in a frame.
+
+    `blockers`: run_id, frame, track_id, quad (array of four struct<x,y>).  One that
+    covers at least `threshold` of a circle blocks it: the circle goes up by its
+    radius, else down, where it then is within the room's bounds and clear of that
+    blocker (`dy`), and the blocker's own area counts as well (`quads`).  People in a
+    frame are taken by track; a later move replaces an earlier one and its quads.
+    """
+    centres = work_centres(room, radius)
+    low, high = [min(p[k] for p in room.boundary) for k in (0, 1)], [max(p[k] for p in room.boundary) for k in (0, 1)]
+    spots = F.array(*[F.struct(F.lit(k).alias("pod"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(centres)])
+    rows = blockers.select("run_id", "frame", "track_id", "quad", F.explode(spots).alias("c"))
+    rows = rows.where(G.circle_share(F.col("quad"), F.col("c.x"), F.col("c.y"), radius) >= threshold)
+
+    def clear(dy: float) -> Column:
+        x, y = F.col("c.x"), F.col("c.y") + dy
+        within = (x - radius >= low[0]) & (x + radius <= high[0]) & (y - radius >= low[1]) & (y + radius <= high[1])
+        return within & (G.circle_share(F.col("quad"), x, y, radius) <= 1e-9)
+
+    move = F.when(clear(radius), radius).when(clear(-radius), -radius)
+    rows = rows.select("run_id", "frame", F.col("c.pod").alias("pod_idx"), F.struct("track_id", move.alias("move"), "quad").alias("b"))
+    each = rows.groupBy("run_id", "frame", "pod_idx").agg(F.sort_array(F.collect_list("b")).alias("bs"))  # the few people of one frame
+    start = F.struct(F.lit(0.0).alias("dy"), F.array().cast(blockers.select(F.array("quad").alias("q")).schema["q"].dataType).alias("quads"))
+
+    def fold(a: Column, b: Column) -> Column:
+        new, more = F.struct(b["move"].alias("dy"), F.array(b["quad"]).alias("quads")), F.struct(a["dy"].alias("dy"), F.concat(a["quads"], F.array(b["quad"])).alias("quads"))
+        return F.when(b["move"].isNotNull(), new).otherwise(more)
+
+    return each.withColumn("m_", F.aggregate("bs", start, fold)).select("run_id", "frame", "pod_idx", "m_.dy", "m_.quads")
 
 
 def dynamic_membership(samples: DataFrame, blockers: DataFrame, room: Room, radius: float, threshold: float = 0.1) -> DataFrame:
-    """`samples` (run_id, frame, track_id, pod_idx, map_x, map_y) with in_area for work areas that give way to people in the room.
+    """`samples` (run_id, frame, track_id, pod_idx, map_x, map_y) with in_area for work areas that give way to people in the room (`moved_areas`).
 
-    `blockers` (run_id, frame, quad: array of four struct<x,y>) are boxes on the map.
-    One that covers at least `threshold` of a pod's circle blocks it: the circle
-    moves up or down by its radius where it then fits the room and clears the
-    blocker, and the blocker's own area counts as well.
+    Areas are found once for each run, frame and pod; a sample asks whether it is in
+    the circle where that has gone to, or in a blocker's area, and within the bounds.
     """
-    centres = work_centres(room, radius)
     low, high = [min(p[k] for p in room.boundary) for k in (0, 1)], [max(p[k] for p in room.boundary) for k in (0, 1)]
-
-    def clear(c: tuple[float, float], quad: np.ndarray) -> bool:
-        if not (low[0] <= c[0] - radius and c[0] + radius <= high[0] and low[1] <= c[1] - radius and c[1] + radius <= high[1]):
-            return False
-        return overlap_share(quad, c, radius) <= 0.0
-
-    def holds(quad: np.ndarray, p: tuple[float, float]) -> bool:
-        d = np.roll(quad, -1, 0) - quad
-        turn = d[:, 0] * (p[1] - quad[:, 1]) - d[:, 1] * (p[0] - quad[:, 0])
-        return bool((turn > 0).all() or (turn < 0).all())
-
-    per_frame = blockers.groupBy("run_id", "frame").agg(F.collect_list("quad").alias("quads"))  # people in one frame
-    rows = samples.join(per_frame, ["run_id", "frame"], "left")
-
-    def run(parts):
-        for part in parts:
-            flags = []
-            for pod, x, y, quads in zip(part["pod_idx"], part["map_x"], part["map_y"], part["quads"], strict=True):
-                if pod is None or pod != pod:
-                    flags.append(False)
-                    continue
-                centre = centres[int(pod)]
-                area, extra = centre, []
-                for q in quads if quads is not None else []:
-                    quad = np.array([[v["x"], v["y"]] for v in q], float)
-                    if overlap_share(quad, centre, radius) < threshold:
-                        continue
-                    up, down = (centre[0], centre[1] + radius), (centre[0], centre[1] - radius)
-                    if clear(up, quad):
-                        area, extra = up, []
-                    elif clear(down, quad):
-                        area, extra = down, []
-                    extra.append(quad)
-                inside = math.dist((x, y), area) < radius or any(holds(q, (x, y)) for q in extra)
-                flags.append(inside and low[0] < x < high[0] and low[1] < y < high[1])
-            yield part.drop(columns=["quads"]).assign(in_area=pd.array(flags, dtype="boolean"))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema.fields)
-    return rows.select(*samples.columns, "quads").mapInPandas(run, f"{kinds}, in_area boolean")
+    x, y = F.col("map_x"), F.col("map_y")
+    centres = work_centres(room, radius)
+    cx, cy = (F.get(F.array(*[F.lit(c[k]) for c in centres]), F.col("pod_idx")) for k in (0, 1))
+    rows = samples.join(moved_areas(blockers, room, radius, threshold), ["run_id", "frame", "pod_idx"], "left")
+    inside = F.hypot(x - cx, y - cy - F.coalesce("dy", F.lit(0.0))) < radius
+    held = F.coalesce(F.exists("quads", lambda q: G.strictly_inside(x, y, q)), F.lit(False))
+    bounds = (x > low[0]) & (x < high[0]) & (y > low[1]) & (y < high[1])
+    return rows.select(*samples.columns, F.coalesce((inside | held) & bounds, F.lit(False)).alias("in_area"))
 
 
 def captures(samples: DataFrame, chosen: DataFrame, fps: float, hold_seconds: float) -> DataFrame:

@@ -184,7 +184,7 @@ def C10_floor_coverage(spark, d):
 
 @add(None)
 def C10_floor_coverage_whole(spark, d):
-    out = compare.floor_coverage(pairs(spark, d), R._wholeR._summary(spark, d).where("run_id % 3 <> 0"), R._whole_curve(spark, d))
+    out = compare.floor_coverage(pairs(spark, d), R._whole_summary(spark, d).where("run_id % 3 <> 0"), R._whole_curve(spark, d))
     return out.select("pair_id", r6("delta").alias("delta"), "verdict")
 
 
@@ -225,8 +225,8 @@ _BIRTHS = "SELECT user_id % 5 AS run_id, CAST(event_id AS INT) AS frame, CASE ev
 
 @add(f"SELECT run_id, frame, location FROM (SELECT *, min(CASE WHEN location = 'entry' AND confidence >= 0.5 THEN frame END) OVER (PARTITION BY run_id) AS f FROM ({_BIRTHS})) WHERE location = 'interior' OR (location IN ('entry', 'entry_buffer') AND confidence >= 0.5 AND (f IS NULL OR frame < f + 300))")
 def M5_accepted_births(spark, d):
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("births_events")
-    return live.accepted_births(spark.sql(_BIRTHS.replace("FROM events", "FROM births_events")), 300, 0.5).select("run_id", "frame", "location")
+    births = spark.sql(_BIRTHS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+    return live.accepted_births(births, 300, 0.5).select("run_id", "frame", "location")
 
 
 # ---- all metrics -----------------------------------------------------------

@@ -331,7 +331,12 @@ def W15_steady_velocity(spark, d):
     return frames.steady_velocity(pos(spark, d)).select(*K, "vx", "vy")
 
 
-@add(None)
+_SMOOTH = """path_ AS (SELECT run_id, track_id, list({'f': frame, 'x': map_x, 'y': map_y} ORDER BY frame) AS p FROM positions GROUP BY ALL),
+smooth AS (SELECT run_id, track_id, 1 AS k, p, p[1].x AS x, p[1].y AS y FROM path_
+  UNION ALL SELECT run_id, track_id, k + 1, p, w * p[k + 1].x + (1 - w) * x, w * p[k + 1].y + (1 - w) * y FROM (SELECT *, least(0.3, greatest(0.1, 1 - sqrt(power(p[k + 1].x - x, 2) + power(p[k + 1].y - y, 2)) / 5.0)) AS w FROM smooth WHERE k < len(p)))"""
+
+
+@add(Q.recursive("SELECT run_id, track_id, p[k].f AS frame, round(x, 6) AS map_x, round(y, 6) AS map_y FROM smooth", _SMOOTH))
 def W16_smoothed(spark, d):
     out = frames.smoothed(pos(spark, d))
     return out.withColumn("map_x", r6("map_x")).withColumn("map_y", r6("map_y"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 from pyspark.sql import functions as F
@@ -414,7 +415,11 @@ def _vectors(spark, d):
     return entry.entry_vectors(p, team(p), ROOM)
 
 
-_ORDERS = "orders_ AS (SELECT * FROM (VALUES " + ", ".join(map(str, pods._orders(ROOM))) + ") t(door_index, start_, entry_number, pod_idx))"
+# Which pod each entrant gets, by door and starting side, worked out by hand: door 0 is in the wall x = 22 with its centre at
+# (41, 155) and ways in along +y and -y; pods 3, 2, 0 lie on its first side (deepest first), pod 1 on the other.  Door 1 is in
+# the wall y = 0 with its centre at (230, 20) and ways along -x and +x; pods 0, 1 lie on its first side, 3, 2 on the other.
+_ORDERS = """orders_ AS (SELECT * FROM (VALUES (0, 1, 1, 3), (0, 1, 2, 1), (0, 1, 3, 2), (0, 1, 4, 0), (0, -1, 1, 1), (0, -1, 2, 3), (0, -1, 3, 2), (0, -1, 4, 0),
+  (1, 1, 1, 0), (1, 1, 2, 3), (1, 1, 3, 1), (1, 1, 4, 2), (1, -1, 1, 3), (1, -1, 2, 0), (1, -1, 3, 2), (1, -1, 4, 1)) t(door_index, start_, entry_number, pod_idx))"""
 _ASSIGN = "assigned AS (SELECT v.run_id, v.track_id, v.entry_number, o.pod_idx FROM vectors v JOIN (SELECT run_id, door_index AS d, CASE WHEN sign = 0 THEN 1 ELSE sign END AS st FROM vectors WHERE entry_number = 1) f USING (run_id) LEFT JOIN orders_ o ON o.door_index = d AND o.start_ = st AND o.entry_number = v.entry_number)"
 _G = (Q.TEAM, Q.VECTORS, _ORDERS, _ASSIGN)
 
@@ -424,11 +429,41 @@ def G1_assign_by_side(spark, d):
     return pods.assign_by_side(_vectors(spark, d), ROOM)
 
 
-@add(None)
-def G2_assign_by_group(spark, d):
-    import dataclasses
+_GROUPED = dataclasses.replace(ROOM, pod_groups=("A", "B", "A", "B"))
+# Distances and directions from the doors' centres to the pods, pods 0 and 2 being group A.
+_BY_GROUP = """spot AS (SELECT * FROM (VALUES (0, 75.0, 263.0, 'A'), (1, 75.0, 53.0, 'B'), (2, 290.0, 263.0, 'A'), (3, 397.0, 263.0, 'B')) v(pod, px, py, grp)),
+middle AS (SELECT * FROM (VALUES (0, 41.0, 155.0), (1, 230.0, 20.0)) v(door_index, mx, my)),
+lead AS (SELECT run_id, door_index, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-9 THEN max(CASE WHEN grp = 'A' THEN (dx * (px - mx) + dy * (py - my)) / sqrt(power(px - mx, 2) + power(py - my, 2)) END) ELSE 0 END AS a,
+  CASE WHEN sqrt(dx * dx + dy * dy) > 1e-9 THEN max(CASE WHEN grp = 'B' THEN (dx * (px - mx) + dy * (py - my)) / sqrt(power(px - mx, 2) + power(py - my, 2)) END) ELSE 0 END AS b FROM vectors JOIN middle USING (door_index), spot WHERE entry_number = 1 GROUP BY run_id, door_index, dx, dy),
+turn_ AS (SELECT run_id, pod, grp, CASE WHEN a >= b THEN 'A' ELSE 'B' END AS st, row_number() OVER (PARTITION BY run_id, grp ORDER BY power(px - mx, 2) + power(py - my, 2) DESC) AS r FROM lead JOIN middle USING (door_index), spot),
+by_group AS (SELECT v.run_id, v.track_id, v.entry_number, t.pod AS pod_idx FROM vectors v LEFT JOIN turn_ t ON t.run_id = v.run_id AND v.entry_number = CASE WHEN grp = st THEN 2 * r - 1 ELSE 2 * r END)"""
 
-    return pods.assign_by_group(_vectors(spark, d), dataclasses.replace(ROOM, pod_groups=("A", "B", "A", "B")))
+
+@add(Q.query("SELECT * FROM by_group", Q.TEAM, Q.VECTORS, _BY_GROUP))
+def G2_assign_by_group(spark, d):
+    return pods.assign_by_group(_vectors(spark, d), _GROUPED)
+
+
+_DOORLESS = dataclasses.replace(ROOM, doors=())
+# The outline runs from (22, 0) along y = 0, x = 450, y = 316 and x = 22: 428 + 316 + 428 + 316 = 1488.  Its centre is (236, 158).
+# The pods' nearest points are (75, 316), (75, 0), (290, 316) and (450, 263), so far along: 1119, 53, 904 and 691.
+_OUTLINE = """began AS (SELECT run_id, track_id, min(frame) AS f0 FROM positions GROUP BY ALL),
+first_vector AS (SELECT run_id, min_by(map_x, frame) AS x0, min_by(map_y, frame) AS y0, regr_slope(map_x, (frame - f0) / 30.0) * 2 AS dx, regr_slope(map_y, (frame - f0) / 30.0) * 2 AS dy
+  FROM positions JOIN began USING (run_id, track_id) JOIN chosen USING (run_id, track_id) WHERE entry_number = 1 AND frame >= f0 AND frame < f0 + 60 GROUP BY run_id),
+wall_ AS (SELECT *, least(y0, 450 - x0, 316 - y0, x0 - 22) AS near FROM first_vector),
+way_in AS (SELECT *, CASE near WHEN y0 THEN x0 WHEN 450 - x0 THEN 450 WHEN 316 - y0 THEN x0 ELSE 22 END AS wx, CASE near WHEN y0 THEN 0 WHEN 450 - x0 THEN y0 WHEN 316 - y0 THEN 316 ELSE y0 END AS wy,
+  CASE near WHEN y0 THEN x0 - 22 WHEN 450 - x0 THEN 428 + y0 WHEN 316 - y0 THEN 744 + 450 - x0 ELSE 1172 + 316 - y0 END AS ws, CASE WHEN (236 - x0) * dy - (158 - y0) * dx >= 0 THEN 1 ELSE -1 END AS st FROM wall_),
+outer_spot AS (SELECT * FROM (VALUES (0, 75.0, 316.0, 1119.0), (1, 75.0, 0.0, 53.0), (2, 290.0, 316.0, 904.0), (3, 450.0, 263.0, 691.0)) v(pod, qx, qy, qs)),
+parted AS (SELECT *, CASE WHEN (236 - wx) * (qy - wy) - (158 - wy) * (qx - wx) >= 0 THEN 1 ELSE -1 END AS side FROM way_in, outer_spot),
+far_ AS (SELECT *, round(((CASE WHEN side = -1 THEN qs - ws ELSE ws - qs END) % 1488 + 1488) % 1488, 9) AS along FROM parted),
+rank_ AS (SELECT *, row_number() OVER (PARTITION BY run_id, side ORDER BY along DESC, pod) AS r, count(*) FILTER (side = st) OVER (PARTITION BY run_id) AS mine, count(*) FILTER (side <> st) OVER (PARTITION BY run_id) AS theirs FROM far_),
+outlined AS (SELECT c.run_id, c.track_id, c.entry_number, r.pod AS pod_idx FROM chosen c LEFT JOIN rank_ r ON r.run_id = c.run_id AND c.entry_number = CASE WHEN side = st THEN r.r + least(r.r - 1, theirs) ELSE r.r + least(r.r, mine) END)"""
+
+
+@add(Q.query("SELECT * FROM outlined", Q.TEAM, _OUTLINE))
+def G1_assign_without_door(spark, d):
+    p = pos(spark, d)
+    return pods.assign_by_side(entry.entry_vectors(p, team(p), _DOORLESS), _DOORLESS)
 
 
 # The doorway is the first entrant's first position; pods right of it (+1) and left of it take turns.
@@ -450,11 +485,26 @@ def G3_assign_by_doorway(spark, d):
 RADIUS = 60.0
 _CENTRES = pods.work_centres(ROOM, RADIUS)
 
+# Each run has a room of its own, whose upper wall is shorter, and its tracks' first positions as points to hold.  In a convex
+# room a circle fits where it is its radius away from the line of each wall.
+_OWN_ROOMS = """own_room AS (SELECT run_id, 450.0 - 20 * (run_id % 7) AS rx, 22.0 + 20 * (run_id % 5) AS lx FROM runs),
+own_pod AS (SELECT run_id, track_id AS pod_idx, arg_min(map_x, frame) AS x, arg_min(map_y, frame) AS y FROM positions GROUP BY ALL),
+area_ AS (SELECT *, 428.0 * 316 AS c1, 450.0 * 316 AS c2, (rx - lx) * 316.0 AS c3, -22.0 * 316 AS c4 FROM own_room),
+middle_ AS (SELECT run_id, rx, lx, (472.0 * 0 + (450 + rx) * 450 * 316 + (rx + lx) * (rx - lx) * 316 - (lx + 22) * 22 * 316) / (3 * (450.0 * 316 + (rx - lx) * 316 - 22 * 316)) AS mx,
+  (316.0 * 450 * 316 + 632.0 * (rx - lx) * 316 - 316.0 * 22 * 316) / (3 * (450.0 * 316 + (rx - lx) * 316 - 22 * 316)) AS my FROM own_room),
+walk AS (SELECT run_id, pod_idx, rx, lx, mx, my, least(greatest(x, 22.0 + 60), 450.0 - 60) AS x, least(greatest(y, 60.0), 256.0) AS y, 0 AS k FROM own_pod JOIN middle_ USING (run_id)
+  UNION ALL SELECT run_id, pod_idx, rx, lx, mx, my, x + (mx - x) / sqrt(power(mx - x, 2) + power(my - y, 2)) * 3.0, y + (my - y) / sqrt(power(mx - x, 2) + power(my - y, 2)) * 3.0, k + 1 FROM walk
+  WHERE k < 100 AND sqrt(power(mx - x, 2) + power(my - y, 2)) > 0 AND NOT (y >= 60 - 1e-9 AND 316 - y >= 60 - 1e-9
+    AND ((450 - x) * 316 - (450 - rx) * y) / sqrt(316.0 * 316 + power(450 - rx, 2)) >= 60 - 1e-9 AND ((x - 22) * 316 - (lx - 22) * y) / sqrt(316.0 * 316 + power(lx - 22, 2)) >= 60 - 1e-9))"""
+
 
-@add(Q.query(f"SELECT run_id, k AS pod_idx, round([{', '.join(str(c[0]) for c in _CENTRES)}][k + 1], 6) AS x, round([{', '.join(str(c[1]) for c in _CENTRES)}][k + 1], 6) AS y FROM runs, (SELECT CAST(unnest(range(4)) AS INT) AS k)"))
+@add(Q.recursive("SELECT run_id, pod_idx, round(arg_max(x, k), 5) AS x, round(arg_max(y, k), 5) AS y FROM walk GROUP BY ALL", _OWN_ROOMS))
 def G4_work_areas(spark, d):
-    rows = F.array(*[F.struct(F.lit(k).alias("pod_idx"), F.lit(round(x, 6)).alias("x"), F.lit(round(y, 6)).alias("y")) for k, (x, y) in enumerate(_CENTRES)])
-    return X.runs(pos(spark, d)).select("run_id", F.explode(rows).alias("c")).select("run_id", "c.*")
+    p = pos(spark, d)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    rooms = X.runs(p).select("run_id", F.array(corner(F.lit(22), 0), corner(F.lit(450), 0), corner(450 - 20 * (F.col("run_id") % 7), 316), corner(22 + 20 * (F.col("run_id") % 5), 316)).alias("boundary"))
+    spots = p.groupBy("run_id", F.col("track_id").alias("pod_idx")).agg(F.min_by("map_x", "frame").alias("x"), F.min_by("map_y", "frame").alias("y"))
+    return pods.work_areas(rooms, spots, RADIUS).select("run_id", "pod_idx", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 def _samples(spark, d):
@@ -463,7 +513,8 @@ def _samples(spark, d):
     return rows.withColumn("in_area", pods.in_circle(F.col("map_x"), F.col("map_y"), F.col("pod_idx"), _CENTRES, RADIUS)).select(*K, "pod_idx", "map_x", "map_y", "in_area")
 
 
-_cx, _cy = (f"[{', '.join(str(c[k]) for c in _CENTRES)}][pod_idx + 1]" for k in (0, 1))
+# The circles' centres of the fixed room: the pods, moved to be 60 away from its walls.
+_cx, _cy = "[82, 82, 290, 390][pod_idx + 1]", "[256, 60, 256, 256][pod_idx + 1]"
 _SAMPLES = f"samples AS (SELECT p.run_id, p.track_id, frame, pod_idx, map_x, map_y, coalesce((map_x - {_cx}) * (map_x - {_cx}) + (map_y - {_cy}) * (map_y - {_cy}) < {RADIUS * RADIUS}, false) AS in_area FROM positions p JOIN assigned USING (run_id, track_id))"
 _CAPTURE = """hits_ AS (SELECT *, frame - row_number() OVER (PARTITION BY run_id, track_id ORDER BY frame) AS g FROM samples WHERE in_area),
 first_ AS (SELECT run_id, track_id, min(a) AS capture_frame FROM (SELECT run_id, track_id, min(frame) AS a, count(*) AS n FROM hits_ GROUP BY run_id, track_id, g) WHERE n >= 6 GROUP BY ALL),
@@ -480,11 +531,35 @@ def G6_in_area(spark, d):
     return _samples(spark, d).select(*K, "in_area")
 
 
-@add(None)
+_NO_POINTS = "[]::STRUCT(x DOUBLE, y DOUBLE)[]"
+
+
+def _cut(source: str, name: str, inside: str) -> str:
+    """CTE: the polygons of `source` (column poly) cut to where `inside`, an expression of {p}, is not below 0."""
+    p, q = "poly[k]", "poly[k % len(poly) + 1]"
+    s, t = inside.format(p=p), inside.format(p=q)
+    here = f"CASE WHEN {s} >= 0 THEN [{p}] ELSE {_NO_POINTS} END"
+    there = f"CASE WHEN ({s} >= 0) <> ({t} >= 0) THEN [{{'x': {p}.x + ({s}) / (({s}) - ({t})) * ({q}.x - {p}.x), 'y': {p}.y + ({s}) / (({s}) - ({t})) * ({q}.y - {p}.y)}}] ELSE {_NO_POINTS} END"
+    return f"{name} AS (SELECT * EXCLUDE (poly), flatten(list_transform(range(1, len(poly) + 1), lambda k: list_concat({here}, {there}))) AS poly FROM {source})"
+
+
+# People in the room are squares of 80; the circle of 60 is a polygon of 64 points, cut to the square side by side, where it is and moved up and down.
+_BLOCKED = ",\n".join([
+    "circle_ AS (SELECT list_transform(range(64), lambda k: {'x': 60 * cos(2 * pi() * k / 64), 'y': 60 * sin(2 * pi() * k / 64)}) AS c)",
+    "centre_ AS (SELECT * FROM (VALUES (0, 82.0, 256.0), (1, 82.0, 60.0), (2, 290.0, 256.0), (3, 390.0, 256.0)) v(pod_idx, cx, cy))",
+    "near_ AS (SELECT p.run_id, p.frame, p.map_x AS b_x, p.map_y AS b_y, pod_idx, cx, cy, cy + m AS my, m FROM positions p, centre_, (SELECT unnest([0, 60, -60]) AS m) WHERE track_id = 99 AND abs(map_x - cx) <= 100 AND abs(map_y - cy - m) <= 100)",
+    "whole_ AS (SELECT *, list_transform(c, lambda p: {'x': cx + p.x, 'y': my + p.y}) AS poly FROM near_, circle_)",
+    _cut("whole_", "cut1_", "({p}.x - b_x + 40)"), _cut("cut1_", "cut2_", "(b_x + 40 - {p}.x)"), _cut("cut2_", "cut3_", "({p}.y - b_y + 40)"), _cut("cut3_", "cut4_", "(b_y + 40 - {p}.y)"),
+    "share_ AS (SELECT * EXCLUDE (poly), coalesce(list_sum(list_transform(range(1, len(poly) + 1), lambda k: poly[k].x * poly[k % len(poly) + 1].y - poly[k % len(poly) + 1].x * poly[k].y)), 0) / (64 * 3600 * sin(2 * pi() / 64)) AS share FROM cut4_)",
+    "blocked_ AS (SELECT s.run_id, s.frame, s.b_x, s.b_y, s.pod_idx, s.cx, s.cy, CASE WHEN s.cy + 120 <= 316 AND s.cx >= 82 AND s.cx <= 390 AND coalesce(u.share, 0) <= 1e-9 THEN 60 WHEN s.cy - 120 >= 0 AND s.cx >= 82 AND s.cx <= 390 AND coalesce(w.share, 0) <= 1e-9 THEN -60 ELSE 0 END AS dy FROM share_ s LEFT JOIN share_ u ON u.run_id = s.run_id AND u.frame = s.frame AND u.pod_idx = s.pod_idx AND u.m = 60 LEFT JOIN share_ w ON w.run_id = s.run_id AND w.frame = s.frame AND w.pod_idx = s.pod_idx AND w.m = -60 WHERE s.m = 0 AND s.share >= 0.1)",
+])
+
+
+@add(Q.query(f"SELECT s.run_id, s.track_id, s.frame, coalesce((sqrt(power(map_x - {_cx.replace('pod_idx', 's.pod_idx')}, 2) + power(map_y - {_cy.replace('pod_idx', 's.pod_idx')} - coalesce(dy, 0), 2)) < 60 OR coalesce(abs(map_x - b_x) < 40 AND abs(map_y - b_y) < 40, false)) AND map_x > 22 AND map_x < 450 AND map_y > 0 AND map_y < 316, false) AS in_area FROM samples s LEFT JOIN blocked_ b ON b.run_id = s.run_id AND b.frame = s.frame AND b.pod_idx = s.pod_idx", *_G, _SAMPLES, _BLOCKED))
 def G5_dynamic_areas(spark, d):
     b = pos(spark, d).where("track_id = 99")
     corner = lambda dx, dy: F.struct((F.col("map_x") + dx).alias("x"), (F.col("map_y") + dy).alias("y"))
-    blockers = b.select("run_id", "frame", F.array(corner(-40, -40), corner(40, -40), corner(40, 40), corner(-40, 40)).alias("quad"))
+    blockers = b.select("run_id", "frame", "track_id", F.array(corner(-40, -40), corner(40, -40), corner(40, 40), corner(-40, 40)).alias("quad"))
     return pods.dynamic_membership(_samples(spark, d).drop("in_area"), blockers, ROOM, RADIUS).select(*K, "in_area")
 
 
@@ -525,10 +600,10 @@ def W10_hold_curve(spark, d):
 
 # ---- pairs -----------------------------------------------------------------
 
-_PAIRS = """pairs AS (SELECT a.run_id, a.frame AS frame_a, a.track_id AS track_a, b.track_id AS track_b, a.confidence AS conf, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+_PAIRS = """pairs AS MATERIALIZED (SELECT a.run_id, a.frame AS frame_a, a.track_id AS track_a, b.track_id AS track_b, a.confidence AS conf, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
   FROM detections a JOIN detections b ON a.run_id = b.run_id AND b.frame = a.frame + 1),
 inter_ AS (SELECT *, greatest(0.0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0.0, least(ay2, by2) - greatest(ay1, by1)) AS i, greatest(ax2, bx2) - least(ax1, bx1) AS hw, greatest(ay2, by2) - least(ay1, by1) AS hh, (ax1 + ax2 - bx1 - bx2) / 2 AS cdx, (ay1 + ay2 - by1 - by2) / 2 AS cdy FROM pairs),
-sims AS (SELECT *, i / (3200 + 3200 - i) AS iou, (3200 + 3200 - i) AS u FROM inter_)"""
+sims AS MATERIALIZED (SELECT *, i / (3200 + 3200 - i) AS iou, (3200 + 3200 - i) AS u FROM inter_)"""
 
 
 def _frame_pairs(spark, d):
@@ -538,9 +613,9 @@ def _frame_pairs(spark, d):
     return rows.select("run_id", "frame_a", F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"), "confidence_a", *[v.alias(k) for k, v in sims.items()], *[f"{c}_{e}" for c in BOX for e in "ab"])
 
 
-@add(Q.query(f"SELECT run_id, frame_a, track_a, track_b, round(iou, 6) AS iou, round((iou - (hw * hh - u) / (hw * hh) + 1) / 2, 6) AS giou, round((iou - (cdx * cdx + cdy * cdy) / (hw * hw + hh * hh) + 1) / 2, 6) AS diou, round(1 - sqrt(cdx * cdx + cdy * cdy) / {math.hypot(1000, 800)!r}, 6) AS centroid FROM sims", _PAIRS))
+@add(Q.query(f"SELECT run_id, frame_a, track_a, track_b, round(iou, 6) AS iou, round((iou - (hw * hh - u) / (hw * hh) + 1) / 2, 6) AS giou, round((iou - (cdx * cdx + cdy * cdy) / (hw * hw + hh * hh) + 1) / 2, 6) AS diou, round((iou - (cdx * cdx + cdy * cdy) / (hw * hw + hh * hh) + 1) / 2, 6) AS ciou, round(1 - sqrt(cdx * cdx + cdy * cdy) / {math.hypot(1000, 800)!r}, 6) AS centroid FROM sims", _PAIRS))
 def J14_box_similarity(spark, d):
-    return _frame_pairs(spark, d).select("run_id", "frame_a", "track_a", "track_b", *[r6(c).alias(c) for c in ("iou", "giou", "diou", "centroid")])
+    return _frame_pairs(spark, d).select("run_id", "frame_a", "track_a", "track_b", *[r6(c).alias(c) for c in ("iou", "giou", "diou", "ciou", "centroid")])
 
 
 @add(None)
@@ -582,7 +657,7 @@ def J18_motion_consistency(spark, d):
     return p.select("run_id", "frame_a", "track_a", "track_b", r6(pairs.motion_consistency(F.lit(1.0), F.lit(0.0), dx, dy, 0.2, F.col("confidence_a"))).alias("bonus"))
 
 
-_LINK = "links AS (SELECT run_id, frame_a, track_a, track_b FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame_a, track_a ORDER BY r DESC, track_b) AS ra, row_number() OVER (PARTITION BY run_id, frame_a, track_b ORDER BY r DESC, track_a) AS rb FROM (SELECT *, round(iou, 6) AS r FROM sims)) WHERE ra = 1 AND rb = 1 AND r >= 0.3)"
+_LINK = "links AS MATERIALIZED (SELECT run_id, frame_a, track_a, track_b FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame_a, track_a ORDER BY r DESC, track_b) AS ra, row_number() OVER (PARTITION BY run_id, frame_a, track_b ORDER BY r DESC, track_a) AS rb FROM (SELECT *, round(iou, 6) AS r FROM sims)) WHERE ra = 1 AND rb = 1 AND r >= 0.3)"
 
 
 def _links(spark, d):
@@ -595,36 +670,80 @@ def J19_mutual_best(spark, d):
     return _links(spark, d).select("run_id", "frame_a", "track_a", "track_b")
 
 
-@add(Q.query("SELECT run_id, frame AS frame_a, track_id AS track_a FROM detections ANTI JOIN links ON links.run_id = detections.run_id AND links.frame_a = detections.frame AND links.track_a = detections.track_id", _PAIRS, _LINK))
+@add(Q.query("""SELECT 'left' AS side, run_id, frame, track_id FROM detections ANTI JOIN links ON links.run_id = detections.run_id AND links.frame_a = detections.frame AND links.track_a = detections.track_id
+UNION ALL SELECT 'right', run_id, frame, track_id FROM detections ANTI JOIN links ON links.run_id = detections.run_id AND links.frame_a + 1 = detections.frame AND links.track_b = detections.track_id""", _PAIRS, _LINK))
 def U2_unmatched(spark, d):
-    rows = X.detections(spark, d).select("run_id", F.col("frame").alias("frame_a"), F.col("track_id").alias("track_a"))
-    return pairs.unmatched(rows, _links(spark, d), ["run_id", "frame_a", "track_a"])
+    rows, links = X.detections(spark, d).select(*K), _links(spark, d)
+    left = links.select("run_id", F.col("frame_a").alias("frame"), F.col("track_a").alias("track_id"))
+    right = links.select("run_id", (F.col("frame_a") + 1).alias("frame"), F.col("track_b").alias("track_id"))
+    out = [pairs.unmatched(rows, m, ["run_id", "frame", "track_id"]).select(F.lit(side).alias("side"), "run_id", "frame", "track_id") for side, m in (("left", left), ("right", right))]
+    return out[0].unionByName(out[1])
 
 
-@add(Q.query("SELECT a.run_id, a.frame_a, a.track_a AS a, b.track_b AS c FROM links a JOIN links b ON a.run_id = b.run_id AND b.frame_a = a.frame_a + 1 AND b.track_a = a.track_b", _PAIRS, _LINK))
+@add(Q.query("""SELECT 'both' AS kind, a.run_id, a.frame_a, a.track_a AS a, b.track_b AS c FROM links a JOIN links b ON a.run_id = b.run_id AND b.frame_a = a.frame_a + 1 AND b.track_a = a.track_b
+UNION ALL SELECT 'only_a', run_id, frame_a, track_a, NULL FROM links a ANTI JOIN links b ON a.run_id = b.run_id AND b.frame_a = a.frame_a + 1 AND b.track_a = a.track_b
+UNION ALL SELECT 'only_c', run_id, frame_a - 1, NULL, track_b FROM links b ANTI JOIN links a ON a.run_id = b.run_id AND b.frame_a = a.frame_a + 1 AND b.track_a = a.track_b""", _PAIRS, _LINK))
 def U4_merged_matches(spark, d):
     links = _links(spark, d)
     ab = links.select("run_id", "frame_a", F.col("track_a").alias("a"), F.col("track_b").alias("b"))
     bc = links.select("run_id", (F.col("frame_a") - 1).alias("frame_a"), F.col("track_a").alias("b"), F.col("track_b").alias("c"))
-    return pairs.merged_matches(ab, bc, ["run_id", "frame_a"])[0]
+    both, only_a, only_c = pairs.merged_matches(ab, bc, ["run_id", "frame_a"])
+    none = F.lit(None).cast("int")
+    parts = [both.withColumn("kind", F.lit("both")), only_a.withColumn("c", none).withColumn("kind", F.lit("only_a")), only_c.withColumn("a", none).withColumn("kind", F.lit("only_c"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("kind", "run_id", "frame_a", "a", "c")
 
 
-@add(None)
+def _fold(items: str, name: str, start: str, step: str) -> str:
+    """Recursive CTE: a state over the list `items` of each run and frame, `step` being an expression of i (the item) and s (the state)."""
+    return f"{name}_at AS (SELECT run_id, frame, items, 0 AS k, {start} AS s FROM {items} UNION ALL SELECT run_id, frame, items, k + 1, {step.replace('{i}', 'items[k + 1]')} FROM {name}_at WHERE k < len(items)),\n{name} AS (SELECT run_id, frame, s FROM {name}_at WHERE k = len(items))"
+
+
+_IN_BOX = """seen_ AS (SELECT run_id, frame, track_id, list_filter(k, lambda p: p.score > 0) AS g FROM keypoints),
+pose_ AS (SELECT *, list_avg(list_transform(g, lambda p: p.x)) AS px, list_avg(list_transform(g, lambda p: p.y)) AS py FROM seen_ WHERE len(g) > 0),
+fits_ AS (SELECT b.run_id, b.frame, b.track_id AS box, p.track_id AS pose, sqrt(power(px - (x1 + x2) / 2, 2) + power(py - (y1 + y2) / 2, 2)) AS d FROM detections b JOIN pose_ p ON p.run_id = b.run_id AND p.frame = b.frame
+  WHERE len(list_filter(g, lambda p: p.x <= b.x1 - 5 OR p.x >= b.x2 + 5 OR p.y <= b.y1 - 5 OR p.y >= b.y2 + 5)) = 0),
+in_turn AS (SELECT run_id, frame, list({'box': box, 'pose': pose} ORDER BY box, d, pose) AS items FROM fits_ GROUP BY ALL)"""
+_TAKE = _fold("in_turn", "taken", "[]::STRUCT(box INTEGER, pose INTEGER)[]", "CASE WHEN len(list_filter(s, lambda t: t.box = {i}.box OR t.pose = {i}.pose)) = 0 THEN list_append(s, {i}) ELSE s END")
+
+
+@add(Q.recursive("SELECT run_id, frame, t.box, t.pose FROM (SELECT run_id, frame, unnest(s) AS t FROM taken)", _IN_BOX, _TAKE))
 def J13_poses_in_boxes(spark, d):
     k = X.keypoints(spark, d)
     boxes = k.select("run_id", "frame", F.col("track_id").alias("box"), F.col("x1") - 5, F.col("y1") - 5, F.col("x2") + 5, F.col("y2") + 5).toDF("run_id", "frame", "box", *BOX)
     return pairs.poses_in_boxes(boxes, k.select("run_id", "frame", F.col("track_id").alias("pose"), "keypoints"))
 
 
-@add(None)
+_BEST_FIRST = "best_first AS (SELECT run_id, frame, list({'track_id': track_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY confidence DESC, track_id) AS items FROM detections WHERE confidence > 0.1 GROUP BY ALL)"
+_OVER = "greatest(0.0, least(t.x2, {i}.x2) - greatest(t.x1, {i}.x1)) * greatest(0.0, least(t.y2, {i}.y2) - greatest(t.y1, {i}.y1))"
+_APART = _fold("best_first", "apart", "[]::STRUCT(track_id INTEGER, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]", f"CASE WHEN len(list_filter(s, lambda t: {_OVER} / (6400 - {_OVER}) > 0.3)) = 0 THEN list_append(s, {{i}}) ELSE s END")
+
+
+@add(Q.recursive("SELECT run_id, t.track_id, frame FROM (SELECT run_id, frame, unnest(s) AS t FROM apart)", _BEST_FIRST, _APART))
 def T4_suppressed_boxes(spark, d):
     return pairs.suppressed(X.detections(spark, d).select(*K, *BOX, "confidence"), 0.1, 0.3).select(*K)
 
 
-@add(None)
+# Poses of which more than 5 of 26 points lie close are taken for one, so that some are.
+_CLOSE = """extent_ AS (SELECT run_id, frame, track_id AS pose, k, CAST((rk * 7 + s * 13) % 100 AS DOUBLE) / 100 AS score, 0.3 * sqrt(power(list_max(list_transform(k, lambda p: p.x)) - list_min(list_transform(k, lambda p: p.x)), 2) + power(list_max(list_transform(k, lambda p: p.y)) - list_min(list_transform(k, lambda p: p.y)), 2)) AS reach FROM keypoints),
+close_ AS (SELECT a.run_id, a.frame, a.pose, a.score, list({'rank': -b.score, 'pose': b.pose} ORDER BY -b.score, b.pose) FILTER (len(list_filter(range(1, 27), lambda j: sqrt(power(a.k[j].x - b.k[j].x, 2) + power(a.k[j].y - b.k[j].y, 2)) < a.reach)) > 5) AS close FROM extent_ a JOIN extent_ b ON a.run_id = b.run_id AND a.frame = b.frame GROUP BY ALL),
+poses_first AS (SELECT run_id, frame, list({'pose': pose, 'rank': -score, 'around': CASE WHEN len(close) > 0 THEN close ELSE [{'rank': -score, 'pose': pose}] END} ORDER BY -score, pose) AS items FROM close_ GROUP BY ALL)"""
+_LEADERS = _fold("poses_first", "led", "{'settled': []::INTEGER[], 'left': []::INTEGER[]}", "CASE WHEN list_contains(s.settled, {i}.pose) OR list_contains(s.settled, {i}.around[1].pose) THEN s ELSE {'settled': list_concat(s.settled, list_transform({i}.around, lambda x: x.pose)), 'left': list_append(s.left, {i}.around[1].pose)} END")
+
+
+@add(Q.recursive('SELECT run_id, frame, unnest(s."left") AS pose FROM led', _CLOSE, _LEADERS))
 def T5_suppressed_poses(spark, d):
     k = X.keypoints(spark, d).select("run_id", "frame", F.col("track_id").alias("pose"), "keypoints", F.expr("CAST((rk * 7 + s * 13) % 100 AS DOUBLE) / 100").alias("score"))
-    return pairs.suppressed_poses(k)
+    return pairs.suppressed_poses(k, 0.3, 5)
+
+
+# The test side has every point moved by its number and its frame, and other points unseen.
+@add(Q.query("""SELECT run_id, count(*) FILTER (n > 0) AS n_poses, CAST(sum(n) AS BIGINT) AS n_points, round(sum(e) / (2 * sum(n)), 6) AS mean_error FROM (SELECT run_id, len(g) AS n, coalesce(list_sum(list_transform(g, lambda j: (j - 1) % 5 + rk % 3)), 0) AS e
+  FROM (SELECT run_id, rk, list_filter(range(1, 27), lambda j: k[j].score > 0.2 AND (j + rk) % 4 <> 0) AS g FROM keypoints WHERE rk % 5 <> 0)) GROUP BY run_id"""))
+def C14_keypoint_error(spark, d):
+    k = X.keypoints(spark, d)
+    moved = F.transform("keypoints", lambda p, j: F.struct((p["x"] + j % 5).alias("x"), (p["y"] - F.col("rk") % 3).alias("y"), F.when((j + 1 + F.col("rk")) % 4 == 0, 0.0).otherwise(0.9).alias("score")))
+    out = pairs.keypoint_errors(k.select(*K, "keypoints"), k.where("rk % 5 <> 0").select(*K, moved.alias("keypoints")), 0.2)
+    return out.withColumn("mean_error", r6("mean_error"))
 
 
 @add(Q.query("SELECT run_id, count(*) AS n_reference, count(*) FILTER (b >= 0.5) AS n_found, round(count(*) FILTER (b >= 0.5) / count(*), 6) AS recall FROM (SELECT r.run_id, r.frame, r.track_id, max(CASE WHEN t.run_id IS NOT NULL THEN 1 END * greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)) / (6400 - greatest(0.0, least(r.x2, t.x2 + 9) - greatest(r.x1, t.x1 + 9)) * greatest(0.0, least(r.y2, t.y2) - greatest(r.y1, t.y1)))) AS b FROM detections r LEFT JOIN (SELECT * FROM detections WHERE rk % 5 <> 0) t ON t.run_id = r.run_id AND t.frame = r.frame GROUP BY ALL) GROUP BY run_id"))

@@ -29,10 +29,18 @@ def add(sql: str | None):
     return register
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (as in tests, on one machine) a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _folder(spark) -> str:
-    """A new folder that all executors share (a local one only where spark.checkpoint.dir is unset, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="caches-")
-    return f"{base.rstrip('/')}/caches-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, "caches")
 
 
 def _as_run(rows):

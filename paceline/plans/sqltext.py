@@ -14,6 +14,10 @@ def query(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([SQL.strip(), *[c.strip() for c in ctes if c.strip()]]) + "\n" + body
 
 
+def recursive(body: str, *ctes: str) -> str:
+    return query(body, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def edges(poly: Poly) -> list[tuple[float, float, float, float]]:
     return [(*poly[k], *poly[(k + 1) % len(poly)]) for k in range(len(poly))]
 
@@ -49,7 +53,11 @@ def _square(x: str, y: str, d: Door) -> str:
     return f"(({x} - {d.centre[0]:.6f}) * ({x} - {d.centre[0]:.6f}) + ({y} - {d.centre[1]:.6f}) * ({y} - {d.centre[1]:.6f}))"
 
 
-DOORS = ROOM.axes()
+# The doors of the fixed room, worked out by hand: each lies at a wall, whose inner side is to the right of +x and above +y.
+DOORS = [
+    Door(ROOM.doors[0], (41.0, 155.0), (0.0, 1.0), (0.0, -1.0), (1.0, 0.0), "STRAIGHT"),
+    Door(ROOM.doors[1], (230.0, 20.0), (-1.0, 0.0), (1.0, 0.0), (0.0, 1.0), "STRAIGHT"),
+]
 TEAM = f"chosen AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_frame, track_id) AS entry_number FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n_samples DESC, first_frame, track_id) AS place FROM spans) WHERE place <= {ROOM.team})"
 GAPS = """
 pairs_ AS (SELECT run_id, lag(entry_number) OVER w AS pair_number, entry_number AS to_entry, lag(track_id) OVER w AS from_track, track_id AS to_track, lag(first_frame) OVER w AS from_frame, first_frame AS to_frame FROM chosen WINDOW w AS (PARTITION BY run_id ORDER BY entry_number)),

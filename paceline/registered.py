@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_compare, queries_entry, queries_room, queries_session, queries_sources
+from .plans import queries_compare, queries_entry, queries_live, queries_room, queries_session, queries_sources
 
-_PARTS = [queries_entry, queries_room, queries_session, queries_compare, queries_sources]
+_PARTS = [queries_entry, queries_room, queries_session, queries_compare, queries_sources, queries_live]
 
 
 def queries() -> dict:

@@ -88,13 +88,14 @@ def test_doorway_assignment_matches_turns(spark):
     assert got == {1: 3, 2: 2, 3: 1, 4: 0, 5: None}
 
 
-def test_overlap_share():
-    import numpy as np
-
-    square = np.array([[-10, -10], [10, -10], [10, 10], [-10, 10]], float)
-    assert pods.overlap_share(square, (0, 0), 1.0) == pytest.approx(1.0)
-    assert pods.overlap_share(square, (10, 0), 1.0) == pytest.approx(0.5, abs=0.01)
-    assert pods.overlap_share(square, (30, 0), 1.0) == 0.0
+def test_overlap_share(spark):
+    def share(x, y):
+        quad = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((-10, -10), (10, -10), (10, 10), (-10, 10))])
+        return spark.range(1).select(G.circle_share(quad, F.lit(float(x)), F.lit(float(y)), 1.0).alias("s"), G.circle_share(F.reverse(quad), F.lit(float(x)), F.lit(float(y)), 1.0).alias("r")).first()
+
+    for at, want in (((0, 0), 1.0), ((10, 0), 0.5), ((30, 0), 0.0)):
+        got = share(*at)
+        assert got.s == pytest.approx(want, abs=0.01 if want == 0.5 else 1e-12) and got.r == pytest.approx(got.s, abs=1e-12)
 
 
 def test_few_length_samples_give_null(spark):
