@@ -40,9 +40,9 @@ from .packed import block_numbers, bucket_order, in_bucket_order, joined, squeez
 from .sampling import bounded_sample
 
 #: Characters of text in a block.
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
 #: A longer text is cut at white space.
-LONG_TEXT = 1 << 22
+LONG_TEXT = 1 << 21
 #: Pre-tokens in the broadcast table, their longest length in bytes, and the texts it is taken from.
 COMMON, COMMON_BYTES, SAMPLE_ROWS = 1 << 16, 48, 4000
 
