@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -165,3 +165,93 @@ def holds(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Mean hold of each pod on both sides and the difference; `samples`: run_id, pod_idx, hold."""
     rows = sides(pairs, samples.groupBy("run_id", "pod_idx").agg(F.avg("hold").alias("score")), ["pod_idx"], ["score"])
     return rows.withColumn("delta", F.col("score_a") - F.col("score_b"))
+
+
+# ---- what a pair of runs comes to ------------------------------------------
+
+
+def with_fps(table: DataFrame, fps: DataFrame | float) -> DataFrame:
+    """`table` with fps_: one rate for all, or each run's own (run_id, fps; the default where it is missing or not above 0)."""
+    if not isinstance(fps, DataFrame):
+        return table.withColumn("fps_", F.lit(float(fps)))
+    return table.join(fps.select("run_id", F.col("fps").alias("own_")), "run_id", "left").withColumn("fps_", S.usable_fps(F.col("own_"))).drop("own_")
+
+
+def timed_gaps(chosen: DataFrame, fps: DataFrame | float, threshold: float, second: float | None = None) -> DataFrame:
+    """run_id, pair_number, gap_sec, allowed_sec, score of successive entrants, in seconds of each run's own rate."""
+    w = Window.partitionBy("run_id").orderBy("entry_number")
+    rows = with_fps(chosen, fps).select("run_id", "entry_number", "fps_", (F.col("entry_number") - 1).alias("pair_number"), ((F.col("first_frame") - F.lag("first_frame").over(w)) / F.col("fps_")).alias("gap_sec"))
+    rows = rows.where("gap_sec is not null").withColumn("allowed_sec", S.allowed_gap(F.col("pair_number"), threshold, second))
+    return rows.select("run_id", "pair_number", "gap_sec", "allowed_sec", S.hesitation(F.col("gap_sec"), F.col("allowed_sec")).alias("score"))
+
+
+def hesitation_totals(rows: DataFrame) -> DataFrame:
+    """Of each pair of runs (`hesitation`): gaps on both sides, their mean difference and trend, the mean score of either side's gaps and their difference."""
+    out = rows.groupBy("pair_id").agg(F.count("gap_delta").alias("n_gaps"), F.avg("gap_delta").alias("mean_gap_delta"), F.avg("score_a").alias("mean_score_a"), F.avg("score_b").alias("mean_score_b"))
+    return out.withColumns({"score_delta": F.col("mean_score_a") - F.col("mean_score_b"), "trend": timing(F.col("mean_gap_delta"))})
+
+
+def alternation(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pair_id, entry_number, sides and alternations (1, 0, null for the first known side and unknown ones) of both runs, the difference and a verdict."""
+    known = vectors.where("sign <> 0")
+    w = Window.partitionBy("run_id").orderBy("entry_number")
+    turns = known.select("run_id", "entry_number", F.lag("sign").over(w).alias("before_"), "sign").select("run_id", "entry_number", (F.col("before_") != F.col("sign")).cast("int").alias("turns"))
+    table = vectors.select("run_id", "entry_number", "track_id", "sign").join(turns, ["run_id", "entry_number"], "left")
+    rows = sides(pairs, table, ["entry_number"], ["track_id", "sign", "turns"])
+    delta = F.col("turns_a") - F.col("turns_b")
+    known_both = (F.col("sign_a") != 0) & (F.col("sign_b") != 0)
+    return rows.withColumns({"match": F.when(known_both, F.col("sign_a") == F.col("sign_b")), "delta": delta, "verdict": F.when(delta.isNull(), "N/A").otherwise(S.verdict(delta, 0.0))})
+
+
+def vector_totals(rows: DataFrame) -> DataFrame:
+    """Of each pair of runs (`alternation`): entries with a known side on both, how many match and their share, the share of turns of either run (0 without any), their difference and a verdict."""
+    share = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    out = rows.groupBy("pair_id").agg(F.count("match").alias("n_known"), F.count_if(F.col("match")).alias("n_match"), share("turns_a").alias("alternation_a"), share("turns_b").alias("alternation_b"))
+    delta = F.col("alternation_a") - F.col("alternation_b")
+    return out.withColumns({"match_share": F.col("n_match") / F.nullif(F.col("n_known"), F.lit(0)), "alternation_delta": delta, "verdict": S.verdict(delta, 0.0)})
+
+
+def capture_totals(pairs: DataFrame, captured: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of each pair of runs: pods compared, captured on either side and their share (1 without pods), and pods that entrants of the same number are to hold."""
+    numbers = chosen.select("run_id", F.col("track_id").alias("assigned_id"), "entry_number")
+    table = captured.join(numbers, ["run_id", "assigned_id"], "left")
+    rows = sides(pairs, table, ["pod_idx"], ["entry_number", "capture_frame", "assigned_id"])
+    own = {e: F.count(f"assigned_id_{e}") for e in "ab"}
+    share = lambda e: F.when(own[e] > 0, F.count(f"capture_frame_{e}") / own[e]).otherwise(1.0)
+    return rows.groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n_pods"), F.count("capture_frame_a").alias("n_captured_a"), F.count("capture_frame_b").alias("n_captured_b"),
+        share("a").alias("score_a"), share("b").alias("score_b"), F.count_if(F.col("entry_number_a") == F.col("entry_number_b")).alias("n_same_entry"),
+    )
+
+
+def clearance_totals(pairs: DataFrame, cleared: DataFrame, starts: DataFrame, fps: DataFrame | float, tolerance: float = 0.05) -> DataFrame:
+    """Of each pair of runs: people in the room of either run, how many each cleared and their rates (1 without anybody), the difference with a verdict, and the mean difference in seconds (not below 0 each) where both cleared."""
+    table = with_fps(cleared.join(starts, "run_id", "left"), fps)
+    table = table.withColumn("clear_sec", F.greatest(F.lit(0.0), (F.col("end_frame") - F.col("first_frame")) / F.col("fps_")))
+    rows = sides(pairs, table.select("run_id", "inroom_id", "end_frame", "clear_sec"), ["inroom_id"], ["end_frame", "clear_sec"])
+    out = pairs.select("pair_id").join(rows.groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("end_frame_a").alias("na"), F.count("end_frame_b").alias("nb"), F.avg(F.col("clear_sec_a") - F.col("clear_sec_b")).alias("mean_delta"),
+    ), "pair_id", "left").fillna(0, ["n", "na", "nb"])
+    rate = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(1.0)
+    out = out.select("pair_id", F.col("n").alias("n_inroom"), F.col("na").alias("n_cleared_a"), F.col("nb").alias("n_cleared_b"), rate("na").alias("rate_a"), rate("nb").alias("rate_b"), "mean_delta")
+    delta = F.round(F.col("rate_a") - F.col("rate_b"), 9)
+    return out.withColumns({"rate_delta": delta, "verdict": S.verdict(delta, tolerance, "HIGHER", "LOWER", "SAME")})
+
+
+def hold_totals(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Of each pair of runs: persons that hold a pod, and the mean of their mean scores (0 without any), with the difference; `samples`: run_id, track_id, hold."""
+    tracks = samples.groupBy("run_id", "track_id").agg(F.avg("hold").alias("h_")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_held"), F.avg("h_").alias("overall"))
+    rows = pairs.select("pair_id").join(sides(pairs, tracks, [], ["n_held", "overall"]), "pair_id", "left").fillna(0, ["n_held_a", "n_held_b", "overall_a", "overall_b"])
+    return rows.withColumn("delta", F.col("overall_a") - F.col("overall_b"))
+
+
+def records(pairs: DataFrame, metrics: DataFrame, roles: DataFrame) -> DataFrame:
+    """One comparison record for each pair and metric: its name, label (words of the name, each with a capital), both runs with role and score, the band and the sentence.
+
+    `roles`: run_id, role.
+    """
+    rows = scores(pairs, metrics).join(pairs, "pair_id")
+    role = lambda end: roles.select(F.col("run_id").alias(f"run_{end}"), F.col("role").alias(f"role_{end}"))
+    rows = rows.join(role("a"), "run_a", "left").join(role("b"), "run_b", "left")
+    label = F.initcap(F.translate("metric", "_", " "))
+    return rows.select("pair_id", "metric", label.alias("label"), "run_a", "role_a", "score_a", "run_b", "role_b", "score_b", "band", "sentence")

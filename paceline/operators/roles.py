@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Track ids from here on were in the room before the team.
@@ -77,13 +77,43 @@ def entrants(positions: DataFrame, inroom: DataFrame | None = None, team: int =
     return spans.withColumn("entry_number", F.row_number().over(Window.partitionBy("run_id").orderBy("first_frame", "track_id")))
 
 
-def role_evidence(births: DataFrame, interior_frames: int = 10) -> DataFrame:
+def hit_streaks(rows: DataFrame) -> DataFrame:
+    """`rows` with hits: how often a track was seen again without a miss up to each frame.
+
+    The frame in which a track is born is no hit; after a missing frame the count begins anew at 1.
+    """
+    w = Window.partitionBy("run_id", "track_id").orderBy("frame")
+    spans = rows.withColumn("span_", F.col("frame") - F.row_number().over(w)).withColumn("born_", F.min("span_").over(Window.partitionBy("run_id", "track_id")))
+    n = F.row_number().over(Window.partitionBy("run_id", "track_id", "span_").orderBy("frame"))
+    return spans.withColumn("hits", n - (F.col("span_") == F.col("born_")).cast("int")).drop("span_", "born_")
+
+
+def confirmed_roles(births: DataFrame, interior_frames: int = 3, least_hits: int = 3) -> DataFrame:
+    """run_id, track_id, role, locked_frame, first_output.
+
+    As `role_evidence`, but a track is `inroom` only in a frame with `least_hits` hits.
+    One without a proven role is a candidate by where it was born (entry_candidate,
+    inroom_candidate), else unknown.  `first_output` is the first frame with that many
+    hits from the one on in which the role is proven.
+    """
+    rows = hit_streaks(births)
+    proven = role_evidence(rows, interior_frames, F.col("hits") >= least_hits)
+    born = rows.groupBy("run_id", "track_id").agg(F.min_by("location", "frame").alias("born_"))
+    out = rows.select("run_id", "track_id", "frame", "hits").join(proven.select("run_id", "track_id", "locked_frame"), ["run_id", "track_id"]).where((F.col("frame") >= F.col("locked_frame")) & (F.col("hits") >= least_hits))
+    first = out.groupBy("run_id", "track_id").agg(F.min("frame").alias("first_output"))
+    candidate = F.when(F.col("born_") == "entry", "entry_candidate").when(F.col("born_") == "interior", "inroom_candidate").otherwise("unknown")
+    rows = proven.join(born, ["run_id", "track_id"]).join(first, ["run_id", "track_id"], "left")
+    return rows.select("run_id", "track_id", F.coalesce("role", candidate).alias("role"), "locked_frame", "first_output")
+
+
+def role_evidence(births: DataFrame, interior_frames: int = 10, confirmed: Column | None = None) -> DataFrame:
     """Frames of each track in entry, buffer and interior, longest interior streak, and the role they prove.
 
     `births` has run_id, track_id, frame, location.  A track becomes `entry` at its
     first frame in an entry, or `inroom` once interior_frames interior frames
     follow each other and none before was in an entry or its buffer; the first to
-    hold counts, and neither leaves role and locked_frame null.
+    hold counts, and neither leaves role and locked_frame null.  `confirmed` is what
+    else must hold in the frame that makes a track `inroom`.
     """
     w = Window.partitionBy("run_id", "track_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     near = F.col("location").isin("entry", "entry_buffer").cast("int")
@@ -97,7 +127,7 @@ def role_evidence(births: DataFrame, interior_frames: int = 10) -> DataFrame:
         F.count_if(inside).alias("n_interior"),
         F.max("streak_").alias("longest_interior"),
         F.min(F.when(F.col("location") == "entry", F.col("frame"))).alias("entry_at"),
-        F.min(F.when((F.col("streak_") >= interior_frames) & (F.col("near_") == 0), F.col("frame"))).alias("inroom_at"),
+        F.min(F.when((F.col("streak_") >= interior_frames) & (F.col("near_") == 0) & (F.lit(True) if confirmed is None else confirmed), F.col("frame"))).alias("inroom_at"),
     )
     first = F.least("entry_at", "inroom_at")
     role = F.when(first == F.col("entry_at"), "entry").when(first == F.col("inroom_at"), "inroom")

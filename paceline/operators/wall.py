@@ -45,15 +45,20 @@ def arm_length(keypoints: Column, box: Sequence[Column], h: Sequence[float], lea
 
 def robust_lengths(samples: DataFrame, column: str = "length") -> DataFrame:
     """run_id, track_id, length: the median of the samples within three median deviations of the median; null for fewer than five."""
-    rows = samples.where(F.col(column).isNotNull() & ~F.isnan(column)).select("run_id", "track_id", F.col(column).alias("v_"))
-    key = ["run_id", "track_id"]
-    middle = rows.groupBy(*key).agg(F.median("v_").alias("m_"), F.count(F.lit(1)).alias("n_"))
-    away = rows.join(middle, key).withColumn("d_", F.abs(F.col("v_") - F.col("m_")))
-    spread = away.groupBy(*key).agg(F.median("d_").alias("s_"))
-    kept = away.join(spread, key).where((F.col("s_") <= 0) | (F.col("d_") <= OUTLIER_SPREAD * F.col("s_")))
-    out = kept.groupBy(*key).agg(F.median("v_").alias("k_"), F.count(F.lit(1)).alias("kept_"), F.first("m_").alias("m_"), F.first("n_").alias("n_"), F.first("s_").alias("s_"))
-    length = F.when(F.col("n_") < LEAST_SAMPLES, F.lit(None)).when((F.col("s_") <= 0) | (F.col("kept_") < LEAST_SAMPLES), F.col("m_")).otherwise(F.col("k_"))
-    return out.select(*key, length.alias("length"))
+    rows = samples.where(F.col(column).isNotNull() & ~F.isnan(column))
+    tracks = rows.groupBy("run_id", "track_id").agg(F.sort_array(F.collect_list(F.col(column).cast("double"))).alias("v_"))  # of one track's frames
+    tracks = tracks.withColumn("m_", _middle(F.col("v_")))
+    tracks = tracks.withColumn("s_", _middle(F.sort_array(F.transform("v_", lambda v: F.abs(v - F.col("m_"))))))
+    tracks = tracks.withColumn("kept_", F.filter("v_", lambda v: (F.col("s_") <= 0) | (F.abs(v - F.col("m_")) <= OUTLIER_SPREAD * F.col("s_"))))
+    length = F.when(F.size("v_") < LEAST_SAMPLES, F.lit(None)).when((F.col("s_") <= 0) | (F.size("kept_") < LEAST_SAMPLES), F.col("m_")).otherwise(_middle(F.col("kept_")))
+    return tracks.select("run_id", "track_id", length.alias("length"))
+
+
+def _middle(ranked: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(ranked)
+    at = lambda k: F.get(ranked, k.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
 
 
 def resolved_lengths(chosen: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -229,6 +229,78 @@ def M5_accepted_births(spark, d):
     return live.accepted_births(births, 300, 0.5).select("run_id", "frame", "location")
 
 
+# ---- what pairs come to, with each run's own frame rate ---------------------
+
+# Runs are of 30 or 60 frames a second; every fifth run doesn't say and counts as 30.
+_FPS = "rates AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 30.0 WHEN run_id % 3 = 0 THEN 60.0 ELSE 30.0 END AS fps FROM runs)"
+_GAPS_FPS = """own_gaps AS (SELECT run_id, entry_number - 1 AS pair_number, (first_frame - lag(first_frame) OVER (PARTITION BY run_id ORDER BY entry_number)) / fps AS gap_sec FROM chosen JOIN rates USING (run_id)),
+own_scores AS (SELECT *, exp(-power(greatest(0.0, gap_sec - CASE WHEN pair_number = 2 THEN 2.0 ELSE 1.0 END), 2) / 0.5) AS score FROM own_gaps WHERE gap_sec IS NOT NULL)"""
+_TREND = "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} < 0 THEN 'FASTER' WHEN {0} > 0 THEN 'SLOWER' ELSE 'MATCH' END"
+
+
+def rates(spark, d):
+    return X.runs(pos(spark, d)).select("run_id", F.expr("CASE WHEN run_id % 5 = 0 THEN NULL WHEN run_id % 3 = 0 THEN 60D ELSE 30D END").alias("fps"))
+
+
+@add(Q.query("SELECT pair_id, count(d) AS n_gaps, round(avg(d), 6) AS mean_gap_delta, round(avg(score_a), 6) AS mean_score_a, round(avg(score_b), 6) AS mean_score_b, round(avg(score_a) - avg(score_b), 6) AS score_delta, " + _TREND.format("round(avg(d), 9)") + " AS trend FROM (SELECT *, gap_sec_a - gap_sec_b AS d FROM " + both("own_scores", "pair_number", ["gap_sec", "score"]) + ") GROUP BY pair_id", Q.TEAM, _FPS, _GAPS_FPS, _PAIRS))
+def C1_hesitation_totals(spark, d):
+    gaps = compare.timed_gaps(team(pos(spark, d)), rates(spark, d), 1.0)
+    out = compare.hesitation_totals(compare.hesitation(pairs(spark, d), gaps)).withColumn("trend", compare.timing(F.round("mean_gap_delta", 9)))
+    return out.select("pair_id", "n_gaps", *[r6(c).alias(c) for c in ("mean_gap_delta", "mean_score_a", "mean_score_b", "score_delta")], "trend")
+
+
+_TURNS = "turned AS (SELECT v.run_id, v.entry_number, v.track_id, v.sign, t.turns FROM vectors v LEFT JOIN (SELECT run_id, entry_number, CAST(lag(sign) OVER (PARTITION BY run_id ORDER BY entry_number) <> sign AS INT) AS turns FROM vectors WHERE sign <> 0) t USING (run_id, entry_number))"
+_TURNED = both("turned", "entry_number", ["track_id", "sign", "turns"])
+_MATCH = "CASE WHEN sign_a <> 0 AND sign_b <> 0 THEN sign_a = sign_b END"
+
+
+@add(Q.query(f"SELECT pair_id, entry_number, track_id_a, track_id_b, {_MATCH} AS match, turns_a - turns_b AS delta, CASE WHEN turns_a - turns_b IS NULL THEN 'N/A' WHEN turns_a > turns_b THEN 'BETTER' WHEN turns_a < turns_b THEN 'WORSE' ELSE 'SIMILAR' END AS verdict FROM {_TURNED}", Q.TEAM, Q.VECTORS, _TURNS, _PAIRS))
+def C2_alternation(spark, d):
+    p = pos(spark, d)
+    return compare.alternation(pairs(spark, d), entry.entry_vectors(p, team(p), ROOM)).select("pair_id", "entry_number", "track_id_a", "track_id_b", "match", "delta", "verdict")
+
+
+@add(Q.query(f"SELECT *, CASE WHEN alternation_delta > 0 THEN 'BETTER' WHEN alternation_delta < 0 THEN 'WORSE' ELSE 'SIMILAR' END AS verdict FROM (SELECT pair_id, count(m) AS n_known, count(*) FILTER (m) AS n_match, round(coalesce(avg(turns_a), 0), 6) AS alternation_a, round(coalesce(avg(turns_b), 0), 6) AS alternation_b, round(count(*) FILTER (m) / nullif(count(m), 0), 6) AS match_share, round(coalesce(avg(turns_a), 0) - coalesce(avg(turns_b), 0), 6) AS alternation_delta FROM (SELECT *, {_MATCH} AS m FROM {_TURNED}) GROUP BY pair_id)", Q.TEAM, Q.VECTORS, _TURNS, _PAIRS))
+def C2_entrance_vector_totals(spark, d):
+    p = pos(spark, d)
+    out = compare.vector_totals(compare.alternation(pairs(spark, d), entry.entry_vectors(p, team(p), ROOM)))
+    return out.withColumns({c: r6(c) for c in ("alternation_a", "alternation_b", "match_share", "alternation_delta")})
+
+
+@add(Q.query("SELECT pair_id, round(duration_sec_a - duration_sec_b, 6) AS duration_delta FROM " + both("own_total", "", ["duration_sec"]), Q.TEAM, _FPS, "own_total AS (SELECT run_id, (max(first_frame) - min(first_frame)) / any_value(fps) AS duration_sec FROM chosen JOIN rates USING (run_id) GROUP BY run_id)", _PAIRS))
+def C3_total_entry_rates(spark, d):
+    span = compare.with_fps(team(pos(spark, d)), rates(spark, d)).groupBy("run_id").agg(((F.max("first_frame") - F.min("first_frame")) / F.first("fps_")).alias("duration_sec"))
+    rows = compare.sides(pairs(spark, d), span, [], ["duration_sec"])
+    return rows.select("pair_id", r6(F.col("duration_sec_a") - F.col("duration_sec_b")).alias("duration_delta"))
+
+
+@add(Q.query("SELECT pair_id, count(*) AS n_pods, count(capture_frame_a) AS n_captured_a, count(capture_frame_b) AS n_captured_b, round(CASE WHEN count(assigned_id_a) > 0 THEN count(capture_frame_a) / count(assigned_id_a) ELSE 1.0 END, 6) AS score_a, round(CASE WHEN count(assigned_id_b) > 0 THEN count(capture_frame_b) / count(assigned_id_b) ELSE 1.0 END, 6) AS score_b, count(*) FILTER (entry_number_a = entry_number_b) AS n_same_entry FROM "
+  + both("numbered", "pod_idx", ["entry_number", "capture_frame", "assigned_id"]) + " GROUP BY pair_id", *R._GC, "numbered AS (SELECT c.*, e.entry_number FROM captures c LEFT JOIN chosen e ON e.run_id = c.run_id AND e.track_id = c.assigned_id)", _PAIRS))
+def C5_capture_totals(spark, d):
+    out = compare.capture_totals(pairs(spark, d), R._captures(spark, d), team(pos(spark, d)))
+    return out.withColumn("score_a", r6("score_a")).withColumn("score_b", r6("score_b"))
+
+
+@add(Q.query("""SELECT pair_id, n AS n_inroom, na AS n_cleared_a, nb AS n_cleared_b, round(ra, 6) AS rate_a, round(rb, 6) AS rate_b, round(m, 6) AS mean_delta, round(ra - rb, 6) AS rate_delta, CASE WHEN round(ra - rb, 9) > 0.05 THEN 'HIGHER' WHEN round(ra - rb, 9) < -0.05 THEN 'LOWER' ELSE 'SAME' END AS verdict
+FROM (SELECT *, CASE WHEN n > 0 THEN na / n ELSE 1.0 END AS ra, CASE WHEN n > 0 THEN nb / n ELSE 1.0 END AS rb FROM (SELECT p.pair_id, count(x.inroom_id) AS n, count(x.end_frame_a) AS na, count(x.end_frame_b) AS nb, avg(x.clear_sec_a - x.clear_sec_b) AS m FROM pairs p LEFT JOIN (SELECT * FROM """ + both("own_cleared", "inroom_id", ["end_frame", "clear_sec"]) + ") x ON x.pair_id = p.pair_id GROUP BY p.pair_id))", *R._C, _FPS, "own_cleared AS (SELECT c.run_id, c.inroom_id, c.end_frame, greatest(0.0, (c.end_frame - f.f) / fps) AS clear_sec FROM cleared c LEFT JOIN (SELECT run_id, min(frame) AS f FROM friends GROUP BY run_id) f ON f.run_id = c.run_id JOIN rates ON rates.run_id = c.run_id)", _PAIRS))
+def C7_clearance_totals(spark, d):
+    start = pos(spark, d).where("track_id <> 99").groupBy("run_id").agg(F.min("frame").alias("first_frame"))
+    out = compare.clearance_totals(pairs(spark, d), R._cleared(spark, d), start, rates(spark, d))
+    return out.withColumns({c: r6(c) for c in ("rate_a", "rate_b", "mean_delta", "rate_delta")})
+
+
+@add(Q.query("SELECT p.pair_id, coalesce(n_held_a, 0) AS n_held_a, coalesce(n_held_b, 0) AS n_held_b, round(coalesce(overall_a, 0), 6) AS overall_a, round(coalesce(overall_b, 0), 6) AS overall_b, round(coalesce(overall_a, 0) - coalesce(overall_b, 0), 6) AS delta FROM pairs p LEFT JOIN (SELECT * FROM " + both("overall_", "", ["n_held", "overall"]) + ") x ON x.pair_id = p.pair_id", Q.TEAM, R._HOLD, "overall_ AS (SELECT run_id, count(*) AS n_held, avg(m) AS overall FROM (SELECT run_id, track_id, avg(h) AS m FROM holding GROUP BY ALL) GROUP BY run_id)", _PAIRS))
+def C12_hold_totals(spark, d):
+    out = compare.hold_totals(pairs(spark, d), R._hold(spark, d))
+    return out.withColumns({c: r6(c) for c in ("overall_a", "overall_b", "delta")})
+
+
+@add(Q.query("SELECT pair_id, metric, CASE metric WHEN 'entrance_hesitation' THEN 'Entrance Hesitation' WHEN 'entrance_vectors' THEN 'Entrance Vectors' WHEN 'total_entry_time' THEN 'Total Entry Time' END AS label, run_a, 'trainee' AS role_a, score_a, run_b, 'expert' AS role_b, score_b FROM (SELECT * FROM " + both("scores", "metric", ["score"]) + ") JOIN pairs USING (pair_id)", *E._SCORES, _PAIRS))
+def C13_records(spark, d):
+    roles = X.runs(pos(spark, d)).select("run_id", F.when(F.col("run_id") % 2 == 0, "expert").otherwise("trainee").alias("role"))
+    return compare.records(pairs(spark, d), E.R10_metrics(spark, d), roles).select("pair_id", "metric", "label", "run_a", "role_a", "score_a", "run_b", "role_b", "score_b")
+
+
 # ---- all metrics -----------------------------------------------------------
 
 _PARTS = [

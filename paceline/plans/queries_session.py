@@ -187,6 +187,17 @@ def A26_role_evidence(spark, d):
     return roles.role_evidence(pos(spark, d).select(*K, where.alias("location")))
 
 
+_CONFIRMED = """spans_ AS (SELECT *, frame - row_number() OVER (PARTITION BY run_id, track_id ORDER BY frame) AS span FROM ev2_),
+hit_ AS (SELECT *, row_number() OVER (PARTITION BY run_id, track_id, span ORDER BY frame) - CAST(span = min(span) OVER (PARTITION BY run_id, track_id) AS INT) AS hits FROM spans_),
+locked AS (SELECT run_id, track_id, min(CASE WHEN location = 'entry' THEN frame END) AS ea, min(CASE WHEN streak >= 3 AND near = 0 AND hits >= 3 THEN frame END) AS ia, arg_min(location, frame) AS born FROM hit_ GROUP BY ALL)"""
+
+
+@add(Q.query("SELECT l.run_id, l.track_id, CASE WHEN any_value(ea) IS NULL AND any_value(ia) IS NULL THEN CASE any_value(born) WHEN 'entry' THEN 'entry_candidate' WHEN 'interior' THEN 'inroom_candidate' ELSE 'unknown' END WHEN any_value(ia) IS NULL OR any_value(ea) <= any_value(ia) THEN 'entry' ELSE 'inroom' END AS role, any_value(least(ea, ia)) AS locked_frame, min(CASE WHEN h.frame >= least(ea, ia) AND hits >= 3 THEN h.frame END) AS first_output FROM locked l JOIN hit_ h USING (run_id, track_id) GROUP BY l.run_id, l.track_id", _PLACES, _EVIDENCE, _CONFIRMED))
+def A26_confirmed_roles(spark, d):
+    where = G.birth_location(F.col("map_x"), F.col("map_y"), ROOM.boundary, ROOM.doors)
+    return roles.confirmed_roles(pos(spark, d).select(*K, where.alias("location")))
+
+
 def _usable(ks) -> str:
     return f"list_filter([{', '.join(f'k[{i + 1}]' for i in ks)}], lambda p: p.score >= 0.8 AND p.x BETWEEN x1 AND x2 AND p.y BETWEEN y1 + 40 AND y2)"
 

@@ -47,6 +47,46 @@ def _as_run(rows):
     return rows.withColumn("run_id", F.col("run_id").cast("long"))
 
 
+@add(Q.query("SELECT d.run_id, d.frame, d.track_id, d.x1, d.y1, d.x2, d.y2, d.confidence, d.identity_role, d.is_inroom, d.is_entry, d.map_x AS pos_x, CAST(26 AS INT) AS n_keypoints, k.k[4].x AS x3, round(list_sum(list_transform(k.k, lambda p: p.score)), 6) AS sure FROM detections d JOIN keypoints k ON k.run_id = d.run_id AND k.track_id = d.track_id AND k.frame = d.frame"))
+def S1_tracker(spark, d):
+    at = _folder(spark)
+    boxes = X.detections(spark, d).withColumn("map_pos", F.struct(F.col("map_x").alias("x"), F.col("map_y").alias("y"))).drop("map_x", "map_y", "rk", "s")
+    caches.write_detections(boxes.join(X.keypoints(spark, d).select(*E.K, "keypoints"), list(E.K)), at)
+    rows = _as_run(caches.read_detections(spark, f"{at}/*/*.txt"))
+    sure = F.aggregate("keypoints", F.lit(0.0), lambda a, p: a + p["score"])
+    return rows.select("run_id", "frame", "track_id", "x1", "y1", "x2", "y2", "confidence", "identity_role", "is_inroom", "is_entry", F.col("map_pos.x").alias("pos_x"), F.size("keypoints").alias("n_keypoints"), F.expr("keypoints[3].x").alias("x3"), r6(sure).alias("sure"))
+
+
+# Of every third run the file is cut off, of every fifth there is an object in place of an array.
+@add(Q.query("SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'cut off or malformed' ELSE 'no array' END AS reason FROM runs WHERE run_id % 3 = 0 OR run_id % 5 = 0"))
+def S1_tracker_unread(spark, d):
+    at = _folder(spark)
+    frames = X.detections(spark, d).groupBy("run_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("frame")))).alias("value"))
+    value = F.when(F.col("run_id") % 3 == 0, F.expr("substring(value, 1, length(value) - 3)")).when(F.col("run_id") % 5 == 0, F.lit('{"frame": 1}')).otherwise(F.col("value"))
+    _texts(frames.select("run_id", value.alias("value")), at)
+    return _as_run(caches.unread_detections(spark, f"{at}/*/*.txt").select("run_id", "reason"))
+
+
+# Every second manifest names no role, every third no title.
+@add(Q.query("SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'trainee' ELSE 'expert' END AS role, CASE WHEN run_id % 3 = 0 THEN CAST(run_id AS VARCHAR) ELSE 'Run ' || run_id END AS title, 'v' || run_id AS video_basename FROM runs"))
+def S8_runs(spark, d):
+    at = _folder(spark)
+    r = F.col("run_id")
+    manifest = F.struct(r.cast("string").alias("run_id"), F.when(r % 2 == 1, "expert").alias("role"), F.when(r % 3 != 0, F.concat(F.lit("Run "), r.cast("string"))).alias("title"), F.concat(F.lit("v"), r.cast("string")).alias("video_basename"))
+    _texts(X.runs(pos(spark, d)).select("run_id", F.to_json(manifest).alias("value")), at)
+    return _as_run(caches.read_runs(spark, f"{at}/*/*.txt")).select("run_id", "role", "title", "video_basename")
+
+
+# Every third run has no metadata, every fourth a rate of 0.
+@add(Q.query("SELECT run_id, CASE WHEN run_id % 3 = 0 OR run_id % 4 = 0 THEN 30.0 ELSE 50.0 + run_id % 7 END AS fps FROM runs"))
+def S9_metadata(spark, d):
+    at, runs = _folder(spark), X.runs(pos(spark, d))
+    r = F.col("run_id")
+    one = F.struct(F.when(r % 4 == 0, 0.0).otherwise(50.0 + r % 7).alias("fps"), F.lit("1").alias("engine_version"))
+    _texts(runs.where("run_id % 3 <> 0").select("run_id", F.to_json(one).alias("value")), at)
+    return caches.with_fps(runs, _as_run(caches.read_metadata(spark, f"{at}/*/*.txt"))).select("run_id", "fps")
+
+
 @add(Q.query("SELECT run_id, frame, track_id, map_x, map_y FROM positions"))
 def S2_positions(spark, d):
     at = _folder(spark)

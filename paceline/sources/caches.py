@@ -32,10 +32,42 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return latest(files(spark, path))
 
 
+def _tracker_files(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, path, value and frames_ (null where the file is no array of frames)."""
+    text = spark.read.text(path, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run_id"), F.col("_metadata.file_path").alias("path"), "value")
+    return text.withColumn("frames_", F.when(F.substring(F.trim("value"), 1, 1) == "[", F.from_json("value", TRACKER)))
+
+
+def unread_detections(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, path, reason of the tracker files that `read_detections` gets nothing from: empty, cut off, or no array of frames."""
+    bad = _tracker_files(spark, path).where("frames_ is null or (size(frames_) = 1 and frames_[0] is null)")
+    start = F.substring(F.trim("value"), 1, 1)
+    return bad.select("run_id", "path", F.when(F.trim("value") == "", "empty").when(start != "[", "no array").otherwise("cut off or malformed").alias("reason"))
+
+
+def write_detections(rows: DataFrame, path: str) -> None:
+    """One JSON array of frames per run, each frame with its objects by id: the form that `read_detections` reads.
+
+    `rows`: run_id, frame, track_id, x1 to y2, and of confidence, class, ankle, map_pos,
+    map_velocity (struct<x,y>), keypoints (array of struct<x,y,score>), identity_role,
+    birth_location, is_inroom, is_entry those that it has.
+    """
+    has = set(rows.columns)
+    pair = lambda c: F.array(F.col(c)["x"], F.col(c)["y"])
+    fields = [F.col("track_id").alias("id"), F.array("x1", "y1", "x2", "y2").alias("bbox")]
+    fields += [F.col(c) for c in ("confidence", "class", "identity_role", "birth_location", "is_inroom", "is_entry") if c in has]
+    fields += [pair(c).alias(name) for c, name in (("ankle", "ankle_based_point"), ("map_pos", "current_map_pos"), ("map_velocity", "map_velocity")) if c in has]
+    if "keypoints" in has:
+        fields += [F.transform("keypoints", lambda p: F.array(p["x"], p["y"])).alias("keypoints"), F.transform("keypoints", lambda p: p["score"]).alias("keypoint_scores")]
+    frames = rows.groupBy("run_id", "frame").agg(F.sort_array(F.collect_list(F.struct("track_id", F.struct(*fields).alias("o")))).alias("objects"))
+    frames = frames.select("run_id", F.struct("frame", F.transform("objects", lambda x: x["o"]).alias("objects")).alias("f"))
+    files_ = frames.groupBy("run_id").agg(F.to_json(F.sort_array(F.collect_list("f"))).alias("value"))  # a run is one file
+    files_.repartition("run_id").write.partitionBy("run_id").mode("overwrite").text(path)
+
+
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run, frame and object of the tracker's JSON files (arrays of frames); objects without an id or four box numbers are left out."""
-    text = spark.read.text(path, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run_id"), "value")
-    frames = text.select("run_id", F.explode(F.from_json("value", TRACKER)).alias("f")).select("run_id", "f.frame", F.explode("f.objects").alias("o"))
+    """One row per run, frame and object of the tracker's JSON files (arrays of frames); objects without an id or four box numbers are left out, files that can't be read are `unread_detections`."""
+    frames = _tracker_files(spark, path).select("run_id", F.explode("frames_").alias("f")).select("run_id", "f.frame", F.explode("f.objects").alias("o"))
     good = frames.where(F.col("o.id").isNotNull() & (F.size("o.bbox") == 4))
     box = [F.get("o.bbox", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))]
     point = lambda c: F.struct(F.get(f"o.{c}", F.lit(0)).alias("x"), F.get(f"o.{c}", F.lit(1)).alias("y"))
@@ -120,6 +152,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"role": F.coalesce("role", F.lit("trainee")), "run_id": F.coalesce("run_id", "folder"), "title": F.coalesce("title", "folder")})
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """run_id (the folder), fps and the video's names of the metadata files."""
+    schema = "schema_version int, fps double, video_path string, video_basename string, produced_at timestamp, engine_version string"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.select(run_of(F.col("_metadata.file_path")).alias("run_id"), "fps", "video_path", "video_basename", "produced_at")
+
+
 def with_fps(runs: DataFrame, metadata: DataFrame, fallback: float = 30.0) -> DataFrame:
     return runs.join(metadata.select("run_id", "fps"), "run_id", "left").withColumn("fps", F.when(F.col("fps") > 0, F.col("fps")).otherwise(fallback))
 
