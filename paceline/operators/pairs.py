@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,30 +118,64 @@ def gallery_distance(gallery: DataFrame, queries: DataFrame, keys: Sequence[str]
     return pairs.groupBy(track, query).agg(F.min(cosine_distance(F.col("g_"), F.col("q_"))).alias("distance"))
 
 
-def nearest_in_gallery(gallery: DataFrame, queries: DataFrame, track: str, query: str, block: int = 2048) -> DataFrame:
+#: Queries of up to so many bytes are sent to all tasks; more of them meet the gallery block by block.
+SENT_BYTES = 64 << 20
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1 (NaN for one of no length)."""
+    x = np.stack(vectors.to_list()).astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def nearest_in_gallery(gallery: DataFrame, queries: DataFrame, track: str, query: str, block: int = 2048, most_bytes: int = SENT_BYTES) -> DataFrame:
     """track, query, distance: the smallest cosine distance of each query to a track's whole gallery.
 
-    Both have `query` (an id) and embedding.  Blocks of about `block` rows, dealt by
-    hash of the id, meet each other once, and each pair of blocks gives one row per
-    track and query, so no track or query is one task.  Null embeddings meet nothing.
+    Both have `query` (an id) and embedding.  Null embeddings meet nothing.  The
+    gallery stays where it is while the queries fit into `most_bytes` (counted before
+    they are sent): each task keeps the smallest distance per track and query.  Beyond
+    that, blocks of about `block` rows, dealt by hash of the id, meet each other once,
+    and each pair of blocks gives one row per track and query.
     """
-    sides, n_blocks = [x.where("embedding is not null") for x in (gallery, queries)], []
-    for x in sides:
-        n_blocks.append(max(1, -(-x.count() // block)))
-    g, q = (x.withColumn(a, F.pmod(F.xxhash64(query), F.lit(n)).cast("int")) for x, a, n in zip(sides, ("g_", "q_"), n_blocks, strict=True))
+    gallery, queries = (x.where("embedding is not null") for x in (gallery, queries))
+    kinds = f"`{track}` {gallery.schema[track].dataType.simpleString()}, `{query}` {queries.schema[query].dataType.simpleString()}, distance double"
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if size.n * (size.d or 0) * 8 <= most_bytes:
+        few = queries.select(query, "embedding").toPandas()
+        sent = gallery.sparkSession.sparkContext.broadcast((few[query].to_numpy(), _unit(few["embedding"]) if len(few) else np.zeros((0, 1))))
+
+        def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            best: dict = {}
+            for part in parts:
+                for k in range(0, len(part), block):
+                    cut = part.iloc[k : k + block]
+                    if len(ids):
+                        near = pd.DataFrame(np.maximum(0.0, 1 - _unit(cut["embedding"]) @ q.T)).groupby(cut[track].to_numpy(), dropna=False).min()
+                        for key, row in zip(near.index.tolist(), near.to_numpy(), strict=True):
+                            best[key] = np.fmin(best[key], row) if key in best else row
+                    if len(best) * len(ids) > 4_000_000:
+                        yield told(best, ids)
+                        best = {}
+            if best:
+                yield told(best, ids)
+
+        def told(best: dict, ids: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({track: np.repeat(list(best), len(ids)), query: np.tile(ids, len(best)), "distance": np.concatenate(list(best.values()))})
+
+        return gallery.select(track, "embedding").mapInPandas(fold, kinds).groupBy(track, query).agg(F.min("distance").alias("distance"))
+    n_blocks = [max(1, -(-gallery.count() // block)), max(1, -(-size.n // block))]
+    g, q = (x.withColumn(a, F.pmod(F.xxhash64(query), F.lit(n)).cast("int")) for x, a, n in zip((gallery, queries), ("g_", "q_"), n_blocks, strict=True))
     g = g.select(track, "embedding", "g_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks[1] - 1))).alias("q_"))
     q = q.select(query, "embedding", "q_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks[0] - 1))).alias("g_"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({track: a[track][:0], query: b[query][:0], "distance": np.zeros(0)})
-        x, y = (np.stack(v["embedding"].to_list()).astype(float) for v in (a, b))
-        norms = np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = pd.DataFrame(np.maximum(0.0, 1 - x @ y.T / norms)).groupby(a[track].to_numpy(), dropna=False).min()
+            return pd.DataFrame({track: [], query: [], "distance": np.zeros(0)})
+        distance = pd.DataFrame(np.maximum(0.0, 1 - _unit(a["embedding"]) @ _unit(b["embedding"]).T)).groupby(a[track].to_numpy(), dropna=False).min()
         return pd.DataFrame({track: np.repeat(distance.index.to_numpy(), len(b)), query: np.tile(b[query].to_numpy(), len(distance)), "distance": distance.to_numpy().ravel()})
 
-    kinds = f"`{track}` {gallery.schema[track].dataType.simpleString()}, `{query}` {queries.schema[query].dataType.simpleString()}, distance double"
     pairs = g.groupBy("g_", "q_").cogroup(q.groupBy("g_", "q_")).applyInPandas(nearest, kinds)
     return pairs.groupBy(track, query).agg(F.min("distance").alias("distance"))
 

@@ -45,23 +45,23 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions with a box, a confidence, a role (null for every third track) and flags."""
-    return positions(spark, sf_dir).selectExpr(
+def detections(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Positions (`rows`, if they are there already) with a box, a confidence, a role (null for every third track) and flags."""
+    return (positions(spark, sf_dir) if rows is None else rows).selectExpr(
         "*", "2 * map_x - 20 AS x1", "2 * map_y - 60 AS y1", "2 * map_x + 20 AS x2", "2 * map_y + 20 AS y2", "CAST((rk * 7 + s * 13) % 100 AS DOUBLE) / 100 AS confidence",
         "CASE WHEN track_id = 99 THEN 'inroom' WHEN s % 3 = 0 THEN NULL ELSE 'entry' END AS identity_role", "track_id = 99 AS is_inroom", "(track_id <> 99 AND rk >= 4) AS is_entry",
         "CASE WHEN track_id = 99 THEN 'interior' ELSE 'entry_buffer' END AS birth_location",
     )
 
 
-def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gaze(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """run_id, track_id, frame, ox, oy, dx, dy; some of no length, every 17th missing."""
-    return detections(spark, sf_dir).where("rk % 17 <> 0").selectExpr("run_id", "track_id", "frame", "(x1 + x2) / 2 AS ox", "y1 AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
+    return detections(spark, sf_dir, rows).where("rk % 17 <> 0").selectExpr("run_id", "track_id", "frame", "(x1 + x2) / 2 AS ox", "y1 AS oy", "CAST((rk + s) % 5 - 2 AS DOUBLE) AS dx", "CAST((rk * 3 + s) % 5 - 2 AS DOUBLE) AS dy")
 
 
-def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keypoints(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """run_id, track_id, frame, keypoints (26 of x, y, score) and the box."""
-    return detections(spark, sf_dir).selectExpr(
+    return detections(spark, sf_dir, rows).selectExpr(
         "run_id", "track_id", "frame", "x1", "y1", "x2", "y2", "s", "rk",
         "explode(array(transform(sequence(0, 25), k -> named_struct('x', x1 + (k * 7 + rk) % 40, 'y', y1 + (k * 5 + s) % 80, 'score', CAST((k * 3 + rk) % 10 AS DOUBLE) / 10)))) AS keypoints",  # exploded, so that it is computed once
     )

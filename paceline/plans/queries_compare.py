@@ -14,6 +14,7 @@ from . import queries_entry as E
 from . import queries_room as R
 from . import sqltext as Q
 from .fixtures import ROOM
+from .folders import shared_folder
 from .queries_entry import pos, r6, team
 
 QUERIES: dict = {}
@@ -320,8 +321,11 @@ _UNION = " UNION ALL ".join(f"SELECT run_id, '{name}' AS metric, score FROM ({bo
 
 def _all_metrics(spark, d, step):
     room = dataclasses.replace(ROOM, visual_angle=R.ANGLE, pod_limits=_LIMITS, floor_step=step)
-    tables = E.tables(spark, d) | {"boxes": X.detections(spark, d), "gaze": X.gaze(spark, d), "keypoints": X.keypoints(spark, d), "lengths": R._resolved(spark, d), "map_gaze": R._mapgaze(spark, d)}
-    return M.REGISTRY.run(tables, room)
+    folder = shared_folder(spark, "metrics")
+    tables = E.tables(spark, d, folder)
+    p = tables["positions"]
+    tables |= {"boxes": X.detections(spark, d, p), "gaze": X.gaze(spark, d, p), "keypoints": X.keypoints(spark, d, p), "lengths": R._resolved(spark, d), "map_gaze": R._mapgaze(spark, d)}
+    return M.REGISTRY.run(tables, room, folder=folder)
 
 
 @add(Q.query(_UNION, Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), E._METRICS, R._WALL, R._ADHERE, *R._W, *R._S, *R._R, R._SUM, _TIMED, R._ORDERS, R._ASSIGN, R._SAMPLES, R._CAPTURE, R._HOLD))

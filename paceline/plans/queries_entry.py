@@ -13,6 +13,7 @@ from . import metrics as M
 from . import registry
 from . import sqltext as Q
 from .fixtures import ROOM
+from .folders import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,8 +42,9 @@ def team(p: DataFrame) -> DataFrame:
     return roles.entrants(p, X.inroom(p), ROOM.team)
 
 
-def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    p = pos(spark, d)
+def tables(spark: SparkSession, d: str, folder: str | None = None) -> dict[str, DataFrame]:
+    """Positions (written to `folder` where one is given), runs and who is in the room."""
+    p = registry.stored(pos(spark, d), f"{folder}/positions") if folder else pos(spark, d)
     return {"positions": p, "inroom": X.inroom(p), "runs": X.runs(p)}
 
 
@@ -450,7 +452,8 @@ _SCORES = (Q.TEAM, Q.GAPS, Q.TOTAL, Q.VECTORS, Q.transitions(True), _METRICS)
 
 @add(Q.query("SELECT * FROM scores", *_SCORES))
 def R10_metrics(spark, d):
-    return M.REGISTRY.run(tables(spark, d), ROOM, ["entrance_hesitation", "total_entry_time", "entrance_vectors"])
+    folder = shared_folder(spark, "metrics")
+    return M.REGISTRY.run(tables(spark, d, folder), ROOM, ["entrance_hesitation", "total_entry_time", "entrance_vectors"], folder)
 
 
 @add(Q.query("SELECT metric, count(*) AS n_runs, round(avg(score), 6) AS mean FROM scores GROUP BY metric", *_SCORES))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import live, ordered
-from .queries_sources import shared_folder
+from .folders import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import transcript
@@ -13,6 +10,7 @@ from . import fixtures as X
 from . import queries_entry as E
 from . import queries_room as R
 from . import sqltext as Q
+from .folders import shared_folder
 from .queries_entry import pos, r6
 
 QUERIES: dict = {}
@@ -29,16 +27,6 @@ def add(sql: str | None):
     return register
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (as in tests, on one machine) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _folder(spark) -> str:
     return shared_folder(spark, "caches")
 

@@ -56,12 +56,23 @@ class Registry:
                 visit(x)
         return out
 
-    def run(self, tables: Tables, room: Room, enabled: Iterable[str] | None = None) -> DataFrame:
-        """run_id, metric, score of every enabled metric; each derived table is planned once."""
+    def users(self, name: str, chosen: Iterable[str]) -> int:
+        """How many of the enabled metrics and of the derived tables that they need ask for a table."""
+        asked = [self.metrics[m].needs for m in chosen] + [self.derived[t][1] for t in self.needed(chosen)]
+        return sum(name in needs for needs in asked)
+
+    def run(self, tables: Tables, room: Room, enabled: Iterable[str] | None = None, folder: str | None = None) -> DataFrame:
+        """run_id, metric, score of every enabled metric.
+
+        With a `folder` that all executors share, positions and each derived table that
+        several ask for are computed once, written there and read back.
+        """
         chosen = list(self.metrics if enabled is None else enabled)
         tables = dict(tables)
         for name in self.needed(chosen):
             tables[name] = self.derived[name][0](tables, room)
+            if folder and self.users(name, chosen) > 1:
+                tables[name] = stored(tables[name], f"{folder}/{name}")
         parts = [self.metrics[m].score(tables, room).select("run_id", F.lit(m).alias("metric"), "score") for m in chosen]
         out = parts[0]
         for p in parts[1:]:
@@ -69,6 +80,12 @@ class Registry:
         return out
 
 
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as they are in Parquet files at `path`."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def unprocessed(runs: DataFrame, done: DataFrame) -> DataFrame:
     """Runs that the sink does not hold yet."""
     return runs.join(done.select("run_id").distinct(), "run_id", "left_anti")

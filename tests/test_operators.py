@@ -153,7 +153,8 @@ def test_nearest_of_the_whole_gallery(spark):
             want[g.label, q.vec_id] = min(want.get((g.label, q.vec_id), 9.0), max(0.0, 1 - x @ y / np.sqrt((x @ x) * (y @ y))))
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     blocks = pairs.nearest_in_gallery(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "label", "vec_id", 40)
-    for got in (R.J16_gallery_distance_whole(spark, d), blocks):
+    met = pairs.nearest_in_gallery(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "label", "vec_id", 40, most_bytes=0)
+    for got in (R.J16_gallery_distance_whole(spark, d), blocks, met):
         assert {(r.label, r.vec_id): r.distance for r in got.collect()} == pytest.approx(want, abs=1e-5)
 
 
