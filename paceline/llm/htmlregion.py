@@ -66,6 +66,9 @@ USUAL = frozenset(
     "header masthead footer comment comments disqus replies respond notice notices cookie cookies consent popup modal overlay newsletter subscribe "
     "subscription share sharing social related recommended login signup search widget pagination pager toolbar complementary contentinfo".split()
 )
+#: Of these a part of a class word is enough: readers' comments are never content.
+TALK = frozenset("comment comments disqus replies respond".split())
+_PARTS = re.compile(r"[-_]+")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ITEMS = frozenset("li dt dd option tr td th".split())
 _HOLDERS = "ul ol dl table select".split()
@@ -178,7 +181,8 @@ class RegionModel:
     def word(self, word: str, usual: bool) -> float:
         got = self.words.get(word) if usual else self.seen_words.get(word, self.words.get(word))
         if got is None:
-            return _place_weight(*USUAL_PRIOR) if usual and word in USUAL else 0.0
+            named = word in USUAL or any(part in TALK for part in _PARTS.split(word))
+            return _place_weight(*USUAL_PRIOR) if usual and named else 0.0
         return got
 
     def region(self, scores: list[float]) -> tuple[int, int]:
@@ -203,7 +207,9 @@ class RegionModel:
                 if e.marked and (e.never or around[number] < 0):
                     scores.append(0.0)  # left out anyway, so it does not part what is around it
                 elif tag:
-                    scores.append(TAG if e.never else self.tags.get(tag, INLINE_TAG if e.name in INLINE else TAG))
+                    # a tag that the sample didn't have says nothing inside marked content
+                    unknown = 0.0 if e.marked else INLINE_TAG if e.name in INLINE else TAG
+                    scores.append(TAG if e.never else self.tags.get(tag, unknown))
                 else:
                     each = -WORD if e.never else WORD + self.places.get(got.elements[e.block].name, 0.0) + around[number]
                     scores.append(len(text.split()) * each)
