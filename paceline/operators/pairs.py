@@ -87,7 +87,8 @@ def pose_affinity(a: Column, b: Column, scale: Column, sigma: float = 0.35) -> t
         dx, dy = (p["x"] - q["x"]) / F.greatest(scale, F.lit(1.0)), (p["y"] - q["y"]) / F.greatest(scale, F.lit(1.0))
         similarity = F.exp(-(dx * dx + dy * dy) / max(2 * sigma * sigma, 1e-6))
         support = F.least(F.lit(1.0), 0.35 + 0.15 * F.least(p["support"], q["support"]))
-        weight = F.coalesce(priority * F.greatest(F.lit(0.05), (p["confidence"] + q["confidence"]) / 2) * support, F.lit(0.0))
+        # least and greatest pass over nulls, so a group that one side lacks is left out by itself
+        weight = F.when(p.isNotNull() & q.isNotNull(), priority * F.greatest(F.lit(0.05), (p["confidence"] + q["confidence"]) / 2) * support).otherwise(0.0)
         terms.append(F.coalesce(similarity * weight, F.lit(0.0)))
         weights.append(weight)
     total = sum(weights[1:], weights[0])

@@ -116,3 +116,34 @@ def test_clipping_and_areas(spark):
     square = lambda h, x=0.0: F.array(*[F.struct(F.lit(x + a * h).alias("x"), F.lit(float(b * h)).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
     row = spark.range(1).select(G.polygon_area(G.clipped(square(1.0), square(1.0, 1.5))).alias("part"), G.polygon_area(G.clipped(square(1.0), square(1.0, 9.0))).alias("none"), G.polygon_area(F.reverse(square(2.0))).alias("back")).first()
     assert (row.part, row.none, row.back) == (1.0, 0.0, -16.0)
+
+
+def _anchors(points, least):
+    found = {}
+    for name, ks in pairs.ANCHORS.items():
+        sure = [points[k] for k in ks if points[k][2] > least]
+        if sure:
+            found[name] = (*(sum(c) / len(sure) for c in zip(*sure, strict=True)), len(sure))
+    for missing, other in (("shoulder", "neck"), ("neck", "shoulder")):
+        if missing not in found and other in found:
+            found[missing] = (*found[other][:3], 1)
+    return found
+
+
+def test_affinity_of_two_poses(spark):
+    rng = random.Random(8)
+    poses = [[(rng.uniform(0, 60), rng.uniform(0, 90), rng.choice([0.2, 0.6, 0.9])) for _ in range(26)] for _ in range(6)]
+    poses.append([(0.0, 0.0, 0.1)] * 26)
+    kind = "k int, keypoints array<struct<x:double,y:double,score:double>>"
+    rows = spark.createDataFrame([(k, [{"x": x, "y": y, "score": s} for x, y, s in p]) for k, p in enumerate(poses)], kind).withColumn("a", pairs.anchors(F.col("keypoints"), 0.5))
+    both = rows.select(F.col("k").alias("i"), F.col("a").alias("p")).join(rows.select(F.col("k").alias("j"), F.col("a").alias("q")), F.expr("i < j"))
+    s, r = pairs.pose_affinity(F.col("p"), F.col("q"), F.lit(80.0))
+    for row in both.select("i", "j", s.alias("s"), r.alias("r")).collect():
+        p, q, total, weights = _anchors(poses[row.i], 0.5), _anchors(poses[row.j], 0.5), 0.0, 0.0
+        for name, priority in pairs.PRIORITY.items():
+            if name in p and name in q:
+                near = math.exp(-(((p[name][0] - q[name][0]) / 80) ** 2 + ((p[name][1] - q[name][1]) / 80) ** 2) / (2 * 0.35**2))
+                weight = priority * max(0.05, (p[name][2] + q[name][2]) / 2) * min(1.0, 0.35 + 0.15 * min(p[name][3], q[name][3]))
+                total, weights = total + near * weight, weights + weight
+        want = (total / weights if weights else 0.0, min(1.0, 2 * weights / sum(pairs.PRIORITY.values())))
+        assert (row.s, row.r) == pytest.approx(want)
