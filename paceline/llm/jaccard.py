@@ -21,6 +21,13 @@ sets hold), and only where a list still spans several components are the pairs
 across components looked at (with a bound on the overlap from bitmaps).  No list,
 bucket or candidate is cut off.
 
+A task cuts its texts into blocks and numbers the classes of each.  A token travels
+with that number (16 bits), not with its class, so it takes the same bytes however
+many buckets there are.  Tokens held once stay in their bucket; the others come back
+to their block, and so do the classes, with the number of blocks that hold them: a
+token held by no more than the copies of a class is no shared one.  The first copy of
+a class goes on.
+
 Tokens that some part of the input holds often are counted first.  A token of
 HOT_SHARE of all sets or more is hot: its entries are spread by set, not by token,
 and its number comes from that count, so no task gathers it.
@@ -45,6 +52,7 @@ from pyspark.sql import functions as F
 
 from . import batches as B
 from . import blobs
+from .packed import block_numbers
 
 WIDTH = 5
 #: Similarity of at least NUM / DEN.
@@ -58,15 +66,25 @@ LIST_TOKENS = 1 << 20
 #: Sets among those of a flush that make a token a candidate for a hot one, and the share of all sets that makes it one.
 HOT_LOCAL, HOT_SHARE = 16, 1 / 500
 HUB_ROUNDS = 3
+#: A hub round that links a smaller share of its pairs is the last one.
+HUB_SHARE = 1 / 100
+#: Classes of a block at most, numbered by 16 bits.
+BLOCK_CLASSES = 1 << 16
 _BITS = 1024
 
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# Every token of every class is shuffled as these 13 bytes; what is known of a class as a whole goes once, apart.
-_TOKEN = {"low": np.uint32, "high": np.uint8, "cls": np.int64}
-_SHARED = {"token": np.uint64, "cls": np.int64, "df": np.uint32}
-_CLASS = {"cls": np.int64, "n": np.uint32, "ahead": np.uint64, "behind": np.uint64}
+# Every token of every class of a block is shuffled as 7 bytes, the last of which is mostly 0; what is known of a class as a whole goes once, apart.
+_PLACE = {"at_low": np.uint8, "at_high": np.uint8}
+_TOKEN = {"low": np.uint32, "high": np.uint8} | _PLACE
+_SHARED = _TOKEN | {"df": np.uint32}
+_HOT_TOKEN = {"low": np.uint32} | _PLACE
+_CLASS = {"cls": np.int64, "n": np.uint32, "ahead": np.uint64, "behind": np.uint64} | _PLACE
+_LEADER = _CLASS | {"copies": np.uint32}
+#: Entries of a block; `source` is the bucket of tokens on their way back, or one of the two below.
+_SENT = "bucket int, block long, source int, payload binary"
+_OF_CLASSES, _OF_HOT = -1, -2
 #: The bit of `high` that marks the number of a hot token.
 _HOT = np.uint8(1 << 7)
 _POSTING = {"token": np.uint64, "cls": np.int64, "n": np.uint32, "comp": np.int64, "weight": np.float32}
@@ -121,10 +139,21 @@ def classes(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return B.mix(total.view(np.uint64) + np.diff(ptr).astype(np.uint64)).view(np.int64)
 
 
-def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(token, cls) of the classes that are new to a flush, some megabytes of text at a time."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(token, at, about) of the classes that are new to a flush, some megabytes of text at a time; `at` is the place of the token's class in `about`."""
+    held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
     size, seen = 0, np.zeros(0, np.int64)
+
+    def cut() -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+        token = np.concatenate([x[0] for x in held])
+        about = {k: np.concatenate([x[1][k] for x in held]) for k in held[0][1]}
+        held.clear()
+        for i in range(0, len(about["n"]), BLOCK_CLASSES):
+            own = {k: c[i : i + BLOCK_CLASSES] for k, c in about.items()}
+            n = int(own["n"].sum())
+            yield token[:n], np.repeat(np.arange(len(own["n"]), dtype=np.uint16), own["n"]), own
+            token = token[n:]
+
     for part in parts:
         raw, off = B.text_bytes(part.column(column))
         for _, _, data, cuts in B.blocks(raw, off, 1 << 20):
@@ -134,33 +163,32 @@ def _flushes(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.
             first[np.unique(cls, return_index=True)[1]] = True
             first &= ~np.isin(cls, seen) & (n > 0)  # a copy in the same flush adds nothing
             seen = np.concatenate([seen, cls[first]])
-            held.append((token[np.repeat(first, n)], np.repeat(cls[first], n[first])))
+            p = prefix_length(n[first])
+            about = {"cls": cls[first], "n": n[first].astype(np.uint32), "ahead": token[ptr[:-1][first] + p - 1], "behind": token[ptr[1:][first] - p]}
+            held.append((token[np.repeat(first, n)], about))
             size += len(data)
             if size >= FLUSH_BYTES:
-                out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, size, seen = [], 0, np.zeros(0, np.int64)
-                yield out
-                del out
+                yield from cut()
+                size, seen = 0, np.zeros(0, np.int64)
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield from cut()
 
 
 def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
-    """doc_id, row (null without one), n_shingles, cls (a hash of the set), ahead and behind of each row.
+    """doc_id, row (null without one), n_shingles, cls (a hash of the set) of each row.
 
-    ahead is the last token of the prefix under ascending hash, behind that of the
-    prefix under descending hash (0 without shingles).  Rows with n_shingles -1 are tokens (`cls`) that many sets (`row`) of some part of the input hold.
+    Rows with n_shingles -1 are tokens (`cls`) that many sets (`row`) of some part of the input hold.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n_shingles", "cls", "ahead", "behind"]
+        names = ["doc_id", "row", "n_shingles", "cls"]
         held: list[np.ndarray] = []
         size, seen = 0, np.zeros(0, np.int64)
 
         def often() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             token, n = token[n >= HOT_LOCAL].view(np.int64), n[n >= HOT_LOCAL].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.full(len(n), -1, np.int64)), pa.array(token), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.full(len(n), -1, np.int64)), pa.array(token)], names)
 
         for part in parts:
             raw, off = B.text_bytes(part.column(1))
@@ -168,11 +196,7 @@ def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | No
                 token, ptr = shingles(data, cuts)
                 cls, n = classes(token, ptr), np.diff(ptr)
                 own = [part.column(k).slice(i, j - i) for k in (0, 2)]
-                ends = np.zeros((2, len(n)), np.int64)
-                some, p = n > 0, prefix_length(n)
-                ends[0, some] = token[(ptr[:-1] + p - 1)[some]].view(np.int64)
-                ends[1, some] = token[(ptr[1:] - p)[some]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(cls), pa.array(ends[0]), pa.array(ends[1])], names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(cls)], names)
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
                 first &= ~np.isin(cls, seen)
@@ -186,7 +210,7 @@ def sets(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | No
             yield often()
 
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
-    return picked.mapInArrow(run, "doc_id long, row long, n_shingles long, cls long, ahead long, behind long")
+    return picked.mapInArrow(run, "doc_id long, row long, n_shingles long, cls long")
 
 
 def _name(token: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,121 +227,133 @@ def _name(token: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int32), (bucket << np.uint64(40)) | place
 
 
+def _places(at: np.ndarray) -> dict[str, np.ndarray]:
+    """`_PLACE` of each number; the bytes of one place together compress better."""
+    return {"at_low": (at & 0xFF).astype(np.uint8), "at_high": (at >> 8).astype(np.uint8)}
+
+
+def _at(columns: dict[str, np.ndarray]) -> np.ndarray:
+    return columns["at_high"].astype(np.int64) << 8 | columns["at_low"]
+
+
+def _spread(x: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (B.mix(x.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+
+
+def _rows(bucket: np.ndarray, block: np.ndarray, source: int, payload: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(np.full(len(block), source, np.int32)), payload]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "source", "payload"])
+
+
 def _tokens_out(n_buckets: int, hot: np.ndarray):
-    """Every token of every class of a task, dealt to token buckets; entries of hot ones to buckets by class."""
+    """Every token of every class of a block, dealt to token buckets (entries of hot ones at random), and what is known of the classes, dealt by class."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls in _flushes(parts, 0):
+        number = block_numbers()
+        for token, at, about in _flushes(parts, 0):
+            block = next(number)
             bucket, name = _name(token, n_buckets)
             low, high = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((name >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
             if len(hot):
-                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                is_hot = hot[at] == token
-                low[is_hot] = at[is_hot]
-                bucket[is_hot] = (B.mix(cls[is_hot].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+                k = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                is_hot = hot[k] == token
+                low[is_hot] = k[is_hot]
+                bucket[is_hot] = _spread(about["cls"][at[is_hot]], n_buckets)
                 high[is_hot] = _HOT
-            yield from blobs.deal(bucket, {"low": low, "high": high, "cls": cls})
+            for part in blobs.deal(bucket, {"low": low, "high": high} | _places(at)):
+                yield _rows(part.column(0).to_numpy(), np.full(part.num_rows, block), 0, part.column(1))
+            for part in blobs.deal(_spread(about["cls"], n_buckets), about | _places(np.arange(len(about["n"])))):
+                yield _rows(part.column(0).to_numpy(), np.full(part.num_rows, block), _OF_CLASSES, part.column(1))
 
     return run
 
 
-def _share(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
-    """Tokens that two or more classes hold, with their number, dealt to class buckets."""
-    _, hot_names = _name(hot, n_buckets)
+def _gather(parts: Iterator[pa.RecordBatch], kinds: dict[str, dict[str, type]]) -> tuple[int, np.ndarray, dict[str, dict[str, np.ndarray]]]:
+    """The bucket, its blocks and, for each of `kinds` (tokens, classes, hot), all entries as columns, with the place of their block in the blocks and their source."""
+    own, blocks = 0, {}
+    got: dict[str, list] = {kind: [] for kind in kinds}
+    for part in parts:
+        for own, block, source, payload in zip(*(part.column(k).to_pylist() for k in range(3)), part.column(3), strict=True):
+            kind = {_OF_CLASSES: "classes", _OF_HOT: "hot"}.get(source, "tokens")
+            columns = blobs.unpack(payload.as_buffer().to_pybytes(), kinds[kind])
+            got[kind].append((blocks.setdefault(block, len(blocks)), source, columns))
+    out = {}
+    for kind, columns in kinds.items():
+        held = got.pop(kind)
+        size = [len(x[2]["at_low"]) for x in held]
+        out[kind] = {c: np.concatenate([np.zeros(0, t), *(x[2][c] for x in held)]) for c, t in columns.items()}
+        out[kind] |= {name: np.repeat(np.array([x[k] for x in held], np.int64), size) for k, name in enumerate(("block", "source"))}
+    return own, np.array(list(blocks), np.int64), out
+
+
+def _share(n_buckets: int):
+    """Tokens that two or more classes of all blocks hold, with their number, and the first copy of each class, with the number of copies, dealt to the buckets of their blocks."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = blobs.gather(parts, _TOKEN)
-        if got is None:
-            return
-        bucket = np.uint64(got.pop("bucket")) << np.uint64(40)
-        is_hot, often = got["high"] == _HOT, {"low": ()}
-        if is_hot.any():
-            often = {k: c[is_hot] for k, c in got.items()}
-            got = {k: c[~is_hot] for k, c in got.items()}
-        token = got["high"].astype(np.uint64)
-        token <<= np.uint64(32)
-        token |= got["low"]
-        token |= bucket
+        own, blocks, got = _gather(parts, {"tokens": _TOKEN, "classes": _CLASS})
+        where = _spread(blocks, n_buckets)
+
+        def back(entries: dict[str, np.ndarray], order: np.ndarray, kinds: dict[str, type], source: int) -> Iterator[pa.RecordBatch]:
+            for part in blobs.deal(entries["block"][order], {k: entries[k][order] for k in kinds}):
+                k = part.column(0).to_numpy()
+                yield _rows(where[k], blocks[k], source, part.column(1))
+
+        e = got["classes"]
+        order = np.lexsort((_at(e), blocks[e["block"]], e["cls"]))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(e["cls"][order]) != 0])) if len(order) else order
+        e["copies"] = np.zeros(len(order), np.uint32)
+        e["copies"][order[start]] = np.diff(np.append(start, len(order)))
+        yield from back(e, order[start], _LEADER, _OF_CLASSES)
+        e = got["tokens"]
+        hot = e["high"] == _HOT
+        yield from back(e, np.flatnonzero(hot), _HOT_TOKEN, _OF_HOT)
+        place = np.flatnonzero(~hot)
+        token = e["high"][place].astype(np.uint64) << np.uint64(32) | e["low"][place]
         order = np.argsort(token)
-        same = np.diff(token[order]) == 0
-        several = np.zeros(len(order), bool)
-        several[1:] = same
-        several[:-1] |= same
-        order = order[several]
-        token, cls = token[order], got["cls"][order]
-        del got, same, several, order
-        order = np.lexsort((cls, token))
-        token, cls = token[order], cls[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls = token[new], cls[new]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token)))).astype(np.uint32)
-        shared = df > 1
-        token, cls, df = token[shared], cls[shared], df[shared]
-        if len(often["low"]):
-            token, cls = np.concatenate([token, hot_names[often["low"]]]), np.concatenate([cls, often["cls"]])
-            df = np.concatenate([df, hot_sets[often["low"]]])
-        order = np.argsort(cls, kind="stable")
-        token, cls, df = token[order], cls[order], df[order]
-        yield from blobs.deal(_of_class(cls, n_buckets), {"token": token, "cls": cls, "df": df})
-
-    return run
-
-
-def _of_class(cls: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (B.mix(cls.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-
-
-def _classes_out(n_buckets: int):
-    """cls, n, ahead and behind of each class, dealt to class buckets."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            columns = {name: part.column(k).to_numpy().astype(kind) for k, (name, kind) in enumerate(_CLASS.items())}
-            yield from blobs.deal(_of_class(columns["cls"], n_buckets), columns)
+        token, order = token[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else order
+        count = np.diff(np.append(start, len(token)))
+        e["df"] = np.zeros(len(e["low"]), np.uint32)
+        e["df"][order] = np.repeat(count, count)
+        yield from back(e, np.flatnonzero(e["df"] > 1), _SHARED, own)
 
     return run
 
 
-def _survivors(n_buckets: int):
-    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the prefixes by hash.
-
-    Takes rows (bucket, payload, about) with either entries of shared tokens or `_CLASS` entries.
-    """
+def _survivors(n_buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
+    """Classes that have enough shared tokens for a partner: their shared tokens, rarest first, the prefix length and the prefixes by hash."""
+    _, hot_names = _name(hot, n_buckets)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        about: list[bytes] = []
-
-        def entries() -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                about.extend(part.column(2).drop_null().to_pylist())
-                yield part.filter(pc.is_valid(part.column(1))).select([0, 1])
-
-        got = blobs.gather(entries(), _SHARED)
-        if got is None:
+        _, _, got = _gather(parts, {"tokens": _SHARED, "classes": _LEADER, "hot": _HOT_TOKEN})
+        known, e, often = got["classes"], got["tokens"], got["hot"]
+        key = known["block"] << 16 | _at(known)
+        by_key = np.argsort(key)
+        known, key = {k: c[by_key] for k, c in known.items()}, key[by_key]
+        token = e["source"].astype(np.uint64) << np.uint64(40) | e["high"].astype(np.uint64) << np.uint64(32) | e["low"]
+        token = np.concatenate([token, hot_names[often["low"]]])
+        df = np.concatenate([e["df"], hot_sets[often["low"]]])
+        held = np.concatenate([x["block"] << 16 | _at(x) for x in (e, often)])
+        if not len(key) or not len(held):
             return
-        known = [blobs.unpack(x, _CLASS) for x in about]
-        known = {k: np.concatenate([x[k] for x in known]) for k in _CLASS}
-        by_class = np.argsort(known["cls"])
-        known = {k: c[by_class] for k, c in known.items()}
-        order = np.lexsort((got["token"], got["df"], got["cls"]))
-        cls, token = got["cls"][order], got["token"][order]
-        new = np.ones(len(cls), bool)  # copies in several tasks repeat the entries of hot tokens
-        new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
-        order = order[new]
-        cls = got["cls"][order]
-        start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        count = np.diff(np.append(start, len(cls)))
-        enough = count >= least(known["n"][np.searchsorted(known["cls"], cls[start])])
-        order = order[np.repeat(enough, count)]
-        cls, token, df = (got[k][order] for k in ("cls", "token", "df"))
-        if not len(cls):
+        own = np.minimum(np.searchsorted(key, held), len(key) - 1)
+        shared = df > known["copies"][own]
+        shared[len(e["df"]) :] = True  # a part of the input has classes enough of a hot token
+        order = np.flatnonzero(shared & (key[own] == held))  # not of later copies
+        order = order[np.lexsort((token[order], df[order], own[order]))]
+        if not len(order):
             return
-        start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        end = np.append(start[1:], len(cls))
-        at = np.searchsorted(known["cls"], cls[start])
-        n = known["n"][at]
+        own = own[order]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        count = np.diff(np.append(start, len(own)))
+        enough = count >= least(known["n"][own[start]])
+        order, at = order[np.repeat(enough, count)], own[start[enough]]
+        if not len(order):
+            return
+        token, df = token[order], df[order]
+        end = np.cumsum(count[enough])
+        start = end - count[enough]
+        cls, n = known["cls"][at], known["n"][at]
         weight = np.add.reduceat(df.astype(np.float64), start) / n
         short = (B.mix(token) >> np.uint64(32)).astype(np.uint32)
         last, least_one = (np.repeat(_name(known[k][at], n_buckets)[1], end - start) for k in ("ahead", "behind"))
@@ -328,7 +364,7 @@ def _survivors(n_buckets: int):
             tokens = [token[x:y].tobytes() for x, y in zip(a, b, strict=True)]
             heads = [token[x : x + q].tobytes() for x, q in zip(a, prefix, strict=True)]
             maps = [_bitmap(token[x:y]).tobytes() for x, y in zip(a, b, strict=True)]
-            columns = [pa.array(cls[a]), pa.array(n[i : i + 2000].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(weight[i : i + 2000]), pa.array(maps, pa.binary()), pa.array(tokens, pa.binary())]
+            columns = [pa.array(cls[i : i + 2000]), pa.array(n[i : i + 2000].astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(weight[i : i + 2000]), pa.array(maps, pa.binary()), pa.array(tokens, pa.binary())]
             both = [pa.array([np.sort(short[x:y][inside[x:y]]).tobytes() for x, y in zip(a, b, strict=True)], pa.binary()) for inside in ahead]
             yield pa.RecordBatch.from_arrays([*columns, *both], ["cls", "n", "shared", "head", "weight", "bits", "tokens", "ascending", "descending"])
 
@@ -525,13 +561,9 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
     hot, hot_sets = hot[np.argsort(hot)], hot_sets[np.argsort(hot)]
     rows = rows.where("n_shingles >= 0")
 
-    dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets, hot), blobs.SCHEMA)
-    shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets, hot, hot_sets), blobs.SCHEMA)
-    # a class's rows are equal in these, and fold before the shuffle
-    about = rows.where("n_shingles > 0").groupBy("cls").agg(*[F.max(c).alias(c) for c in ("n_shingles", "ahead", "behind")])
-    about = about.mapInArrow(_classes_out(n_buckets), blobs.SCHEMA)
-    both = shared.withColumn("about", F.lit(None).cast("binary")).union(about.select("bucket", F.lit(None).cast("binary"), "payload"))
-    blobs.by_bucket(both, n_buckets).mapInArrow(_survivors(n_buckets), _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
+    dealt = docs.select(text).mapInArrow(_tokens_out(n_buckets, hot), _SENT)
+    shared = blobs.by_bucket(dealt, n_buckets).mapInArrow(_share(n_buckets), _SENT)
+    blobs.by_bucket(shared, n_buckets).mapInArrow(_survivors(n_buckets, hot, hot_sets), _SURVIVOR).write.mode("overwrite").parquet(f"{scratch}/survivors")
     survivors = spark.read.schema(_SURVIVOR).parquet(f"{scratch}/survivors")
 
     n_lists = max(n_buckets // 4, -(-(survivors.agg(F.sum(F.octet_length("head"))).first()[0] or 0) // 8 // LIST_TOKENS))
@@ -554,14 +586,18 @@ def near_duplicates(docs: DataFrame, scratch: str, n_buckets: int, text: str = "
         postings = blobs.by_bucket(placed.mapInArrow(_postings_out(n_lists, last), blobs.SCHEMA), n_lists)
         pairs = postings.mapInArrow(_cross_pairs if last else _hub_pairs(k == 0), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = kept(pairs, f"pairs_{k}")
-        candidates = with_columns_of_both(pairs, survivors, ["ascending", "descending"])
+        # tokens grow with the input, so they are never broadcast; the pairs of the last round are few as a rule, and then pick its classes out before the shuffles
+        table = survivors.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls", "left_semi") if last else survivors
+        table = table.hint("merge")
+        candidates = with_columns_of_both(pairs, table, ["ascending", "descending"])
         candidates = kept(candidates.mapInArrow(_in_all_orders, "a long, b long"), f"candidates_{k}")
-        # tokens grow with the input, so they are never broadcast
-        links = kept(with_columns_of_both(candidates, survivors.hint("merge"), ["n", "tokens"]).mapInArrow(_verify, "a long, b long"), f"links_{k}")
+        links = kept(with_columns_of_both(candidates, table, ["n", "tokens"]).mapInArrow(_verify, "a long, b long"), f"links_{k}")
         if links.isEmpty():  # nothing joins, so further hub rounds would try the same
             rounds = rounds[-1:]
             continue
         tried = tried.union(pairs)
+        if not last and links.count() < HUB_SHARE * pairs.count():
+            rounds = rounds[-1:]
         ends = links
         if k != 0:  # the links join components of the rounds before
             one, two = (labels.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
