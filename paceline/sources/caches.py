@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,13 +45,20 @@ def unread_detections(spark: SparkSession, path: str) -> DataFrame:
     return bad.select("run_id", "path", F.when(F.trim("value") == "", "empty").when(start != "[", "no array").otherwise("cut off or malformed").alias("reason"))
 
 
-def write_detections(rows: DataFrame, path: str) -> None:
-    """One JSON array of frames per run, each frame with its objects by id: the form that `read_detections` reads.
+def write_detections(rows: DataFrame, path: str, compression: str = "none", widened: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One JSON array of frames per run, each frame with its objects by id: the form that `read_detections` reads, also where it is compressed.
 
     `rows`: run_id, frame, track_id, x1 to y2, and of confidence, class, ankle, map_pos,
     map_velocity (struct<x,y>), keypoints (array of struct<x,y,score>), identity_role,
-    birth_location, is_inroom, is_entry those that it has.
+    birth_location, is_inroom, is_entry those that it has.  An object is a line; its
+    place in its frame and run says what goes before and after it, so that no task
+    holds a run.  `widened` adds columns after the rows are in order, so that only what
+    they are made of is shuffled and sorted.
     """
+    order = ("run_id", "frame", "track_id")
+    w, frame = Window.partitionBy("run_id").orderBy(*order[1:]), F.struct("frame")
+    rows = rows.withColumns({"before_": F.lag(frame).over(w), "after_": F.lead(frame).over(w)})
+    rows = rows if widened is None else widened(rows)
     has = set(rows.columns)
     pair = lambda c: F.array(F.col(c)["x"], F.col(c)["y"])
     fields = [F.col("track_id").alias("id"), F.array("x1", "y1", "x2", "y2").alias("bbox")]
@@ -59,10 +66,11 @@ def write_detections(rows: DataFrame, path: str) -> None:
     fields += [pair(c).alias(name) for c, name in (("ankle", "ankle_based_point"), ("map_pos", "current_map_pos"), ("map_velocity", "map_velocity")) if c in has]
     if "keypoints" in has:
         fields += [F.transform("keypoints", lambda p: F.array(p["x"], p["y"])).alias("keypoints"), F.transform("keypoints", lambda p: p["score"]).alias("keypoint_scores")]
-    frames = rows.groupBy("run_id", "frame").agg(F.sort_array(F.collect_list(F.struct("track_id", F.struct(*fields).alias("o")))).alias("objects"))
-    frames = frames.select("run_id", F.struct("frame", F.transform("objects", lambda x: x["o"]).alias("objects")).alias("f"))
-    files_ = frames.groupBy("run_id").agg(F.to_json(F.sort_array(F.collect_list("f"))).alias("value"))  # a run is one file
-    files_.repartition("run_id").write.partitionBy("run_id").mode("overwrite").text(path)
+    opening = F.concat(F.when(F.col("before_").isNull(), "[").otherwise(","), F.lit("{"), F.coalesce(F.concat(F.lit('"frame":'), F.col("frame").cast("string"), F.lit(",")), F.lit("")), F.lit('"objects":['))
+    closing = F.when(F.col("after_").isNull(), "]}]").when(F.col("after_").eqNullSafe(frame), "").otherwise("]}")
+    value = F.concat(F.when(F.col("before_").eqNullSafe(frame), ",").otherwise(opening), F.to_json(F.struct(*fields)), closing)
+    lines = rows.select(*order, value.alias("value")).sortWithinPartitions(*order)  # the order that they have
+    lines.select("run_id", "value").write.partitionBy("run_id").mode("overwrite").option("compression", compression).text(path)
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:

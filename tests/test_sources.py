@@ -82,3 +82,35 @@ def test_accepted_births(spark):
     rows = [(1, 3, "entry_buffer", 0.9), (1, 5, "entry", 0.9), (1, 5, "entry", 0.1), (1, 7, "entry", 0.9), (1, 8, "entry", 0.9), (1, 9, "interior", 0.0), (1, 6, "outside", 0.9), (2, 50, "entry_buffer", 0.6)]
     births = spark.createDataFrame(rows, "run_id long, frame int, location string, confidence double")
     assert sorted((r.run_id, r.frame) for r in live.accepted_births(births, 3, 0.5).collect()) == [(1, 3), (1, 5), (1, 7), (1, 9), (2, 50)]
+
+
+def test_tracker_files_are_written_row_by_row(spark, tmp_path):
+    """One JSON array per run, compressed or not; what `widened` adds passes no shuffle and no sort."""
+    rows = spark.createDataFrame([(1, 5, 2, 1.0), (1, 5, 1, 2.0), (1, 4, 1, 3.0), (2, 9, 7, 4.0), (1, 4, 1, 5.0)], "run_id long, frame int, track_id int, x1 double").selectExpr("*", "x1 AS y1", "x1 AS x2", "x1 AS y2").repartition(3)
+    plans = []
+
+    def widened(r):
+        out = r.withColumn("confidence", F.col("x1") / 10)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    caches.write_detections(rows, str(tmp_path / "a"), "gzip", widened)
+    caches.write_detections(rows, str(tmp_path / "b"))
+    assert plans[0].index("confidence") < plans[0].index("Window")  # above the window and so above its shuffle
+    assert len(list((tmp_path / "a").glob("*/*.txt.gz"))) == 2
+    first = json.loads("".join(p.read_text() for p in (tmp_path / "b").glob("run_id=1/*.txt")))
+    assert [(f["frame"], [o["id"] for o in f["objects"]]) for f in first] == [(4, [1, 1]), (5, [1, 2])]
+    want = sorted((str(r.run_id), r.frame, r.track_id, r.x1) for r in rows.collect())
+    for name, ends, scale in (("a", "*/*.txt.gz", 0.1), ("b", "*/*.txt", None)):
+        got = caches.read_detections(spark, str(tmp_path / name / ends)).collect()
+        assert sorted((r.run_id, r.frame, r.track_id, r.x1) for r in got) == want
+        assert all(r.confidence == (r.x1 / 10 if scale else None) for r in got)
+
+
+def test_positions_pass_one_shuffle(spark):
+    """What is made of positions by run, track or frame needs no shuffle besides that of the lines."""
+    from paceline.plans import fixtures
+
+    p = fixtures.detections(spark, "/root/testdata/sf0.001")
+    plan = p.groupBy("run_id", "frame").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
