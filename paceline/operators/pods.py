@@ -129,7 +129,9 @@ def assign_by_outline(vectors: DataFrame, room: Room) -> DataFrame:
     spots = [(k, *G.on_outline(x, y, room.boundary)) for k, (x, y) in enumerate(room.pods)]
     first = _first_on_outline(vectors, room)
     turn = (middle[0] - F.col("start_x")) * F.col("dy") - (middle[1] - F.col("start_y")) * F.col("dx")
-    first = first.withColumn("start_", F.when(turn >= 0, 1).otherwise(-1))
+    # a start towards the centroid is a tie, which sums of the same numbers may miss in the last digits
+    scale = F.abs((middle[0] - F.col("start_x")) * F.col("dy")) + F.abs((middle[1] - F.col("start_y")) * F.col("dx"))
+    first = first.withColumn("start_", F.when(turn >= -1e-9 * scale, 1).otherwise(-1))
     items = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("s")) for k, x, y, s in spots])
     each = first.withColumn("p_", F.explode(items))
     cross = (middle[0] - F.col("door_.x")) * (F.col("p_.y") - F.col("door_.y")) - (middle[1] - F.col("door_.y")) * (F.col("p_.x") - F.col("door_.x"))
@@ -306,8 +308,9 @@ def capture_time_scores(runs: DataFrame, captured: DataFrame, limits: Sequence[f
     limit = F.coalesce(F.get(table, F.col("pod_idx")), F.element_at(table, -1))
     t = F.col("capture_time_sec")
     score = F.when(t.isNull(), 0.0).when(t <= limit, 1.0).otherwise(S.time_penalty(t - limit, limit))
-    persons = captured.where("assigned_id is not null").groupBy("run_id", "assigned_id").agg(F.round(F.avg(score), 2).alias("p_"))
-    means = persons.groupBy("run_id").agg(F.round(F.avg("p_"), 2).alias("score"))
+    persons = captured.where("assigned_id is not null").groupBy("run_id", "assigned_id").agg(F.round(F.round(F.avg(score), 2) * 100).cast("long").alias("p_"))
+    # a sum of whole hundredths is the same in any order; a mean between two of them goes to the one that its binary value is nearer to
+    means = persons.groupBy("run_id").agg((F.round(F.sum("p_") / (F.count("p_") * 100.0) * 100) / 100).alias("score"))
     return runs.select("run_id").join(means, "run_id", "left").select("run_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
