@@ -21,3 +21,13 @@ def test_newly_seen_shuffles_gaze_only(spark):
     assert exchanges(new) == 1  # before it is run, after which the plan is told twice
     assert {(r.run_id, r.frame): r.n_ for r in new.collect()} == want
     assert exchanges(gaze.newly_seen(looks.repartition("run_id").withColumn("ox", F.col("ox") + 1), ROOM, 15.0, 1.0)) == 1
+
+
+def test_contact_shuffles_wrists_only(spark):
+    from paceline.plans import queries_room as R
+
+    rows = gaze.contact(gaze.touching_pairs(*R._sides(spark, SF)), R.X.gaze(spark, SF), R.ANGLE, R.X.keypoints(spark, SF))
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    cut = next(k for k, line in enumerate(lines) if "AS wrists_" in line)  # below the join
+    assert not any("keypoints" in line for line in lines[:cut]) and any("Join" in line for line in lines[:cut])
+    assert rows.columns == ["run_id", "frame", "friend_id", "inroom_id", *R.BOX, "looks", "reaches"]
