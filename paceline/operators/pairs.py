@@ -49,8 +49,8 @@ def frame_pairs(left: DataFrame, right: DataFrame, shift: int = 0) -> DataFrame:
     return a.join(b, ["run_id", "frame_a"])
 
 
-def anchors(keypoints: Column, least_score: float) -> Column:
-    """map<group, struct<x,y,confidence,support>> of the body groups with a sure keypoint; neck and shoulder stand in for each other."""
+def _totals(keypoints: Column, least_score: float) -> Column:
+    """array<struct<key, t<x,y,s,n>>> of the body groups: sums over their sure keypoints."""
     groups = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(k) for k in ks]).alias("ks")) for name, ks in ANCHORS.items()])
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
 
@@ -58,7 +58,12 @@ def anchors(keypoints: Column, least_score: float) -> Column:
         grown = F.struct((t["x"] + p["x"]).alias("x"), (t["y"] + p["y"]).alias("y"), (t["s"] + p["score"]).alias("s"), (t["n"] + 1).alias("n"))
         return F.when(p["score"] > least_score, grown).otherwise(t)
 
-    totals = F.transform(groups, lambda g: F.struct(g["name"].alias("key"), F.aggregate(F.transform(g["ks"], lambda k: F.get(keypoints, k)), zero, add).alias("t")))
+    return F.transform(groups, lambda g: F.struct(g["name"].alias("key"), F.aggregate(F.transform(g["ks"], lambda k: F.get(keypoints, k)), zero, add).alias("t")))
+
+
+def anchors(keypoints: Column, least_score: float) -> Column:
+    """map<group, struct<x,y,confidence,support>> of the body groups with a sure keypoint; neck and shoulder stand in for each other."""
+    totals = _totals(keypoints, least_score)
 
     def mean(e: Column) -> Column:
         t = e["t"]
@@ -79,20 +84,50 @@ def pose_scale(box: Sequence[Column]) -> Column:
     return F.greatest(h, w * 0.75, F.lit(1.0))
 
 
+def with_anchors(poses: DataFrame, least_score: float) -> DataFrame:
+    """`poses` with a column for each body group in place of keypoints: the structs of `anchors`, null where there is none.
+
+    They are found once for a pose here, not looked up in a map once for each pair.
+    """
+    rows = poses.withColumn("t_", F.explode(F.array(_totals(F.col("keypoints"), least_score))))  # exploded, so that it is computed once
+    sums = {g: F.get("t_", F.lit(k))["t"] for k, g in enumerate(ANCHORS)}
+    value = lambda t, n: F.when(t["n"] > 0, F.struct((t["x"] / t["n"]).alias("x"), (t["y"] / t["n"]).alias("y"), (t["s"] / t["n"]).alias("confidence"), n.alias("support")))
+    found = {g: value(t, t["n"]) for g, t in sums.items()}
+    for missing, other in (("shoulder", "neck"), ("neck", "shoulder")):
+        found[missing] = F.coalesce(value(sums[missing], sums[missing]["n"]), value(sums[other], F.lit(1)))
+    return rows.select(*[c for c in poses.columns if c != "keypoints"], *[c.alias(g) for g, c in found.items()])
+
+
+def _term(p: Column, q: Column, priority: float, scale: Column, sigma: float) -> tuple[Column, Column]:
+    """Similarity and weight of a body group's anchors; the weight is 0 where one side lacks it."""
+    dx, dy = (p["x"] - q["x"]) / F.greatest(scale, F.lit(1.0)), (p["y"] - q["y"]) / F.greatest(scale, F.lit(1.0))
+    similarity = F.exp(-(dx * dx + dy * dy) / max(2 * sigma * sigma, 1e-6))
+    support = F.least(F.lit(1.0), 0.35 + 0.15 * F.least(p["support"], q["support"]))
+    # least and greatest pass over nulls, so a group that one side lacks is left out by itself
+    weight = F.when(p.isNotNull() & q.isNotNull(), priority * F.greatest(F.lit(0.05), (p["confidence"] + q["confidence"]) / 2) * support).otherwise(0.0)
+    return similarity, weight
+
+
+def _affinity(terms: Sequence[Column], weights: Sequence[Column], total: Column) -> tuple[Column, Column]:
+    return F.when(total > 0, sum(terms[1:], terms[0]) / total).otherwise(0.0), F.least(F.lit(1.0), 2 * total / sum(PRIORITY.values()))
+
+
 def pose_affinity(a: Column, b: Column, scale: Column, sigma: float = 0.35) -> tuple[Column, Column]:
     """(similarity, reliability) of two anchor maps: Gaussian in the scaled distance, weighted by confidence and support."""
-    terms, weights = [], []
-    for name, priority in PRIORITY.items():
-        p, q = F.try_element_at(a, F.lit(name)), F.try_element_at(b, F.lit(name))
-        dx, dy = (p["x"] - q["x"]) / F.greatest(scale, F.lit(1.0)), (p["y"] - q["y"]) / F.greatest(scale, F.lit(1.0))
-        similarity = F.exp(-(dx * dx + dy * dy) / max(2 * sigma * sigma, 1e-6))
-        support = F.least(F.lit(1.0), 0.35 + 0.15 * F.least(p["support"], q["support"]))
-        # least and greatest pass over nulls, so a group that one side lacks is left out by itself
-        weight = F.when(p.isNotNull() & q.isNotNull(), priority * F.greatest(F.lit(0.05), (p["confidence"] + q["confidence"]) / 2) * support).otherwise(0.0)
-        terms.append(F.coalesce(similarity * weight, F.lit(0.0)))
-        weights.append(weight)
-    total = sum(weights[1:], weights[0])
-    return F.when(total > 0, sum(terms[1:], terms[0]) / total).otherwise(0.0), F.least(F.lit(1.0), 2 * total / sum(PRIORITY.values()))
+    found = [_term(F.try_element_at(a, F.lit(g)), F.try_element_at(b, F.lit(g)), priority, scale, sigma) for g, priority in PRIORITY.items()]
+    weights = [w for _, w in found]
+    return _affinity([F.coalesce(s * w, F.lit(0.0)) for s, w in found], weights, sum(weights[1:], weights[0]))
+
+
+def pair_affinity(rows: DataFrame, scale: Column, sigma: float = 0.35) -> DataFrame:
+    """`rows` with similarity and reliability (`pose_affinity`) of the ends _a and _b of the columns of `with_anchors`, step by step, so that nothing is computed twice."""
+    columns = rows.columns
+    found = {g: _term(F.col(f"{g}_a"), F.col(f"{g}_b"), priority, scale, sigma) for g, priority in PRIORITY.items()}
+    rows = rows.withColumns({f"{g}_s_": s for g, (s, _) in found.items()} | {f"{g}_w_": w for g, (_, w) in found.items()})
+    weights = [F.col(f"{g}_w_") for g in PRIORITY]
+    rows = rows.withColumn("total_", sum(weights[1:], weights[0]))
+    similarity, reliability = _affinity([F.coalesce(F.col(f"{g}_s_") * F.col(f"{g}_w_"), F.lit(0.0)) for g in PRIORITY], weights, F.col("total_"))
+    return rows.select(*columns, similarity.alias("similarity"), reliability.alias("reliability"))
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -31,3 +31,19 @@ def test_contact_shuffles_wrists_only(spark):
     cut = next(k for k, line in enumerate(lines) if "AS wrists_" in line)  # below the join
     assert not any("keypoints" in line for line in lines[:cut]) and any("Join" in line for line in lines[:cut])
     assert rows.columns == ["run_id", "frame", "friend_id", "inroom_id", *R.BOX, "looks", "reaches"]
+
+
+def test_pair_affinity_is_that_of_the_maps(spark):
+    from paceline.operators import pairs
+    from paceline.plans import fixtures
+
+    k = fixtures.keypoints(spark, SF).where("frame < 90 or run_id % 2 = 1").selectExpr("run_id", "track_id", "frame", "x1", "y1", "x2", "y2", "transform(keypoints, (p, i) -> named_struct('x', p.x, 'y', p.y, 'score', CASE WHEN (i + frame) % 3 = 0 OR frame % 11 = 0 THEN 0D ELSE p.score END)) AS keypoints")
+    box = ("x1", "y1", "x2", "y2")
+    scale = pairs.pose_scale([F.col(f"{c}_a") for c in box])
+    maps = k.withColumn("m", pairs.anchors(F.col("keypoints"), 0.5)).drop("keypoints")
+    s, r = pairs.pose_affinity(F.col("m_a"), F.col("m_b"), scale)
+    keys = ("run_id", "frame_a", "track_id_a", "track_id_b")
+    want = pairs.frame_pairs(maps, maps).where("track_id_a < track_id_b").select(*keys, s, r)
+    flat = pairs.with_anchors(k, 0.5)
+    got = pairs.pair_affinity(pairs.frame_pairs(flat, flat).where("track_id_a < track_id_b"), scale).select(*keys, "similarity", "reliability")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
