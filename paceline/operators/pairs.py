@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,18 +295,44 @@ def suppressed(boxes: DataFrame, least_score: float, most_iou: float, top: int =
     return by_frame.select(F.explode(F.slice(left, 1, top)).alias("b")).select("b.row.*")
 
 
+def _close_pairs(rows: pa.Table, share: float, least_joints: int | None) -> pa.Table:
+    """run_id, frame, pose, score_, other_ of the close poses (`close_poses`) in the frames of one run."""
+    rows = rows.take(pa.array(np.argsort(rows.column("frame").to_numpy(), kind="stable")))
+    frames, points = rows.column("frame").to_numpy(), rows.column("points").combine_chunks()
+    size = np.array(points.value_lengths().fill_null(0))
+    flat, place = points.flatten(), np.arange(size.max(initial=0)) < size[:, None]
+    xy = np.full((2, *place.shape), np.nan)  # a point that one side lacks is near nothing
+    for k, c in enumerate("xy"):
+        xy[k][place] = pc.struct_field(flat, c).to_numpy(zero_copy_only=False)
+    known = ~np.isnan(xy)
+    span = np.where(known, xy, -np.inf).max(2, initial=-np.inf) - np.where(known, xy, np.inf).min(2, initial=np.inf)
+    reach, least = np.hypot(*span) * share, np.floor(size / 2 if least_joints is None else np.full(len(size), float(least_joints)))
+    found = []
+    for d in range(len(frames)):
+        at = np.flatnonzero(frames[: len(frames) - d] == frames[d:])
+        if not len(at):
+            break
+        apart = np.hypot(*(xy[:, at] - xy[:, at + d]))
+        for own, other in ((at, at + d), (at + d, at))[: 1 + (d > 0)]:
+            near = (apart < reach[own, None]).sum(1) > least[own]
+            found.append((own[near], other[near]))
+    own, other = (pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1))
+    left, right = rows.select(["run_id", "frame", "pose"]).take(own), rows.select(["score", "pose"]).take(other)
+    return left.append_column("score_", right.column("score")).append_column("other_", right.column("pose"))
+
+
 def close_poses(poses: DataFrame, share: float = 0.05, least_joints: int | None = None) -> DataFrame:
     """`poses` with `close`: the poses of the frame of which more joints than the least lie near this one's.
 
     Near is within `share` of the diagonal of this pose's extent; the least is half of
-    the joints unless given.  A pose is close to itself.
+    the joints unless given.  A pose is close to itself.  A task holds one run's poses;
+    poses that are together by run already (repartition("run_id"), best while they have
+    few columns) stay where they are.
     """
-    span = lambda c: F.array_max(F.transform("keypoints", lambda p: p[c])) - F.array_min(F.transform("keypoints", lambda p: p[c]))
-    own = poses.withColumn("reach_", F.hypot(span("x"), span("y")) * share)
-    others = poses.select("run_id", "frame", F.col("pose").alias("other_"), F.col("score").alias("score_"), F.col("keypoints").alias("k_"))
-    near = F.zip_with("keypoints", "k_", lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < F.col("reach_"))
-    least = F.size("keypoints").cast("double") / 2 if least_joints is None else F.lit(float(least_joints))
-    pairs = own.join(others, ["run_id", "frame"]).where(F.size(F.filter(near, lambda x: x)) > F.floor(least))
+    kinds = {c: poses.schema[c].dataType.simpleString() for c in ("run_id", "frame", "pose", "score")}
+    xy = F.transform("keypoints", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    rows = poses.where("run_id is not null and frame is not null").select("run_id", "frame", "pose", "score", xy.alias("points"))
+    pairs = rows.groupBy("run_id").applyInArrow(lambda t: _close_pairs(t, share, least_joints), f"run_id {kinds['run_id']}, frame {kinds['frame']}, pose {kinds['pose']}, score_ {kinds['score']}, other_ {kinds['pose']}")
     lists = pairs.groupBy("run_id", "frame", "pose").agg(F.collect_list(F.struct((-F.col("score_")).alias("rank"), F.col("other_").alias("pose"))).alias("close"))
     return poses.join(lists, ["run_id", "frame", "pose"], "left")
 

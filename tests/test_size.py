@@ -47,3 +47,28 @@ def test_pair_affinity_is_that_of_the_maps(spark):
     flat = pairs.with_anchors(k, 0.5)
     got = pairs.pair_affinity(pairs.frame_pairs(flat, flat).where("track_id_a < track_id_b"), scale).select(*keys, "similarity", "reliability")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
+def test_close_poses_stay_in_their_run(spark):
+    """Poses of unequal lengths against a plain loop; keypoints pass no join."""
+    import math
+    import random
+
+    from paceline.operators import pairs
+    from paceline.plans import queries_room as R
+
+    dice = random.Random(3)
+    rows = [(run, frame, pose, dice.random(), [(None if dice.random() < 0.1 else float(dice.randint(0, 9)), float(dice.randint(0, 9)), 1.0) for _ in range(dice.randint(1, 8))]) for run in (1, 2) for frame in range(12) for pose in range(dice.randint(1, 5))]
+    poses = spark.createDataFrame(rows, "run_id long, frame int, pose int, score double, keypoints array<struct<x:double,y:double,score:double>>").repartition(3)
+
+    def near(a, b, least):
+        span = [max(v) - min(v) if (v := [p[k] for p in a if p[k] is not None]) else math.nan for k in (0, 1)]
+        hits = sum(math.dist(p[:2], q[:2]) < 0.6 * math.hypot(*span) for p, q in zip(a, b) if None not in (p[0], q[0]))
+        return hits > (len(a) // 2 if least is None else least)
+
+    for least in (None, 2):
+        want = {(r, f, p): sorted((-s2, p2) for r2, f2, p2, s2, k2 in rows if (r2, f2) == (r, f) and near(k, k2, least)) for r, f, p, _, k in rows}
+        got = {(r.run_id, r.frame, r.pose): sorted(map(tuple, r.close or [])) for r in pairs.close_poses(poses, 0.6, least).collect()}
+        assert got == want and any(len(v) > 1 for v in want.values())
+    lines = R.T5_suppressed_poses(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Join" in line for line in lines[next(k for k, line in enumerate(lines) if "FlatMapGroupsInArrow" in line) :])
