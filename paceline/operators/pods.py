@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,13 +246,24 @@ def moved_areas(blockers: DataFrame, room: Room, radius: float, threshold: float
     centres = work_centres(room, radius)
     low, high = [min(p[k] for p in room.boundary) for k in (0, 1)], [max(p[k] for p in room.boundary) for k in (0, 1)]
     spots = F.array(*[F.struct(F.lit(k).alias("pod"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(centres)])
-    rows = blockers.select("run_id", "frame", "track_id", "quad", F.explode(spots).alias("c"))
-    rows = rows.where(G.circle_share(F.col("quad"), F.col("c.x"), F.col("c.y"), radius) >= threshold)
+    share = F.pandas_udf(lambda x, y, *corners: pd.Series(G.circle_shares(np.stack([v.to_numpy(float) for v in corners], 1).reshape(-1, 4, 2), x.to_numpy(float), y.to_numpy(float), radius)), "double")
+    corners = [F.get("quad", F.lit(k))[c] for k in range(4) for c in ("x", "y")]
+    side = lambda pick, c: pick(F.transform("quad", lambda p: p[c]))
+    rows = blockers.withColumns({f"{n}_{c}_": side(pick, c) for n, pick in (("low", F.array_min), ("high", F.array_max)) for c in "xy"})
+    rows = rows.select("run_id", "frame", "track_id", "quad", *[f"{n}_{c}_" for n in ("low", "high") for c in "xy"], F.explode(spots).alias("c"))
+
+    def covered(x: Column, y: Column) -> Column:
+        apart = (F.col("low_x_") > x + radius) | (F.col("high_x_") < x - radius) | (F.col("low_y_") > y + radius) | (F.col("high_y_") < y - radius)
+        return F.when(apart, 0.0).otherwise(share(x, y, *corners))
+
+    if threshold > 0:  # those that are apart go before their shares are asked for
+        rows = rows.where((F.col("low_x_") <= F.col("c.x") + radius) & (F.col("high_x_") >= F.col("c.x") - radius) & (F.col("low_y_") <= F.col("c.y") + radius) & (F.col("high_y_") >= F.col("c.y") - radius))
+    rows = rows.where(covered(F.col("c.x"), F.col("c.y")) >= threshold)
 
     def clear(dy: float) -> Column:
         x, y = F.col("c.x"), F.col("c.y") + dy
         within = (x - radius >= low[0]) & (x + radius <= high[0]) & (y - radius >= low[1]) & (y + radius <= high[1])
-        return within & (G.circle_share(F.col("quad"), x, y, radius) <= 1e-9)
+        return within & (covered(x, y) <= 1e-9)
 
     move = F.when(clear(radius), radius).when(clear(-radius), -radius)
     rows = rows.select("run_id", "frame", F.col("c.pod").alias("pod_idx"), F.struct("track_id", move.alias("move"), "quad").alias("b"))

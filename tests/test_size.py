@@ -72,3 +72,24 @@ def test_close_poses_stay_in_their_run(spark):
         assert got == want and any(len(v) > 1 for v in want.values())
     lines = R.T5_suppressed_poses(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not any("Join" in line for line in lines[next(k for k, line in enumerate(lines) if "FlatMapGroupsInArrow" in line) :])
+
+
+def test_circle_shares_are_those_of_the_clipped_circle(spark):
+    """Convex quads in both directions, apart, around the circle and within it, rotated and not."""
+    import math
+    import random
+
+    import numpy as np
+
+    from paceline.functions import geometry as G
+
+    dice, rows = random.Random(5), []
+    for k in range(120):
+        turn, w, h, x, y = dice.random() * 7 * (k % 3 > 0), dice.uniform(1, 90), dice.uniform(1, 90), dice.uniform(-60, 60), dice.uniform(-60, 60)
+        quad = [(x + a * w * math.cos(turn) - b * h * math.sin(turn), y + a * w * math.sin(turn) + b * h * math.cos(turn)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+        rows.append((k, quad[:: 1 - 2 * (k % 2)], dice.uniform(-20, 20), dice.uniform(-20, 20)))
+    table = spark.createDataFrame(rows, "k int, quad array<struct<x:double,y:double>>, x double, y double")
+    want = {r.k: r.s for r in table.select("k", G.circle_share(F.col("quad"), F.col("x"), F.col("y"), 30.0).alias("s")).collect()}
+    got = G.circle_shares(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), 30.0, block=50)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+    assert min(want.values()) == 0.0 and max(want.values()) > 0.999
