@@ -93,3 +93,17 @@ def test_circle_shares_are_those_of_the_clipped_circle(spark):
     got = G.circle_shares(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), 30.0, block=50)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
     assert min(want.values()) == 0.0 and max(want.values()) > 0.999
+
+
+def test_rows_with_keypoints_keep_their_order(spark):
+    """What `write_detections` sorts while it is narrow is not sorted again with its keypoints."""
+    from paceline.plans import fixtures
+
+    rows = fixtures.detections(spark, SF, fixtures.positions(spark, SF, together=True)).selectExpr("*", "lag(frame) OVER (PARTITION BY run_id ORDER BY frame, track_id) AS before_")
+    wide = fixtures.with_keypoints(rows).sortWithinPartitions("run_id", "frame", "track_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Sort [run_id") == 2  # for the two windows
